@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.decontaminate import contamination
 from quern.llm.importance import resample
 from quern.llm.jaccard_join import jaccard_components
+from quern.llm.personal_data import personal_data
+from quern.llm.sentencepiece_scan import encoded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +21,26 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids, text_ok)."""
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept)."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op7_importance_resampling)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op5_sentencepiece_scan, op7_importance_resampling, op8_personal_data)}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,5 +63,26 @@ FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+_LOWER_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce({_LOWER_WORDS}, []) AS w FROM documents
+), b AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, least(13, len(w)) AS size, array_to_string(w[i:i + 12], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), g AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM p) WHERE len(w) >= size)
+), m AS (SELECT g.doc_id, g.i, g.size, p.item FROM g JOIN p ON p.phrase = g.phrase AND p.size = g.size
+), h AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM m) GROUP BY doc_id
+), t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL}
