@@ -19,11 +19,15 @@ _BASE = 0x9E3779B97F4A7C55
 _INV = pow(_BASE, -1, 1 << 64)
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
-#: Bytes that stand in words, and the lower case of A-Z alone.
-SPACES = np.ones(256, bool)
-SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-ALNUM = np.zeros(256, bool)
-ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+#: Kinds of bytes: a word is a run of one kind that is not 0.
+SPACES = np.ones(256, np.uint8)
+SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+ALNUM = np.zeros(256, np.uint8)
+ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = 1
+#: Letters and digits, other marks, white space apart.
+MARKS = np.where(ALNUM == 1, 1, 2).astype(np.uint8)
+MARKS[SPACES == 0] = 0
+#: The lower case of A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -94,11 +98,12 @@ class Words:
 
     def _block(self, a: int, b: int, offsets: np.ndarray, table: np.ndarray):
         data = self.data[a:b]
-        inside = table[data]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
+        kind = table[data]
+        inside = kind != 0
+        turn = kind[1:] != kind[:-1]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= turn
+        last[:-1] &= turn
         lo, hi = np.searchsorted(offsets, [a, b])
         bounds = offsets[lo : hi + 1]
         bounds = bounds[(bounds > a) & (bounds < b)] - a
@@ -123,9 +128,9 @@ def _cuts(raw: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
     a, n = 0, len(raw)
     while a < n:
         b = min(n, a + BLOCK)
-        while b < n and table[raw[b - 1]] and table[raw[b]]:
+        while b < n and table[raw[b - 1]] and table[raw[b]] == table[raw[b - 1]]:
             step = table[raw[b : b + 4096]]
-            stop = np.flatnonzero(~step)
+            stop = np.flatnonzero(step != table[raw[b - 1]])
             b += int(stop[0]) if len(stop) else len(step)
         yield a, b
         a = b
