@@ -43,6 +43,9 @@ from quern.scratch import discard, materialize
 GROUPS = 64
 BLOCK = 4096
 LEAF = 32
+#: A count that may stand for more: two of them bound nothing.
+FULL = 65535
+NAMES = ["a", "b", "na", "nb"]
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -64,10 +67,9 @@ def _points(width: int):
             for u in _sets(batch.column(1), width):
                 ns.append(len(u))
                 sids.append(_sid(u) if len(u) else None)
-                points.append(np.bincount((u & textkit.U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32))
-            flat = np.concatenate(points) if points else np.empty(0, np.int32)
-            point = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1, dtype=np.int32) * GROUPS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), point], names=["doc_id", "n", "sid", "point"])
+                counts = np.bincount((u & textkit.U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                points.append(np.minimum(counts, FULL).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n", "sid", "point"])
 
     return run
 
@@ -109,6 +111,12 @@ def _full(width: int):
     return run
 
 
+def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima: at least the overlap."""
+    least = np.minimum(a, b)
+    return least.sum(axis=-1, dtype=np.int64) + (least == FULL).any(axis=-1) * (1 << 50)
+
+
 class CountTree:
     """An R-tree over count vectors: pages of LEAF entries, each with its corners."""
 
@@ -130,14 +138,14 @@ class CountTree:
             upper, low, high = self.levels[depth]
             fits = (high[pages] * den >= size * num) & (low[pages] * num <= size * den)
             pages = pages[fits]
-            bound = np.minimum(upper[pages], point).sum(axis=1)
+            bound = _bound(upper[pages], point)
             pages = pages[bound * (num + den) >= (size + low[pages]) * num]
             width = len(self.levels[depth - 1][0]) if depth else len(self.sizes)
             pages = (pages[:, None] * LEAF + np.arange(LEAF)).ravel()
             pages = pages[pages < width]
         if not self.levels:
             pages = np.arange(len(self.sizes))
-        bound = np.minimum(self.points[pages], point).sum(axis=1)
+        bound = _bound(self.points[pages], point)
         pages = pages[bound * (num + den) >= (size + self.sizes[pages]) * num]
         return self.order[pages]
 
@@ -146,7 +154,7 @@ def _bucket(sids, sizes, comps, points, side, num: int, den: int):
     """Pairs (smaller sid, larger sid) of different components that the bound allows."""
     n = len(sids)
     if n <= LEAF:
-        bound = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+        bound = _bound(points[:, None, :], points[None, :, :])
         a, b = np.nonzero(bound * (num + den) >= (sizes[:, None] + sizes[None, :]) * num)
     else:
         tree = CountTree(sizes, points)
@@ -154,7 +162,8 @@ def _bucket(sids, sizes, comps, points, side, num: int, den: int):
         a = np.repeat(np.arange(n), [len(x) for x in found])
         b = np.concatenate(found)
     keep = (sids[a] < sids[b]) & (comps[a] != comps[b]) & ((side[a] != side[b]) | (side[a] < 0))
-    return sids[a[keep]], sids[b[keep]]
+    a, b = a[keep], b[keep]
+    return sids[a], sids[b], sizes[a], sizes[b]
 
 
 def _trees(num: int, den: int):
@@ -166,7 +175,7 @@ def _trees(num: int, den: int):
         def flush():
             t = pa.concat_tables(held)
             held.clear()
-            points = t["point"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint16).reshape(-1, GROUPS)
             side = t["side"].to_numpy()
             return _bucket(t["sid"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), points, side, num, den)
 
@@ -183,10 +192,9 @@ def _trees(num: int, den: int):
                 last = name
                 held.append(t.slice(s, e - s))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in range(4)], names=NAMES)
         if held:
-            a, b = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flush()], names=NAMES)
 
     return run
 
@@ -210,25 +218,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id): similarity num/den or more links two documents."""
     docs = documents.select("doc_id", "text")
-    points = materialize(docs.mapInArrow(_points(width), "doc_id long, n long, sid long, point array<int>"), "points")
+    points = materialize(docs.mapInArrow(_points(width), "doc_id long, n long, sid long, point binary"), "points")
     some = points.where("n > 0")
     heads = some.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"))
 
     rows = docs.select("text").mapInArrow(_prefixes(width, num, den), "key long, sid long, n long").repartition("key")
     bucket = Window.partitionBy("key")
-    shared = rows.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)}).where("lo <> hi")
-    shared = materialize(shared.dropDuplicates(["key", "sid"]).select("key", "sid", "n", "lo"), "buckets")
-
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        a = heads.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-        b = heads.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-        fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-        return pairs.join(a, "a").join(b, "b").where(fits & (bound * (num + den) >= (F.col("na") + F.col("nb")) * num)).select("a", "b")
+    shared = rows.withColumns({"lo": F.min(F.struct("sid", "n")).over(bucket), "hi": F.max("sid").over(bucket)}).where("lo.sid <> hi")
+    shared = materialize(shared.dropDuplicates(["key", "sid"]).select("key", "sid", "n", F.col("lo.sid").alias("lo"), F.col("lo.n").alias("n_lo")), "buckets")
 
-    first = shared.where("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
-    first = materialize(allowed(first), "pairs")
+    # what a pass over first sets misses, the trees below find: here a quarter of the prefix must agree
+    fits = (F.col("n") * den >= F.col("n_lo") * num) & (F.col("n_lo") * den >= F.col("n") * num)
+    first = shared.where("sid <> lo").where(fits).groupBy(F.col("lo").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    first = materialize(first.where(F.col("c") * 4 * den >= F.col("n") * (den - num)).select("a", "b"), "pairs")
     links = _verified(first, docs, heads, width, num, den)
     roots = components(links)
 
@@ -241,7 +243,11 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     parts = parts.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "sid", "n", "comp", F.when(F.col("block") == F.col("o"), -1).otherwise(F.when(F.col("block") < F.col("o"), 0).otherwise(1)).alias("side"))
     units = whole.union(parts).join(heads.select("sid", "point"), "sid")
     units = units.select("key", "i", "j", "sid", "n", "comp", "side", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = units.mapInArrow(_trees(num, den), "a long, b long").distinct()
+    # each tree that holds a pair gives it once, so c counts the hashes that both prefixes share; of one
+    # of the two sets all prefix hashes are counted, and no more than the rest of it can be shared besides
+    more = units.mapInArrow(_trees(num, den), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
+    more = more.where((F.col("c") + rest) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
     more = materialize(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         late = _verified(more, docs, heads, width, num, den)
