@@ -21,65 +21,31 @@ do not matter.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.lattice import LITERAL, SPACE, Batch, Pieces, codepoints, default_model, load, normalised, piece_bytes, segments, spelled
+from quern.llm.memo import Memo, gathered
 from quern.llm.textkit import slices, views
 
 GIANT, CHUNK = 32_768, 8_192
 NONE = -(1 << 60)
-CACHE = 300_000
 SIDE_BY_SIDE = 48
 
 
-def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """pool[starts[w]:starts[w] + lengths[w]] for each w, one after another."""
-    n = lengths[which]
-    shift = starts[which] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-    return pool[np.arange(n.sum()) + np.repeat(shift, n)]
-
+def encoder(vocabulary: Pieces) -> Memo:
+    def make(texts: list[str]) -> list[list[int]]:
+        out: list = [None] * len(texts)
+        short = [k for k, t in enumerate(texts) if len(t) <= 64]
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            for k, ids in zip(part, Batch(vocabulary, [texts[k] for k in part]).best(), strict=True):
+                out[k] = ids
+        return [x if x is not None else Batch(vocabulary, [t]).best()[0] for x, t in zip(out, texts, strict=True)]
 
-class Encoder:
-    """Encodes texts, remembering segments."""
-
-    def __init__(self, vocabulary: Pieces):
-        self.vocabulary = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def learn(self, texts: set[str]) -> None:
-        short = [t for t in texts if len(t) <= 64]
-        made = []
-        for k in range(0, len(short), 20_000):
-            made += Batch(self.vocabulary, short[k : k + 20_000]).best()
-        long = [t for t in texts if len(t) > 64]
-        made += [Batch(self.vocabulary, [t]).best()[0] for t in long]
-        n = np.fromiter(map(len, made), np.int64, len(made))
-        self.known.update(zip(short + long, range(len(self.known), len(self.known) + len(made)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.int32, int(n.sum()))])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): those of text r at bounds[r]:bounds[r + 1]."""
-        cut = [segments(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.forget()
-        fresh = set(chain.from_iterable(cut)).difference(self.known)
-        if fresh:
-            self.learn(fresh)
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
-        ends = np.concatenate([[0], np.cumsum(self.lengths[which])])
-        return gathered(self.pool, self.starts, self.lengths, which), ends[np.concatenate([[0], np.cumsum(n)])]
+    return Memo(segments, make)
 
 
 class Decoder:
@@ -232,11 +198,11 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     schema = "doc_id long, ids array<int>, text_ok boolean"
 
     def whole(batches):
-        encoder, decoder = Encoder(v), Decoder(v)
+        memory, decoder = encoder(v), Decoder(v)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ids, bounds = encoder.encode(part.column(1).to_pylist())
+                ids, bounds = memory.encode(part.column(1).to_pylist())
                 ok = decoder.same(ids, bounds, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(ok)], names=["doc_id", "ids", "text_ok"])
 
@@ -284,4 +250,4 @@ def encoded(documents: DataFrame, model: str | None = None) -> DataFrame:
     return encode(documents, model).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_ok")
 
 
-__all__ = ["LITERAL", "SPACE", "Decoder", "Encoder", "decode", "edges", "encode", "encoded", "matrices", "product", "traced"]
+__all__ = ["LITERAL", "SPACE", "Decoder", "decode", "edges", "encode", "encoded", "encoder", "matrices", "product", "traced"]
