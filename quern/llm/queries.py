@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.decontaminate import contamination
+from quern.llm.fingerprint import neighbours
 from quern.llm.importance import resample
 from quern.llm.jaccard_join import jaccard_components
 from quern.llm.personal_data import personal_data
 from quern.llm.sentencepiece_scan import encoded
+from quern.llm.token_planes import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, text_ok)."""
     return encoded(table(spark, sf_dir, "documents"))
@@ -39,8 +45,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op5_sentencepiece_scan, op7_importance_resampling, op8_personal_data)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op4_token_planes, op5_sentencepiece_scan, op7_importance_resampling, op8_personal_data, op10_fingerprints)}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
