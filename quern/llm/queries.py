@@ -10,6 +10,9 @@ from quern.llm.decontaminate import contamination
 from quern.llm.fingerprint import neighbours
 from quern.llm.importance import resample
 from quern.llm.jaccard_join import jaccard_components
+from quern.llm.language_id import identified
+from quern.llm.license_scan import license_scan
+from quern.llm.ngram_trie import scored
 from quern.llm.personal_data import personal_data
 from quern.llm.sentencepiece_scan import encoded
 from quern.llm.token_planes import round_trip
@@ -27,6 +30,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,10 @@ def op5_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept)."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
@@ -45,12 +56,20 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op4_token_planes, op5_sentencepiece_scan, op7_importance_resampling, op8_personal_data, op10_fingerprints)}
+    found = (
+        op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_planes, op5_sentencepiece_scan,
+        op6_license_scan, op7_importance_resampling, op8_personal_data, op9_ngram_trie, op10_fingerprints,
+    )
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
