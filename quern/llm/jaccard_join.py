@@ -8,12 +8,16 @@ cannot rule out is verified on the sets themselves.
 
 One tree over all documents cannot be spread over machines, so documents are
 first brought together by a key that loses no link: sets with a similarity of t
-share one of the ``n - ceil(t n) + 1`` smallest hashes of either, so each such
-hash gets its own bucket, and a tree stands over each bucket that needs one.
+share one of the first ``n - ceil(t n) + 1`` hashes of either in any fixed order,
+so each such hash gets its own bucket, and a tree stands over each bucket that
+needs one.  The order is that of the hashes, but those that many texts share (in a
+fixed number of slots, counted by every task over all its documents) come last, so
+that a common passage does not bring unrelated texts together.  The order bears on
+cost only, never on the result.
 
 1. Equal sets become one set (the smallest doc_id speaks for it).
-2. Every set of a bucket is held against the bucket's first set only; links that
-   pass the bound and the verification give first components.
+2. Every set of a bucket is held against the bucket's first set only, in up to
+   ``STARS`` passes with other first sets; verified links give first components.
 3. Only buckets that still hold several components get a tree.  It returns pairs
    of different components, and those not verified before are verified.  Pairs
    inside a component are never needed, so groups of copies stay linear, while
@@ -46,6 +50,12 @@ LEAF = 32
 #: A count that may stand for more: two of them bound nothing.
 FULL = 65535
 NAMES = ["a", "b", "na", "nb"]
+POINT = ["doc_id", "n", "sid", "point", "slot", "times"]
+#: Slots of the hash range in which a task counts sets, how many make a slot common, and sets a task remembers.
+SLOT_BITS, COMMON, REMEMBERED = 22, 12, 500_000
+SLOTS = 1 << SLOT_BITS
+#: Passes over first sets before trees are built.
+STARS = 3
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -61,23 +71,40 @@ def _sid(u: np.ndarray) -> int:
 
 
 def _points(width: int):
+    """A row (doc_id, n, sid, point) per document and, at a task's end, a row (slot, times) per hash slot that is common in it."""
+
     def run(batches):
+        times, seen = np.zeros(SLOTS, np.uint32), set()
         for batch in batches:
             ns, sids, points = [], [], []
             for u in _sets(batch.column(1), width):
                 ns.append(len(u))
-                sids.append(_sid(u) if len(u) else None)
+                sid = _sid(u) if len(u) else None
+                sids.append(sid)
                 counts = np.bincount((u & textkit.U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
                 points.append(np.minimum(counts, FULL).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n", "sid", "point"])
+                if sid not in seen:
+                    if len(seen) < REMEMBERED:
+                        seen.add(sid)
+                    times[_slots(u)] += 1
+            none = pa.nulls(len(ns), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(points, pa.binary()), none, none], names=POINT)
+        slots = np.flatnonzero(times >= COMMON)
+        none = pa.nulls(len(slots), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(slots), pa.binary()), pa.array(slots, pa.int32()), pa.array(times[slots].astype(np.int32))], names=POINT)
 
     return run
 
 
-def _prefixes(width: int, num: int, den: int):
-    """Rows (key, sid, n): the smallest hashes of each set, once per set and task."""
+def _slots(u: np.ndarray) -> np.ndarray:
+    return (u >> textkit.U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _prefixes(width: int, num: int, den: int, common: np.ndarray):
+    """Rows (key, sid, n): the first hashes of each set, once per set and task; common ones come last in the order."""
 
     def run(batches):
+        last = np.unpackbits(common).astype(bool)
         seen: set[int] = set()
         for batch in batches:
             column = batch.column(0)
@@ -86,10 +113,11 @@ def _prefixes(width: int, num: int, den: int):
                 for u in _sets(column.slice(i, j - i), width):
                     if not len(u) or (s := _sid(u)) in seen:
                         continue
-                    if len(seen) < 500_000:
+                    if len(seen) < REMEMBERED:
                         seen.add(s)
                     keep = len(u) - (num * len(u) + den - 1) // den + 1
-                    keys.append(u[:keep])
+                    late = last[_slots(u)]
+                    keys.append(np.concatenate([u[~late], u[late]])[:keep])
                     sids.append(np.full(keep, s, np.int64))
                     ns.append(np.full(keep, len(u), np.int64))
                 if keys:
@@ -215,28 +243,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
     return held
 
 
+def _common(points: DataFrame) -> np.ndarray:
+    """A bit for each slot, of fixed size: whether some task found it common."""
+    bits = np.zeros(SLOTS, bool)
+    bits[[r["slot"] for r in points.where("slot is not null").select("slot").distinct().toLocalIterator()]] = True
+    return np.packbits(bits)
+
+
+def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` (with sid) and the component of each."""
+    if roots is None:
+        return rows.withColumn("comp", F.col("sid"))
+    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    bucket = Window.partitionBy("key")
+    return rows.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+
+
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id): similarity num/den or more links two documents."""
     docs = documents.select("doc_id", "text")
-    points = materialize(docs.mapInArrow(_points(width), "doc_id long, n long, sid long, point binary"), "points")
+    points = materialize(docs.mapInArrow(_points(width), "doc_id long, n long, sid long, point binary, slot int, times int"), "points")
     some = points.where("n > 0")
     heads = some.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"))
 
-    rows = docs.select("text").mapInArrow(_prefixes(width, num, den), "key long, sid long, n long").repartition("key")
+    rows = docs.select("text").mapInArrow(_prefixes(width, num, den, _common(points)), "key long, sid long, n long").repartition("key")
     bucket = Window.partitionBy("key")
-    shared = rows.withColumns({"lo": F.min(F.struct("sid", "n")).over(bucket), "hi": F.max("sid").over(bucket)}).where("lo.sid <> hi")
-    shared = materialize(shared.dropDuplicates(["key", "sid"]).select("key", "sid", "n", F.col("lo.sid").alias("lo"), F.col("lo.n").alias("n_lo")), "buckets")
-
-    # what a pass over first sets misses, the trees below find: here a quarter of the prefix must agree
-    fits = (F.col("n") * den >= F.col("n_lo") * num) & (F.col("n_lo") * den >= F.col("n") * num)
-    first = shared.where("sid <> lo").where(fits).groupBy(F.col("lo").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    first = materialize(first.where(F.col("c") * 4 * den >= F.col("n") * (den - num)).select("a", "b"), "pairs")
-    links = _verified(first, docs, heads, width, num, den)
-    roots = components(links)
-
-    left = shared.select("key", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
-    left = left.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).where("lo <> hi")
-    ranked = left.withColumns({"block": F.floor((F.row_number().over(bucket.orderBy("n", "sid")) - 1) / BLOCK), "blocks": F.ceil(F.count("*").over(bucket) / BLOCK)})
+    shared = rows.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)}).where("lo <> hi")
+    shared = materialize(shared.dropDuplicates(["key", "sid"]).select("key", "sid", "n"), "buckets")
+
+    # First sets: of a group of copies the one with the fewest hashes of its own, then others by a hash.
+    weight = shared.groupBy("sid").agg((F.count("*") / F.max("n")).alias("weight"))
+    rows = _labelled(shared.join(weight, "sid"), None)
+    links, roots, tried = None, None, None
+    for turn in range(STARS):
+        order = F.col("weight") if turn == 0 else F.xxhash64("sid", F.lit(turn)).cast("double")
+        first = F.max(F.struct(order.alias("o"), "sid", "n", "comp")).over(bucket)
+        pairs = rows.withColumn("p", first).where("comp <> p.comp")
+        pairs = pairs.where((F.col("n") * den >= F.col("p.n") * num) & (F.col("p.n") * den >= F.col("n") * num))
+        pairs = pairs.groupBy(F.least("p.sid", "sid").alias("a"), F.greatest("p.sid", "sid").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        # what these passes leave out, the trees find: here a quarter of the prefix must agree
+        pairs = pairs.where(F.col("c") * 4 * den >= F.col("n") * (den - num)).select("a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        found = _verified(pairs, docs, heads, width, num, den)
+        tried = pairs if tried is None else tried.union(pairs)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        rows = materialize(_open(_labelled(shared.join(weight, "sid"), roots)), "open")
+
+    bucket_rank = bucket.orderBy("n", "sid")
+    ranked = _open(rows).withColumns({"block": F.floor((F.row_number().over(bucket_rank) - 1) / BLOCK), "blocks": F.ceil(F.count("*").over(bucket) / BLOCK)})
     whole = ranked.where("blocks = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid", "n", "comp", F.lit(-1).alias("side"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     parts = ranked.where("blocks > 1").withColumn("o", other)
@@ -247,19 +310,27 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     # of the two sets all prefix hashes are counted, and no more than the rest of it can be shared besides
     more = units.mapInArrow(_trees(num, den), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
-    more = more.where((F.col("c") + rest) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
-    more = materialize(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        late = _verified(more, docs, heads, width, num, den)
-        if not late.isEmpty():
-            roots = components(links.union(late))
-
-    named = heads.select("sid", "doc").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.select("sid", "root").join(least, "root").select("sid", "component_id")
-    out = points.select("doc_id", "n", "sid").join(named, "sid", "left")
+    more = more.where((F.col("c") + rest) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b", "c")
+    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    # of two components' pairs first the likeliest; the others only if that has not joined the two
+    for last in (False, True):
+        if more.isEmpty():
+            break
+        rows = _labelled(more.withColumnRenamed("a", "sid"), roots).withColumnsRenamed({"sid": "a", "comp": "ca", "b": "sid"})
+        rows = _labelled(rows, roots).withColumnsRenamed({"sid": "b", "comp": "cb"}).where("ca <> cb")
+        if not last:
+            rows = rows.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
+        found = _verified(materialize(rows.select("a", "b"), "pairs"), docs, heads, width, num, den)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = components(links)
+
+    named = _labelled(heads.select("sid", "doc"), roots)
+    least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    named = named.select("sid", "comp").join(least, "comp").select("sid", "component_id")
+    out = points.where("slot is null").select("doc_id", "n", "sid").join(named, "sid", "left")
     out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sid").alias("set_id")), "components")
-    discard(points, shared, first, more, links)
+    discard(points, shared, more)
     return out
 
 

@@ -72,7 +72,7 @@ def views(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``limit`` bytes; one row at least."""
     _, offsets = views(column)
     i, n = 0, len(offsets) - 1
