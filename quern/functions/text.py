@@ -118,9 +118,9 @@ def short_hash(text: Column, digits: int = 12) -> Column:
 
 def human_size(size: Column) -> Column:
     """Bytes with one decimal in the largest fitting unit."""
-    out = F.concat(F.format_number(size / 1024.0**3, "0.0"), F.lit(" GB"))
+    out = F.format_string("%.1f GB", F.bround(size / 1024.0**3, 1))
     for power, unit in ((2, "MB"), (1, "KB")):
-        out = F.when(size < 1024 ** (power + 1), F.concat(F.format_number(size / 1024.0**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(size / 1024.0**power, 1))).otherwise(out)
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(out)
 
 

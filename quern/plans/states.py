@@ -71,7 +71,7 @@ def fold_by_key(events: DataFrame, key: str, order: list[str], step: Callable, r
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema), timezone="UTC")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
     return events.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 

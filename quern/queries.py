@@ -1,11 +1,611 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries, each beside the SQL that says the same where SQL can.
+
+Where a table stands in for what the engine is made for, the docstring says so:
+events stand for telemetry (event_type for a verdict, user_id for a domain, value for
+a score or a latency, ``error`` for a failure), documents joined with labels for
+benchmark cases, conversations for replies.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import detect, quality, text, urls
+from quern.operators import pages as page_ops
+from quern.operators import passages
+from quern.plans import benchmark, crawl, states, telemetry
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _long(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# URLs
+
+_AUTH = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
+_PATH = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
+_PARTS = f"list_filter(string_split({_QUERY}, '&'), lambda x: x <> '')"
+_KEEP = "NOT (lower(split_part(x, '=', 1)) LIKE 'utm!_%' ESCAPE '!' OR lower(split_part(x, '=', 1)) IN ('_ga','_gl','fbclid','gclid','msclkid','igshid','mc_cid','mc_eid','ref','ref_src','source','share'))"
+_FULL = "CASE WHEN contains(x, '=') THEN x ELSE x || '=' END"
+
+
+@query(rf"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS scheme, lower(split_part({_AUTH}, ':', 1)) AS host, {_PATH} AS path, {_QUERY} AS query FROM pages""")
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"))
+
+
+@query(rf"SELECT page_id, regexp_replace(lower(split_part({_AUTH}, ':', 1)), '^www\.', '') AS domain FROM pages")
+def url_registrable_domain(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.registrable_domain(F.col("url")).alias("domain"))
+
+
+_CLEAN = f"array_to_string(list_transform(list_filter({_PARTS}, lambda x: {_KEEP}), lambda x: {_FULL}), '&')"
+
+
+@query(rf"""SELECT page_id, CASE WHEN {_QUERY} = '' THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN {_CLEAN} = '' THEN '' ELSE '?' || {_CLEAN} END || regexp_extract(url, '(#.*)$', 1) END AS cleaned FROM pages""")
+def url_strip_tracking(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.strip_tracking(F.col("url")).alias("cleaned"))
+
+
+@query(rf"""SELECT page_id, CASE WHEN {_QUERY} = '' THEN regexp_replace(url, '#.*$', '') ELSE regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN {_CLEAN} = '' THEN '' ELSE '?' || {_CLEAN} END END AS normalised FROM pages""")
+def url_normalise(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.normalise(F.col("url")).alias("normalised"))
+
+
+_SORTED = f"array_to_string(list_sort(list_transform(list_filter({_PARTS}, lambda x: {_KEEP}), lambda x: {_FULL})), '&')"
+_KEY = rf"regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN {_SORTED} = '' THEN '' ELSE '?' || {_SORTED} END"
+
+
+@query(f"SELECT page_id, {_KEY} AS dedupe_key FROM pages")
+def url_dedupe_key(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.dedupe_key(F.col("url")).alias("dedupe_key"))
+
+
+_CACHE_KEEP = "lower(split_part(x, '=', 1)) NOT IN ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','dclid','msclkid','ref','source')"
+_CACHE_Q = f"array_to_string(list_transform(list_filter({_PARTS}, lambda x: {_CACHE_KEEP}), lambda x: {_FULL}), '&')"
+_CACHE = rf"""regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || CASE WHEN rtrim({_PATH}, '/') = '' THEN '/' ELSE rtrim({_PATH}, '/') END || CASE WHEN {_CACHE_Q} = '' THEN '' ELSE '?' || {_CACHE_Q} END"""
+
+
+@query(f"SELECT page_id, substr(sha256({_CACHE}), 1, 16) AS cache_key, substr(sha256({_CACHE} || '|q'), 1, 16) AS variant_key FROM pages")
+def url_cache_key(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", urls.cache_key(u).alias("cache_key"), urls.cache_key(u, F.lit("q")).alias("variant_key"))
+
+
+@query(rf"SELECT page_id, coalesce(nullif(replace(trim({_PATH}, '/'), '/', '_'), ''), 'index') AS slug, coalesce(nullif(trim(regexp_replace({_AUTH} || {_PATH}, '[^A-Za-z0-9]+', '-', 'g'), '-'), ''), 'page') AS batch_slug FROM pages")
+def url_slug(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.crawl_slug(F.col("url")).alias("slug"), urls.batch_slug(F.col("url")).alias("batch_slug"))
+
+
+def _variants(spark, d):
+    """Every page's address thrice: as it is, with a fragment, with a tracking parameter."""
+    p = table(spark, d, "pages")
+    plain = urls.strip_fragment(F.col("url"))
+    joined = F.concat(plain, F.when(F.contains(plain, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("utm_medium=x"))
+    three = F.array(F.col("url"), F.concat(plain, F.lit("#part")), joined)
+    return p.select("page_id", F.posexplode(three).alias("i", "url")).select((F.col("page_id") * 3 + F.col("i")).alias("seq"), "url")
+
+
+_VARIANTS = """(SELECT page_id * 3 AS seq, url FROM pages UNION ALL SELECT page_id * 3 + 1, regexp_replace(url, '#.*$', '') || '#part' FROM pages
+  UNION ALL SELECT page_id * 3 + 2, regexp_replace(url, '#.*$', '') || CASE WHEN contains(regexp_replace(url, '#.*$', ''), '?') THEN '&' ELSE '?' END || 'utm_medium=x' FROM pages)"""
+
+
+@query(f"SELECT key, arg_min(url, seq) AS url, min(seq)::BIGINT AS seq FROM (SELECT {_KEY} AS key, url, seq FROM {_VARIANTS}) GROUP BY key")
+def url_dedupe_first_seen(spark, d):
+    return crawl.chosen(_variants(spark, d)).select("key", "url", "seq")
+
+
+@query(r"SELECT page_id, regexp_matches(url, '/en/|/fr/') AND NOT regexp_matches(url, '\.html') AS wanted FROM pages")
+def url_include_exclude(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", (urls.matches_any(u, ["/en/", "/fr/"]) & ~urls.matches_any(u, [r"\.html"])).alias("wanted"))
+
+
+@query(rf"SELECT page_id, lower({_AUTH}) = 'example.com' OR lower({_AUTH}) LIKE '%.example.com' AS same FROM pages")
+def url_same_domain(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.same_domain(F.col("url"), F.lit("example.com"), True).alias("same"))
+
+
+@query(rf"SELECT page_id, regexp_matches(trim(url), '^https?://[^/\s?#]+\S*$') AS valid, lower({_PATH}) LIKE '%.pdf' AS pdf FROM pages")
+def url_validity(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.valid(F.col("url")).alias("valid"), urls.is_pdf(F.col("url")).alias("pdf"))
+
+
+@query("""SELECT event_id, (user_id % 256)::VARCHAR || '.' || (event_id % 256) || '.0.1' AS address,
+  (user_id % 256) IN (0, 10, 127) OR (user_id % 256) >= 224 OR ((user_id % 256) = 100 AND (event_id % 256) BETWEEN 64 AND 127) AS blocked FROM events""")
+def address_blocked(spark, d):
+    """Addresses made of event and user numbers against blocked networks."""
+    e = table(spark, d, "events")
+    address = F.concat_ws(".", F.pmod("user_id", F.lit(256)).cast("string"), F.pmod("event_id", F.lit(256)).cast("string"), F.lit("0"), F.lit("1"))
+    return e.select("event_id", address.alias("address"), urls.is_blocked_ipv4(address).alias("blocked"))
+
+
+_RULES = [("disallow", "/en/"), ("allow", "/en/*.html"), ("disallow", "/*ref=x"), ("disallow", "/fr/1$"), ("allow", "/")]
+
+
+@query(rf"""WITH m AS (SELECT page_id, url, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p FROM pages)
+SELECT page_id, url, CASE WHEN greatest(CASE WHEN starts_with(p, '/en/') THEN 4 ELSE -1 END, CASE WHEN regexp_matches(p, '^/.*ref=x') THEN 7 ELSE -1 END, CASE WHEN p = '/fr/1' THEN 6 ELSE -1 END) = -1 THEN true
+  ELSE greatest(CASE WHEN regexp_matches(p, '^/en/.*\.html') THEN 10 ELSE -1 END, 1) >= greatest(CASE WHEN starts_with(p, '/en/') THEN 4 ELSE -1 END, CASE WHEN regexp_matches(p, '^/.*ref=x') THEN 7 ELSE -1 END, CASE WHEN p = '/fr/1' THEN 6 ELSE -1 END) END AS allowed FROM m""")
+def robots_allowed(spark, d):
+    """The same five rules at every origin."""
+    p = table(spark, d, "pages").select("page_id", "url", urls.origin(F.col("url")).alias("origin"))
+    rules = p.select("origin").distinct().join(F.broadcast(spark.createDataFrame(_RULES, "kind string, pattern string")), how="cross")  # five rules an origin
+    return crawl.robots_allowed(p, rules).select("page_id", "url", "allowed")
+
+
+@query(rf"SELECT page_id, seq, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY seq) > 1 THEN slug || '-' || substr(sha256(url), 1, 8) ELSE slug END AS name FROM (SELECT page_id, page_id AS seq, url, coalesce(nullif(replace(trim({_PATH}, '/'), '/', '_'), ''), 'index') AS slug FROM pages)")
+def crawl_file_names(spark, d):
+    return crawl.named_files(table(spark, d, "pages").select("page_id", F.col("page_id").alias("seq"), "url")).select("page_id", "seq", "name")
+
+
+# Pages
+
+_ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_PLAIN = rf"replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_N = rf"(len(regexp_extract_all({_PLAIN}, '\S+')) + 1)"
+
+
+@query("SELECT page_id, nullif(trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language FROM pages")
+def page_metadata(spark, d):
+    return page_ops.features(table(spark, d, "pages"), "metadata").select("page_id", "metadata.title", "metadata.language")
+
+
+@query(r"""SELECT page_id, (i - 1)::BIGINT AS i, base || l[i] AS link FROM (SELECT page_id, base, l, unnest(range(1, len(l) + 1)) AS i FROM (
+  SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS base, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""")
+def page_links(spark, d):
+    """All anchors of a page in order; hrefs of these pages start with a slash."""
+    found = page_ops.features(table(spark, d, "pages"), "links")
+    return found.select("page_id", F.posexplode("links").alias("i", "link")).select("page_id", *_long("i"), "link")
+
+
+@query(r"SELECT page_id, len(list_distinct(l))::BIGINT AS n_links, len(list_distinct(l))::BIGINT AS n_chrome FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages)")
+def page_link_details(spark, d):
+    """Distinct addresses of a page and how many stand in its chrome (here all: anchors are in nav only)."""
+    found = page_ops.features(table(spark, d, "pages"), "link_details")
+    return found.select("page_id", F.size("link_details").cast("long").alias("n_links"), F.size(F.filter("link_details", lambda x: x["chrome"])).cast("long").alias("n_chrome"))
+
+
+@query(f"SELECT page_id, {_N}::BIGINT AS words FROM pages")
+def page_word_count(spark, d):
+    found = page_ops.features(table(spark, d, "pages"), "markdown")
+    return found.select("page_id", text.word_count(F.col("markdown")).cast("long").alias("words"))
+
+
+@query()
+def page_markdown(spark, d):
+    return page_ops.features(table(spark, d, "pages"), "markdown")
+
+
+@query()
+def page_all_formats(spark, d):
+    return page_ops.features(table(spark, d, "pages"), *page_ops.FORMATS)
+
+
+@query("""WITH h AS (SELECT page_id, html, lower(html) AS h, regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) AS b FROM pages),
+t AS (SELECT *, length(trim(regexp_replace(regexp_replace(regexp_replace(b, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'))) AS seen,
+  CASE WHEN contains(h, '<div id="root"></div>') OR contains(h, '<div id="app"></div>') OR contains(h, 'data-reactroot') OR contains(h, '__next_data__') OR contains(h, '_next/static') THEN 'react'
+  WHEN contains(h, '__nuxt__') OR contains(h, '/_nuxt/') OR contains(h, 'v-cloak') THEN 'vue' WHEN contains(h, '<app-root') OR contains(h, 'ng-version') OR contains(h, 'angular.min.js') THEN 'angular'
+  WHEN contains(h, 'svelte-') OR contains(h, '__sveltekit') THEN 'svelte' END AS framework FROM h)
+SELECT page_id, framework, contains(h, 'captcha') OR contains(h, 'cf-turnstile') AS captcha,
+  contains(h, 'just a moment') OR contains(h, 'checking your browser') OR contains(h, 'please wait') OR contains(h, 'verify you') OR contains(h, 'challenge-form') AS challenge,
+  contains(h, 'access denied') OR contains(h, '403 forbidden') OR contains(h, 'blocked') AS denied,
+  contains(h, 'sign in') OR contains(h, 'log in') OR contains(h, 'login') OR contains(h, 'please authenticate') OR contains(h, 'access restricted') OR contains(h, 'type="password"') OR contains(h, 'forgot password') AS login,
+  (framework IS NOT NULL AND length(html) < 5000) OR (b <> '' AND seen < 100) AS needs_js FROM t""")
+def page_detect(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", detect.framework(h).alias("framework"), detect.captcha(h).alias("captcha"), detect.challenge(h).alias("challenge"), detect.denied(h).alias("denied"), detect.login(h).alias("login"), detect.needs_js(h, F.char_length(h)).alias("needs_js"))
+
+
+@query()
+def page_recommendations(spark, d):
+    r = detect.recommendations(F.lit(None).cast("string"), F.col("html"))
+    return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.*")
+
+
+def _graded(spark, d):
+    p = table(spark, d, "pages")
+    found = page_ops.features(p, "markdown", "link_details").join(p.select("page_id", "html"), "page_id")
+    n_index = F.size(F.filter("link_details", lambda x: ~x["chrome"] & (x["text"] != "")))
+    words = text.word_count(F.col("markdown"))
+    found = found.withColumns({"words": words, "verdict": quality.verdict(F.lit(None).cast("int"), F.col("html"), F.col("markdown"), F.col("url"), n_index)})
+    score = quality.score(F.col("verdict"), F.col("words"), text.structure(F.col("markdown"))["links"], text.word_spacing(F.col("markdown")))
+    return found.select("page_id", *_long("words"), "verdict", score.cast("long").alias("score"), quality.usable(F.col("verdict")).alias("usable"))
+
+
+_GRADED = f"""(SELECT page_id, n AS words, CASE WHEN n >= 50 THEN 'ok' WHEN contains(h, 'captcha') OR contains(h, 'cf-turnstile') THEN 'captcha' WHEN contains(h, 'please wait') OR contains(h, 'blocked') OR contains(h, 'verify you') THEN 'bot_challenge'
+  WHEN contains(h, 'login') OR contains(h, 'log in') OR contains(h, 'sign in') THEN 'paywall' ELSE 'thin' END AS verdict,
+  round_even(100 * (0.55 * least(1.0::DOUBLE, n / 300.0::DOUBLE) + 0.3 + 0.15), 0)::BIGINT AS raw FROM (SELECT page_id, lower(html) AS h, {_N}::BIGINT AS n FROM pages))"""
+_SCORE = "least(raw, CASE verdict WHEN 'ok' THEN 100 WHEN 'captcha' THEN 15 WHEN 'bot_challenge' THEN 15 ELSE 45 END)::BIGINT"
+
+
+@query(f"SELECT page_id, words, verdict, {_SCORE} AS score, verdict NOT IN ('captcha', 'bot_challenge') AS usable FROM {_GRADED}")
+def page_quality(spark, d):
+    return _graded(spark, d)
+
+
+@query(f"SELECT verdict, count(*)::BIGINT AS n, sum({_SCORE})::BIGINT AS total_score, min(words)::BIGINT AS fewest_words FROM {_GRADED} GROUP BY verdict")
+def quality_by_verdict(spark, d):
+    return _graded(spark, d).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("score").alias("total_score"), F.min("words").alias("fewest_words"))
+
+
+@query("SELECT page_id, sha256(url || '||' || html) AS content_hash FROM pages")
+def page_content_hash(spark, d):
+    return table(spark, d, "pages").select("page_id", text.content_hash(F.col("html"), F.col("url")).alias("content_hash"))
+
+
+@query("""SELECT p.page_id, CASE WHEN p.page_id % 7 = 0 AND o.page_id IS NOT NULL THEN 'removed' WHEN o.page_id IS NULL THEN 'new' WHEN o.h = sha256(p.html) THEN 'same' ELSE 'changed' END AS change_status
+FROM pages p LEFT JOIN (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN sha256(html || 'x') ELSE sha256(html) END AS h FROM pages WHERE page_id % 2 = 0) o ON o.page_id = p.page_id""")
+def page_change_status(spark, d):
+    """Even pages were cached before, every third of them with another body; every seventh fetch fails."""
+    p = table(spark, d, "pages").select("page_id", "html", F.sha2("html", 256).alias("content_hash"))
+    old = p.where("page_id % 2 = 0").select("page_id", F.when(F.col("page_id") % 3 == 0, F.sha2(F.concat("html", F.lit("x")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    held = states.with_previous(p, old, "page_id")
+    return held.select("page_id", quality.change_status(F.col("previous_hash"), F.col("content_hash"), F.col("page_id") % 7 == 0, F.col("seen")).alias("change_status"))
+
+
+_EDGES = r"""(SELECT DISTINCT regexp_replace(lower(split_part(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), ':', 1)), '^www\.', '') AS src, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS dst FROM pages)"""
+
+
+@query(rf"""WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), s AS (SELECT min(src) AS url FROM {_EDGES}),
+r AS (SELECT url, 0 AS depth FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3)
+SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url""")
+def link_graph_bfs(spark, d):
+    """Sites and paths that share links, three steps from the first site."""
+    found = page_ops.features(table(spark, d, "pages"), "links")
+    edges = found.select(urls.registrable_domain(F.col("url")).alias("src"), F.explode("links").alias("l")).select("src", F.regexp_extract("l", r"^[a-zA-Z]+://[^/]*(.*)$", 1).alias("dst")).distinct()
+    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return crawl.traverse(both, edges.agg(F.min("src").alias("url")), 3).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+# Documents
+
+_TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x))"
+
+
+@query(f"SELECT lang, token, count(*)::BIGINT AS n FROM (SELECT lang, unnest({_TOKENS}) AS token FROM documents) GROUP BY lang, token")
+def doc_tokens(spark, d):
+    return table(spark, d, "documents").select("lang", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS words, len({_TOKENS})::BIGINT AS tokens, (length(text) // 4)::BIGINT AS approx_tokens FROM documents")
+def doc_word_stats(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.word_count(t).cast("long").alias("words"), F.size(text.tokens(t)).cast("long").alias("tokens"), text.approx_tokens(t).cast("long").alias("approx_tokens"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s{0,3}#{1,6}\s+\S'))::BIGINT AS headings, (len(regexp_extract_all(text, '(?m)^\s{0,3}```')) // 2)::BIGINT AS code_blocks,
+  greatest(len(regexp_extract_all(text, '(?m)^\s{0,3}\|.*\|\s*$')) - 2, 0)::BIGINT AS tables, len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]*\)'))::BIGINT AS images,
+  (len(regexp_extract_all(text, '\[[^\]]*\]\([^)]*\)')) - len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]*\)')))::BIGINT AS links FROM documents""")
+def doc_structure(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(c.cast("long").alias(k) for k, c in text.structure(F.col("text")).items()))
+
+
+@query(f"""SELECT doc_id, CASE WHEN n >= 50 THEN greatest(0.0::DOUBLE, 1 - fused::DOUBLE / n / 0.05::DOUBLE) END AS spacing FROM (
+  SELECT doc_id, len({_TOKENS}) AS n, len(list_filter({_TOKENS}, lambda x: regexp_matches(x, '^[a-z]{{31,}}$'))) AS fused FROM (SELECT doc_id, regexp_replace(text, '(?m)^\\s{{0,3}}#{{1,6}}\\s+', '', 'g') AS text FROM documents))""")
+def doc_word_spacing(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.word_spacing(F.col("text")).alias("spacing"))
+
+
+_NEEDLES = ["license", "nicht", "que ", "erthst orth"]
+
+
+@query(f"""SELECT doc_id, len(list_filter({_NEEDLES}, lambda x: contains(lower(text), x)))::DOUBLE / 4 AS hit, 1 - len(list_filter({_NEEDLES}, lambda x: contains(lower(text), x)))::DOUBLE / 4 AS absent FROM documents""")
+def doc_expect(spark, d):
+    needles = F.array(*map(F.lit, _NEEDLES))
+    return table(spark, d, "documents").select("doc_id", text.hit_rate(F.col("text"), needles).alias("hit"), text.absent_rate(F.col("text"), needles).alias("absent"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), p AS (SELECT a.doc_id, a.w AS a, b.w AS b FROM t a JOIN t b ON b.doc_id = a.doc_id + 1),
+c AS (SELECT doc_id, w, sum(x) AS x, sum(y) AS y FROM (SELECT doc_id, unnest(a) AS w, 1 AS x, 0 AS y FROM p UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM p) GROUP BY doc_id, w),
+s AS (SELECT doc_id, sum(least(x, y))::DOUBLE AS o, sum(x)::DOUBLE AS n, sum(y)::DOUBLE AS m FROM c GROUP BY doc_id)
+SELECT p.doc_id, coalesce(CASE WHEN o > 0 THEN round(o / n, 9) END, 0) AS precision, coalesce(CASE WHEN o > 0 THEN round(o / m, 9) END, 0) AS recall, coalesce(CASE WHEN o > 0 THEN round(2 * (o / n) * (o / m) / (o / n + o / m), 9) END, 0) AS f1 FROM p LEFT JOIN s ON s.doc_id = p.doc_id""")
+def doc_token_prf(spark, d):
+    """Each document against the one with the next number."""
+    t = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    pairs = t.withColumnRenamed("w", "a").join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id")
+    return benchmark.token_overlap(pairs, "doc_id", "a", "b").select("doc_id", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query()
+def doc_rouge_l(spark, d):
+    """Each document against the one with the next number."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    pairs = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
+    return page_ops.per_row(pairs, ["text", "next"], lambda a, b: passages.rouge_l(passages.words(a), passages.words(b)), "rouge_l", "double", ["doc_id"])
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN length(regexp_extract(c, '(?s)^(.*)\n', 1)) > 320 THEN regexp_extract(c, '(?s)^(.*)\n', 1) ELSE c END AS bounded FROM (SELECT doc_id, text, substr(text, 1, 400) AS c FROM documents)""")
+def doc_bound_head(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.head(F.col("text"), 400).alias("bounded"))
+
+
+@query()
+def doc_bound_ranked(spark, d):
+    return page_ops.per_row(table(spark, d, "documents"), ["text"], lambda t: passages.bound(t or "", 600, "apache license version")[0], "bounded", "string", ["doc_id"])
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 500 THEN text WHEN regexp_extract(substr(text, 1, 500), '(?s)^(.*\.)', 1) <> '' THEN regexp_extract(substr(text, 1, 500), '(?s)^(.*\.)', 1) ELSE substr(text, 1, 500) END AS summary FROM documents")
+def doc_summary_cut(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.summary_cut(F.col("text")).alias("summary"))
+
+
+@query("SELECT doc_id, sha256('||' || text) AS hash, substr(sha256(text), 1, 12) AS short_hash FROM documents")
+def doc_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"), text.short_hash(F.col("text")).alias("short_hash"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def doc_slug(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars::VARCHAR || ' B' ELSE printf('%.1f KB', n_chars / 1024.0::DOUBLE) END AS size FROM documents")
+def doc_size(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.human_size(F.col("n_chars")).alias("size"))
+
+
+def _cases(spark, d):
+    """Benchmark cases from documents and their labels: quality by composite, category by language."""
+    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    n = F.col("n_chars").cast("double")
+    value = quality.composite(F.col("quality") == 1, F.least(F.lit(1.0), n / 2000), F.when(F.col("doc_id") % 3 != 0, F.lit(0.5)), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(10.0), F.lit(None).cast("double"))
+    return joined.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), (F.col("toxic") == 0).alias("scored"), (F.col("quality") == 1).alias("success"), value.alias("quality"), (n / 10).alias("latency_ms"), F.lit(None).cast("double").alias("expect_hit"), F.lit(None).cast("double").alias("expect_absent_ok"))
+
+
+_CASES = """(SELECT d.doc_id AS case_id, lang AS category, toxic = 0 AS scored, quality = 1 AS success, n_chars::DOUBLE / 10 AS latency_ms,
+  CASE WHEN quality <> 1 THEN 0 ELSE (CASE WHEN d.doc_id % 3 <> 0 THEN round_even(100 * (0 + least(1.0::DOUBLE, n_chars::DOUBLE / 2000) * 0.3::DOUBLE + 0.5::DOUBLE * 0.25::DOUBLE + (1 - 10.0::DOUBLE / 50) * 0.05::DOUBLE) / (0.3::DOUBLE + 0.25::DOUBLE + 0.05::DOUBLE), 1)
+  ELSE round_even(100 * (least(1.0::DOUBLE, n_chars::DOUBLE / 2000) * 0.3::DOUBLE + (1 - 10.0::DOUBLE / 50) * 0.05::DOUBLE) / (0.3::DOUBLE + 0.05::DOUBLE), 1) END) END AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+@query(f"SELECT case_id, category, round(quality, 1) AS quality FROM {_CASES}")
+def quality_composite(spark, d):
+    return _cases(spark, d).select("case_id", "category", F.round("quality", 1).alias("quality"))
+
+
+@query(f"SELECT category, count(*)::BIGINT AS n, count(CASE WHEN scored THEN quality END)::BIGINT AS scored, round(avg(CASE WHEN scored THEN quality END), 6) AS quality, round(avg(success::INT), 6) AS success_rate FROM {_CASES} GROUP BY ROLLUP (category)")
+def quality_by_category(spark, d):
+    return benchmark.by_category(_cases(spark, d)).select("category", "n", "scored", F.round("quality", 6).alias("quality"), F.round("success_rate", 6).alias("success_rate"))
+
+
+@query(f"SELECT count(*)::BIGINT AS total_cases, count(CASE WHEN scored THEN quality END)::BIGINT AS scored_cases, round(avg(success::INT), 6) AS success_rate, round(avg(latency_ms), 6) AS mean_latency_ms, median(latency_ms) AS median_latency_ms, round(avg(CASE WHEN scored THEN quality END), 6) AS overall_quality FROM {_CASES}")
+def run_aggregate(spark, d):
+    a = benchmark.aggregate(_cases(spark, d))
+    return a.select("total_cases", "scored_cases", F.round("success_rate", 6).alias("success_rate"), F.round("mean_latency_ms", 6).alias("mean_latency_ms"), "median_latency_ms", F.round("overall_quality", 6).alias("overall_quality"))
+
+
+@query(f"SELECT case_id, round(quality, 1) AS quality FROM {_CASES} WHERE scored ORDER BY quality, case_id LIMIT 5")
+def worst_five(spark, d):
+    return benchmark.worst(_cases(spark, d)).select("case_id", F.round("quality", 1).alias("quality"))
+
+
+@query(f"""SELECT n.case_id, round_even(n.quality - o.quality, 1) AS delta, coalesce(round_even(n.quality - o.quality, 1) <= -5, false) AS regression, coalesce(round_even(n.quality - o.quality, 1) >= 5, false) AS improvement, coalesce(o.success AND NOT n.success, false) AS newly_failing
+FROM {_CASES} n LEFT JOIN (SELECT case_id, least(100, quality + case_id % 13 - 6) AS quality, case_id % 5 <> 0 AS success FROM {_CASES} WHERE case_id % 4 <> 0) o ON o.case_id = n.case_id""")
+def run_compare(spark, d):
+    """An older run made from this one: some cases missing, qualities shifted by case number."""
+    new = _cases(spark, d)
+    old = new.where("case_id % 4 <> 0").select("case_id", F.least(F.lit(100.0), F.col("quality") + F.col("case_id") % 13 - 6).alias("quality"), (F.col("case_id") % 5 != 0).alias("success"))
+    return benchmark.compare(old, new)
+
+
+# Events as telemetry
+
+
+def _events(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("seq"), "ts", F.lit("scrape").alias("kind"), F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("verdict"), (F.col("event_type") != "error").alias("success"), (F.col("value") > 20).alias("escalated"), "value")
+
+
+@query("SELECT count(*)::BIGINT AS scrapes, round(avg((event_type <> 'error')::INT), 9) AS success_rate, round(avg((value > 20)::INT), 9) AS escalation_rate FROM events")
+def telemetry_summary(spark, d):
+    return telemetry.summary(_events(spark, d)).select("scrapes", F.round("success_rate", 9).alias("success_rate"), F.round("escalation_rate", 9).alias("escalation_rate"))
+
+
+@query("SELECT event_type AS verdict, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def telemetry_by_verdict(spark, d):
+    return telemetry.by_verdict(_events(spark, d))
+
+
+@query("SELECT user_id::VARCHAR AS domain, count(*)::BIGINT AS n FROM events GROUP BY user_id ORDER BY n DESC, domain LIMIT 10")
+def telemetry_top_domains(spark, d):
+    return telemetry.top_domains(_events(spark, d))
+
+
+@query("SELECT event_id AS seq, event_type AS verdict FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
+def telemetry_since(spark, d):
+    return telemetry.since(_events(spark, d), "2024-01-15").select("seq", "verdict")
+
+
+@query("SELECT event_id AS seq FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 500")
+def telemetry_prune(spark, d):
+    return telemetry.prune(_events(spark, d), "2024-01-10", 500).select("seq")
+
+
+@query("""SELECT event_id AS seq, count(*) OVER w = 5 AND min((value < 12)::INT) OVER w = 1 AS all_empty FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+def telemetry_recent_empty(spark, d):
+    """A value under 12 counts as an empty search."""
+    return telemetry.recent_empty(_events(spark, d), "domain", F.col("value") < 12).select("seq", "all_empty")
+
+
+@query("""SELECT domain, round(sum(CASE WHEN age = n - 1 THEN pow(0.5, age) ELSE 0.5 * pow(0.5, age) END * value), 6) AS ewma, count(*)::BIGINT AS samples FROM (
+  SELECT user_id::VARCHAR AS domain, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY domain""")
+def telemetry_ewma(spark, d):
+    return telemetry.ewma(_events(spark, d), "domain", "value").select("domain", F.round("ewma", 6).alias("ewma"), "samples")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, count(*)::BIGINT AS n, round(avg((event_type <> 'error')::INT), 9) AS success_rate FROM events GROUP BY 1")
+def telemetry_hourly(spark, d):
+    return telemetry.windowed_success(_events(spark, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("success_rate", 9).alias("success_rate"))
+
+
+@query("SELECT event_type AS verdict, median(value) AS median_latency, round(avg(value), 6) AS mean_latency FROM events GROUP BY event_type")
+def telemetry_latency(spark, d):
+    return _events(spark, d).groupBy("verdict").agg(F.expr("percentile(value, 0.5)").alias("median_latency"), F.round(F.avg("value"), 6).alias("mean_latency"))
+
+
+@query("""WITH f AS (SELECT event_id, user_id, ts, (event_type = 'error')::INT AS f, (event_type = 'view')::INT AS e FROM events),
+g AS (SELECT *, sum(1 - f) OVER w AS fi, sum(1 - f - e) OVER w AS ei FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id AS seq, sum(f) OVER (PARTITION BY user_id, fi ORDER BY ts, event_id)::BIGINT AS consecutive_failures, sum(e) OVER (PARTITION BY user_id, ei ORDER BY ts, event_id)::BIGINT AS consecutive_empty FROM g""")
+def breaker_runs(spark, d):
+    """Errors are failures, views are empty answers, users are providers."""
+    found = states.breaker(_events(spark, d), "domain", F.col("verdict") == "error", F.col("verdict") == "view")
+    return found.select("seq", *_long("consecutive_failures", "consecutive_empty"))
+
+
+_BREAKER = """WITH f AS (SELECT event_id, user_id, ts, (event_type = 'error')::INT AS f, (event_type = 'view')::INT AS e FROM events),
+g AS (SELECT *, sum(1 - f) OVER w AS fi, sum(1 - f - e) OVER w AS ei FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+h AS (SELECT *, sum(f) OVER (PARTITION BY user_id, fi ORDER BY ts, event_id) AS cf, sum(e) OVER (PARTITION BY user_id, ei ORDER BY ts, event_id) AS ce FROM g),
+i AS (SELECT *, max((cf >= 3)::INT) OVER (PARTITION BY user_id, ei ORDER BY ts, event_id) AS down FROM h),
+j AS (SELECT *, CASE WHEN cf >= 3 THEN 'unavailable' WHEN cf > 0 OR ce >= 3 THEN 'degraded' WHEN e = 1 AND down = 1 THEN 'degraded' WHEN f + e = 0 THEN 'healthy' END AS st FROM i)
+SELECT event_id AS seq, user_id::VARCHAR AS domain, coalesce(last_value(st IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'healthy') AS status FROM j"""
+
+
+@query(_BREAKER)
+def breaker_status(spark, d):
+    return states.breaker(_events(spark, d), "domain", F.col("verdict") == "error", F.col("verdict") == "view").select("seq", "domain", "status")
+
+
+@query("""SELECT seq, round((max(t - i * 600) OVER (PARTITION BY user_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) + i * 600)::DOUBLE, 3) AS send_at FROM (
+  SELECT event_id AS seq, user_id, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) - 1 AS i FROM events)""")
+def host_throttle(spark, d):
+    """Users are hosts; requests of one go 600 seconds apart."""
+    e = _events(spark, d).withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
+    return states.send_times(e, "domain", "t", 600.0).select("seq", F.round("send_at", 3).alias("send_at"))
+
+
+def _entries(spark, d):
+    e = table(spark, d, "events")
+    return e.select((F.col("user_id") % 40).alias("key"), F.col("event_id").alias("seq"), "ts", (F.col("ts") + F.expr("make_dt_interval(cast(value as int), 0, 0, 0)")).alias("expires_at"), F.col("value").alias("size"))
+
+
+_ENTRIES = "(SELECT user_id % 40 AS key, event_id AS seq, ts, ts + to_days(trunc(value)::INT) AS expires_at, value AS size FROM events)"
+
+
+@query(f"SELECT key, max(seq)::BIGINT AS seq, arg_max(expires_at, (ts, seq)) AS expires_at FROM {_ENTRIES} GROUP BY key")
+def cache_latest(spark, d):
+    return states.latest(_entries(spark, d), "key", ["ts", "seq"]).select("key", "seq", "expires_at")
+
+
+@query(f"SELECT key, seq FROM {_ENTRIES} WHERE NOT (TIMESTAMP '2024-01-31 00:00:00' > expires_at)")
+def cache_fresh(spark, d):
+    return states.fresh(_entries(spark, d), F.lit("2024-01-31").cast("timestamp_ntz")).select("key", "seq")
+
+
+@query(f"SELECT count(*)::BIGINT AS entries, sum((TIMESTAMP '2024-01-20 00:00:00' > expires_at)::INT)::BIGINT AS expired, sum((NOT (TIMESTAMP '2024-01-20 00:00:00' > expires_at))::INT)::BIGINT AS valid, round(sum(size), 4) AS bytes FROM {_ENTRIES}")
+def cache_stats(spark, d):
+    s = states.cache_stats(_entries(spark, d), F.lit("2024-01-20").cast("timestamp_ntz"), F.col("size"))
+    return s.select("entries", "expired", "valid", F.round("bytes", 4).alias("bytes"))
+
+
+def _answers(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "fallback").when(F.col("event_type") == "signup", "fatal")
+    return e.select((F.col("event_id") / 4).cast("long").alias("request"), (F.col("event_id") % 4).alias("priority"), F.col("event_type").alias("provider"), F.when((F.col("event_type") == "click") | (F.col("event_type") == "purchase"), F.col("value").cast("int")).otherwise(0).alias("n_results"), kind.alias("error_class"))
+
+
+@query("""WITH a AS (SELECT event_id // 4 AS request, event_id % 4 AS priority, event_type AS provider, CASE WHEN event_type IN ('click', 'purchase') THEN trunc(value)::INT ELSE 0 END AS n, CASE event_type WHEN 'error' THEN 'fallback' WHEN 'signup' THEN 'fatal' END AS err FROM events),
+t AS (SELECT *, coalesce(max((n > 0 OR coalesce(err = 'fatal', false))::INT) OVER (PARTITION BY request ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM a),
+g AS (SELECT request, arg_min(provider, priority) FILTER (n > 0) AS provider, arg_min(n, priority) FILTER (n > 0) AS n, max((n = 0 AND err IS NULL)::INT) AS e, max(coalesce(err = 'fatal', false)::INT) AS f FROM t WHERE over = 0 GROUP BY request)
+SELECT request, provider, coalesce(n, 0)::BIGINT AS n_results, CASE WHEN provider IS NOT NULL THEN 'answered' WHEN e = 1 THEN 'empty' WHEN f = 1 THEN 'failed' ELSE 'exhausted' END AS outcome FROM g""")
+def search_chain(spark, d):
+    """Four events in a row are one request's providers."""
+    return states.provider_chain(_answers(spark, d)).select("request", "provider", *_long("n_results"), "outcome")
+
+
+@query("""SELECT user_id AS request, arg_max(event_id, ((event_type <> 'error')::INT, trunc(value)::INT, event_id)) AS attempt, count(*)::BIGINT AS attempts FROM events GROUP BY user_id""")
+def best_attempt(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("attempt"), (F.col("event_type") != "error").alias("success"), F.col("value").cast("int").alias("score"))
+    return states.best_attempts(e, "request").select("request", "attempt", "attempts")
+
+
+def _observations(spark, d):
+    e = table(spark, d, "events")
+    engine = F.when(F.col("event_type") == "purchase", "camoufox").when(F.col("event_type") == "signup", "playwright")
+    verdict = F.when(F.col("event_type") == "error", "bot_challenge").otherwise("ok")
+    return e.select(F.col("user_id").cast("string").alias("domain"), engine.alias("engine"), (F.col("event_type") == "signup").alias("stealth"), F.lit(0).alias("wait_for"), F.lit(True).alias("only_main_content"), verdict.alias("verdict"), (40 + F.col("value")).cast("int").alias("score"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+@query()
+def strategy_champions(spark, d):
+    return states.champions(_observations(spark, d))
+
+
+@query()
+def alerts_debounced(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'")
+    return states.alerts(e.select(F.col("user_id").cast("string").alias("domain"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.col("event_id").alias("seq")), "domain", 86_400.0)
+
+
+@query("""SELECT provider, run_id FROM (SELECT event_type AS provider, event_id AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 2""")
+def runs_latest(spark, d):
+    runs = table(spark, d, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("run_id"))
+    return benchmark.latest_runs(runs, 2)
+
+
+# Conversations as replies
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM conversations)
+SELECT conv_id, turn, len(w)::BIGINT AS words, CASE WHEN len(w) <= 20 THEN true ELSE false END AS whole FROM w""")
+def reply_bounds(spark, d):
+    bounded = text.bound_words(F.col("text"), 20)
+    return table(spark, d, "conversations").select("conv_id", "turn", text.word_count(F.col("text")).cast("long").alias("words"), (bounded == F.trim("text")).alias("whole"))
+
+
+@query("SELECT conv_id, turn, '{\"n\": ' || length(text) || '}' AS found FROM conversations")
+def reply_json(spark, d):
+    """JSON in a fence around each reply's length."""
+    reply = F.concat(F.lit('Here you are:\n```json\n{"n": '), F.length("text").cast("string"), F.lit("}\n```\nDone."))
+    found = text.fenced_json(F.col("reply"))
+    return table(spark, d, "conversations").select("conv_id", "turn", reply.alias("reply")).select("conv_id", "turn", F.trim(F.regexp_replace(found, r"^\s+|\s+$", "")).alias("found"))
+
+
+@query()
+def reply_without_reasoning(spark, d):
+    c = table(spark, d, "conversations").withColumn("reply", F.concat(F.lit("<think>a <think>b</think> c</think> "), "text"))
+    return page_ops.per_row(c, ["reply"], passages.without_reasoning, "answer", "string", ["conv_id", "turn"])
+
+
+@query("SELECT conv_id, turn, role || ' latest news 2026' AS q, role || ' site:a.org -site:b.org' AS s FROM conversations")
+def search_queries(spark, d):
+    c = table(spark, d, "conversations")
+    asked = F.concat("role", F.lit(" latest news"))
+    return c.select("conv_id", "turn", text.with_year(asked, F.lit(2026)).alias("q"), urls.site_query(F.col("role"), F.array(F.lit("a.org")), F.array(F.lit("b.org"))).alias("s"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN CAST(ts AS DATE) - 1 WHEN 'click' THEN CAST(ts AS DATE) - 7 WHEN 'error' THEN CAST(ts AS DATE) - 30 ELSE CAST(ts AS DATE) - 365 END AS start_date, month(ts) || '/' || day(ts) || '/' || year(ts) AS us FROM events")
+def search_dates(spark, d):
+    span = F.when(F.col("event_type") == "view", "day").when(F.col("event_type") == "click", "week").when(F.col("event_type") == "error", "month").otherwise("year")
+    return table(spark, d, "events").select("event_id", text.days_back(span, F.to_date("ts")).alias("start_date"), text.us_date(F.date_format("ts", "yyyy-MM-dd")).alias("us"))
+
+
+__all__ = ["oracle_sql", "queries"]
