@@ -2,8 +2,9 @@
 
 Generators with high recall propose spans, which may overlap.  Four kinds are
 settled by their format (the base kinds: email, ip, card, phone) and always stay.
-The others (bank account, hardware address, phone without a country code, secret,
-social security number) are proposed broadly and judged by boosted trees, one
+The others (bank account, hardware address, phone without a country code, payment
+number that a neighbouring digit hides from the base format, secret, social security
+number) are proposed broadly and judged by boosted trees, one
 model a kind, on features of the span's format and of the text around it; each
 kind's threshold is calibrated on held-out examples so that at least ``PRECISION``
 of what it accepts there is right.  Of overlapping accepted spans the one with the
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from quern.llm.boosting import Boosted
 
 BASE = ("email", "ip", "card", "phone")
-LEARNED = ("iban", "localphone", "mac", "secret", "ssn")
+LEARNED = ("iban", "localphone", "mac", "pan", "secret", "ssn")
 EXAMPLES, PRECISION, AROUND = 1500, 0.98, 28
 
 # Formats of the base kinds.
@@ -48,6 +49,7 @@ _BROAD = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "localphone": re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
+    "pan": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[\x20-][0-9]{4,6}[\x20-][0-9]{4,5}(?:[\x20-][0-9]{1,7})?)(?![0-9])"),
     "secret": re.compile(r"[A-Za-z0-9+/_-]{12,}+"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])"),
 }
@@ -57,6 +59,7 @@ _NEAR = (
     re.compile(r"ssn|social|security", re.I),
     re.compile(r"iban|account|bank|konto", re.I),
     re.compile(r"mac|ether|device|hw", re.I),
+    re.compile(r"card|visa|amex|payment|credit|debit", re.I),
     re.compile(r"version|isbn|date|order|part|id|commit|sha|hash|md5|uuid|build|invoice", re.I),
 )
 
@@ -105,7 +108,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that the learned kinds' generators propose; they may overlap."""
     if not _DIGIT.search(text):
         return []
-    found = [(kind, *m.span()) for kind in ("localphone", "mac", "ssn") for m in _BROAD[kind].finditer(text)]
+    found = [(kind, *m.span()) for kind in ("localphone", "mac", "pan", "ssn") for m in _BROAD[kind].finditer(text)]
     found += [("iban", *m.span()) for m in _BROAD["iban"].finditer(text)]
     found += [("secret", *m.span()) for m in _BROAD["secret"].finditer(text) if _DIGIT.search(m[0])]
     return found
@@ -132,7 +135,7 @@ def features(text: str, start: int, end: int) -> list[float]:
         n, digits, upper, lower, n - digits - upper - lower, digits / n, hexa / n, float(-(counts * np.log2(counts)).sum()), turns,
         float(span.startswith(("AKIA", "sk-", "ghp_", "xox", "eyJ"))), float(last == "="), float(last == ":"), float(before[-1:] in "\"'" and before != ""),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(_mod97(span) if 15 <= n <= 45 else 0), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0,
-        float(span[:3] in ("000", "666") or span[:1] == "9"), float(span[:1] in "01"), *(float(bool(p.search(before))) for p in _NEAR),
+        float(13 <= digits <= 19 and luhn("".join(c for c in span if c.isdigit()))), float(span[:3] in ("000", "666") or span[:1] == "9"), float(span[:1] in "01"), *(float(bool(p.search(before))) for p in _NEAR),
     ]
 
 
@@ -164,6 +167,13 @@ def _example(kind: str, rng) -> tuple[str, str, bool]:
         if good:
             return pick("mac ", "device ", "ether ", ""), sep.join(_draw(rng, "0123456789abcdef", 2) for _ in range(6)), True
         return pick("date ", "id ", "build "), "-".join(d(2) for _ in range(6)), False
+    if kind == "pan":
+        digits = pick("4", "5", "37", "6011") + d(12)
+        digits += next(c for c in string.digits if luhn(digits + c))
+        if not good:
+            digits = digits[:-1] + str((int(digits[-1]) + 1 + int(rng.integers(9))) % 10)
+        cut = " ".join(digits[k : k + 4] for k in range(0, len(digits), 4)) if len(digits) == 16 and rng.random() < 0.3 else digits
+        return (pick("card ", "visa ", "payment ", "", "10.0.0.1 ") if good else pick("order ", "id ", "", "number ")), cut, good
     if kind == "localphone":
         if good:
             return pick("call ", "phone: ", "tel ", "mobile ", "fax "), pick("({}) {}-{}", "{}-{}-{}", "{}.{}.{}").format(pick("2", "3", "4", "5", "6", "7", "8", "9") + d(2), d(3), d(4)), True
