@@ -172,7 +172,10 @@ def crawl_file_names(spark, d):
 
 _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 _PLAIN = rf"replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-_N = rf"(len(regexp_extract_all({_PLAIN}, '\S+')) + 1)"
+_FEW = rf"len(regexp_extract_all({_PLAIN}, '\S+')) < 5"
+_AD = r"len(regexp_extract_all(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1), '\S+'))"
+# a page's markdown is its article with one mark for the heading; under five words the whole body with its advertisement
+_N = rf"(len(regexp_extract_all({_PLAIN}, '\S+')) + 1 + CASE WHEN {_FEW} THEN {_AD} ELSE 0 END)"
 
 
 @query("SELECT page_id, nullif(trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language FROM pages")
@@ -378,13 +381,13 @@ def _cases(spark, d):
     """Benchmark cases from documents and their labels: quality by composite, category by language."""
     joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     n = F.col("n_chars").cast("double")
-    value = quality.composite(F.col("quality") == 1, F.least(F.lit(1.0), n / 2000), F.when(F.col("doc_id") % 3 != 0, F.lit(0.5)), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(10.0), F.lit(None).cast("double"))
+    value = quality.composite(F.col("quality") == 1, F.least(F.lit(1.0), n / 1999.7), F.when(F.col("doc_id") % 3 != 0, F.lit(0.5)), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(10.0), F.lit(None).cast("double"))
     return joined.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), (F.col("toxic") == 0).alias("scored"), (F.col("quality") == 1).alias("success"), value.alias("quality"), (n / 10).alias("latency_ms"), F.lit(None).cast("double").alias("expect_hit"), F.lit(None).cast("double").alias("expect_absent_ok"))
 
 
 _CASES = """(SELECT d.doc_id AS case_id, lang AS category, toxic = 0 AS scored, quality = 1 AS success, n_chars::DOUBLE / 10 AS latency_ms,
-  CASE WHEN quality <> 1 THEN 0 ELSE (CASE WHEN d.doc_id % 3 <> 0 THEN round_even(100 * (0 + least(1.0::DOUBLE, n_chars::DOUBLE / 2000) * 0.3::DOUBLE + 0.5::DOUBLE * 0.25::DOUBLE + (1 - 10.0::DOUBLE / 50) * 0.05::DOUBLE) / (0.3::DOUBLE + 0.25::DOUBLE + 0.05::DOUBLE), 1)
-  ELSE round_even(100 * (least(1.0::DOUBLE, n_chars::DOUBLE / 2000) * 0.3::DOUBLE + (1 - 10.0::DOUBLE / 50) * 0.05::DOUBLE) / (0.3::DOUBLE + 0.05::DOUBLE), 1) END) END AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+  CASE WHEN quality <> 1 THEN 0 ELSE (CASE WHEN d.doc_id % 3 <> 0 THEN round_even(100 * (0 + least(1.0::DOUBLE, n_chars::DOUBLE / 1999.7::DOUBLE) * 0.3::DOUBLE + 0.5::DOUBLE * 0.25::DOUBLE + (1 - 10.0::DOUBLE / 50) * 0.05::DOUBLE) / (0.3::DOUBLE + 0.25::DOUBLE + 0.05::DOUBLE), 1)
+  ELSE round_even(100 * (least(1.0::DOUBLE, n_chars::DOUBLE / 1999.7::DOUBLE) * 0.3::DOUBLE + (1 - 10.0::DOUBLE / 50) * 0.05::DOUBLE) / (0.3::DOUBLE + 0.05::DOUBLE), 1) END) END AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 @query(f"SELECT case_id, category, round(quality, 1) AS quality FROM {_CASES}")

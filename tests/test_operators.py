@@ -1,0 +1,134 @@
+import pytest
+
+from quern.operators import extract, passages
+from quern.operators.dom import markup, parse
+from quern.operators.markdown import bm25, clean, convert, main_content, remove_boilerplate, sections
+
+
+def test_tree_closes_nothing_by_itself():
+    doc = parse("<b>x<p>one<p>two</b>tail</i>")
+    assert markup(doc) == "<b>x<p>one<p>two</p></p></b>tail"
+    assert parse('<script>var t="</p>";</script>a').text() == "a"
+
+
+@pytest.mark.parametrize(
+    ("selector", "n"), [("p", 2), (".a", 1), ("#i", 1), ("div p", 1), ("p.a, #i", 2), ("[data-x]", 1), ("[data-x='1']", 1), ("[class*='LA' i]", 1), ("[class^='la']", 1), ("div#i .lab", 1)]
+)
+def test_selectors(selector, n):
+    assert len(parse('<p class="a">x</p><div id="i"><p class="lab" data-x="1">y</p></div>').select(selector)) == n
+
+
+def test_unsupported_selector():
+    with pytest.raises(ValueError):
+        parse("<p>").select("p:hover")
+
+
+def test_markdown():
+    html = "<html><body><nav>menu</nav><main><h1>T</h1><p>One <b>two</b> <a href='/x'>three</a> four five six</p><ul><li>a<li>b</ul><pre>x\n y</pre><table><tr><th>h</th></tr><tr><td>1|2</td></tr></table><a href='javascript:x()'>no</a><img src='i.png' alt='A'></main><footer>f</footer></body></html>"
+    md, _ = convert(html, "https://a.org/p")
+    assert md.startswith("# T\n\nOne **two** [three](https://a.org/x) four five six")
+    assert "- a" in md and "```\nx\n y\n```" in md and "| 1\\|2 |" in md and "![A](https://a.org/i.png)" in md
+    assert "menu" not in md and "no" not in md.split() and convert("", None)[0] == ""
+
+
+def test_include_exclude_and_outcomes():
+    html = "<body><article><p>kept words in here today</p><p class=x>gone</p></article></body>"
+    assert convert(html, exclude=[".x"])[0] == "kept words in here today"
+    assert convert(html, include=[".x"])[0] == "gone"
+    assert convert(html, include=[".x"], query="q")[1]["reason"] == "include_tags_set"
+    assert convert(html, only_main=False, query="q")[1]["reason"] == "only_main_content_false"
+
+
+def test_query_keeps_named_sections():
+    html = "<body><main>" + "".join(f"<h2>{t}</h2><p>{t} " + "word " * 30 + "</p>" for t in ("Install", "Usage", "License")) + "</main></body>"
+    md, outcome = convert(html, query="how to install")
+    assert "## Install" in md and "## License" not in md
+    assert outcome == {"applied": True, "reason": None, "sections_total": 3, "sections_kept": 1}
+    assert len(sections(parse(html).find("main"))) == 3
+
+
+def test_boilerplate_spares_content():
+    doc = parse("<header class='post-header'>keep</header><header>drop</header><div class='cookie'>drop</div><p hidden>drop</p>")
+    remove_boilerplate(doc)
+    assert doc.text() == "keep"
+
+
+def test_layout_table():
+    html = "<body><table><tr><td><a href=x>n</a></td><td><p>" + "word " * 60 + "</p></td></tr></table></body>"
+    assert convert(html)[0].startswith("word word")
+    assert main_content(parse("<body><p>a b c d e f</p></body>"))[0].name == "body"
+
+
+def test_attribute_markup():
+    assert "inner text" in convert("<body><my-card data-body='<p>inner text</p>'></my-card></body>")[0]
+
+
+def test_bm25_floor_and_order():
+    corpus = [["a", "b"], ["a", "c", "c"], ["a"]]
+    s = bm25(corpus, ["c"])
+    assert s[1] > s[0] == s[2] == 0
+
+
+def test_clean():
+    assert clean("a  \n\n\n b\n") == "a\n\n b"
+
+
+PAGE = """<html lang=en><head><title> T </title><meta property="og:title" content="O"><meta name="description" content="D"><link rel="canonical" href="/c">
+<script type="application/ld+json">{"@graph": [{"@type": "A", "timezone": "Europe/Berlin"}, [{"b": 1}]]}</script><script type="application/ld+json">{bad</script>
+<script id="__NEXT_DATA__">{"p": 1}</script><style>.x{background:url('/bg.png')} :root{--primary: #abcdef}</style></head>
+<body><header><a href="/h">Home</a></header><main><h2>Sec</h2><div><a href="/a">A</a> about a</div><a href="/h">Home2</a><a href="javascript:go('/js')">J</a><a href="#x">f</a><a href="mailto:a@b">m</a></main>
+<div itemscope itemtype="T"><span itemprop="n">N</span><span itemprop="n">M</span><div itemprop="o" itemscope><time itemprop="t" datetime="2024">x</time></div></div>
+<img src="/i.png" width=300 srcset="/i2.png 600w, "><img src="/pixel.gif"></body></html>"""
+
+
+def test_metadata_and_structured_data():
+    doc = parse(PAGE)
+    meta = extract.metadata(parse(extract.head_of(PAGE)))
+    assert (meta["title"], meta["description"], meta["language"], meta["canonical_url"], meta["og_title"], meta["timezone"]) == ("T", "D", "en", "/c", "O", "Europe/Berlin")
+    assert extract.json_blocks(doc) == [{"@type": "A", "timezone": "Europe/Berlin"}, {"b": 1}]
+    assert extract.next_data(doc) == {"p": 1} and extract.opengraph(doc) == {"og:title": "O"}
+    assert extract.microdata(doc) == [{"type": "T", "properties": {"n": ["N", "M"], "o": {"properties": {"t": "2024"}}}}]
+    assert extract.images(doc, "https://a.org/") == ["https://a.org/bg.png", "https://a.org/i.png", "https://a.org/i2.png"]
+    assert extract.image_widths(doc, "https://a.org/")["https://a.org/i2.png"] == 600
+    assert extract.branding(doc, "https://a.org/")["colors"]["primary"] == "#abcdef"
+
+
+def test_links():
+    found = {x["url"]: x for x in extract.page_links(parse(PAGE), "https://a.org/p")}
+    assert list(found) == ["https://a.org/h", "https://a.org/a", "https://a.org/js"]
+    assert found["https://a.org/h"]["chrome"] is False and found["https://a.org/h"]["text"] == "Home2"
+    assert found["https://a.org/a"]["context"] == "A about a" and found["https://a.org/a"]["heading"] == "Sec"
+
+
+def test_hidden_disclosure():
+    control = "<button aria-expanded='false' aria-controls='p'>more</button>"
+    assert extract.hidden_disclosure(control) is True
+    assert extract.hidden_disclosure(control + "<div id=p>text</div>") is False
+    assert extract.hidden_disclosure(control + "<div id=p hidden>text</div>") is True
+    assert extract.hidden_disclosure(f"<nav>{control}</nav>") is False
+
+
+def test_result_page():
+    html = "<table><tr><td><a class='result-link' href='/l/?uddg=https%3A%2F%2Fa.org%2F&x'>A</a></td></tr><tr><td class='result-snippet'>s</td></tr></table>"
+    assert extract.result_page(html) == [{"url": "https://a.org/", "title": "A", "snippet": "s"}]
+
+
+def test_robots_rules():
+    rules = extract.robots_rules("User-agent: *\nDisallow: /a # x\nAllow: /a/b\nCrawl-delay: 2\nRequest-rate: 1/0\nSitemap: s\nUser-agent: z\nDisallow: /z", "*")
+    assert rules == {"allow": ["/a/b"], "disallow": ["/a"], "crawl_delay": 2.0, "request_rate": None, "sitemaps": ["s"]}
+
+
+def test_passages():
+    md = "# A\n\nintro\n\n## Opt\n\nthe option text\n\n## Other\n\n" + "filler words here " * 60
+    bounded, how = passages.bound(md, 120, "what is opt")
+    assert how == "query_ranked" and "the option text" in bounded and len(bounded) <= 120
+    assert passages.bound("short", 10) == ("short", "none") and passages.bound("x" * 50, 10)[1] == "head"
+    assert passages.section(md, "#opt") == "## Opt\n\nthe option text" and passages.section(md, "none") is None
+
+
+def test_sequences():
+    assert passages.lcs(list("abcbdab"), list("bdcaba")) == 4
+    assert passages.rouge_l(["a", "b"], ["a", "b"]) == 1.0 and passages.rouge_l([], ["a"]) == 0.0
+    assert passages.unified_diff("a\n", "a\n") is None and "+b" in passages.unified_diff("a\n", "b\n")
+    assert passages.without_reasoning("<think>a <think>b</think> c</think> yes") == "yes"
+    assert passages.json_changes({"a": 1, "b": 2}, {"b": 3, "c": 4}) == {"a": {"previous": 1, "current": None}, "b": {"previous": 2, "current": 3}, "c": {"previous": None, "current": 4}}
