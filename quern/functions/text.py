@@ -183,7 +183,10 @@ def pdf_date(text: Column) -> Column:
 
 
 # Words that make a query one about the present.
-TIMELY = ["latest", "current", "recent", "newest", "today", "now", "upcoming", "new"]
+TIMELY = [
+    "latest", "recent", "newest", "current", "new", "now", "today", "best", "top", "alternative", "alternatives", "vs", "versus", "comparison", "compared",
+    "download", "install", "release", "version", "update", "changelog", "review", "reviews", "ranking", "rankings", "guide", "tutorial",
+]
 
 
 def with_year(query: Column, year: Column) -> Column:

@@ -122,10 +122,9 @@ def crawl_slug(url: Column) -> Column:
 
 
 def batch_slug(url: Column) -> Column:
-    """File name of a batch result: host and path, all else as hyphens."""
-    text = F.concat(authority(url), path(url))
-    slug = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", "")
-    return F.coalesce(F.nullif(slug, F.lit("")), F.lit("page"))
+    """File name of a batch result: host and path with slashes as underscores, ``index`` for nothing."""
+    trimmed = F.regexp_replace(F.concat(authority(url), path(url)), r"^/+|/+$", "")
+    return F.coalesce(F.nullif(F.translate(trimmed, "/", "_"), F.lit("")), F.lit("index"))
 
 
 def url_hash(url: Column) -> Column:
@@ -155,13 +154,13 @@ def is_pdf(url: Column) -> Column:
 
 
 # Extensions of addresses that are no PDF.
-NOT_PDF = ["html", "htm", "php", "asp", "aspx", "jsp", "xml", "json", "txt", "md", "css", "js", "png", "jpg", "jpeg", "gif", "svg", "webp", "zip", "gz", "mp3", "mp4"]
+NOT_PDF = "html htm php asp aspx jsp cgi shtml xhtml cfm pl py rb js css xml json rss atom svg txt png jpg jpeg gif webp ico bmp mp3 mp4 webm ogg wav avi mov zip tar gz bz2 rar 7z".split()
 
 
 def needs_type_check(url: Column) -> Column:
-    """Whether only a request can tell if the address is a PDF."""
+    """Whether only a request can tell if the address is a PDF: neither .pdf nor an extension of something else."""
     extension = F.lower(F.regexp_extract(path(url), r"\.([A-Za-z0-9]+)$", 1))
-    return ~is_pdf(url) & ~extension.isin(NOT_PDF) & path(url).rlike(r"(?i)pdf|download|document|file")
+    return ~is_pdf(url) & ~extension.isin(NOT_PDF)
 
 
 def is_pdf_body(body: Column) -> Column:

@@ -1,0 +1,119 @@
+"""Rules around a fetch or a search: escalation, prompts, paging, projections (STM-10/12, MSC-03/04/11/19, TOP-04/05/08, AGG-15, JOIN-11, PRJ-37, STR-24)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Words that a prompt loses on its way to a search query (also inside other words).
+INSTRUCTIONS = ["find", "get", "extract", "gather", "collect", "the", "all", "from"]
+MOST_ATTEMPTS = 3
+
+
+def next_step(engine: Column, stealth: Column, http1: Column, pinned: Column, http2_error: Column) -> Column:
+    """The next stronger strategy after an attempt, null at the ladder's end.
+
+    A pinned engine stays, but for an HTTP/2 fault, with which it cannot connect at all.
+    """
+    strong = F.coalesce(engine, F.lit("playwright")) == "camoufox"
+    last = F.when(~http1, "camoufox + HTTP/1.1")
+    return (
+        F.when(http2_error, F.when(~strong, "camoufox").otherwise(last))
+        .when(pinned, None)
+        .when(~strong & ~stealth, "patchright (stealth)")
+        .when(~strong, "camoufox")
+        .otherwise(last)
+    )
+
+
+def escalates(verdict: Column, attempt: Column) -> Column:
+    """Whether a stronger fetch may help and is still allowed."""
+    from quern.functions.quality import ESCALATE
+
+    return verdict.isin(ESCALATE) & (attempt <= MOST_ATTEMPTS)
+
+
+def prompt_query(prompt: Column) -> Column:
+    """A search query of at most 100 characters from a prompt."""
+    said = F.lower(prompt)
+    for word in INSTRUCTIONS:
+        said = F.replace(said, F.lit(word), F.lit(" "))
+    return F.substring(F.trim(F.regexp_replace(said, r"\s+", " ")), 1, 100)
+
+
+def failure_text(verdict: Column, reasons: Column, advice: Column) -> Column:
+    """What a caller is told about a verdict without usable content."""
+    from quern.functions.quality import usable
+
+    why = F.coalesce(F.nullif(F.array_join(reasons, "; "), F.lit("")), verdict)
+    return F.when(~usable(verdict), F.concat_ws(" ", F.concat(F.lit("No usable content ("), verdict, F.lit("): "), why, F.lit(".")), advice))
+
+
+def job_page(items: DataFrame, job: str, order: str, offset: int, size: int = 10) -> DataFrame:
+    """Items ``offset`` to ``offset + size`` of each job, with their place ``i``."""
+    at = F.row_number().over(Window.partitionBy(job).orderBy(order)) - 1
+    return items.withColumn("i", at).where((F.col("i") >= offset) & (F.col("i") < offset + size))
+
+
+def probed_images(candidates: DataFrame, most: int = 40) -> DataFrame:
+    """Each page's images to measure (page_id, url, hint): the widest hints, those without one first."""
+    order = Window.partitionBy("page_id").orderBy(F.desc(F.coalesce(F.nullif("hint", F.lit(0)), F.lit(1_000_000))), "url")
+    return candidates.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+
+
+def image_order(width: Column, height: Column, icon: Column) -> list[Column]:
+    """Sort keys of measured images: icons last, larger areas first; a missing height counts as the width."""
+    return [icon, F.desc(width * F.coalesce(F.nullif(height, F.lit(0)), width))]
+
+
+def most_common(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The most common value of each group, the smaller on ties."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(by).agg(F.max_by(F.col(value), F.struct("n", -F.col(value))).alias("value"))
+
+
+def heading_level(size: Column, body: Column) -> Column:
+    """Heading level of a line by its font size over the body's: 1.8, 1.4, 1.15 times."""
+    ratio = size / body
+    return F.when(ratio >= 1.8, 1).when(ratio >= 1.4, 2).when(ratio >= 1.15, 3)
+
+
+def field_changes(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys whose values differ between two versions, with both."""
+    a, b = old.select(key, F.col(value).alias("previous")), new.select(key, F.col(value).alias("current"))
+    return a.join(b, key, "full").where(~F.col("previous").eqNullSafe(F.col("current")))
+
+
+def sources(asked: Column) -> Column:
+    """Known sources of a search request; web when there are none."""
+    known = F.filter(F.coalesce(asked, F.array().cast("array<string>")), lambda s: s.isin("web", "images", "news"))
+    return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("web")))
+
+
+def buckets(results: Column) -> Column:
+    """Results (with source_type) by source."""
+    return F.struct(*(F.filter(results, lambda r, s=s: r["source_type"] == s).alias(s) for s in ("web", "images", "news")))
+
+
+def capped(column: Column, most: int) -> Column:
+    """Text of at most ``most`` characters, and a note where it was cut."""
+    return F.when(F.char_length(column) > most, F.concat(F.substring(column, 1, most), F.lit("\n\n[cut]"))).otherwise(column)
+
+
+def search_limit(asked: Column) -> Column:
+    return F.least(F.greatest(asked, F.lit(1)), F.lit(10))
+
+
+def empty_with_dead_engines(results: Column, dead: Column) -> Column:
+    """Whether an empty answer is an error: engines did not respond."""
+    return (F.size(results) == 0) & (F.size(dead) > 0)
+
+
+def extracted(items: DataFrame, job: str) -> DataFrame:
+    """Whether all of a job's items succeeded, and their data in order."""
+    return items.groupBy(job).agg(F.bool_and("success").alias("success"), F.transform(F.array_sort(F.collect_list(F.struct("ix", "data"))), lambda x: x["data"]).alias("data"))
+
+
+def batch_counts(results: DataFrame) -> DataFrame:
+    good = F.sum(F.col("success").cast("int"))
+    return results.agg(F.count("*").alias("total"), good.alias("succeeded"), (F.count("*") - good).alias("failed"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions import detect, quality, text, urls
 from quern.operators import pages as page_ops
 from quern.operators import passages
-from quern.plans import benchmark, crawl, states, telemetry
+from quern.plans import benchmark, crawl, service, states, telemetry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -102,7 +102,7 @@ def url_cache_key(spark, d):
     return table(spark, d, "pages").select("page_id", urls.cache_key(u).alias("cache_key"), urls.cache_key(u, F.lit("q")).alias("variant_key"))
 
 
-@query(rf"SELECT page_id, coalesce(nullif(replace(trim({_PATH}, '/'), '/', '_'), ''), 'index') AS slug, coalesce(nullif(trim(regexp_replace({_AUTH} || {_PATH}, '[^A-Za-z0-9]+', '-', 'g'), '-'), ''), 'page') AS batch_slug FROM pages")
+@query(rf"SELECT page_id, coalesce(nullif(replace(trim({_PATH}, '/'), '/', '_'), ''), 'index') AS slug, coalesce(nullif(replace(trim({_AUTH} || {_PATH}, '/'), '/', '_'), ''), 'index') AS batch_slug FROM pages")
 def url_slug(spark, d):
     return table(spark, d, "pages").select("page_id", urls.crawl_slug(F.col("url")).alias("slug"), urls.batch_slug(F.col("url")).alias("batch_slug"))
 
@@ -611,4 +611,63 @@ def search_dates(spark, d):
     return table(spark, d, "events").select("event_id", text.days_back(span, F.to_date("ts")).alias("start_date"), text.us_date(F.date_format("ts", "yyyy-MM-dd")).alias("us"))
 
 
+# Service rules
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN CASE WHEN e <> 'camoufox' THEN 'camoufox' WHEN NOT p THEN 'camoufox + HTTP/1.1' END WHEN pinned THEN NULL
+  WHEN e = 'playwright' AND NOT s THEN 'patchright (stealth)' WHEN e = 'playwright' THEN 'camoufox' WHEN NOT p THEN 'camoufox + HTTP/1.1' END AS next_step FROM (
+  SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 'camoufox' ELSE 'playwright' END AS e, event_id % 2 = 0 AS s, event_id % 5 = 0 AS p, event_id % 7 = 0 AS pinned FROM events)""")
+def escalation_steps(spark, d):
+    """Attempts made of event numbers; errors stand for HTTP/2 faults."""
+    n = F.col("event_id")
+    step = service.next_step(F.when(n % 3 == 0, "camoufox").otherwise("playwright"), n % 2 == 0, n % 5 == 0, n % 7 == 0, F.col("event_type") == "error")
+    return table(spark, d, "events").select("event_id", step.alias("next_step"))
+
+
+@query(r"""SELECT conv_id, turn, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(text), 'find', ' '), 'get', ' '), 'extract', ' '), 'gather', ' '), 'collect', ' '), 'the', ' '), 'all', ' '), 'from', ' '), '\s+', ' ', 'g')), 1, 100) AS q FROM conversations""")
+def agent_queries(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", service.prompt_query(F.col("text")).alias("q"))
+
+
+@query("""SELECT event_id, event_type IN ('error', 'click') OR (event_type = 'view' AND value > 20) AS fallback, event_type = 'error' OR (event_type = 'view' AND value > 20) AS auth FROM events""")
+def error_classes(spark, d):
+    """Errors are 401, clicks 429, views 403 with a body about quota where the value is over 20, others 500."""
+    status = F.when(F.col("event_type") == "error", 401).when(F.col("event_type") == "click", 429).when(F.col("event_type") == "view", 403).otherwise(500)
+    body = F.when(F.col("value") > 20, "Quota exceeded").otherwise("no")
+    return table(spark, d, "events").select("event_id", detect.is_fallback_error(status, body).alias("fallback"), detect.is_auth_error(status, body).alias("auth"))
+
+
+@query("""SELECT event_id, user_id AS job, i, event_id AS item FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) WHERE i >= 10 AND i < 20""")
+def job_page(spark, d):
+    """The second page of ten of each user's events."""
+    items = table(spark, d, "events").select("event_id", F.col("user_id").alias("job"), F.col("event_id").alias("item"))
+    return service.job_page(items, "job", "item", 10).select("event_id", "job", F.col("i").cast("long").alias("i"), "item")
+
+
+@query("""SELECT lang, n_chars AS size FROM (SELECT lang, n_chars, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, n_chars) AS k FROM documents GROUP BY lang, n_chars) WHERE k = 1""")
+def common_size(spark, d):
+    """The most common length of each language's documents, the smaller on ties."""
+    return service.most_common(table(spark, d, "documents"), "lang", "n_chars").select("lang", F.col("value").alias("size"))
+
+
+@query("""SELECT coalesce(a.event_id, b.event_id) AS k, a.value AS previous, b.value AS current FROM (SELECT event_id, value FROM events WHERE event_id % 3 <> 0) a FULL JOIN (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE event_id % 5 <> 0) b ON a.event_id = b.event_id WHERE a.value IS DISTINCT FROM b.value""")
+def field_changes(spark, d):
+    """Two versions of the events' values: some missing on either side, some changed."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("k"), F.col("value").alias("v"))
+    new = e.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 4 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return service.field_changes(e.where("k % 3 <> 0"), new, "k", "v")
+
+
+@query("SELECT page_id, NOT lower(" + _PATH + ") LIKE '%.pdf' AND NOT regexp_matches(lower(" + _PATH + "), '\\.(html|htm|php)$') AS check_type FROM pages")
+def url_type_check(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.needs_type_check(F.col("url")).alias("check_type"))
+
+
+@query("SELECT url, min(seq)::BIGINT AS seq FROM (SELECT regexp_replace(url, '[?#].*$', '') AS url, page_id AS seq FROM pages UNION ALL SELECT regexp_replace(url, '[?#].*$', ''), page_id + 100000 FROM pages) GROUP BY url")
+def map_union(spark, d):
+    """Sitemap and crawl addresses together, queries and fragments off, each once."""
+    p = table(spark, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url"), F.col("page_id").alias("seq"))
+    return p.union(p.select("url", F.col("seq") + 100000)).groupBy("url").agg(F.min("seq").alias("seq"))
+
+
 __all__ = ["oracle_sql", "queries"]
