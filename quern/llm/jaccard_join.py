@@ -26,7 +26,8 @@ cost only, never on the result.
 Buckets beyond ``BLOCK`` sets are dealt into pairs of blocks, each one task's work.
 
 Defined results: null or empty text has an empty set, links with nothing and is
-its own component; repeated rows and equal texts share a component; other
+its own component; repeated rows and equal texts share a component; documents
+without an id link like others (a component of none but such has a null id); other
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import textkit
@@ -227,11 +228,16 @@ def _trees(num: int, den: int):
     return run
 
 
+def _named(doc_id: Column) -> Column:
+    """The id, all null ids as one."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    speakers = heads.join(wanted, "sid", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-    sets = docs.join(speakers, "doc_id", "left_semi").select("text").mapInArrow(_full(width), "sid long, hashes array<long>")
+    speakers = heads.join(wanted, "sid", "left_semi").select("speaker").distinct()
+    sets = docs.join(speakers, _named(docs["doc_id"]) == speakers["speaker"], "left_semi").select("text").mapInArrow(_full(width), "sid long, hashes array<long>")
     sets = materialize(sets.dropDuplicates(["sid"]), "sets")
     one = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"))
     two = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"))
@@ -268,7 +274,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     docs = documents.select("doc_id", "text")
     points = materialize(docs.mapInArrow(_points(width), "doc_id long, n long, sid long, point binary, slot int, times int"), "points")
     some = points.where("n > 0")
-    heads = some.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"))
+    heads = some.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max(_named(F.col("doc_id"))).alias("speaker"), F.first("n").alias("n"), F.first("point").alias("point"))
 
     rows = docs.select("text").mapInArrow(_prefixes(width, num, den, _common(points)), "key long, sid long, n long").repartition("key")
     bucket = Window.partitionBy("key")

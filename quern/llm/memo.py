@@ -21,7 +21,7 @@ class Memo:
     """Encodes texts whose code is that of their segments, one after another.
 
     ``cut`` gives a text's segments and ``make`` the codes of new ones.  Beyond
-    ``CACHE`` segments all are forgotten, so memory stays bounded.
+    ``CACHE`` segments those used least are forgotten, so memory stays bounded.
     """
 
     def __init__(self, cut: Callable[[str], list[str]], make: Callable[[list[str]], list[list[int]]]):
@@ -31,6 +31,17 @@ class Memo:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
+
+    def thin(self) -> None:
+        """Keep the third of the segments that were used most, and halve their counts."""
+        names = list(self.known)
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 3])
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.pool = gathered(self.pool, self.starts, self.lengths, kept)
+        self.lengths = self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.uses = self.uses[kept] // 2
 
     def learn(self, fresh: list[str]) -> None:
         made = self.make(fresh)
@@ -38,17 +49,22 @@ class Memo:
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(made)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
+        self.uses = np.concatenate([self.uses, np.zeros(len(n), np.int64)])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.int32, int(n.sum()))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(codes, bounds): those of text r at bounds[r]:bounds[r + 1]; null has none."""
-        cut = [self.cut(t) if t else [] for t in texts]
+        return self.encode_segments([self.cut(t) if t else [] for t in texts])
+
+    def encode_segments(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that are cut already."""
         if len(self.known) > CACHE:
-            self.forget()
-        fresh = list(dict.fromkeys(s for s in chain.from_iterable(cut) if s not in self.known))
+            self.thin()
+        fresh = list(set(chain.from_iterable(cut)).difference(self.known))
         if fresh:
             self.learn(fresh)
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        self.uses += np.bincount(which, minlength=len(self.uses))
         ends = np.concatenate([[0], np.cumsum(self.lengths[which])])
         return gathered(self.pool, self.starts, self.lengths, which), ends[np.concatenate([[0], np.cumsum(n)])]

@@ -12,7 +12,8 @@ is the best score from overhang i at its start to overhang j at its end.  Chunks
 to any task; the matrices of a text are combined by the associative max-plus
 product into the best score of every state at every edge; the states on the best
 path are read off from the end; and each chunk is then traced back by itself
-between its two states.
+between its two states.  Words inside a chunk are encoded once and remembered (see
+``Chunks``); a chunk that is part of one endless word gets its matrix by a full pass.
 
 Defined results: null and empty text have no pieces; ties take any one best
 segmentation, always the same one; repeated rows are encoded alike; other columns
@@ -21,16 +22,21 @@ do not matter.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.lattice import LITERAL, SPACE, Batch, Pieces, codepoints, default_model, load, normalised, piece_bytes, segments, spelled
+from quern.llm.lattice import LITERAL, SEGMENT, SPACE, Batch, Pieces, codepoints, default_model, load, normalised, piece_bytes, segments, spelled
 from quern.llm.memo import Memo, gathered
 from quern.llm.textkit import slices, views
 
 GIANT, CHUNK = 32_768, 8_192
+#: A segment starts.
+_START = re.compile(f"(?<!{SPACE}){SPACE}")
 NONE = -(1 << 60)
 SIDE_BY_SIDE = 48
 
@@ -48,6 +54,13 @@ def encoder(vocabulary: Pieces) -> Memo:
     return Memo(segments, make)
 
 
+@lru_cache(maxsize=1)
+def kept(pieces: tuple[str, ...]) -> tuple[Memo, Decoder]:
+    """An encoder and a decoder that a worker keeps from task to task."""
+    v = Pieces(list(pieces))
+    return encoder(v), Decoder(v)
+
+
 class Decoder:
     """Decodes many sequences at once."""
 
@@ -160,6 +173,111 @@ def traced(v: Pieces, text: str, size: int, enter: int, leave: int) -> list[int]
     return spelled(v, found[::-1], text, places[::-1])
 
 
+class Chunks:
+    """Matrices and traces of chunks, with segments inside remembered.
+
+    No piece reaches over a segment's start.  Between a chunk's first and last segment start the best score is a
+    constant, the sum of its segments' scores, so the matrix of a chunk that has one is a column (from each overhang
+    to the first start) plus that constant plus a row (from the last start to each overhang).
+    """
+
+    def __init__(self, v: Pieces):
+        self.v, self.memory = v, encoder(v)
+        self.found = dict(zip((v.pieces[i] for i in v.ids.tolist()), v.ids.tolist(), strict=True))
+        scores = v.scores.copy()
+        lead = [k for b, k in enumerate(v.bytes.tolist()) if k >= 0 and b & 0xC0 != 0x80]
+        scores[lead] = v.unknown  # a spelled character counts once
+        self.scores = scores
+
+    @staticmethod
+    def starts(text: str, size: int) -> tuple[int, int] | None:
+        """First and last segment start within the chunk (at 1 to its size)."""
+        first = next((m.start() for m in _START.finditer(text, 1, size + 1)), None)
+        if first is None:
+            return None
+        last = max(text.rfind(SPACE, 0, size + 1), first)
+        while text[last - 1] == SPACE:
+            last -= 1
+        return first, max(last, first)
+
+    def _steps(self, text: str, at: int):
+        """(length, id, score) of the pieces that start at a place."""
+        for n in range(1, self.v.longest + 1):
+            if at + n > len(text):
+                return
+            i = self.found.get(text[at : at + n])
+            if i is not None:
+                yield n, i, int(self.v.scores[i])
+            elif n == 1:
+                yield 1, -1, self.v.unknown
+
+    def _forward(self, text: str, begin: int, end: int):
+        """Best scores and last steps of the places from ``begin`` on, by pieces that start before ``end``."""
+        best, back = {begin: 0}, {}
+        for p in range(begin, end):
+            if p in best:
+                for n, i, gain in self._steps(text, p):
+                    if best[p] + gain > best.get(p + n, NONE):
+                        best[p + n], back[p + n] = best[p] + gain, (n, i)
+        return best, back
+
+    def _path(self, text: str, begin: int, end: int, back: dict) -> list[int]:
+        ids, places = [], []
+        while end > begin:
+            n, i = back[end]
+            end -= n
+            ids.append(i)
+            places.append(end)
+        return spelled(self.v, ids[::-1], text, places[::-1])
+
+    def matrices(self, chunks: list[tuple[str, int]]) -> list[np.ndarray]:
+        s = self.v.longest
+        cuts = [self.starts(t, n) for t, n in chunks]
+        whole = [c for c, k in zip(chunks, cuts, strict=True) if k is None]
+        rest = iter(matrices(self.v, whole) if whole else [])
+        inner, bounds = self.memory.encode_segments([SEGMENT.findall(t[k[0] : k[1]]) if k else [] for (t, _), k in zip(chunks, cuts, strict=True)])
+        sums = np.concatenate([[0], np.cumsum(self.scores[inner])])[bounds]
+        out = []
+        for (text, size), k, middle in zip(chunks, cuts, np.diff(sums).tolist(), strict=True):
+            if k is None:
+                out.append(next(rest))
+                continue
+            first, last = k
+            column = np.full(s, NONE, np.int64)
+            tail = {first: 0}
+            for p in range(first - 1, -1, -1):
+                tail[p] = max((gain + tail[p + n] for n, _, gain in self._steps(text[:first], p) if p + n in tail), default=NONE)
+            for i in range(min(s, first + 1)):
+                column[i] = tail[i]
+            row = np.full(s, NONE, np.int64)
+            best, _ = self._forward(text, last, size)
+            for j in range(s):
+                row[j] = best.get(size + j, NONE)
+            out.append(np.maximum(column[:, None] + middle + row[None, :], NONE))
+        return out
+
+    def traces(self, chunks: list[tuple[str, int, int, int]]) -> list[list[int]]:
+        """Pieces of each chunk (text, size, state at its start, at its end)."""
+        cuts = [self.starts(t, n) for t, n, _, _ in chunks]
+        inner, bounds = self.memory.encode_segments([SEGMENT.findall(c[0][k[0] : k[1]]) if k else [] for c, k in zip(chunks, cuts, strict=True)])
+        out = []
+        for r, ((text, size, enter, leave), k) in enumerate(zip(chunks, cuts, strict=True)):
+            if k is None:
+                out.append(traced(self.v, text, size, enter, leave))
+                continue
+            first, last = k
+            _, back = self._forward(text[:first], enter, first)
+            ids = self._path(text, enter, first, back) + inner[bounds[r] : bounds[r + 1]].tolist()
+            _, back = self._forward(text, last, size)
+            out.append(ids + self._path(text, last, size + leave, back))
+        return out
+
+
+@lru_cache(maxsize=1)
+def kept_chunks(pieces: tuple[str, ...]) -> Chunks:
+    return Chunks(Pieces(list(pieces)))
+
+
 def _pack(k: pa.Array, texts: pa.Array, v: Pieces):
     for key, text in zip(k.to_pylist(), texts.to_pylist(), strict=True):
         full = normalised(text)
@@ -198,7 +316,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     schema = "doc_id long, ids array<int>, text_ok boolean"
 
     def whole(batches):
-        memory, decoder = encoder(v), Decoder(v)
+        memory, decoder = kept(tuple(v.pieces))
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -207,10 +325,11 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(ok)], names=["doc_id", "ids", "text_ok"])
 
     def matrix(batches):
+        chunks = kept_chunks(tuple(v.pieces))
         for batch in batches:
             for at in range(0, batch.num_rows, SIDE_BY_SIDE):
                 part = batch.slice(at, SIDE_BY_SIDE)
-                made = matrices(v, _texts(part))
+                made = chunks.matrices(_texts(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "i", "m"])
 
     def states(batches):
@@ -220,10 +339,11 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(path), pa.int64()), pa.array(range(len(path)), pa.int64()), pa.array([a for a, _ in path], pa.int32()), pa.array([b for _, b in path], pa.int32())], names=["k", "i", "enter", "leave"])
 
     def trace(batches):
+        chunks = kept_chunks(tuple(v.pieces))
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [traced(v, t, size, a, b) for (t, size), a, b in zip(_texts(part), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+            for at in range(0, batch.num_rows, SIDE_BY_SIDE):
+                part = batch.slice(at, SIDE_BY_SIDE)
+                ids = chunks.traces([(t, n, a, b) for (t, n), a, b in zip(_texts(part), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["k", "i", "ids"])
 
     def checked(batches):
@@ -250,4 +370,4 @@ def encoded(documents: DataFrame, model: str | None = None) -> DataFrame:
     return encode(documents, model).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_ok")
 
 
-__all__ = ["LITERAL", "SPACE", "Decoder", "decode", "edges", "encode", "encoded", "encoder", "matrices", "product", "traced"]
+__all__ = ["LITERAL", "SPACE", "Chunks", "Decoder", "decode", "edges", "encode", "encoded", "encoder", "matrices", "product", "traced"]

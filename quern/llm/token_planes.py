@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,11 @@ MAGIC = b"QTP1"
 #: The white space of the tokenizer's pattern.  A token never runs from other characters into white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Letters, and ASCII characters that are neither letters nor white space.  A token never runs from the
+#: former into the latter either, so texts that do not spell the special token are cut there too.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-@\[-`{-~"
+FINE = re.compile(f"[{WHITE}]*(?:[{MARKS}]*[{LETTERS}]+(?=[{MARKS}{WHITE}]|\\Z)|[^{WHITE}]+)|[{WHITE}]+")
+SPECIAL = "<|endoftext|>"
 NULL_ID = -(1 << 63)
 
 
@@ -51,12 +57,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def segments(text: str) -> list[str]:
+    return (SEGMENT if SPECIAL in text else FINE).findall(text)
+
+
+@lru_cache(maxsize=2)
 def tokenizer(path: str) -> Memo:
-    """The library's tokenizer; a text's tokens are those of its segments, one after another."""
+    """The library's tokenizer; a text's tokens are those of its segments, one after another.
+
+    A worker keeps it from task to task.
+    """
     from tokenizers import Tokenizer
 
     inner = Tokenizer.from_file(path)
-    return Memo(SEGMENT.findall, lambda texts: [x.ids for x in inner.encode_batch(texts, add_special_tokens=False)])
+
+    def make(texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in range(0, len(texts), 4096):
+            out += [x.ids for x in inner.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+        return out
+
+    return Memo(segments, make)
 
 
 def planes(ids: np.ndarray, width: int, bits: bool) -> list[bytes]:

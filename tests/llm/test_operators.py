@@ -256,6 +256,13 @@ def test_sentencepiece(spark, docs, nothing, monkeypatch):
         path = sentencepiece_scan.edges(sentencepiece_scan.matrices(v, chunks))
         ids = [i for (c, n), (a, b) in zip(chunks, path) for i in sentencepiece_scan.traced(v, c, n, a, b)]
         assert sentencepiece_scan.decode(ids, table) == t and total(v, table, ids) == viterbi(v, t)
+        quick = sentencepiece_scan.Chunks(v)
+        made = quick.matrices(chunks)
+        for (c, n), a, b in zip(chunks, made, sentencepiece_scan.matrices(v, chunks)):
+            reach = (quick.starts(c, n) or (v.longest, 0))[0] + 1  # no piece reaches over a segment's start
+            assert (np.maximum(a[:reach], -(1 << 59)) == np.maximum(b[:reach], -(1 << 59))).all()
+        ids = [i for x in quick.traces([(c, n, a, b) for (c, n), (a, b) in zip(chunks, sentencepiece_scan.edges(made))]) for i in x]
+        assert sentencepiece_scan.decode(ids, table) == t and total(v, table, ids) == viterbi(v, t)
     big = [(900, "word " * 9000), (901, "z" * 40_000), (901, "z" * 40_000)]
     d = docs.select("doc_id", "text").union(spark.createDataFrame(big, "doc_id long, text string"))
     rows = sentencepiece_scan.encoded(d).collect()
