@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.decontaminate import WORD, lowered
+from quern.llm.decontaminate import lowered, words_of
 
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -149,8 +149,8 @@ def _base(text: Column) -> dict[str, Column]:
     near = text.contains("license") | text.contains("cc")
     gated = F.when(near, text).otherwise(F.lit(""))
     count = F.regexp_count(gated, F.lit(any_phrase))
-    first = F.regexp_count(F.substring(gated, F.lit(1), F.regexp_instr(gated, F.lit(any_phrase)) - 1), F.lit(WORD))
-    last = F.regexp_count(F.regexp_extract(gated, f"(?s)^(.*)(?:{any_phrase})", 1), F.lit(WORD))
+    first = F.size(words_of(F.substring(gated, F.lit(1), F.regexp_instr(gated, F.lit(any_phrase)) - 1)))
+    last = F.size(words_of(F.regexp_extract(gated, f"(?s)^(.*)(?:{any_phrase})", 1)))
     found = F.array_compact(F.array(*(F.when(gated.rlike(_phrase(p)), F.lit(label)) for p, label in BASE.items())))
     return {"n_base": count, "first_word": F.when(count > 0, first), "last_word": F.when(count > 0, last), "base": found}
 
@@ -186,7 +186,7 @@ def license_scan(documents: DataFrame) -> DataFrame:
     found = detections(gated.dropDuplicates(["k"]).select("k", "t", "words"))
     found = found.groupBy("k").agg(F.collect_set("label").alias("found"), F.max("weight").alias("weight"))
     base = _base(F.col("t"))
-    out = rows.select("doc_id", "k", F.regexp_count("t", F.lit(WORD)).alias("n_words"), *(c.alias(n) for n, c in base.items())).join(found, "k", "left")
+    out = rows.select("doc_id", "k", F.size(words_of(F.col("t"))).alias("n_words"), *(c.alias(n) for n, c in base.items())).join(found, "k", "left")
     empty = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", empty)))
     score = F.greatest(F.coalesce("weight", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(BASE_WEIGHT)).otherwise(F.lit(0.0)))
