@@ -74,6 +74,15 @@ class Sequence:
         place = place + _SELECT[(free & U(0xFF)).astype(np.int64), np.clip(rest, 0, 7)]
         return np.where(k < 0, -1, place)
 
+    def _next_zero(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero, which is the first one from ``at`` on: most often in the same word."""
+        word = ~self.upper[at >> 6] >> (at & 63).astype(U)
+        out = at + np.bitwise_count((word & (~word + _ONE)) - _ONE)
+        far = np.flatnonzero(word == 0)
+        if len(far):
+            out[far] = self._zero(k[far])
+        return out
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is not in the sequence."""
         out = np.full(len(x), -1, np.int64)
@@ -82,17 +91,21 @@ class Sequence:
         h = x >> U(self.low)
         rows = np.flatnonzero(h <= U(self.top))
         h = h[rows].astype(np.int64)
-        start = self._zero(h - 1) + 1 - h
-        end = self._zero(h) - h
+        first = self._zero(h - 1) + 1
+        start, end = first - h, self._next_zero(first, h) - h
         want = x[rows] & ((_ONE << U(self.low)) - _ONE) if self.low else np.zeros(len(rows), U)
+        # values with the same high bits ascend by their low bits: halve the stretch, which is long in a dense range
+        stop = end.copy()
         live = np.flatnonzero(start < end)
         while len(live):
-            at = start[live]
-            got = self._low(at)
-            hit = got == want[live]
-            out[rows[live[hit]]] = at[hit]
-            start[live] += 1
-            live = live[~hit & (got < want[live]) & (start[live] < end[live])]
+            middle = (start[live] + end[live]) >> 1
+            less = self._low(middle) < want[live]
+            start[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[start[live] < end[live]]
+        here = np.flatnonzero(start < stop)
+        hit = here[self._low(start[here]) == want[here]]
+        out[rows[hit]] = start[hit]
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ these, in compressed planes, are shuffled to buckets whose number follows the nu
 of tokens.  Buckets are dealt by a hash of the whole n-gram, so a frequent context
 is spread over all of them.  Counts cover all training documents.
 
-Files lie in the shared folder, are written whole under a name that a repeated task
+A context's remainder is a byte by its rank.  Files lie in the shared folder, are written whole under a name that a repeated task
 writes again, and so survive lost executors.
 
 Defined results: null and empty texts have one token, their end; with no training
@@ -44,6 +44,10 @@ SIGN = U(1 << 63)
 DISCOUNT, STEPS = 0.75, 32
 FLUSH = 2_000_000
 PER_BUCKET = 4_000_000
+#: Bytes of text taken together: equal n-grams in it are looked up once.
+WIDE = 4 << 20
+#: Contexts whose remainders stand in one file.
+REST_BITS = 22
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +108,25 @@ class Level:
         return found, back, ranks
 
 
+class Rests:
+    """What each context leaves over, a byte each by its rank; 0, that is everything, where nothing follows it."""
+
+    def __init__(self, parts: dict[int, str]):
+        self.parts, self.files = parts, {}
+
+    def values(self, ranks: np.ndarray) -> np.ndarray:
+        """For each rank, in any order."""
+        out = np.zeros(len(ranks), np.uint8)
+        block = ranks >> REST_BITS
+        for b in np.unique(block).tolist():
+            if b in self.parts:
+                if b not in self.files:
+                    self.files[b] = sharedfiles.load(self.parts[b])["p"]
+                here = np.flatnonzero(block == b)
+                out[here] = self.files[b][ranks[here] & ((1 << REST_BITS) - 1)]
+        return out
+
+
 def _levels(directory):
     return [Level(p) for p in directory]
 
@@ -157,7 +180,7 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     for batch in batches:
-        for i, j in slices(batch.column(0)):
+        for i, j in slices(batch.column(0), WIDE):
             k, c = np.unique(tokens(batch.column(0).slice(i, j - i))[0], return_counts=True)
             keys.append(k)
             counts.append(c.astype(np.int64))
@@ -188,7 +211,7 @@ def _count_grams(directory, bits: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array(deltas, pa.binary()), pa.array(times, pa.binary())], names=["bucket", "keys", "counts"])
 
         for batch in batches:
-            for i, j in slices(batch.column(0)):
+            for i, j in slices(batch.column(0), WIDE):
                 hashes, bounds = tokens(batch.column(0).slice(i, j - i))
                 ranks = _ranks(hashes, bounds, levels, bits)
                 context = _context(ranks[-1], bounds, ranks[0], len(levels) + 1)
@@ -233,6 +256,19 @@ def _written(rows: DataFrame, root: str, values) -> list[tuple[int, int, str]]:
     return [(int(np.array([r["first"]], np.int64).view(U)[0] ^ SIGN), r["n"], r["uri"]) for r in made.orderBy("first").collect()]  # one row a file
 
 
+def _rest(below, root: str):
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["context"].to_numpy(), kind="stable")
+        context, s = table["context"].to_numpy()[order], table["s"].to_numpy()[order]
+        block = int(context[0]) >> REST_BITS
+        held = np.zeros(1 << REST_BITS, np.uint8)
+        held[context & ((1 << REST_BITS) - 1)] = _quantised(1 - s / Level(below).values("count", context))
+        sharedfiles.save(f"{root}/{block}.bin", {"p": held})
+        return pa.table({"block": pa.array([block], pa.int64()), "uri": [f"{root}/{block}.bin"]})
+
+    return run
+
+
 def _quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-np.log10(np.maximum(p, 1e-30)) * STEPS), 0, 255).astype(np.uint8)
 
@@ -269,13 +305,11 @@ def train(texts: DataFrame, order: int = 3, least: int = 2) -> Trie:
             c = t["c"].to_numpy()
             return {"count": _counts(t), "p": _quantised((c - DISCOUNT) / Level(below[-1]).values("count", context))}
 
-        def rest(keys, t, below=below):
-            return {"p": _quantised(1 - t["s"].to_numpy() / Level(below[-1]).values("count", keys.astype(np.int64)))}
-
         flip = F.lit(-(1 << 63))
         context = F.shiftrightunsigned(F.col("k").bitwiseXOR(flip), bits)
         sums = kept.groupBy(context.alias("context")).agg((F.sum("c") - F.count("*") * DISCOUNT).alias("s"))
-        trie.rests.append(_written(sums.select(F.col("context").bitwiseXOR(flip).alias("k"), "s"), f"{root}/rest{n}", rest))
+        files = sums.groupBy(F.shiftright("context", REST_BITS).alias("block")).applyInArrow(_rest(below[-1], f"{root}/rest{n}"), "block long, uri string")
+        trie.rests.append({r["block"]: r["uri"] for r in files.collect()})  # one row a file
         trie.levels.append(_written(kept, f"{root}/{n}", share))
         discard(kept)
     return trie
@@ -286,17 +320,17 @@ def _counts(t: pa.Table) -> np.ndarray:
     return c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c.astype(np.uint64)
 
 
-def _values(level: Level, found: np.ndarray, back: np.ndarray, ok: np.ndarray, name: str, empty: float) -> np.ndarray:
-    """Probabilities by row from quantised values of distinct keys."""
+def _values(level: Level, found: np.ndarray, back: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Probabilities by row from quantised values of distinct keys; 0 without an entry."""
     hit = found >= 0
-    p = np.full(len(found), empty)
-    p[hit] = 10.0 ** (-level.values(name, found[hit]) / STEPS)
-    out = np.full(len(ok), empty)
+    p = np.zeros(len(found))
+    p[hit] = 10.0 ** (-level.values("p", found[hit]) / STEPS)
+    out = np.zeros(len(ok))
     out[ok] = p[back]
     return out
 
 
-def score(texts: pa.Array, levels: list[Level], rests: list[Level], total: int, distinct: int, bits: int):
+def score(texts: pa.Array, levels: list[Level], rests: list[Rests], total: int, distinct: int, bits: int):
     """(tokens, known tokens, base score, score) of each text."""
     hashes, bounds = tokens(texts)
     found, back, ids = levels[0].looked_up(hashes ^ SIGN, np.ones(len(hashes), bool))
@@ -311,11 +345,10 @@ def score(texts: pa.Array, levels: list[Level], rests: list[Level], total: int,
     for n, (level, left) in enumerate(zip(levels[1:], rests, strict=True), 2):
         context = _context(ranks, bounds, ids, n)
         ok = context >= 0
-        got, where, _ = left.looked_up(context.astype(U), ok)
-        p = p * _values(left, got, where, ok, "p", 1.0)
+        p[ok] *= 10.0 ** (-left.values(context[ok]).astype(float) / STEPS)
         ok &= ids >= 0
         got, where, ranks = level.looked_up(_key(context, ids, bits), ok)
-        p = p + _values(level, got, where, ok, "p", 0.0)
+        p = p + _values(level, got, where, ok)
     return np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), at), base, np.add.reduceat(np.log10(p), at)
 
 
@@ -327,9 +360,9 @@ def scored(documents: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     levels, rests, total, distinct, bits = trie.levels, trie.rests, trie.total, trie.distinct, trie.bits
 
     def run(batches):
-        opened, left = _levels(levels), _levels(rests)
+        opened, left = _levels(levels), [Rests(x) for x in rests]
         for batch in batches:
-            for i, j in slices(batch.column(2)):
+            for i, j in slices(batch.column(2), WIDE):
                 part = batch.slice(i, j - i)
                 n, known, base, model = score(part.column(2), opened, left, total, distinct, bits)
                 yield pa.RecordBatch.from_arrays(

@@ -55,7 +55,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
             while piece := f.read(1 << 24):
                 copy.write(piece)
         path = copy.name
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     if _local(uri) is None:
         os.unlink(path)
     n = int(raw[:8].view("<u8")[0])
