@@ -181,8 +181,9 @@ def detections(texts: DataFrame) -> DataFrame:
 
 def license_scan(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per document."""
-    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), lowered(F.col("text")).alias("t"))
-    gated = rows.withColumn("words", keywords(F.col("t"))).where(F.size("words") > 0)
+    # the partition's number keeps Spark from moving filters below this step, where each would lower the text anew
+    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), lowered(F.col("text")).alias("t"), F.spark_partition_id().alias("part"))
+    gated = rows.withColumn("words", keywords(F.col("t"))).where("part >= 0 and size(words) > 0")
     found = detections(gated.dropDuplicates(["k"]).select("k", "t", "words"))
     found = found.groupBy("k").agg(F.collect_set("label").alias("found"), F.max("weight").alias("weight"))
     base = _base(F.col("t"))
