@@ -22,6 +22,7 @@ lang, source and doc_id are no inputs of a prediction; other columns do not matt
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -168,17 +169,18 @@ def fit(labelled: DataFrame, path: str | None = None, sample: int = 6000) -> Mod
 
 
 class Known:
-    """Log likelihoods of words by hash; beyond ``FORGET`` words all are forgotten."""
+    """Log likelihoods of words by hash; beyond ``FORGET`` words those used least are forgotten."""
 
     def __init__(self, v: Pieces, weights: np.ndarray):
         self.v, self.weights = v, weights
-        self.keys, self.values = np.empty(0, U), np.empty((0, weights.shape[1]))
+        self.keys, self.values, self.uses = np.empty(0, U), np.empty((0, weights.shape[1])), np.empty(0, np.int64)
 
     def __call__(self, words: Words) -> np.ndarray:
         """[word, language]"""
-        distinct, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        distinct, first, back, times = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
         if len(self.keys) > FORGET:
-            self.keys, self.values = self.keys[:0], self.values[:0]
+            kept = np.sort(np.argsort(-self.uses, kind="stable")[: FORGET // 3])
+            self.keys, self.values, self.uses = self.keys[kept], self.values[kept], self.uses[kept] // 2
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
@@ -188,10 +190,24 @@ class Known:
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
             self.keys, self.values = keys[order], np.concatenate([self.values, made])[order]
+            self.uses = np.concatenate([self.uses, np.zeros(len(made), np.int64)])[order]
             at = np.searchsorted(self.keys, distinct)
+        self.uses[at] += times
         return self.values[at][back]
 
 
+_KEPT: dict[str, Known] = {}
+
+
+def _kept(name: str, pieces: list[str], p: np.ndarray) -> Known:
+    """The model's words, which a worker keeps from task to task."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        v = Pieces(pieces)
+        _KEPT[name] = Known(v, _weights(v, p))
+    return _KEPT[name]
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     raw, offsets = views(texts)
     sums = np.concatenate([[0], np.cumsum(_LETTERS[raw])])
@@ -204,11 +220,10 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
     languages, p, path = model.languages, model.p, model.path
-    pieces = load(path).pieces
+    pieces, name = load(path).pieces, uuid.uuid4().hex
 
     def run(batches):
-        v = Pieces(pieces)
-        known = Known(v, _weights(v, p))
+        known = _kept(name, pieces, p)
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 texts = batch.column(1).slice(i, j - i)

@@ -59,8 +59,10 @@ class Pieces:
         h = Substrings(cps).hash(starts[:-1], np.diff(starts))
         order = np.argsort(h)
         self.hash, self.ids = h[order], plain[order]
-        self.filter = np.zeros(1 << BITS, bool)
-        self.filter[(h >> U(64 - BITS)).astype(np.int64)] = True
+        #: By the first bits of a hash: its place among the sorted ones, -1 for none, -2 where several share them.
+        slot, first, times = np.unique((self.hash >> U(64 - BITS)).astype(np.int64), return_index=True, return_counts=True)
+        self.slots = np.full(1 << BITS, -1, np.int32)
+        self.slots[slot] = np.where(times == 1, first, -2)
 
     def lookup(self, cps: np.ndarray, room: np.ndarray) -> np.ndarray:
         """ids[l - 1, i]: the piece of l characters at i, or -1; room[i]: characters from i to the segment's end."""
@@ -69,10 +71,13 @@ class Pieces:
         for length in range(1, self.longest + 1):
             at = np.flatnonzero(room >= length)
             h = subs.hash(at, length)
-            maybe = np.flatnonzero(self.filter[(h >> U(64 - BITS)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(self.hash, h[maybe]), len(self.hash) - 1)
-            hit = self.hash[k] == h[maybe]
-            out[length - 1, at[maybe[hit]]] = self.ids[k[hit]]
+            k = self.slots[(h >> U(64 - BITS)).astype(np.int64)]
+            some = np.flatnonzero(k != -1)
+            h, k = h[some], k[some].astype(np.int64)
+            shared = np.flatnonzero(k == -2)
+            k[shared] = np.minimum(np.searchsorted(self.hash, h[shared]), len(self.hash) - 1)
+            hit = self.hash[k] == h
+            out[length - 1, at[some[hit]]] = self.ids[k[hit]]
         return out
 
 
