@@ -108,6 +108,13 @@ def test_jaccard_edges(odd, nothing, docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in roots.items() if i == r}
 
 
+def test_jaccard_null_ids(spark):
+    words = " ".join(f"x{i}" for i in range(100))
+    rows = [(None, words), (7, words + " y"), (None, "other text of none"), (8, words + " y z")]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 7), (7, 7), (None, None), (8, 7)], key=str)
+
+
 def test_count_tree_bound():
     rng = np.random.default_rng(2)
     points = rng.integers(0, 6, (300, jaccard_join.GROUPS)).astype(np.uint16)
