@@ -152,18 +152,20 @@ def _features(batches):
             )
 
 
-def _ratio(counts, totals: tuple[int, int], base: int, bits: int, gate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bins whose document frequencies differ by ``gate`` standard errors, and their log ratios."""
+def _significant(bins: DataFrame, bad: str, totals: tuple[int, int], low: int, bits: int, gate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bins (from ``low`` on) whose document frequencies differ by ``gate`` standard errors, and their log ratios.
+
+    The driver gets these bins only.
+    """
     n_good, n_bad = totals
-    sel = (counts["bin"] >= base) & (counts["bin"] < base + (1 << bits))
-    b, good, bad = (counts[c][sel].to_numpy() for c in ("bin", "good", "bad"))
-    if not len(b) or not n_good or not n_bad:
+    if not n_good or not n_bad:
         return np.empty(0, np.int64), np.empty(0)
     share = n_bad / (n_good + n_bad)
-    expected = (good + bad) * share
-    keep = np.abs(bad - expected) >= gate * np.sqrt(np.maximum(expected * (1 - share), 1e-9))
-    ratio = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
-    return b[keep] - base, ratio[keep]
+    expected = (F.col("good") + F.col(bad)) * share
+    differs = F.abs(F.col(bad) - expected) >= gate * F.sqrt(F.greatest(expected * (1 - share), F.lit(1e-9)))
+    rows = bins.where(F.col("bin").between(low, low + (1 << bits) - 1) & differs).select("bin", "good", bad).orderBy("bin").collect()
+    b, good, wrong = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    return b - low, np.log((good + 1) / (n_good + 2)) - np.log((wrong + 1) / (n_bad + 2))
 
 
 def _threshold(score: np.ndarray, good: np.ndarray) -> float:
@@ -197,13 +199,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 24_000, form_gate
     n = {r["kind"]: r["count"] for r in train.groupBy("kind").count().collect()}
     count = lambda k: F.sum((F.col("kind") == k).cast("int"))
     bins = train.select("kind", F.explode("bins").alias("bin")).groupBy("bin").agg(count(0).alias("good"), count(1).alias("low"), count(2).alias("toxic"))
-    counts = bins.where("low + toxic > 0").toPandas()  # at most one row for each of the fixed number of bins
-    unseen = bins.where("low + toxic = 0 and good >= 20").toPandas()
-    import pandas as pd
-
-    counts = pd.concat([counts, unseen], ignore_index=True)
-    fb, fw = _ratio(counts.assign(bad=counts["low"]), (n.get(0, 0), n.get(1, 0)), 1 << CONTENT_BITS, FORM_BITS, form_gate)
-    cb, cw = _ratio(counts.assign(bad=counts["toxic"]), (n.get(0, 0), n.get(2, 0)), 0, CONTENT_BITS, content_gate)
+    bins = materialize(bins, "bins")
+    fb, fw = _significant(bins, "low", (n.get(0, 0), n.get(1, 0)), 1 << CONTENT_BITS, FORM_BITS, form_gate)
+    cb, cw = _significant(bins, "toxic", (n.get(0, 0), n.get(2, 0)), 0, CONTENT_BITS, content_gate)
     raw = Model(Ratio(fb, fw, 0.0), Ratio(cb, cw, 0.0))
 
     def score(batches):
@@ -216,10 +214,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 24_000, form_gate
                 f.append(wf[v[v >= 1 << CONTENT_BITS] - (1 << CONTENT_BITS)].sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.float64()), pa.array(c, pa.float64())], names=["kind", "f", "c"])
 
-    seen = rows.where(held).select("kind", "bins").mapInArrow(score, "kind int, f double, c double").toPandas()  # at most `sample` rows
-    good = (seen["kind"] == 0).to_numpy()
-    low, toxic = (seen["kind"] == 1).to_numpy(), (seen["kind"] == 2).to_numpy()
-    f, c = seen["f"].to_numpy(float), seen["c"].to_numpy(float)
+    seen = rows.where(held).select("kind", "bins").mapInArrow(score, "kind int, f double, c double").collect()  # at most `sample` rows
+    kinds, f, c = (np.array([r[k] for r in seen], float) for k in range(3))
+    good, low, toxic = kinds == 0, kinds == 1, kinds == 2
     return Model(Ratio(fb, fw, _threshold(f[good | low], good[good | low])), Ratio(cb, cw, _threshold(c[good | toxic], good[good | toxic])))
 
 
