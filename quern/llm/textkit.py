@@ -8,6 +8,7 @@ single word), not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,10 @@ def views(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about ``limit`` bytes; one row at least."""
+    """Ranges of rows whose texts hold about ``limit`` bytes; one row at least.
+
+    At the end what the arrays of the ranges took goes back to the system.
+    """
     _, offsets = views(column)
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -81,6 +85,14 @@ def slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         j = min(n, max(j, i + 1))
         yield i, j
         i = j
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; a worker would keep it otherwise."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 class Words:
