@@ -9,9 +9,9 @@ Levels are cut by key ranges into files of flat arrays, which scoring tasks map
 into memory; values are quantised to bytes (a 32nd of a decimal order).
 
 Probabilities are smoothed by interpolated absolute discounting over the entries
-that are kept (``least`` occurrences or more): an n-gram's discounted share of its
-context, plus what the context leaves over times the probability one order lower;
-level 1 adds one to each count, and one for the unknown.
+that are kept (``least`` occurrences or more; the query keeps all): an n-gram's
+discounted share of its context, plus what the context leaves over times the
+probability one order lower; level 1 adds one to each count, and one for the unknown.
 
 Counting: tasks reduce their own n-grams to sorted distinct keys, and only deltas of
 these, in compressed planes, are shuffled to buckets whose number follows the number
@@ -300,10 +300,11 @@ def train(texts: DataFrame, order: int = 3, least: int = 2) -> Trie:
         grams = texts.mapInArrow(_count_grams(below, bits, buckets), "bucket long, keys binary, counts binary")
         kept = materialize(grams.groupBy("bucket").applyInArrow(_kept(least), "k long, c long"), "grams")
 
-        def share(keys, t, below=below):
+        def share(keys, t, below=below, last=n == order):
             context = (keys >> U(bits)).astype(np.int64)
-            c = t["c"].to_numpy()
-            return {"count": _counts(t), "p": _quantised((c - DISCOUNT) / Level(below[-1]).values("count", context))}
+            p = {"p": _quantised((t["c"].to_numpy() - DISCOUNT) / Level(below[-1]).values("count", context))}
+            # the last level is nothing's context
+            return p if last else p | {"count": _counts(t)}
 
         flip = F.lit(-(1 << 63))
         context = F.shiftrightunsigned(F.col("k").bitwiseXOR(flip), bits)

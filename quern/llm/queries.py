@@ -57,7 +57,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"))
+    """All n-grams of the training texts count, also those that occur once."""
+    return scored(table(spark, sf_dir, "documents"), least=1)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
