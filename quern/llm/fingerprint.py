@@ -1,13 +1,15 @@
 """Operator 10: document fingerprints by a threshold-scaled sketch.
 
 A sketch keeps every hash of a text's distinct five-word shingles that lies below a
-fixed fraction of the hash range.  Sketches of parts merge by union into the sketch
-of the whole, and since the threshold is the same for all, shares of common hashes
-estimate containment and likeness even between very unequal texts.
+fixed fraction of the hash range; of a text with at most ``WHOLE`` shingles it keeps all.
+Sketches of parts merge by union into the sketch of the whole, and since the threshold
+is the same for all, shares of common hashes estimate containment and likeness even
+between very unequal texts.  Two texts that keep all are compared exactly, all others
+by what both keep below the threshold.
 
 A fingerprint is written as ``shingles:digest:hashes``: the number of distinct
 shingles, a digest of the whole set, and the kept hashes in order (ten hex digits
-each).  Where neither text keeps a hash, likeness is 1 for equal digests, else 0.
+each).  Where no hash is left to compare, likeness is 1 for equal digests, else 0.
 
 Each text is held against an edited text (its last third replaced by the beginning
 of the next document's) and against the next document, in descending doc_id order;
@@ -34,17 +36,20 @@ from quern.llm.textkit import U, Words, shingles, slices
 from quern.scratch import materialize
 
 FRACTION = 8
+WHOLE = 256
 DIGITS = 10
 
 
 def fingerprints(texts: pa.Array, width: int = 5, fraction: int = FRACTION) -> list[str]:
-    limit = U((1 << 64) // fraction - 1)
+    mask = U((1 << 4 * DIGITS) - 1)
+    limit = U((1 << 4 * DIGITS) // fraction - 1)
     out = []
     for i, j in slices(texts):
         h, bounds = shingles(Words(texts.slice(i, j - i)), width)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             u = np.unique(h[a:b])
-            kept = (u[u <= limit] & U((1 << 4 * DIGITS) - 1)).tolist()
+            kept = np.unique(u & mask)
+            kept = (kept if len(u) <= WHOLE else kept[kept <= limit]).tolist()
             out.append(f"{len(u)}:{xxhash.xxh3_64_hexdigest(u.tobytes())}:" + "".join(f"{x:0{DIGITS}x}" for x in kept))
     return out
 
@@ -54,10 +59,24 @@ def _parts(fingerprint: str) -> tuple[int, str, frozenset[str]]:
     return int(n), digest, frozenset(kept[k : k + DIGITS] for k in range(0, len(kept), DIGITS))
 
 
+def _below(kept: frozenset[str]) -> frozenset[str]:
+    """The hashes that a sketch of a longer text would keep too."""
+    limit = f"{(1 << 4 * DIGITS) // FRACTION - 1:0{DIGITS}x}"
+    return frozenset(x for x in kept if x <= limit)
+
+
+def _comparable(a: str, b: str) -> tuple[bool, frozenset[str], frozenset[str]]:
+    """(whether digests are equal, hashes of each): all if both keep all, else those below the threshold."""
+    (na, da, ka), (nb, db, kb) = _parts(a), _parts(b)
+    if (na <= WHOLE) != (nb <= WHOLE):
+        ka, kb = _below(ka), _below(kb)
+    return da == db, ka, kb
+
+
 def likeness(a: str, b: str) -> float:
     """Estimated share of common shingles in all of both."""
-    (_, da, ka), (_, db, kb) = _parts(a), _parts(b)
-    if da == db:
+    same, ka, kb = _comparable(a, b)
+    if same:
         return 1.0
     both = len(ka | kb)
     return len(ka & kb) / both if both else 0.0
@@ -65,16 +84,21 @@ def likeness(a: str, b: str) -> float:
 
 def containment(a: str, b: str) -> float:
     """Estimated share of a's shingles that b has."""
-    (na, da, ka), (_, db, kb) = _parts(a), _parts(b)
-    if da == db:
+    same, ka, kb = _comparable(a, b)
+    if same:
         return 1.0
     return len(ka & kb) / len(ka) if ka else 0.0
 
 
 def merged(a: str, b: str) -> str:
-    """Kept hashes of the union of two texts' shingles; the number of shingles is an estimate."""
-    kept = sorted(_parts(a)[2] | _parts(b)[2])
-    return f"{len(kept) * FRACTION}:{xxhash.xxh3_64_hexdigest(''.join(kept))}:" + "".join(kept)
+    """Kept hashes of the union of two texts' shingles; the number of shingles is exact if all are kept, else an estimate."""
+    (na, _, ka), (nb, _, kb) = _parts(a), _parts(b)
+    kept, n = ka | kb, len(ka | kb)
+    if max(na, nb, n) > WHOLE:
+        kept = _below(kept)
+        n = max(na, nb, WHOLE + 1, len(kept) * FRACTION)
+    kept = sorted(kept)
+    return f"{n}:{xxhash.xxh3_64_hexdigest(''.join(kept))}:" + "".join(kept)
 
 
 def edited(text: str, following: str) -> str:
