@@ -8,8 +8,8 @@ over its words.  The prediction is the language under which the text is likelies
 
 Probabilities are fitted by expectation maximisation with forward-backward counts
 over all segmentations, smoothed towards the vocabulary's rank law.  Fitting takes a
-bounded sample: at most ``sample`` labelled documents, the first by a hash of doc_id;
-what tasks return is one count per piece and language.
+bounded sample: of each language at most ``sample`` labelled documents, the first by a
+hash of doc_id; what tasks return is one count per piece and language.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case,
 each with a ``▁`` in front; longer ones than ``LONGEST`` are taken in parts of that.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.lattice import SPACE, Batch, Pieces, default_model, load
@@ -40,6 +40,7 @@ PRIOR = 2000.0
 #: Keeps products of probabilities within range; every character brings it once.
 BOOST = 12.0
 FORGET = 400_000
+SHARES = 64
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = True
 _ANY = re.compile(r"[^\W\d_]")
@@ -132,11 +133,16 @@ def _rank_law(v: Pieces) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, path: str | None = None, sample: int = 6000) -> Model:
-    """Model of the languages in (doc_id, text, lang); at most ``sample`` documents are used."""
+    """Model of the languages in (doc_id, text, lang); at most ``sample`` documents of each are used."""
     path = path or default_model()
     v = load(path)
-    chosen = labelled.where("lang is not null").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    # at most `sample` rows
+    chosen = labelled.where("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    chosen = chosen.withColumn("share", F.pmod("h", F.lit(SHARES)))
+    # first within shares, so that no task sorts the whole of a frequent language
+    for keys in (("lang", "share"), ("lang",)):
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= sample)
+    chosen = chosen.select("doc_id", "lang")
+    # at most `sample` rows a language
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.dropDuplicates()), ["doc_id", "lang"], "left_semi")
     rows = materialize(rows.select("lang", "text"), "sample")
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
