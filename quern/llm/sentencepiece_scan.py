@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,16 @@ SIDE_BY_SIDE = 48
 
 
 def encoder(vocabulary: Pieces) -> Memo:
-    def make(texts: list[str]) -> list[list[int]]:
+    def make(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(texts)
         short = [k for k, t in enumerate(texts) if len(t) <= 64]
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
             for k, ids in zip(part, Batch(vocabulary, [texts[k] for k in part]).best(), strict=True):
                 out[k] = ids
-        return [x if x is not None else Batch(vocabulary, [t]).best()[0] for x, t in zip(out, texts, strict=True)]
+        out = [x if x is not None else Batch(vocabulary, [t]).best()[0] for x, t in zip(out, texts, strict=True)]
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int32, int(n.sum())), n
 
     return Memo(segments, make)
 

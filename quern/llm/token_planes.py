@@ -20,13 +20,14 @@ repeated ids are ordered by text; other columns do not matter.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,20 +35,23 @@ from pyspark.sql import functions as F
 
 from quern.llm.memo import Memo
 from quern.llm.sized import small
-from quern.llm.textkit import slices
+from quern.llm.textkit import slices, views
 from quern.scratch import new_path
 
 BLOCK, CHUNK, LEVEL = 16_384, 1 << 20, 3
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
 HEAD = struct.Struct("<4sBBHIIQ")
 MAGIC = b"QTP1"
-#: The white space of the tokenizer's pattern.  A token never runs from other characters into white space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Letters, and ASCII characters that are neither letters nor white space.  A token never runs from the
-#: former into the latter either, so texts that do not spell the special token are cut there too.
-LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-@\[-`{-~"
-FINE = re.compile(f"[{WHITE}]*(?:[{MARKS}]*[{LETTERS}]+(?=[{MARKS}{WHITE}]|\\Z)|[^{WHITE}]+)|[{WHITE}]+")
-SPECIAL = "<|endoftext|>"
+#: Kinds of bytes: white space, ASCII characters that are neither letters nor white space, letters, continuations, others.
+_WHITE, _MARK, _LETTER, _REST = 1, 2, 3, 4
+KIND = np.zeros(256, np.uint8)
+KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _WHITE
+KIND[0x21:0x7F] = _MARK
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = _LETTER
+KIND[0x80:0xC0] = _REST
+#: White space beyond ASCII, in UTF-8.
+WIDE_SPACES = frozenset(c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 NULL_ID = -(1 << 63)
 
 
@@ -57,27 +61,109 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def segments(text: str) -> list[str]:
-    return (SEGMENT if SPECIAL in text else FINE).findall(text)
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Places where a segment may start: no token of byte-level BPE runs over them.
 
+    A run of white space starts there, or a mark stands there after a letter.  Letters beyond ASCII count as such up to
+    U+024F, white space beyond ASCII is looked at where it matters.
+    """
+    if len(raw) < 2:
+        return np.empty(0, np.int64)
+    kind = KIND[raw]
+    now, before = kind[1:], kind[:-1]
+    plain = ((now == _WHITE) & (before != _WHITE) & (before != _REST)) | ((now == _MARK) & (before == _LETTER))
+    wide = np.flatnonzero((before == _REST) & ((now == _WHITE) | (now == _MARK))) + 1
+    if len(wide):
+        last, lead = raw[wide - 1], raw[wide - 2]
+        three = np.where(wide >= 3, raw[wide - 3], 0)
+        two = (lead.astype(np.int64) << 8) | last
+        is_space = np.isin(two, [int.from_bytes(x, "big") for x in WIDE_SPACES if len(x) == 2])
+        is_space |= np.isin((three.astype(np.int64) << 16) | two, [int.from_bytes(x, "big") for x in WIDE_SPACES if len(x) == 3])
+        letter = ((lead >= 0xC3) & (lead <= 0xC8) & (two != 0xC397) & (two != 0xC3B7)) | ((lead == 0xC9) & (last <= 0x8F))
+        mark = now[wide - 1] == _MARK
+        plain[wide[np.where(mark, letter, ~is_space)] - 1] = True
+    return np.flatnonzero(plain) + 1
+
+
+def _cuttable(path: str) -> str | None:
+    """The token that may stand between segments, if the tokenizer is byte-level BPE of the usual pattern and has one."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    split, model = made.get("pre_tokenizer") or {}, made["model"]
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and made.get("normalizer") is None
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+    added = [t["content"] for t in made.get("added_tokens", [])]
+    single = len(added) == 1 and not any(made["added_tokens"][0].get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return added[0] if usual and plain and single else None
+
+
+class Coder:
+    """The library's tokenizer.  A text's ids are those of its segments (see ``cuts``), each distinct one encoded once.
+
+    Fresh segments are encoded as one text with the special token between them, at which the library splits first.  A
+    text that spells that token itself is one segment, and so is every text if the tokenizer's pattern is another one.
+    """
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Memo:
-    """The library's tokenizer; a text's tokens are those of its segments, one after another.
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    A worker keeps it from task to task.
-    """
-    from tokenizers import Tokenizer
+        self.inner, self.between = Tokenizer.from_file(path), _cuttable(path)
+        self.end = self.inner.token_to_id(self.between) if self.between else None
+        self.memo = Memo(lambda text: [text], self._make, 600_000)
 
-    inner = Tokenizer.from_file(path)
+    def _make(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes, n = [], np.zeros(len(texts), np.int64)
+        held: list[int] = []
+        size = 0
+
+        def flush():
+            ids = self._ids(self.between.join([texts[k] for k in held]))
+            stops = np.flatnonzero(np.append(ids, self.end) == self.end)
+            n[held] = np.diff(stops, prepend=-1) - 1
+            codes.append(ids[ids != self.end])
+
+        for k, text in enumerate(texts):
+            if self.between is None or self.between in text:
+                if held:
+                    flush()
+                    held, size = [], 0
+                codes.append(self._ids(text))
+                n[k] = len(codes[-1])
+                continue
+            held.append(k)
+            size += len(text)
+            if size > 1 << 16:
+                flush()
+                held, size = [], 0
+        if held:
+            flush()
+        return np.concatenate(codes) if codes else np.empty(0, np.int32), n
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): those of text r at bounds[r]:bounds[r + 1]; null has none."""
+        raw, offsets = views(texts)
+        first = np.zeros(len(raw) + 1, bool)
+        if self.between:
+            first[cuts(raw)] = True
+            whole = pc.fill_null(pc.match_substring(texts, self.between), False).to_numpy(zero_copy_only=False)
+            for r in np.flatnonzero(whole).tolist():
+                first[offsets[r] : offsets[r + 1]] = False
+        first[offsets[:-1]] = True
+        starts = np.flatnonzero(first[:-1])
+        n = np.diff(np.searchsorted(starts, offsets))
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(len(n) + 1, np.int64)
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        return self.memo.encode_array(found.dictionary_encode(), n)
 
-    def make(texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for k in range(0, len(texts), 4096):
-            out += [x.ids for x in inner.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-        return out
 
-    return Memo(segments, make)
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Coder:
+    """A worker keeps it from task to task."""
+    return Coder(path)
 
 
 def planes(ids: np.ndarray, width: int, bits: bool) -> list[bytes]:
@@ -139,9 +225,9 @@ def write(documents: DataFrame, path: str, tokenizer_path: str | None = None, en
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "n_docs": pa.array([len(d)], pa.int64()), "n_ids": pa.array([len(i)], pa.int64()), "payload": pa.array([pack(d, c, i, bits)], pa.binary())})
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 part = batch.slice(a, b - a)
-                found, bounds = coder.encode(part.column(1).to_pylist())
+                found, bounds = coder.encode(part.column(1))
                 n = np.diff(bounds)
                 out = np.full(len(found) + len(n), end_id, np.uint32)
                 mask = np.ones(len(out), bool)

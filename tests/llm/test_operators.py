@@ -216,7 +216,7 @@ def test_token_planes(spark, docs, odd, nothing):
     coder, rng = token_planes.tokenizer(token_planes.default_tokenizer()), random.Random(3)
     for _ in range(400):
         t = "".join(rng.choice([" ", "  ", "\n", "\x1c", " ", "\x85", "a", "the", "é", "'s", "!", "<|endoftext|>", "12", "\t", "​", "日"]) for _ in range(rng.randrange(30)))
-        assert coder.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert coder.encode(pa.array([t]))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
     ids = np.arange(40_000, dtype=np.uint32) * 7919 % 50257
     for bits in (False, True):
         d, c, back = token_planes.unpack(token_planes.pack(np.array([5, 6]), np.array([10, 39_990]), ids, bits))
