@@ -149,7 +149,7 @@ def _base(text: Column) -> dict[str, Column]:
     near = text.contains("license") | text.contains("cc")
     gated = F.when(near, text).otherwise(F.lit(""))
     count = F.regexp_count(gated, F.lit(any_phrase))
-    first = F.size(words_of(F.substring(gated, F.lit(1), F.regexp_instr(gated, F.lit(any_phrase)) - 1)))
+    first = F.size(words_of(F.split(gated, any_phrase, 2)[0]))
     last = F.size(words_of(F.regexp_extract(gated, f"(?s)^(.*)(?:{any_phrase})", 1)))
     found = F.array_compact(F.array(*(F.when(gated.rlike(_phrase(p)), F.lit(label)) for p, label in BASE.items())))
     return {"n_base": count, "first_word": F.when(count > 0, first), "last_word": F.when(count > 0, last), "base": found}
@@ -182,7 +182,7 @@ def detections(texts: DataFrame) -> DataFrame:
 def license_scan(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per document."""
     # the partition's number keeps Spark from moving filters below this step, where each would lower the text anew
-    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), lowered(F.col("text")).alias("t"), F.spark_partition_id().alias("part"))
+    rows = documents.select("doc_id", F.struct(F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")).alias("k"), lowered(F.col("text")).alias("t"), F.spark_partition_id().alias("part"))
     gated = rows.withColumn("words", keywords(F.col("t"))).where("part >= 0 and size(words) > 0")
     found = detections(gated.dropDuplicates(["k"]).select("k", "t", "words"))
     found = found.groupBy("k").agg(F.collect_set("label").alias("found"), F.max("weight").alias("weight"))
