@@ -12,7 +12,10 @@ bounded sample: of each language at most ``sample`` labelled documents, the firs
 hash of doc_id; what tasks return is one count per piece and language.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case,
-each with a ``▁`` in front; longer ones than ``LONGEST`` are taken in parts of that.
+each with a ``▁`` in front.  Words of up to ``LONGEST`` characters go through the forward
+pass side by side, longer ones one by one with rescaled sums: of any word all
+segmentations count.  Fitting alone takes longer words in parts of ``LONGEST``, so that
+its backward pass stays in range.
 
 Defined results: null text and text without a letter are ``und`` with score 0; with
 nothing to learn from, everything is ``und``; ties go to the first language by name;
@@ -21,7 +24,6 @@ lang, source and doc_id are no inputs of a prediction; other columns do not matt
 
 from __future__ import annotations
 
-import re
 import uuid
 from dataclasses import dataclass
 
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.lattice import SPACE, Batch, Pieces, default_model, load
+from quern.llm.lattice import SPACE, Batch, Pieces, codepoints, default_model, load
 from quern.llm.textkit import ALNUM, U, Words, slices, views
 from quern.scratch import discard, materialize
 
 LONGEST = 40
+#: Characters of a long word whose pieces are looked up at once, and places after which sums are rescaled.
+STRETCH, RESCALE = 8192, 32
 ROUNDS = 3
 PRIOR = 2000.0
 #: Keeps products of probabilities within range; every character brings it once.
@@ -43,11 +47,10 @@ FORGET = 400_000
 SHARES = 64
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = True
-_ANY = re.compile(r"[^\W\d_]")
 
 
 def parts(words: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """(segments, word of each)."""
+    """(segments of at most LONGEST characters, word of each)."""
     out, rows = [], []
     for k, w in enumerate(words):
         t = SPACE + w.decode("utf-8", "replace")
@@ -90,13 +93,46 @@ def forward(batch: Batch, weights: np.ndarray) -> np.ndarray:
 def log_likelihood(v: Pieces, texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Natural logarithms [segment, language], summed over all segmentations."""
     out = np.empty((len(texts), weights.shape[1]))
-    for a in range(0, len(texts), 8192):
-        batch = Batch(v, texts[a : a + 8192])
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    short = np.flatnonzero(size <= LONGEST + 1)
+    for a in range(0, len(short), 8192):
+        part = short[a : a + 8192]
+        batch = Batch(v, [texts[k] for k in part.tolist()])
         last = forward(batch, weights)[batch.lengths, np.arange(len(batch.texts))]
-        out[a + batch.order] = np.log(np.maximum(last, 1e-300)) - (batch.lengths * np.log(BOOST))[:, None]
+        out[part[batch.order]] = np.log(np.maximum(last, 1e-300)) - (batch.lengths * np.log(BOOST))[:, None]
+    for k in np.flatnonzero(size > LONGEST + 1).tolist():
+        out[k] = _long(v, texts[k], weights)
     return out
 
 
+def _long(v: Pieces, text: str, weights: np.ndarray) -> np.ndarray:
+    """The same of one segment of any length; of the sums only those that a piece can reach back to are kept."""
+    s = v.longest
+    window = np.zeros((s, weights.shape[1]))  # sums of the last s places, the latest last
+    window[-1] = 1.0
+    logs = np.zeros(weights.shape[1])
+    back = np.arange(s, 0, -1)
+    for a in range(0, len(text), STRETCH):
+        cps, _ = codepoints([text[max(0, a - s) : a + STRETCH]])
+        lead = min(a, s)
+        ids = v.lookup(cps, len(cps) - np.arange(len(cps)))
+        places = np.arange(lead, len(cps)) + 1
+        start = places[:, None] - back  # a piece of back[j] characters ends at each place
+        found = np.where(start >= 0, ids[back - 1, np.maximum(start, 0)], -1)
+        gain = weights[found]
+        gain[:, :-1][found[:, :-1] < 0] = 0.0  # only a single character may be without a piece
+        n = len(gain)
+        alpha = np.concatenate([window, np.empty((n, weights.shape[1]))])
+        for p in range(n):
+            np.einsum("kl,kl->l", gain[p], alpha[p : p + s], out=alpha[p + s])
+            if p % RESCALE == RESCALE - 1:
+                scale = np.maximum(alpha[p + s], 1e-300)
+                alpha[p + 1 : p + s + 1] /= scale
+                logs += np.log(scale)
+        window = alpha[-s:]
+    return np.log(np.maximum(window[-1], 1e-300)) + logs - len(text) * np.log(BOOST)
+
+
 def expected_counts(v: Pieces, texts: list[str], times: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations, under one language's weights."""
     counts = np.zeros(v.size)
@@ -190,9 +226,8 @@ class Known:
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
-            texts, word = parts(words.texts(first[new]))
-            made = np.zeros((int(new.sum()), self.weights.shape[1]))
-            np.add.at(made, word, log_likelihood(self.v, texts, self.weights))
+            texts = [SPACE + w.decode("utf-8", "replace") for w in words.texts(first[new])]
+            made = log_likelihood(self.v, texts, self.weights)
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
             self.keys, self.values = keys[order], np.concatenate([self.values, made])[order]
@@ -219,7 +254,7 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(_LETTERS[raw])])
     out = sums[offsets[1:]] > sums[offsets[:-1]]
     for r in np.flatnonzero(~out & (np.diff(offsets) > 0)).tolist():
-        out[r] = bool(_ANY.search(texts[r].as_py()))
+        out[r] = any(map(str.isalpha, texts[r].as_py()))
     return out
 
 
