@@ -7,9 +7,13 @@ is the same for all, shares of common hashes estimate containment and likeness e
 between very unequal texts.  Two texts that keep all are compared exactly, all others
 by what both keep below the threshold.
 
-A fingerprint is written as ``shingles:digest:hashes``: the number of distinct
-shingles, a digest of the whole set, and the kept hashes in order (ten hex digits
-each).  Where no hash is left to compare, likeness is 1 for equal digests, else 0.
+A fingerprint is written as ``all:hashes`` or ``some:hashes``: whether every hash is
+kept, and the kept hashes (the low 40 bits of the 64-bit ones, ten hex digits each) in
+order.  Both follow from the set of hashes alone, so merging fingerprints of parts gives
+exactly the fingerprint of the union of their shingles.  Two different shingles share a
+hash with a probability of 2**-40; among texts of 1,000 shingles each that touches about
+one pair of texts in a million, by one shingle.  Without any hash to compare, likeness
+and containment are 1 for two texts without words, else 0.
 
 Each text is held against an edited text (its last third replaced by the beginning
 of the next document's) and against the next document, in descending doc_id order;
@@ -26,79 +30,78 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.textkit import U, Words, shingles, slices
+from quern.llm.textkit import BLOCK, U, Words, shingles, slices
 from quern.scratch import materialize
 
 FRACTION = 8
 WHOLE = 256
 DIGITS = 10
+LIMIT = (1 << 4 * DIGITS) // FRACTION - 1
 
 
-def fingerprints(texts: pa.Array, width: int = 5, fraction: int = FRACTION) -> list[str]:
+def _written(kept: np.ndarray, whole: bool) -> str:
+    return ("all:" if whole else "some:") + "".join([f"{x:0{DIGITS}x}" for x in kept.tolist()])
+
+
+def fingerprints(texts: pa.Array, width: int = 5) -> list[str]:
     mask = U((1 << 4 * DIGITS) - 1)
-    limit = U((1 << 4 * DIGITS) // fraction - 1)
     out = []
     for i, j in slices(texts):
         h, bounds = shingles(Words(texts.slice(i, j - i)), width)
+        h &= mask
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             u = np.unique(h[a:b])
-            kept = np.unique(u & mask)
-            kept = (kept if len(u) <= WHOLE else kept[kept <= limit]).tolist()
-            out.append(f"{len(u)}:{xxhash.xxh3_64_hexdigest(u.tobytes())}:" + "".join(f"{x:0{DIGITS}x}" for x in kept))
+            whole = len(u) <= WHOLE
+            out.append(_written(u if whole else u[u <= U(LIMIT)], whole))
     return out
 
 
-def _parts(fingerprint: str) -> tuple[int, str, frozenset[str]]:
-    n, digest, kept = fingerprint.split(":")
-    return int(n), digest, frozenset(kept[k : k + DIGITS] for k in range(0, len(kept), DIGITS))
+def _parts(fingerprint: str) -> tuple[bool, frozenset[str]]:
+    """(whether all hashes are kept, the kept ones)."""
+    mark, kept = fingerprint.split(":")
+    return mark == "all", frozenset(kept[k : k + DIGITS] for k in range(0, len(kept), DIGITS))
 
 
 def _below(kept: frozenset[str]) -> frozenset[str]:
     """The hashes that a sketch of a longer text would keep too."""
-    limit = f"{(1 << 4 * DIGITS) // FRACTION - 1:0{DIGITS}x}"
+    limit = f"{LIMIT:0{DIGITS}x}"
     return frozenset(x for x in kept if x <= limit)
 
 
-def _comparable(a: str, b: str) -> tuple[bool, frozenset[str], frozenset[str]]:
-    """(whether digests are equal, hashes of each): all if both keep all, else those below the threshold."""
-    (na, da, ka), (nb, db, kb) = _parts(a), _parts(b)
-    if (na <= WHOLE) != (nb <= WHOLE):
-        ka, kb = _below(ka), _below(kb)
-    return da == db, ka, kb
+def _comparable(a: str, b: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Hashes of each: all if both keep all, else those below the threshold."""
+    (all_a, ka), (all_b, kb) = _parts(a), _parts(b)
+    return (ka, kb) if all_a == all_b else (_below(ka), _below(kb))
 
 
 def likeness(a: str, b: str) -> float:
     """Estimated share of common shingles in all of both."""
-    same, ka, kb = _comparable(a, b)
-    if same:
+    if a == b:
         return 1.0
+    ka, kb = _comparable(a, b)
     both = len(ka | kb)
     return len(ka & kb) / both if both else 0.0
 
 
 def containment(a: str, b: str) -> float:
     """Estimated share of a's shingles that b has."""
-    same, ka, kb = _comparable(a, b)
-    if same:
+    if a == b:
         return 1.0
+    ka, kb = _comparable(a, b)
     return len(ka & kb) / len(ka) if ka else 0.0
 
 
 def merged(a: str, b: str) -> str:
-    """Kept hashes of the union of two texts' shingles; the number of shingles is exact if all are kept, else an estimate."""
-    (na, _, ka), (nb, _, kb) = _parts(a), _parts(b)
-    kept, n = ka | kb, len(ka | kb)
-    if max(na, nb, n) > WHOLE:
-        kept = _below(kept)
-        n = max(na, nb, WHOLE + 1, len(kept) * FRACTION)
-    kept = sorted(kept)
-    return f"{n}:{xxhash.xxh3_64_hexdigest(''.join(kept))}:" + "".join(kept)
+    """The fingerprint of the union of two texts' shingles."""
+    (all_a, ka), (all_b, kb) = _parts(a), _parts(b)
+    kept = ka | kb
+    whole = all_a and all_b and len(kept) <= WHOLE
+    return ("all:" if whole else "some:") + "".join(sorted(kept if whole else _below(kept)))
 
 
 def edited(text: str, following: str) -> str:
@@ -145,8 +148,10 @@ def _walk(batches):
 
     for batch in batches:
         unpack = zstandard.ZstdDecompressor().decompress
-        for i in range(0, batch.num_rows, 256):
-            chunk = batch.slice(i, 256)
+        sizes = np.cumsum([zstandard.frame_content_size(z.as_buffer()) for z in batch.column(1)])
+        cut = np.flatnonzero(np.diff(sizes // BLOCK)) + 1  # about BLOCK bytes of text at a time
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            chunk = batch.slice(i, j - i)
             texts = [unpack(z).decode() for z in chunk.column(1).to_pylist()]
             prints = fingerprints(pa.array(texts, pa.large_string()))
             ids = chunk.column(0).to_pylist()

@@ -49,5 +49,24 @@ def test_merged_short_and_long():
         parts = fingerprint.fingerprints(pa.array([" ".join(w[:first]), " ".join(w[first - 4 : last])]))
         whole = fingerprint.fingerprints(pa.array([" ".join(w[:last])]))[0]
         made = fingerprint.merged(*parts)
-        assert fingerprint._parts(made)[2] == fingerprint._parts(whole)[2]
-        assert (fingerprint._parts(made)[0] <= fingerprint.WHOLE) == (last - 4 <= fingerprint.WHOLE)
+        assert made == whole and fingerprint.merged(parts[1], parts[0]) == whole
+        assert whole.startswith("all:") == (last - 4 <= fingerprint.WHOLE)
+
+
+def test_likeness_and_containment_against_exact():
+    """What both keep decides: exact for small sets, else the kept shares themselves."""
+    rng = random.Random(5)
+    for _ in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 500))]
+        x = w[: rng.randrange(1, len(w) + 1)] + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(60))]
+        a, b = " ".join(w), " ".join(x)
+        fa, fb = fingerprint.fingerprints(pa.array([a, b]))
+        sa, sb = shingle_set(a), shingle_set(b)
+        if max(len(sa), len(sb)) <= fingerprint.WHOLE:
+            assert abs(fingerprint.likeness(fa, fb) - len(sa & sb) / len(sa | sb)) < 1e-12
+            assert abs(fingerprint.containment(fa, fb) - len(sa & sb) / len(sa)) < 1e-12
+        else:
+            ka, kb = ({h for h in (p[k : k + 10] for p in [f.split(":")[1]] for k in range(0, len(p), 10)) if int(h, 16) < 2**40 // 8} for f in (fa, fb))
+            if fa != fb and fa[:3] == fb[:3]:
+                assert fingerprint.likeness(fa, fb) == (len(ka & kb) / len(ka | kb) if ka | kb else 0.0)
+    assert fingerprint.fingerprints(pa.array([None, "", " \n"])) == ["all:"] * 3 and fingerprint.likeness("all:", "all:") == 1.0
