@@ -6,23 +6,37 @@ probabilities and is never trained, so scores follow its ranks by Zipf's law).
 Byte pieces spell what has no piece, so decoding gives the text back exactly.
 
 Texts of up to ``GIANT`` characters are encoded where they stand.  Longer ones are
-cut into chunks of ``CHUNK`` characters, wherever that falls.  At a chunk's edge the
-state is how far the last piece reaches over it, so a chunk is a matrix: entry i, j
-is the best score from overhang i at its start to overhang j at its end.  Chunks go
-to any task; the matrices of a text are combined by the associative max-plus
-product into the best score of every state at every edge; the states on the best
-path are read off from the end; and each chunk is then traced back by itself
-between its two states.  Words inside a chunk are encoded once and remembered (see
-``Chunks``); a chunk that is part of one endless word gets its matrix by a full pass.
-
-Defined results: null and empty text have no pieces; ties take any one best
-segmentation, always the same one; repeated rows are encoded alike; other columns
-do not matter.
+cut into chunks of ``CHUNK`` characters, wherever that falls, and encoded by scans.  At
+a chunk's edge the state is how far the last piece reaches over it.
+
+1. A chunk is a max-plus matrix: entry i, j is the best score from overhang i at its
+   start to overhang j at its end.
+2. Matrices are multiplied in groups of ``FAN``, products again, up to one a text; on
+   the way down each chunk gets the best score of every state at its start.
+3. With these a chunk knows from which state at its start each state at its end is
+   reached: a map of states.  Maps are composed by the same scan, from the end, which
+   tells each chunk the state in which it is left.
+4. Each chunk is traced back by itself.
+
+Both operations are associative, no task holds more than ``FAN`` matrices or maps, and
+the number of passes is the logarithm of the longest text's chunks.  Words inside a
+chunk are encoded once and remembered (see ``Chunks``); a chunk that is part of one
+endless word gets its matrix and its trace by full passes.
+
+Of segmentations with equal scores the one counts that has the longest last piece, then
+the longest before it, and so on: in short texts and in chunks alike, so ids do not
+depend on ``GIANT`` or ``CHUNK``.
+
+Defined results: null and empty text have no pieces; repeated rows are encoded alike;
+giant texts are told apart by a 64-bit hash of doc_id and text (two of ten million share
+one with a probability of 3e-6, which ``text_ok`` would show); other columns do not
+matter, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -34,8 +48,11 @@ from pyspark.sql import functions as F
 from quern.llm.lattice import LITERAL, SEGMENT, SPACE, Batch, Pieces, codepoints, default_model, load, normalised, piece_bytes, segments, spelled
 from quern.llm.memo import Memo, gathered
 from quern.llm.textkit import slices, views
+from quern.scratch import materialize
 
 GIANT, CHUNK = 32_768, 8_192
+#: Neighbours that are combined at once in a scan.
+FAN = 64
 #: A segment starts.
 _START = re.compile(f"(?<!{SPACE}){SPACE}")
 NONE = -(1 << 60)
@@ -136,39 +153,113 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[..., :, None] + b).max(axis=-2), NONE)
 
 
-def edges(chunk_matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(state at its start, at its end) of each chunk on the best path."""
-    s = chunk_matrices[0].shape[0]
+def product_of(parts: list[bytes]) -> bytes:
+    """The product of some neighbours' matrices."""
+    s = _side(parts[0])
+    out = np.frombuffer(parts[0], np.int64).reshape(s, s)
+    for m in parts[1:]:
+        out = product(out, np.frombuffer(m, np.int64).reshape(s, s))
+    return out.tobytes()
+
+
+def entries(start: bytes | None, parts: list[bytes]) -> list[bytes]:
+    """Best scores of the states at the start of each, from those at the start of all (none: a text's beginning)."""
+    s = _side(parts[0])
     at = np.full(s, NONE, np.int64)
     at[0] = 0
-    before = []
-    for m in chunk_matrices:
-        before.append(at)
-        at = product(at, m)
-    out, state = [], 0
-    for v, m in zip(reversed(before), reversed(chunk_matrices), strict=True):
-        enter = int((v + m[:, state]).argmax())
-        out.append((enter, state))
-        state = enter
+    at = at if start is None else np.frombuffer(start, np.int64)
+    out = []
+    for m in parts:
+        out.append(at.tobytes())
+        at = product(at, np.frombuffer(m, np.int64).reshape(s, s))
+    return out
+
+
+def _side(matrix: bytes) -> int:
+    return round((len(matrix) // 8) ** 0.5)
+
+
+def composed(parts: list[bytes]) -> bytes:
+    """The state at the first's start for each state at the last's end."""
+    out = np.frombuffer(parts[-1], np.int32)
+    for f in reversed(parts[:-1]):
+        out = np.where(out >= 0, np.frombuffer(f, np.int32)[out], np.int32(-1))
+    return out.astype(np.int32).tobytes()
+
+
+def leaves(end: bytes | None, parts: list[bytes]) -> list[bytes]:
+    """The state at the end of each, from that at the end of all (none: a text's end)."""
+    at = 0 if end is None else int(np.frombuffer(end, np.int32)[0])
+    out = []
+    for f in reversed(parts):
+        out.append(np.int32(at).tobytes())
+        at = int(np.frombuffer(f, np.int32)[at])
     return out[::-1]
 
 
-def traced(v: Pieces, text: str, size: int, enter: int, leave: int) -> list[int]:
-    """Pieces of one chunk between its two states."""
+def scan(rows: DataFrame, combine: Callable, spread: Callable) -> DataFrame:
+    """(k, i, y) from (k, i, x): what ``spread`` gives each chunk of a text, by a tree of FAN branches a node."""
+    levels = [rows]
+    most = rows.agg(F.max("i")).first()[0] or 0
+
+    def groups(level: DataFrame) -> DataFrame:
+        return level.groupBy("k", F.floor(F.col("i") / FAN).alias("g")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("steps"))
+
+    def up(batches):
+        for batch in batches:
+            made = [combine([x["x"] for x in steps]) for steps in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["k", "i", "x"])
+
+    def down(batches):
+        for batch in batches:
+            k, i, y = [], [], []
+            for key, steps, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                k += [key] * len(steps)
+                i += [x["i"] for x in steps]
+                y += spread(start, [x["x"] for x in steps])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(y, pa.binary())], names=["k", "i", "y"])
+
+    while most >= FAN:
+        levels.append(materialize(groups(levels[-1]).mapInArrow(up, "k long, i long, x binary"), "scan"))
+        most //= FAN
+    got = None
+    for level in reversed(levels):
+        nodes = groups(level)
+        if got is None:
+            nodes = nodes.select("k", "steps", F.lit(None).cast("binary").alias("y"))
+        else:
+            nodes = nodes.join(got.withColumnRenamed("i", "g"), ["k", "g"]).select("k", "steps", "y")
+        got = nodes.mapInArrow(down, "k long, i long, y binary")
+    return got
+
+
+def forward(v: Pieces, text: str, size: int, entry: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """(last piece's length by place, state of entry by place, pieces) over a chunk from the scores of its states.
+
+    Length 0: the place is reached from the chunk before.  Of equal scores the longest last piece counts, and what
+    comes from the chunk before is longer than any piece of this one.
+    """
     s = v.longest
     table, ids, _ = _scores(v, [(text, size)])
     gains = table[0].T.tolist()
-    end = size + leave
-    best, back = [NONE] * (size + s + 1), [0] * (size + s + 1)
-    best[enter] = 0
-    for p in range(enter, size):
+    best, back, label = [NONE] * (size + 2 * s), [0] * (size + 2 * s), [-1] * (size + 2 * s)
+    for p, x in enumerate(entry.tolist()):
+        if x > NONE:
+            best[p], label[p] = x, p
+    for p in range(size):
         here = best[p]
         if here > NONE:
             for length, gain in enumerate(gains[p], 1):
                 if gain > NONE and here + gain > best[p + length]:
-                    best[p + length], back[p + length] = here + gain, length
-    places, found = [], []
-    while end > enter:
+                    best[p + length], back[p + length], label[p + length] = here + gain, length, label[p]
+    return back, label, ids
+
+
+def traced(v: Pieces, text: str, size: int, entry: np.ndarray, leave: int) -> list[int]:
+    """Pieces of one chunk from the scores of its states to the state in which it is left."""
+    back, _, ids = forward(v, text, size, entry)
+    end, places, found = size + leave, [], []
+    while back[end]:
         length = back[end]
         end -= length
         places.append(end)
@@ -214,24 +305,33 @@ class Chunks:
             elif n == 1:
                 yield 1, -1, self.v.unknown
 
-    def _forward(self, text: str, begin: int, end: int):
-        """Best scores and last steps of the places from ``begin`` on, by pieces that start before ``end``."""
-        best, back = {begin: 0}, {}
-        for p in range(begin, end):
+    def _forward(self, text: str, begin: dict[int, int], end: int):
+        """Best scores and last steps of the places that are reached from those of ``begin`` by pieces before ``end``.
+
+        Ties as in ``forward``.
+        """
+        best, back = dict(begin), {}
+        for p in range(min(begin, default=end), end):
             if p in best:
                 for n, i, gain in self._steps(text, p):
                     if best[p] + gain > best.get(p + n, NONE):
                         best[p + n], back[p + n] = best[p] + gain, (n, i)
         return best, back
 
-    def _path(self, text: str, begin: int, end: int, back: dict) -> list[int]:
+    def _path(self, text: str, end: int, back: dict) -> tuple[list[int], int]:
+        """(pieces, place where they begin)."""
         ids, places = [], []
-        while end > begin:
+        while end in back:
             n, i = back[end]
             end -= n
             ids.append(i)
             places.append(end)
-        return spelled(self.v, ids[::-1], text, places[::-1])
+        return spelled(self.v, ids[::-1], text, places[::-1]), end
+
+    def _head(self, text: str, first: int, entry: np.ndarray) -> tuple[list[int], int]:
+        """(pieces before the first segment start, state of entry)."""
+        begin = {p: x for p, x in enumerate(entry[: first + 1].tolist()) if x > NONE}
+        return self._path(text, first, self._forward(text[:first], begin, first)[1])
 
     def matrices(self, chunks: list[tuple[str, int]]) -> list[np.ndarray]:
         s = self.v.longest
@@ -253,26 +353,39 @@ class Chunks:
             for i in range(min(s, first + 1)):
                 column[i] = tail[i]
             row = np.full(s, NONE, np.int64)
-            best, _ = self._forward(text, last, size)
+            best, _ = self._forward(text, {last: 0}, size)
             for j in range(s):
                 row[j] = best.get(size + j, NONE)
             out.append(np.maximum(column[:, None] + middle + row[None, :], NONE))
         return out
 
-    def traces(self, chunks: list[tuple[str, int, int, int]]) -> list[list[int]]:
-        """Pieces of each chunk (text, size, state at its start, at its end)."""
+    def maps(self, chunks: list[tuple[str, int, np.ndarray]]) -> list[np.ndarray]:
+        """Of each chunk (text, size, scores of its states) the state of entry for each state in which it may be left.
+
+        Whatever follows a segment start, the path to it is the same.
+        """
+        out = []
+        for text, size, entry in chunks:
+            k = self.starts(text, size)
+            if k is None:
+                out.append(np.array(forward(self.v, text, size, entry)[1][size : size + self.v.longest], np.int32))
+            else:
+                out.append(np.full(self.v.longest, self._head(text, k[0], entry)[1], np.int32))
+        return out
+
+    def traces(self, chunks: list[tuple[str, int, np.ndarray, int]]) -> list[list[int]]:
+        """Pieces of each chunk (text, size, scores of its states, state in which it is left)."""
         cuts = [self.starts(t, n) for t, n, _, _ in chunks]
         inner, bounds = self.memory.encode_segments([SEGMENT.findall(c[0][k[0] : k[1]]) if k else [] for c, k in zip(chunks, cuts, strict=True)])
         out = []
-        for r, ((text, size, enter, leave), k) in enumerate(zip(chunks, cuts, strict=True)):
+        for r, ((text, size, entry, leave), k) in enumerate(zip(chunks, cuts, strict=True)):
             if k is None:
-                out.append(traced(self.v, text, size, enter, leave))
+                out.append(traced(self.v, text, size, entry, leave))
                 continue
             first, last = k
-            _, back = self._forward(text[:first], enter, first)
-            ids = self._path(text, enter, first, back) + inner[bounds[r] : bounds[r + 1]].tolist()
-            _, back = self._forward(text, last, size)
-            out.append(ids + self._path(text, last, size + leave, back))
+            ids = self._head(text, first, entry)[0] + inner[bounds[r] : bounds[r + 1]].tolist()
+            _, back = self._forward(text, {last: 0}, size)
+            out.append(ids + self._path(text, size + leave, back)[0])
         return out
 
 
@@ -287,8 +400,8 @@ def _pack(k: pa.Array, texts: pa.Array, v: Pieces):
         n = (len(full) + CHUNK - 1) // CHUNK
         for i in range(n):
             part = full[i * CHUNK : (i + 1) * CHUNK + v.longest]
-            # Spark's strings are UTF-8: the stand-in for a literal ▁ travels as a private mark
-            yield key, i, part.encode("utf-32-le", "surrogatepass"), min(CHUNK, len(full) - i * CHUNK)
+            # the stand-in for a literal ▁ is no UTF-8, so parts travel as bytes
+            yield key, i, part.encode("utf-8", "surrogatepass"), min(CHUNK, len(full) - i * CHUNK)
 
 
 def _chunks(v: Pieces):
@@ -329,25 +442,22 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
 
     def matrix(batches):
         chunks = kept_chunks(tuple(v.pieces))
-        for batch in batches:
-            for at in range(0, batch.num_rows, SIDE_BY_SIDE):
-                part = batch.slice(at, SIDE_BY_SIDE)
-                made = chunks.matrices(_texts(part))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "i", "m"])
+        for part in _parts(batches):
+            made = chunks.matrices(_texts(part))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "i", "x"])
 
-    def states(batches):
-        for batch in batches:
-            for k, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path = edges([np.frombuffer(x["m"], np.int64).reshape(v.longest, v.longest) for x in steps])
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(path), pa.int64()), pa.array(range(len(path)), pa.int64()), pa.array([a for a, _ in path], pa.int32()), pa.array([b for _, b in path], pa.int32())], names=["k", "i", "enter", "leave"])
+    def mapped(batches):
+        chunks = kept_chunks(tuple(v.pieces))
+        for part in _parts(batches):
+            made = chunks.maps([(t, n, y) for (t, n), y in zip(_texts(part), _vectors(part.column(4)), strict=True)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "i", "entry", "x"])
 
     def trace(batches):
         chunks = kept_chunks(tuple(v.pieces))
-        for batch in batches:
-            for at in range(0, batch.num_rows, SIDE_BY_SIDE):
-                part = batch.slice(at, SIDE_BY_SIDE)
-                ids = chunks.traces([(t, n, a, b) for (t, n), a, b in zip(_texts(part), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["k", "i", "ids"])
+        for part in _parts(batches):
+            end = [int(np.frombuffer(y, np.int32)[0]) for y in part.column(5).to_pylist()]
+            ids = chunks.traces([(t, n, y, e) for (t, n), y, e in zip(_texts(part), _vectors(part.column(4)), end, strict=True)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["k", "i", "ids"])
 
     def checked(batches):
         for batch in batches:
@@ -355,17 +465,31 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["doc_id", "ids", "text_ok"])
 
     giants = rows.where(~small).withColumn("k", F.xxhash64("doc_id", "text"))
-    chunks = giants.dropDuplicates(["k"]).select("k", "text").mapInArrow(_chunks(v), "k long, i long, part binary, size int").repartition("k", "i")
-    steps = chunks.mapInArrow(matrix, "k long, i long, m binary").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("steps"))
-    path = steps.mapInArrow(states, "k long, i long, enter int, leave int")
-    parts = chunks.join(path, ["k", "i"]).select("k", "i", "part", "size", "enter", "leave").mapInArrow(trace, "k long, i long, ids array<int>")
+    chunks = giants.dropDuplicates(["k"]).select("k", "text").mapInArrow(_chunks(v), "k long, i long, part binary, size int")
+    chunks = materialize(chunks.repartition("k", "i"), "chunks", "zstd")
+    steps = materialize(chunks.mapInArrow(matrix, "k long, i long, x binary"), "matrices", "zstd")
+    entry = scan(steps, product_of, entries)
+    maps = chunks.join(entry, ["k", "i"]).select("k", "i", "part", "size", "y").mapInArrow(mapped, "k long, i long, entry binary, x binary")
+    maps = materialize(maps, "maps", "zstd")
+    ends = scan(maps.select("k", "i", "x"), composed, leaves).join(maps.select("k", "i", "entry"), ["k", "i"])
+    parts = chunks.join(ends, ["k", "i"]).select("k", "i", "part", "size", "entry", "y").mapInArrow(trace, "k long, i long, ids array<int>")
     joined = parts.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
     large = giants.join(joined, "k").select("doc_id", "ids", "text").mapInArrow(checked, schema)
     return rows.where(small).mapInArrow(whole, schema).union(large)
 
 
+def _parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SIDE_BY_SIDE):
+            yield batch.slice(at, SIDE_BY_SIDE)
+
+
 def _texts(part: pa.RecordBatch) -> list[tuple[str, int]]:
-    return [(p.decode("utf-32-le", "surrogatepass"), n) for p, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+    return [(p.decode("utf-8", "surrogatepass"), n) for p, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
 
 
 def encoded(documents: DataFrame, model: str | None = None) -> DataFrame:
@@ -373,4 +497,4 @@ def encoded(documents: DataFrame, model: str | None = None) -> DataFrame:
     return encode(documents, model).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_ok")
 
 
-__all__ = ["LITERAL", "SPACE", "Chunks", "Decoder", "decode", "edges", "encode", "encoded", "encoder", "matrices", "product", "traced"]
+__all__ = ["LITERAL", "SPACE", "Chunks", "Decoder", "composed", "decode", "encode", "encoded", "encoder", "entries", "leaves", "matrices", "product", "product_of", "scan", "traced"]
