@@ -284,7 +284,7 @@ class Trie:
         return max(1, int(self.distinct).bit_length())
 
 
-def train(texts: DataFrame, order: int = 3, least: int = 2) -> Trie:
+def train(texts: DataFrame, order: int = 3, least: int = 1) -> Trie:
     """The trie of all texts (column text)."""
     spark = texts.sparkSession
     root = new_path(spark, "trie")
@@ -353,7 +353,7 @@ def score(texts: pa.Array, levels: list[Level], rests: list[Rests], total: int,
     return np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), at), base, np.add.reduceat(np.log10(p), at)
 
 
-def scored(documents: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
+def scored(documents: DataFrame, order: int = 3, least: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); trained on documents not held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = documents.select("doc_id", held.alias("held_out"), "text")
