@@ -21,7 +21,7 @@ LITERAL = "\ud800"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BASE = 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)
-BITS = 22
+BITS = 20
 
 
 def default_model() -> str:

@@ -51,6 +51,8 @@ from quern.llm.textkit import slices, views
 from quern.scratch import materialize
 
 GIANT, CHUNK = 32_768, 8_192
+#: Segments that a worker remembers.
+REMEMBERED = 200_000
 #: Neighbours that are combined at once in a scan.
 FAN = 64
 #: A segment starts.
@@ -63,22 +65,22 @@ def encoder(vocabulary: Pieces) -> Memo:
     def make(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(texts)
         short = [k for k, t in enumerate(texts) if len(t) <= 64]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        for at in range(0, len(short), 8_000):
+            part = short[at : at + 8_000]
             for k, ids in zip(part, Batch(vocabulary, [texts[k] for k in part]).best(), strict=True):
                 out[k] = ids
         out = [x if x is not None else Batch(vocabulary, [t]).best()[0] for x, t in zip(out, texts, strict=True)]
         n = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter(chain.from_iterable(out), np.int32, int(n.sum())), n
 
-    return Memo(segments, make)
+    return Memo(segments, make, REMEMBERED)
 
 
 @lru_cache(maxsize=1)
-def kept(pieces: tuple[str, ...]) -> tuple[Memo, Decoder]:
-    """An encoder and a decoder that a worker keeps from task to task."""
+def kept(pieces: tuple[str, ...]) -> tuple[Chunks, Decoder]:
+    """What a worker keeps from task to task: remembered segments, for short texts and chunks alike, and a decoder."""
     v = Pieces(list(pieces))
-    return encoder(v), Decoder(v)
+    return Chunks(v), Decoder(v)
 
 
 class Decoder:
@@ -389,26 +391,21 @@ class Chunks:
         return out
 
 
-@lru_cache(maxsize=1)
-def kept_chunks(pieces: tuple[str, ...]) -> Chunks:
-    return Chunks(Pieces(list(pieces)))
-
-
-def _pack(k: pa.Array, texts: pa.Array, v: Pieces):
+def _pack(k: pa.Array, texts: pa.Array, longest: int):
     for key, text in zip(k.to_pylist(), texts.to_pylist(), strict=True):
         full = normalised(text)
         n = (len(full) + CHUNK - 1) // CHUNK
         for i in range(n):
-            part = full[i * CHUNK : (i + 1) * CHUNK + v.longest]
+            part = full[i * CHUNK : (i + 1) * CHUNK + longest]
             # the stand-in for a literal ▁ is no UTF-8, so parts travel as bytes
             yield key, i, part.encode("utf-8", "surrogatepass"), min(CHUNK, len(full) - i * CHUNK)
 
 
-def _chunks(v: Pieces):
+def _chunks(longest: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for row in _pack(batch.column(0), batch.column(1), v):
+            for row in _pack(batch.column(0), batch.column(1), longest):
                 rows.append(row)
                 if len(rows) == 256:
                     yield _table(rows)
@@ -426,34 +423,34 @@ def _chunks(v: Pieces):
 def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, text_ok): piece ids of each text; text_ok tells whether they decode to it."""
     v = load(model or default_model())
-    table = piece_bytes(v)
+    table, pieces = piece_bytes(v), tuple(v.pieces)
     rows = documents.select("doc_id", "text")
     small = F.coalesce(F.char_length("text") <= GIANT, F.lit(True))
     schema = "doc_id long, ids array<int>, text_ok boolean"
 
     def whole(batches):
-        memory, decoder = kept(tuple(v.pieces))
+        chunks, decoder = kept(pieces)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ids, bounds = memory.encode(part.column(1).to_pylist())
+                ids, bounds = chunks.memory.encode(part.column(1).to_pylist())
                 ok = decoder.same(ids, bounds, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(ok)], names=["doc_id", "ids", "text_ok"])
 
     def matrix(batches):
-        chunks = kept_chunks(tuple(v.pieces))
+        chunks, _ = kept(pieces)
         for part in _parts(batches):
             made = chunks.matrices(_texts(part))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "i", "x"])
 
     def mapped(batches):
-        chunks = kept_chunks(tuple(v.pieces))
+        chunks, _ = kept(pieces)
         for part in _parts(batches):
             made = chunks.maps([(t, n, y) for (t, n), y in zip(_texts(part), _vectors(part.column(4)), strict=True)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "i", "entry", "x"])
 
     def trace(batches):
-        chunks = kept_chunks(tuple(v.pieces))
+        chunks, _ = kept(pieces)
         for part in _parts(batches):
             end = [int(np.frombuffer(y, np.int32)[0]) for y in part.column(5).to_pylist()]
             ids = chunks.traces([(t, n, y, e) for (t, n), y, e in zip(_texts(part), _vectors(part.column(4)), end, strict=True)])
@@ -465,7 +462,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["doc_id", "ids", "text_ok"])
 
     giants = rows.where(~small).withColumn("k", F.xxhash64("doc_id", "text"))
-    chunks = giants.dropDuplicates(["k"]).select("k", "text").mapInArrow(_chunks(v), "k long, i long, part binary, size int")
+    chunks = giants.dropDuplicates(["k"]).select("k", "text").mapInArrow(_chunks(v.longest), "k long, i long, part binary, size int")
     chunks = materialize(chunks.repartition("k", "i"), "chunks", "zstd")
     steps = materialize(chunks.mapInArrow(matrix, "k long, i long, x binary"), "matrices", "zstd")
     entry = scan(steps, product_of, entries)

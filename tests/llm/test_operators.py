@@ -274,7 +274,7 @@ def test_sentencepiece(spark, docs, nothing, monkeypatch):
     for size in (v.longest, 97):
         monkeypatch.setattr(sentencepiece_scan, "CHUNK", size)
         for t in samples[:12] + samples[-53:]:
-            chunks = [(p.decode("utf-8", "surrogatepass"), n) for _, _, p, n in sentencepiece_scan._pack(pa.array([1]), pa.array([t]), v)]
+            chunks = [(p.decode("utf-8", "surrogatepass"), n) for _, _, p, n in sentencepiece_scan._pack(pa.array([1]), pa.array([t]), v.longest)]
             made = quick.matrices(chunks)
             for (c, n), a, b in zip(chunks, made, sentencepiece_scan.matrices(v, chunks)):
                 reach = (quick.starts(c, n) or (v.longest, 0))[0] + 1  # no piece reaches over a segment's start
