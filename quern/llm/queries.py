@@ -107,10 +107,18 @@ WITH d AS (SELECT doc_id, coalesce({_LOWER_WORDS}, []) AS w FROM documents
 ), m AS (SELECT g.doc_id, g.i, g.size, p.item FROM g JOIN p ON p.phrase = g.phrase AND p.size = g.size
 ), h AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM m) GROUP BY doc_id
 ), t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+), pos AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), f AS (SELECT word, count(*) AS n FROM pos GROUP BY word
+), q AS (SELECT item, size, list_distinct(string_split(phrase, ' ')) AS u FROM p
+), z AS (SELECT item, size, u, arg_min(v, coalesce(f.n, 0)) AS rarest FROM (SELECT item, size, u, unnest(u) AS v FROM q) LEFT JOIN f ON f.word = v GROUP BY item, size, u
+), c AS (SELECT pos.doc_id, pos.i, z.item, z.size + 5 AS n, z.u FROM pos JOIN z ON z.rarest = pos.word
+), a AS (SELECT DISTINCT c.doc_id, c.item FROM c JOIN d ON d.doc_id = c.doc_id WHERE list_bool_or(list_transform(range(greatest(c.i - c.n + 1, 1), c.i + 1), lambda s: list_has_all(d.w[s:s + c.n - 1], c.u)))
+), b2 AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM a GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated,
+  coalesce(b2.n, 0)::BIGINT AS n_near, sha256(coalesce(b2.items, '')) AS near_items_sha256
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN b2 ON b2.doc_id = d.doc_id
 """
 
 

@@ -148,11 +148,13 @@ def contamination_brute(rows, items):
                 if tuple(w[s : s + n]) in windows:
                     hit |= set(range(s, s + n))
                     found |= windows[tuple(w[s : s + n])]
-        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        near = {x for k, names in windows.items() for s in range(len(w)) if set(k) <= set(w[s : s + len(k) + 5]) for x in names}
+        digest = lambda x: hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()
+        out[i] = (len(w), len(hit), len(found), digest(found), bool(hit) and 20 * len(hit) >= len(w), len(near), digest(near))
     return out
 
 
-def test_decontamination(spark, docs, odd, nothing):
+def test_decontamination(spark, docs, odd, nothing, monkeypatch):
     rows = [(r[0], r[1]) for r in edge_rows()]
     w = rows[0][1].split()
     items = [(1, " ".join(w[5:30])), (10, " ".join(w[3:9])), (2, "never seen here at all " * 4), (3, None), (4, "..."), (5, " ".join(w[5:30])), (6, "one")]
@@ -166,8 +168,12 @@ def test_decontamination(spark, docs, odd, nothing):
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, none).collect())
     assert decontaminate.contamination(nothing, bench).count() == 0
     assert decontaminate.contamination(odd, bench).count() == 5
-    near = decontaminate.proximity_matches(docs.where("doc_id = 0"), bench, slop=3)
-    assert near.count() > 0
+    v = w[5:18]
+    mixed = [(1, " ".join(v[::-1])), (2, " ".join([*v[:6], "y", "y", "y", "y", "y", *v[6:]])), (3, " ".join([*v[:6], *["y"] * 6, *v[6:]])), (4, " ".join(["y"] * 30 + v[7:] + v[:7])), (5, " ".join(v[:12])), (6, " ".join((v * 9)[4:]))]
+    d = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:] for r in decontaminate.contamination(d, bench).collect()} == contamination_brute(mixed, items)
+    monkeypatch.setattr(decontaminate, "small", lambda df: df)  # nothing is broadcast
+    assert {r[0]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench).collect()} == want
 
 
 def test_forward_pass_and_counts():
