@@ -126,6 +126,13 @@ def expected(markdown: Column, expect: Column, selected: Column | None = None) -
     return F.when(expect.rlike(r"^\d+$"), text.word_count(markdown) >= expect.try_cast("int")).otherwise(found)
 
 
+def overlaid(success: Column, error: Column, advice_: Column, expect: Column, met: Column) -> Column:
+    """(success, error, suggestion) after a caller's assertion: a success without the asserted content is a failure."""
+    missed = expect.isNotNull() & ~F.coalesce(met, F.lit(False)) & success
+    said = F.concat(F.lit("The page loaded without the content asked for: "), expect, F.lit("."))
+    return F.struct((success & ~missed).alias("success"), F.when(missed, said).otherwise(error).alias("error"), F.when(missed, F.concat(said, F.lit(" Wait longer, use a stronger engine, or check the assertion."))).otherwise(advice_).alias("suggestion"))
+
+
 def composite(success: Column, coverage: Column, f1: Column, noise: Column, hit: Column, absent: Column, density: Column, spacing: Column) -> Column:
     """Weighted mean of the signals that are there, 0 for failures, 50 without signals."""
     parts = [(0.30, coverage), (0.25, f1), (0.15, hit), (0.15, 1 - noise), (0.10, absent), (0.05, F.when(density.isNotNull(), F.greatest(F.lit(0.0), 1 - density / 50.0))), (0.10, spacing)]

@@ -194,3 +194,13 @@ def with_year(query: Column, year: Column) -> Column:
     words = F.transform(F.regexp_extract_all(query, F.lit(WORD), F.lit(0)), F.lower)
     timely = F.arrays_overlap(words, F.array(*map(F.lit, TIMELY)))
     return F.when(timely & ~query.rlike(r"\b(?:19|20)\d{2}\b"), F.concat(query, F.lit(" "), year.cast("string"))).otherwise(query)
+
+
+def is_base64(text: Column) -> Column:
+    """Whether a text is one padded run of base64 of 252 digits or more."""
+    return F.coalesce((F.char_length(text) % 4 == 0) & text.rlike(r"^[A-Za-z0-9+/]{252,}={0,2}$"), F.lit(False))
+
+
+def filtered(fields: Column, change, binary: tuple[str, ...] = ("screenshot", "pdf", "image")) -> Column:
+    """A map of texts with ``change`` over each value, but for base64 under the names of binary fields."""
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*binary) & is_base64(v), v).when(v == "", v).otherwise(change(v)))

@@ -195,3 +195,77 @@ def is_blocked_ipv4(address: Column) -> Column:
         low = sum(int(p) << (24 - 8 * k) for k, p in enumerate(net.split(".")))
         out = out | number.between(low, low + (1 << (32 - bits)) - 1)
     return F.coalesce(out, F.lit(False))
+
+
+# Networks that are refused at any time, and those that a strict caller refuses too.
+LINK_LOCAL = ["169.254.0.0/16", "fe80::/10"]
+PRIVATE = [
+    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "0.0.0.0/8", "100.64.0.0/10", "192.0.0.0/24", "198.18.0.0/15", "224.0.0.0/4",
+    "::1/128", "::/128", "fc00::/7", "ff00::/8",
+]
+#: IPv6 networks whose addresses end in the IPv4 address that is reached: translated and compatible ones.
+_EMBEDDING = ["64:ff9b::/96", "::/96"]
+
+
+def blocked(host: str | None, strict: bool = False) -> bool:
+    """Whether an address, or the IPv4 address inside an IPv6 one, is in a refused network; names are not looked up."""
+    import ipaddress
+
+    try:
+        address = ipaddress.ip_address(host or "")
+    except ValueError:
+        return False
+    reached = [address]
+    if address.version == 6:
+        low = ipaddress.IPv4Address(int(address) & 0xFFFFFFFF)
+        held = any(address in ipaddress.ip_network(n) for n in _EMBEDDING) and int(address) > 1
+        reached += [x for x in (address.ipv4_mapped, address.sixtofour, low if held else None) if x is not None]
+    networks = [ipaddress.ip_network(n) for n in LINK_LOCAL + PRIVATE * strict]
+    return any(a in n for a in reached for n in networks if a.version == n.version)
+
+
+def bare_host(url: Column) -> Column:
+    """The host without brackets, user and port, in lower case."""
+    place = F.regexp_replace(authority(url), r"^.*@", "")
+    return F.lower(F.coalesce(F.nullif(F.regexp_extract(place, r"^\[([^\]]*)\]", 1), F.lit("")), F.regexp_replace(place, r":\d*$", "")))
+
+
+def refusal(url: Column, strict: bool = False) -> Column:
+    """Why a request may not be sent, null if it may: characters that parsers read differently, scheme, host, network.
+
+    Hosts with a colon are IPv6 addresses, which a batch function judges; all else is plain expressions.
+    """
+    import pyarrow as pa
+
+    @F.arrow_udf("boolean")
+    def refused(hosts: pa.Array) -> pa.Array:
+        return pa.array([blocked(h, strict) for h in hosts.to_pylist()], pa.bool_())
+
+    name = bare_host(url)
+    v4 = F.coalesce(_in_networks(name, [n for n in LINK_LOCAL + PRIVATE * strict if ":" not in n]), F.lit(False))
+    return (
+        F.when(url.rlike(r"[\\\x00-\x1F\x7F]"), "character")
+        .when(~F.coalesce(scheme(url).isin("http", "https"), F.lit(False)), "scheme")
+        .when(name.rlike(r"[^\x00-\x7F]"), "host")
+        .when(v4 | refused(F.when(F.contains(name, F.lit(":")), name)), "network")
+    )
+
+
+def _in_networks(address: Column, networks: list[str]) -> Column:
+    number, out = ipv4_number(address), F.lit(False)
+    for network in networks:
+        net, bits = network.split("/")
+        low = sum(int(p) << (24 - 8 * k) for k, p in enumerate(net.split(".")))
+        out = out | number.between(low, low + (1 << (32 - int(bits))) - 1)
+    return out
+
+
+def percent_encoded(url: Column) -> Column:
+    """Characters beyond ASCII as percent signs and the bytes of their UTF-8."""
+    coded = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(url.rlike(r"[^\x00-\x7F]"), F.array_join(coded, "")).otherwise(url)
+
+
+def scoped_headers(url: Column, base: Column, headers: Column) -> Column:
+    """Headers for a request: a caller's own go to the origin that they were given for only."""
+    return F.when(origin(url) == origin(base), headers).otherwise(F.map_filter(headers, lambda k, _: F.lower(k).isin("user-agent", "accept", "accept-language")))

@@ -45,8 +45,8 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.struct([(k, pa.string()) for k in META])
 
 
-def features(pages: DataFrame, *formats: str) -> DataFrame:
-    """(page_id, url, each format) of pages (page_id, url, html); null html gives nulls."""
+def features(pages: DataFrame, *formats: str, keep_html: bool = False) -> DataFrame:
+    """(page_id, url, each format) of pages (page_id, url, html), on demand with the html; null html gives nulls."""
     unknown = set(formats) - FORMATS.keys()
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
@@ -61,9 +61,10 @@ def features(pages: DataFrame, *formats: str) -> DataFrame:
                     doc = parse(html) if html is not None else None
                     rows.append([FORMATS[f][1](html, doc, url or "") if html is not None else None for f in wanted])
                 columns = [pa.array([r[k] for r in rows], _arrow(FORMATS[f][0])) for k, f in enumerate(wanted)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["page_id", "url", *wanted])
+                kept = [part.column(k) for k in range(2 + keep_html)]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=["page_id", "url", *["html"] * keep_html, *wanted])
 
-    schema = ", ".join(["page_id long", "url string", *(f"{f} {FORMATS[f][0]}" for f in wanted)])
+    schema = ", ".join(["page_id long", "url string", *["html string"] * keep_html, *(f"{f} {FORMATS[f][0]}" for f in wanted)])
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
