@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.running import medians
+
 
 def token_overlap(pairs: DataFrame, key: str, extracted: str, gold: str) -> DataFrame:
     """Precision, recall and F1 of token arrays as multisets, per key.
@@ -27,14 +31,15 @@ def reference_degenerate(markdown_words, reference_words):
 
 
 def aggregate(cases: DataFrame) -> DataFrame:
-    """One row of a run: rates, latency, quality over scored cases, anchors over succeeded ones."""
+    """One row of a run: rates, latency (mean, exact median), quality over scored cases, anchors over succeeded ones."""
     scored = F.when(F.col("scored"), F.col("quality"))
     good = lambda c: F.avg(F.when(F.col("success"), F.col(c)))
-    return cases.agg(
+    one = cases.agg(
         F.count("*").alias("total_cases"), F.count(scored).alias("scored_cases"), F.avg(F.col("success").cast("double")).alias("success_rate"),
-        F.avg("latency_ms").alias("mean_latency_ms"), F.expr("percentile(latency_ms, 0.5)").alias("median_latency_ms"), F.avg(scored).alias("overall_quality"),
-        good("expect_hit").alias("expect_hit"), good("expect_absent_ok").alias("expect_absent_ok"),
+        F.avg("latency_ms").alias("mean_latency_ms"), F.avg(scored).alias("overall_quality"), good("expect_hit").alias("expect_hit"), good("expect_absent_ok").alias("expect_absent_ok"),
     )
+    middle = medians(cases.select(F.lit(0).alias("_g"), "latency_ms"), ["_g"], "latency_ms").select(F.col("median").alias("median_latency_ms"))
+    return one.join(F.broadcast(middle), how="left")  # one row each
 
 
 def by_category(cases: DataFrame) -> DataFrame:
@@ -65,3 +70,48 @@ def write_run(cases: DataFrame, path: str, run_id: str) -> None:
     """Tidy case rows and one row of totals, a partition each run."""
     cases.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/cases")
     aggregate(cases).withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{path}/runs")
+
+
+def search_aggregate(searches: DataFrame) -> DataFrame:
+    """One row of a run's searches (success, expect_hit): how many, the share answered, and of these the share with an expected domain."""
+    judged = F.when(F.col("success") & F.col("expect_hit").isNotNull(), F.col("expect_hit").cast("double"))
+    return searches.agg(F.count("*").alias("search_queries"), F.avg(F.col("success").cast("double")).alias("search_success_rate"), F.avg(judged).alias("search_expect_hit"))
+
+
+def selected_cases(cases: DataFrame, only: list[str] | None) -> DataFrame:
+    """Cases whose id or category is named, in any case; all without names."""
+    wanted = [x.lower() for x in only or []]
+    return cases.where(F.lower(F.col("case_id").cast("string")).isin(wanted) | F.lower("category").isin(wanted)) if wanted else cases
+
+
+def captured_cases(cases: DataFrame, outputs: DataFrame, gold: DataFrame) -> DataFrame:
+    """Cases with what the reader returned and the gold text, where it was captured without an error."""
+    held = gold.where("error is null").select("case_id", "gold_text")
+    return cases.join(outputs, "case_id", "left").join(held, "case_id", "left")
+
+
+def peak(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """The largest sample of each run."""
+    return samples.groupBy(by).agg(F.max(value).alias("peak"))
+
+
+def run_label(provider: Column, version: Column, started: Column) -> Column:
+    """A run's id: when it began, who ran and in which version."""
+    return F.concat_ws("-", F.date_format(started, "yyyyMMdd'T'HHmmss"), provider, version)
+
+
+def write_artifacts(results: DataFrame, path: str) -> None:
+    """Markdown, gold text and metrics of each case, a partition a run."""
+    results.write.mode("append").partitionBy("run_id").parquet(f"{path}/artifacts")
+
+
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_reader(name: str, reader: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a reader under test: from cases (case_id, url) to outputs (case_id, markdown, success, latency_ms)."""
+    READERS[name] = reader
+
+
+def read_cases(name: str, cases: DataFrame) -> DataFrame:
+    return READERS[name](cases)

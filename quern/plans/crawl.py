@@ -74,3 +74,56 @@ def named_files(pages: DataFrame) -> DataFrame:
 
 def change_summary(pages: DataFrame) -> DataFrame:
     return pages.groupBy("change_status").agg(F.count("*").alias("n"))
+
+
+def mapped(found: DataFrame, limit: int, search: str | None = None) -> DataFrame:
+    """Of a map's addresses (url, seq) the first ``limit``, and of these those that hold the search text: in this order."""
+    first = found.orderBy("seq", "url").limit(limit)
+    return first if search is None else first.where(F.contains(F.lower("url"), F.lit(search.lower())))
+
+
+def sitemap_pages(start: DataFrame, stored: DataFrame, rounds: int = 16) -> DataFrame:
+    """Addresses (loc) of all pages that sitemaps lead to, from those of ``start`` (loc) on; ``stored`` has (loc, xml).
+
+    Nested sitemaps are read round by round, each once, so indexes that name each other end.
+    """
+    from quern.sources.readers import sitemap
+
+    seen = front = step(start.select("loc").distinct(), "sitemaps")
+    pages = None
+    for _ in range(rounds):
+        found = step(sitemap(stored.join(front, "loc", "left_semi")), "listed")
+        here = found.where("kind = 'page'").select("loc")
+        pages = here if pages is None else pages.union(here)
+        front = step(found.where("kind = 'sitemap'").select("loc").distinct().join(seen, "loc", "left_anti"), "sitemaps")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return pages.distinct()
+
+
+def map_events(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """What a map reports, in order: sitemap, discovery, a row of metadata an address, complete (step, url, title, n)."""
+    total = found.agg(F.count("*").alias("n"))
+    titled = found.join(pages.select("url", "title"), "url", "left")
+    return (
+        total.select(F.lit(0).alias("step"), F.lit("sitemap").alias("event"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), "n")
+        .union(total.select(F.lit(1), F.lit("discovery"), F.lit(None), F.lit(None), "n"))
+        .union(titled.select(F.lit(2), F.lit("metadata"), "url", "title", F.lit(None).cast("long")))
+        .union(total.select(F.lit(3), F.lit("complete"), F.lit(None), F.lit(None), "n"))
+    )
+
+
+def crawl_events(pages: DataFrame) -> DataFrame:
+    """What a crawl reports (step, event, url, done, total): mapping, then page or error with the progress, then complete.
+
+    Pages have url, seq, success.  Progress is a running count by blocks of seq.
+    """
+    from quern.plans.running import running
+
+    rows = pages.withColumns({"_all": F.lit(0), "_block": F.floor(F.col("seq") / 100_000)})
+    rows = running(rows, "_all", "_block", ["seq"], {"done": ("sum", F.lit(1))})
+    total = pages.agg(F.count("*").alias("total"), F.sum(F.col("success").cast("long")).alias("good"))
+    each = rows.join(F.broadcast(total), how="cross").select(F.lit(1).alias("step"), F.when(F.col("success"), "page").otherwise("error").alias("event"), "url", F.col("done").cast("long").alias("done"), "total")
+    ends = total.select(F.explode(F.array(F.struct(F.lit(0).alias("step"), F.lit("mapping").alias("event"), F.lit(0).cast("long").alias("done")), F.struct(F.lit(2).alias("step"), F.lit("complete").alias("event"), F.coalesce("good", F.lit(0)).alias("done")))).alias("e"), "total")
+    return each.union(ends.select("e.step", "e.event", F.lit(None).cast("string"), "e.done", "total"))

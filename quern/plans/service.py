@@ -117,3 +117,107 @@ def extracted(items: DataFrame, job: str) -> DataFrame:
 def batch_counts(results: DataFrame) -> DataFrame:
     good = F.sum(F.col("success").cast("int"))
     return results.agg(F.count("*").alias("total"), good.alias("succeeded"), (F.count("*") - good).alias("failed"))
+
+
+def unkeyed_empty(results: Column, providers: Column) -> Column:
+    """Whether an empty answer is an error: no usable provider has a key (only the keyless one is left)."""
+    return (F.size(results) == 0) & ~F.exists(providers, lambda p: p != "duckduckgo")
+
+
+ACTIVE, JOB_TTL = 3, 86_400
+
+
+def admitted(jobs: DataFrame, most: int = ACTIVE, ttl: int = JOB_TTL) -> DataFrame:
+    """Jobs (job, created, ended, in seconds; ended null while running) with whether each was let in.
+
+    A job is refused while ``most`` of those let in before it are still running; an expired one (``ttl`` after its
+    creation) no longer counts.  Requests are walked in order of creation, and only running jobs are remembered.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        running: list[float] = []
+        for batch in batches:
+            created, ended, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            for c, e in zip(created, ended, strict=True):
+                running = [t for t in running if t > c]
+                ok = len(running) < most
+                if ok:
+                    running.append(min(c + ttl, c + ttl if e is None else e))
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.bool_())], names=["job", "created", "ended", "admitted"])
+
+    # one list of requests, as one server keeps it
+    rows = jobs.select(F.col("job").cast("long"), F.col("created").cast("double"), F.col("ended").cast("double")).repartition(1).sortWithinPartitions("created", "job")
+    return rows.mapInArrow(run, "job long, created double, ended double, admitted boolean")
+
+
+def job_status(jobs: DataFrame, now: float, ttl: int = JOB_TTL) -> DataFrame:
+    """Jobs that have not expired (job, created, total, done, failed, cancelled) and their status."""
+    status = F.when(F.col("cancelled"), "cancelled").when(F.col("failed"), "failed").when(F.col("done") >= F.col("total"), "completed").otherwise("scraping")
+    return jobs.where(F.col("created") + ttl > now).withColumn("status", status)
+
+
+def batch_attempts(attempts: DataFrame, retry: int, continue_on_error: bool = True) -> DataFrame:
+    """Each address's outcome (ix, url, success, attempts, error) from its attempts (ix, url, attempt, success, error).
+
+    Attempts end with the first success or after ``retry``; the last error speaks for a failure.  Without
+    ``continue_on_error`` what comes after the first failed address is cancelled.
+    """
+    tried = attempts.where(F.col("attempt") <= max(1, retry))
+    won = F.min(F.when(F.col("success"), F.col("attempt")))
+    out = tried.groupBy("ix", "url").agg(won.alias("_won"), F.max("attempt").alias("_last"), F.max_by("error", "attempt").alias("error"))
+    out = out.select("ix", "url", F.col("_won").isNotNull().alias("success"), F.coalesce("_won", "_last").alias("attempts"), F.when(F.col("_won").isNull(), F.col("error")).alias("error"))
+    if continue_on_error:
+        return out
+    first = out.where("not success").agg(F.min("ix").alias("_first"))  # one row
+    late = F.coalesce(F.col("ix") > F.col("_first"), F.lit(False))
+    cut = out.join(F.broadcast(first), how="cross")
+    return cut.select("ix", "url", (F.col("success") & ~late).alias("success"), F.when(late, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(late, "cancelled").otherwise(F.col("error")).alias("error"))
+
+
+# Words for a hosted proxy pool, which there is none of.
+POOLS = ("basic", "enhanced", "auto")
+
+
+def translated(request: DataFrame) -> DataFrame:
+    """Requests of the second interface in our units: ages in seconds, no cache as age 0, pool names no proxy, a device for mobile."""
+    age = F.when(~F.coalesce("store_in_cache", F.lit(True)), 0).otherwise(F.floor(F.col("max_age") / 1000))
+    proxy = F.when(~F.lower("proxy").isin(*POOLS), F.col("proxy"))
+    return request.withColumns({"max_age": age.cast("long"), "proxy": proxy, "device": F.when(F.col("mobile"), "iPhone 14")})
+
+
+def ordered_first_failure(results: DataFrame) -> DataFrame:
+    """Results in order of ``ix``, or the first failure alone if there is one."""
+    failed = results.where("error is not null").agg(F.min("ix").alias("_ix"))
+    return results.join(F.broadcast(failed), how="cross").where(F.col("_ix").isNull() | (F.col("ix") == F.col("_ix"))).drop("_ix").orderBy("ix")
+
+
+def page_title(og_title: Column, title: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(og_title), F.lit("")), title)
+
+
+def healthy(results: Column, least: int = 3) -> Column:
+    """Whether a probe's answer shows a working search; probes stay out of the record of recent searches."""
+    return F.size(results) >= least
+
+
+def action_markdown(results: Column) -> Column:
+    """What page actions returned (kind, value) as markdown: headings for texts, fences for script results."""
+    said = F.transform(results, lambda r: F.when(r["kind"] == "scrape", r["value"]).when(r["kind"] == "javascript", F.concat(F.lit("```json\n"), r["value"], F.lit("\n```"))))
+    return F.array_join(F.array_compact(said), "\n\n")
+
+
+def wire(provider: Column, model: Column, prompt: Column) -> Column:
+    """A chat request as JSON in the form of a provider: ollama, openai or anthropic."""
+    messages = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+    return (
+        F.when(provider == "ollama", F.to_json(F.struct(model.alias("model"), messages.alias("messages"), F.lit(False).alias("stream"))))
+        .when(provider == "openai", F.to_json(F.struct(model.alias("model"), messages.alias("messages"))))
+        .when(provider == "anthropic", F.to_json(F.struct(model.alias("model"), F.lit(4096).alias("max_tokens"), messages.alias("messages"))))
+    )
+
+
+def correlated(error: Column, seed: Column) -> Column:
+    """An error's text with an id to find it by: eight digits of a hash of what was asked."""
+    return F.concat(error, F.lit(" [correlation_id="), F.substring(F.sha2(seed, 256), 1, 8), F.lit("]"))

@@ -6,36 +6,47 @@ time order by ``fold_by_key``; the same step functions run under Structured Stre
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.running import running
+
 CHAMPION = "domain string, engine string, stealth boolean, wait_for int, only_main_content boolean, ewma_score double, samples int, last_verdict string, updated_at timestamp"
 ALPHA, SLACK, LEAST, TTL_DAYS = 0.5, 5.0, 40, 14
+# Verdicts of a wall before the page.
+WALLS = ("bot_challenge", "captcha")
 
 
 def engine_cost(engine: str | None, stealth: bool) -> int:
     return (1 if stealth else 0) if engine in (None, "playwright") else 2
 
 
+def _ruling(champion: dict | None, seen: dict) -> str:
+    """What an observation does to a champion: evict, keep, blend or replace it."""
+    same = champion is not None and all(champion[k] == seen[k] for k in ("engine", "stealth"))
+    walled, worth = seen["verdict"] in WALLS, seen["verdict"] == "ok" and (seen["score"] or 0) >= LEAST
+    if not worth:
+        return "evict" if walled and same else "keep"
+    if same:
+        return "blend"
+    lead = float(seen["score"]) - (champion["ewma_score"] if champion else -math.inf)
+    saves = champion is not None and engine_cost(seen["engine"], seen["stealth"]) < engine_cost(champion["engine"], champion["stealth"])
+    return "replace" if lead > SLACK or (saves and lead >= -SLACK) else "keep"
+
+
 def champion_step(champion: dict | None, seen: dict) -> dict | None:
     """A domain's champion after one observation (engine, stealth, wait_for, only_main_content, verdict, score, ts)."""
-    same = champion is not None and (champion["engine"], champion["stealth"]) == (seen["engine"], seen["stealth"])
-    if seen["verdict"] in ("bot_challenge", "captcha"):
-        return None if same else champion
-    if seen["verdict"] != "ok" or seen["score"] is None or seen["score"] < LEAST:
-        return champion
-    score = float(seen["score"])
-    fresh = {k: seen[k] for k in ("engine", "stealth", "wait_for", "only_main_content")} | {"ewma_score": score, "samples": 1, "last_verdict": seen["verdict"], "updated_at": seen["ts"]}
-    if champion is None:
-        return fresh
-    if same:
-        return champion | {"ewma_score": ALPHA * score + (1 - ALPHA) * champion["ewma_score"], "samples": champion["samples"] + 1, "last_verdict": seen["verdict"], "updated_at": seen["ts"]}
-    cheaper = engine_cost(seen["engine"], seen["stealth"]) < engine_cost(champion["engine"], champion["stealth"])
-    if (cheaper and score >= champion["ewma_score"] - SLACK) or score > champion["ewma_score"] + SLACK:
-        return fresh
-    return champion
+    ruling = _ruling(champion, seen)
+    if ruling in ("evict", "keep"):
+        return None if ruling == "evict" else champion
+    update = {"ewma_score": float(seen["score"]), "samples": 1, "last_verdict": seen["verdict"], "updated_at": seen["ts"]}
+    if ruling == "replace":
+        return {k: seen[k] for k in ("engine", "stealth", "wait_for", "only_main_content")} | update
+    mean = ALPHA * update["ewma_score"] + (1 - ALPHA) * champion["ewma_score"]
+    return champion | update | {"ewma_score": mean, "samples": champion["samples"] + 1}
 
 
 def fold_by_key(events: DataFrame, key: str, order: list[str], step: Callable, result: Callable, schema: str) -> DataFrame:
@@ -90,47 +101,84 @@ def seeds(urls: DataFrame, known: DataFrame, now: Column, explore: float = 0.1)
     return held.select(*urls.columns, F.when(~probe, F.col("engine")).alias("engine"), (~probe & F.coalesce("stealth", F.lit(False))).alias("stealth"), F.when(probe, 0).otherwise(F.coalesce("wait_for", F.lit(0))).alias("wait_for"))
 
 
-def breaker(events: DataFrame, by: str, failed: Column, empty: Column, threshold: int = 3) -> DataFrame:
-    """Events with the source's runs of failures and empties so far, and its status.
+def _blocked(events: DataFrame, at: str, width: float) -> DataFrame:
+    """``events`` with the block of time that each falls in: the part of a key's history that one task runs through."""
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6 if dict(events.dtypes)[at].startswith("timestamp") else F.col(at)
+    return events.withColumn("_block", F.floor(seconds / width))
+
 
-    Runs are islands between resets: a success ends both, an empty answer ends failures only.
+def breaker(events: DataFrame, by: str, failed: Column, empty: Column, threshold: int = 3, width: float = 86_400.0) -> DataFrame:
+    """Events (by, ts, seq) with the source's runs of failures and empties so far, and its status.
+
+    A success ends both runs, an empty answer ends failures only.  A run's length is the count so far less the count
+    at its last reset, so all follows from running sums and maxima, which blocks of ``width`` seconds share out.
     """
-    history = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    fails, empties = failed, ~failed & empty
-    marked = events.withColumns({"_f": fails.cast("int"), "_e": empties.cast("int"), "_s": (~failed & ~empty).cast("int")})
-    marked = marked.withColumns({"_fi": F.sum(1 - F.col("_f")).over(history), "_ei": F.sum("_s").over(history)})
-    run = lambda island: Window.partitionBy(by, island).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({"consecutive_failures": F.sum("_f").over(run("_fi")), "consecutive_empty": F.sum("_e").over(run("_ei"))})
-    was_down = F.max(F.when(F.col("consecutive_failures") >= threshold, 1)).over(run("_ei"))
-    status = F.when(F.col("consecutive_failures") >= threshold, "unavailable").when((F.col("consecutive_failures") > 0) | (F.col("consecutive_empty") >= threshold), "degraded")
-    status = status.when((F.col("_e") == 1) & F.coalesce(was_down == 1, F.lit(False)), "degraded").when(F.col("_s") == 1, "healthy")
-    marked = marked.withColumn("_st", status)
+    f, e = F.coalesce(failed, F.lit(False)), F.coalesce(~failed & empty, F.lit(False))
+    marked = _blocked(events, "ts", width).withColumns({"_f": f.cast("long"), "_e": e.cast("long")})
+    order = ["ts", "seq"]
+    good = (F.col("_f") == 0) & (F.col("_e") == 0)
+    marked = running(marked, by, "_block", order, {"_i": ("sum", F.lit(1)), "_nf": ("sum", F.col("_f")), "_ne": ("sum", F.col("_e"))})
+    resets = {"_rf": ("max", F.when(F.col("_f") == 0, F.col("_nf"))), "_re": ("max", F.when(good, F.col("_ne"))), "_ri": ("max", F.when(good, F.col("_i")))}
+    marked = running(marked, by, "_block", order, resets)
+    marked = marked.withColumns({"consecutive_failures": F.col("_nf") - F.coalesce("_rf", F.lit(0)), "consecutive_empty": F.col("_ne") - F.coalesce("_re", F.lit(0))})
+    down = F.col("consecutive_failures") >= threshold
+    marked = running(marked, by, "_block", order, {"_down": ("max", F.when(down, F.col("_i")))})
+    status = F.when(down, "unavailable").when((F.col("consecutive_failures") > 0) | (F.col("consecutive_empty") >= threshold), "degraded")
+    status = status.when((F.col("_e") == 1) & (F.col("_down") > F.coalesce("_ri", F.lit(0))), "degraded").when(good, "healthy")
     # an empty answer below the threshold leaves the status as it was
-    known = F.last("_st", True).over(history)
-    return marked.withColumn("status", F.coalesce(known, F.lit("healthy"))).drop("_f", "_e", "_s", "_fi", "_ei", "_st")
+    marked = running(marked.withColumn("_st", status), by, "_block", order, {"_known": ("max", F.when(F.col("_st").isNotNull(), F.struct("_i", "_st")))})
+    return marked.withColumn("status", F.coalesce("_known._st", F.lit("healthy"))).select(*events.columns, "consecutive_failures", "consecutive_empty", "status")
+
 
+def cooled(events: DataFrame, by: str, at: str = "t", cool: float = 300.0) -> DataFrame:
+    """Events of ``breaker`` (with ``at`` in seconds) and whether the source may be asked then: not within the cool-down after a failure that left it unavailable."""
+    before = Window.partitionBy(by).orderBy(at, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.struct(F.col("status").alias("s"), F.col(at).alias("t"))).over(before)
+    return events.withColumn("_last", last).withColumn("available", F.coalesce((F.col("_last.s") != "unavailable") | (F.col(at) - F.col("_last.t") >= cool), F.lit(True))).drop("_last")
 
-def send_times(requests: DataFrame, by: str, at: str, gap: float) -> DataFrame:
-    """When each request may go, ``gap`` seconds apart on each host: t_i = max(a_i, t_(i-1) + gap), as a running maximum."""
-    order = Window.partitionBy(by).orderBy(at, "seq")
-    numbered = requests.withColumn("_i", F.row_number().over(order) - 1)
-    free = F.max(F.col(at) - F.col("_i") * gap).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("send_at", free + F.col("_i") * gap).drop("_i")
+
+def send_times(requests: DataFrame, by: str, at: str, gap: float | Column, width: float = 86_400.0, burst: int = 1) -> DataFrame:
+    """When each request (by, ``at`` in seconds, seq) may go: t_i = max(a_i, t_(i-1) + gap_i), as a running maximum.
+
+    ``gap`` may be a column, so each host can bring the delay of its robots file; ``burst`` requests share a slot of
+    ``gap`` seconds.  Histories are split by blocks of ``width`` seconds.
+    """
+    step = (gap if isinstance(gap, Column) else F.lit(float(gap))).cast("double")
+    numbered = running(_blocked(requests, at, width).withColumn("_gap", step), by, "_block", [at, "seq"], {"_i": ("sum", F.lit(1))})
+    if burst > 1:  # requests of one burst leave together, at the time of the slowest of them
+        numbered = numbered.withColumn("_turn", F.floor((F.col("_i") - 1) / burst))
+        paid = F.when((F.col("_i") - 1) % burst == 0, F.col("_gap")).otherwise(0.0)
+    else:
+        paid = F.col("_gap")
+    first = F.when(F.col("_i") == 1, 0.0).otherwise(paid)
+    spent = running(numbered.withColumn("_pay", first), by, "_block", [at, "seq"], {"_sum": ("sum", F.col("_pay"))})
+    freed = running(spent, by, "_block", [at, "seq"], {"_free": ("max", F.col(at) - F.col("_sum"))})
+    return freed.withColumn("send_at", F.col("_free") + F.col("_sum")).select(*requests.columns, "send_at")
 
 
 def alerts(events: DataFrame, by: str, debounce: float = 300.0) -> DataFrame:
-    """Events (by, t in seconds, seq) of which an alert goes out: the first, then none within the debounce time of the last alert."""
+    """Events (by, t in seconds, seq) of which an alert goes out: the first, then none within the debounce time of the last alert.
 
-    def step(state, row):
-        state = state or {"times": [], "last": None}
-        if state["last"] is None or row["t"] - state["last"] >= debounce:
-            state["times"].append(row["t"])
-            state["last"] = row["t"]
-        return state
+    Rows are dealt by key and sorted in the shuffle; alerts leave as they come, so no history is kept.
+    """
+    import pyarrow as pa
 
     kinds = dict(events.dtypes)
-    found = fold_by_key(events.select(by, "t", "seq"), by, ["t", "seq"], step, lambda k, s: {by: k, "times": s["times"]}, f"{by} {kinds[by]}, times array<double>")
-    return found.select(by, F.explode("times").alias("t"))
+
+    def run(batches):
+        started, key, last = False, None, None
+        for batch in batches:
+            keys, times, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for k, (name, t) in enumerate(zip(keys, times, strict=True)):
+                if not started or name != key:
+                    started, key, last = True, name, None
+                if last is None or t - last >= debounce:
+                    last = t
+                    out.append(k)
+            yield batch.take(pa.array(out, pa.int64()))
+
+    rows = events.select(by, "t", "seq").repartition(by).sortWithinPartitions(by, "t", "seq")
+    return rows.mapInArrow(run, f"`{by}` {kinds[by]}, t {kinds['t']}, seq {kinds['seq']}").select(by, "t")
 
 
 def latest(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -174,3 +222,43 @@ def provider_chain(answers: DataFrame) -> DataFrame:
 def best_attempts(attempts: DataFrame, key: str) -> DataFrame:
     """The best attempt of each key: success first, then score, the later one on ties."""
     return attempts.groupBy(key).agg(F.max_by(F.struct(*attempts.columns), F.struct("success", "score", "attempt")).alias("a"), F.count("*").alias("attempts")).select("a.*", "attempts")
+
+
+def upserted(held: DataFrame, more: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """A cache after a series of sets: of each key the last entry of either table."""
+    return latest(held.unionByName(more), key, order)
+
+
+def token_slots(requests: DataFrame, by: str, at: str, gap: float, burst: int = 3, patience: float = 30.0, hold: float = 0.0) -> DataFrame:
+    """Requests (by, ``at`` in seconds, seq) with when each is sent, null where it gave up.
+
+    At most ``burst`` requests of a source are under way (from admission until ``hold`` seconds after sending); sends go
+    ``gap`` seconds apart; who is not admitted within ``patience`` seconds gives up.  Rows are dealt by source, sorted in
+    the shuffle and walked once; only the slots are remembered.
+    """
+    import heapq
+
+    import pyarrow as pa
+
+    kinds = dict(requests.dtypes)
+
+    def run(batches):
+        started, source, slots, last = False, None, [], float("-inf")
+        for batch in batches:
+            out = []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or name != source:
+                    started, source, slots, last = True, name, [], float("-inf")
+                admitted = t if len(slots) < burst else max(t, slots[0])
+                if admitted - t > patience:
+                    out.append(None)
+                    continue
+                if len(slots) >= burst:
+                    heapq.heappop(slots)
+                last = max(admitted, last + gap)
+                heapq.heappush(slots, last + hold)
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.float64())], names=[by, at, "seq", "sent_at"])
+
+    rows = requests.select(by, at, "seq").repartition(by).sortWithinPartitions(by, at, "seq")
+    return rows.mapInArrow(run, f"`{by}` {kinds[by]}, `{at}` {kinds[at]}, seq {kinds['seq']}, sent_at double")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.plans.running import running
+
 SCRAPE = "schema int, kind string, ts string, domain string, success boolean, verdict string, score int, attempts int, escalated boolean, word_count int, status_code int, cache_hit boolean, latency_ms double, url string"
 SEARCH = "schema int, kind string, ts string, provider string, result_count int, success boolean, latency_ms double, query_hash string, query string"
 
@@ -52,24 +54,34 @@ def prune(events: DataFrame, cutoff: str | None = None, keep_last: int | None =
     return events if keep_last is None else events.orderBy(F.desc("ts"), F.desc("seq")).limit(keep_last)
 
 
-def recent_empty(events: DataFrame, by: str, empty: Column, n: int = 5) -> DataFrame:
-    """Events of each source with whether its last ``n`` (this one among them) were all empty."""
-    last = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(1 - n, 0)
-    return events.withColumn("all_empty", (F.count("*").over(last) == n) & (F.min(empty.cast("int")).over(last) == 1))
+def recent_empty(events: DataFrame, by: str, empty: Column, n: int = 5, width: str = "day") -> DataFrame:
+    """Events of each source with whether its last ``n`` (this one among them) were all empty: a run of ``n`` or more.
+
+    Histories are split by ``width`` of ts.
+    """
+    rows = events.withColumns({"_block": F.date_trunc(width, F.col("ts").cast("timestamp")), "_e": F.coalesce(empty, F.lit(False))})
+    order = ["ts", "seq"]
+    rows = running(rows, by, "_block", order, {"_i": ("sum", F.lit(1))})
+    rows = running(rows, by, "_block", order, {"_full": ("max", F.when(~F.col("_e"), F.col("_i")))})
+    return rows.withColumn("all_empty", F.col("_i") - F.coalesce("_full", F.lit(0)) >= n).select(*events.columns, "all_empty")
 
 
-def ewma(events: DataFrame, by: str, value: str, alpha: float = 0.5) -> DataFrame:
+def ewma(events: DataFrame, by: str, value: str, alpha: float = 0.5, width: str = "day") -> DataFrame:
     """Last exponentially weighted mean of each key, in order of ts and seq.
 
-    With weights alpha (1 - alpha)^age the mean is a plain weighted sum; ages beyond
-    64 weigh nothing in double precision at alpha 0.5, so keys of any size aggregate
-    partially on either side of the shuffle.
+    With weights alpha (1 - alpha)^age the mean is a plain weighted sum.  Ages are counted within blocks of ``width``
+    of ts; a block's sum then weighs less by the rows of all later blocks, so a key's history is shared out.
     """
-    at = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("seq"))
-    total = F.count("*").over(Window.partitionBy(by))
-    aged = events.withColumns({"_age": F.row_number().over(at) - 1, "_n": total})
-    weight = F.when(F.col("_age") == F.col("_n") - 1, F.pow(F.lit(1 - alpha), "_age")).otherwise(alpha * F.pow(F.lit(1 - alpha), "_age"))
-    return aged.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ewma"), F.count("*").alias("samples"))
+    rows = events.withColumn("_block", F.date_trunc(width, F.col("ts").cast("timestamp")))
+    at = Window.partitionBy(by, "_block").orderBy(F.desc("ts"), F.desc("seq"))
+    aged = rows.withColumn("_age", F.row_number().over(at) - 1)
+    decay = lambda age: F.pow(F.lit(1 - alpha), age)
+    blocks = aged.groupBy(by, "_block").agg(F.sum(alpha * decay(F.col("_age")) * F.col(value)).alias("_s"), F.count("*").alias("_n"), F.max_by(value, "_age").alias("_first"))
+    later = Window.partitionBy(by).orderBy(F.desc("_block"))
+    blocks = blocks.withColumns({"_after": F.sum("_n").over(later) - F.col("_n"), "_oldest": F.row_number().over(Window.partitionBy(by).orderBy("_block")) == 1})
+    # the first value of all weighs (1 - alpha)^age, without alpha
+    start = F.when(F.col("_oldest"), (1 - alpha) * decay(F.col("_n") - 1) * F.col("_first")).otherwise(0.0)
+    return blocks.groupBy(by).agg(F.sum((F.col("_s") + start) * decay(F.col("_after"))).alias("ewma"), F.sum("_n").alias("samples"))
 
 
 def windowed_success(events: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -47,9 +47,41 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_cache(entries: DataFrame, path: str, checkpoint: str):
-    """A streaming query that appends cache entries; readers take the last of each key (``states.latest``)."""
-    return entries.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_cache(entries: DataFrame, path: str, checkpoint: str, key: str = "key", order: tuple[str, ...] = ("ts", "seq")):
+    """A streaming query that keeps the last entry of each key.
+
+    Each micro-batch is merged with the newest version into a new one (``v=<batch>``), then older versions than the one
+    before go.  A repeated batch writes its version anew, so a restart leaves the same cache.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = cache_version(spark, path, number)
+        new = batch if held is None else held.unionByName(batch)
+        states.latest(new, key, list(order)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        folder, fs = _folder(spark, path)
+        for status in fs.listStatus(folder) if number > 1 else []:
+            name = status.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) < number - 1:
+                fs.delete(status.getPath(), True)
+
+    return entries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cache_version(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version of a cache (before a number), None without one."""
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        return None
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    numbers = [int(n[2:]) for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before) and fs.exists(made(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/v={max(numbers)}") if numbers else None
 
 
 def crawl_queue(urls: DataFrame, handle, checkpoint: str):
