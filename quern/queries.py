@@ -16,36 +16,19 @@ from pyspark.sql import functions as F
 from quern.functions import detect, quality, text, urls
 from quern.operators import pages as page_ops
 from quern.operators import passages
-from quern.plans import benchmark, crawl, service, states, telemetry
+from quern.plans import benchmark, crawl, running, service, states, telemetry
+from quern.registry import QUERIES, SQL, longs, query, table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+_long = longs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _long(*names: str):
-    return [F.col(n).cast("long").alias(n) for n in names]
+    queries()
+    return dict(SQL)
 
 
 # URLs
@@ -229,15 +212,29 @@ def page_detect(spark, d):
     return table(spark, d, "pages").select("page_id", detect.framework(h).alias("framework"), detect.captcha(h).alias("captcha"), detect.challenge(h).alias("challenge"), detect.denied(h).alias("denied"), detect.login(h).alias("login"), detect.needs_js(h, F.char_length(h)).alias("needs_js"))
 
 
-@query()
+_DETECTED = r"""(SELECT page_id, framework, contains(h, 'captcha') OR contains(h, 'cf-turnstile') AS captcha,
+  contains(h, 'just a moment') OR contains(h, 'checking your browser') OR contains(h, 'please wait') OR contains(h, 'verify you') OR contains(h, 'challenge-form') AS challenge,
+  contains(h, 'access denied') OR contains(h, '403 forbidden') OR contains(h, 'blocked') AS denied,
+  contains(h, 'sign in') OR contains(h, 'log in') OR contains(h, 'login') OR contains(h, 'please authenticate') OR contains(h, 'access restricted') OR contains(h, 'type="password"') OR contains(h, 'forgot password') AS login,
+  (framework IS NOT NULL AND length(html) < 5000) OR (b <> '' AND seen < 100) AS needs_js FROM (
+  SELECT *, length(trim(regexp_replace(regexp_replace(regexp_replace(b, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'))) AS seen,
+  CASE WHEN contains(h, '<div id="root"></div>') OR contains(h, '<div id="app"></div>') OR contains(h, 'data-reactroot') OR contains(h, '__next_data__') OR contains(h, '_next/static') THEN 'react'
+  WHEN contains(h, '__nuxt__') OR contains(h, '/_nuxt/') OR contains(h, 'v-cloak') THEN 'vue' WHEN contains(h, '<app-root') OR contains(h, 'ng-version') OR contains(h, 'angular.min.js') THEN 'angular'
+  WHEN contains(h, 'svelte-') OR contains(h, '__sveltekit') THEN 'svelte' END AS framework FROM (SELECT page_id, html, lower(html) AS h, regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) AS b FROM pages)))"""
+
+
+@query(f"""SELECT page_id, CASE WHEN challenge OR page_id % 3 = 0 THEN 5000 WHEN needs_js OR framework IS NOT NULL THEN 3000 ELSE 0 END AS wait_for, challenge OR page_id % 3 = 0 AS stealth_mode, CASE WHEN page_id % 3 = 0 THEN 'camoufox' END AS engine,
+  captcha AS captcha_solving, denied AS proxy, login AS auth_required, nullif(concat_ws('; ', CASE WHEN needs_js OR framework IS NOT NULL THEN 'scripts build the page' END,
+  CASE WHEN page_id % 3 = 0 THEN 'requests pass Akamai''s bot manager, so another engine is needed' END, CASE WHEN page_id % 3 <> 0 AND challenge THEN 'bot checks guard the page' END,
+  CASE WHEN captcha THEN 'a CAPTCHA stands before it' END, CASE WHEN denied THEN 'this address is refused' END, CASE WHEN login THEN 'it asks for a login' END), '') AS reason FROM {_DETECTED}""")
 def page_recommendations(spark, d):
-    r = detect.recommendations(F.lit(None).cast("string"), F.col("html"))
-    return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.*")
+    """Every third page comes by Akamai."""
+    r = detect.recommendations(F.when(F.col("page_id") % 3 == 0, "akamai"), F.col("html"))
+    return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.*").fillna(0, ["wait_for"])
 
 
 def _graded(spark, d):
-    p = table(spark, d, "pages")
-    found = page_ops.features(p, "markdown", "link_details").join(p.select("page_id", "html"), "page_id")
+    found = page_ops.features(table(spark, d, "pages"), "markdown", "link_details", keep_html=True)
     n_index = F.size(F.filter("link_details", lambda x: ~x["chrome"] & (x["text"] != "")))
     words = text.word_count(F.col("markdown"))
     found = found.withColumns({"words": words, "verdict": quality.verdict(F.lit(None).cast("int"), F.col("html"), F.col("markdown"), F.col("url"), n_index)})
@@ -367,9 +364,9 @@ def doc_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"), text.short_hash(F.col("text")).alias("short_hash"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def doc_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars::VARCHAR || ' B' ELSE printf('%.1f KB', n_chars / 1024.0::DOUBLE) END AS size FROM documents")
@@ -472,7 +469,9 @@ def telemetry_hourly(spark, d):
 
 @query("SELECT event_type AS verdict, median(value) AS median_latency, round(avg(value), 6) AS mean_latency FROM events GROUP BY event_type")
 def telemetry_latency(spark, d):
-    return _events(spark, d).groupBy("verdict").agg(F.expr("percentile(value, 0.5)").alias("median_latency"), F.round(F.avg("value"), 6).alias("mean_latency"))
+    e = _events(spark, d)
+    means = e.groupBy("verdict").agg(F.round(F.avg("value"), 6).alias("mean_latency"))
+    return means.join(running.medians(e, ["verdict"], "value").withColumnRenamed("median", "median_latency"), "verdict").select("verdict", "median_latency", "mean_latency")
 
 
 @query("""WITH f AS (SELECT event_id, user_id, ts, (event_type = 'error')::INT AS f, (event_type = 'view')::INT AS e FROM events),
@@ -557,12 +556,28 @@ def _observations(spark, d):
     return e.select(F.col("user_id").cast("string").alias("domain"), engine.alias("engine"), (F.col("event_type") == "signup").alias("stealth"), F.lit(0).alias("wait_for"), F.lit(True).alias("only_main_content"), verdict.alias("verdict"), (40 + F.col("value")).cast("int").alias("score"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
 
 
-@query()
+_FOLD = """WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS domain, CASE event_type WHEN 'purchase' THEN 'camoufox' WHEN 'signup' THEN 'playwright' END AS engine, event_type = 'signup' AS stealth, event_type = 'error' AS walled,
+  trunc(40 + value)::INT AS score, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, CASE WHEN engine IS NULL OR engine = 'playwright' THEN stealth::INT ELSE 2 END AS cost FROM o),
+r AS (SELECT domain, 0::BIGINT AS i, false AS held, NULL::VARCHAR AS engine, false AS stealth, 0 AS cost, NULL::DOUBLE AS ewma, 0 AS samples, NULL::TIMESTAMP AS since FROM (SELECT DISTINCT domain FROM p)
+  UNION ALL SELECT domain, i, k <> 'evict' AND (k <> 'keep' OR held), CASE WHEN k = 'replace' THEN e ELSE engine END, CASE WHEN k = 'replace' THEN s ELSE stealth END, CASE WHEN k = 'replace' THEN c ELSE cost END,
+    CASE k WHEN 'replace' THEN score WHEN 'blend' THEN 0.5::DOUBLE * score + 0.5::DOUBLE * ewma ELSE ewma END, CASE k WHEN 'replace' THEN 1 WHEN 'blend' THEN samples + 1 ELSE samples END, CASE WHEN k IN ('replace', 'blend') THEN ts ELSE since END
+  FROM (SELECT r.domain, p.i, r.held, r.engine, r.stealth, r.cost, r.ewma, r.samples, r.since, p.engine AS e, p.stealth AS s, p.cost AS c, p.score::DOUBLE AS score, p.ts, CASE
+    WHEN p.walled THEN CASE WHEN r.held AND r.engine IS NOT DISTINCT FROM p.engine AND r.stealth = p.stealth THEN 'evict' ELSE 'keep' END WHEN p.score < 40 THEN 'keep' WHEN NOT r.held THEN 'replace'
+    WHEN r.engine IS NOT DISTINCT FROM p.engine AND r.stealth = p.stealth THEN 'blend' WHEN p.score > r.ewma + 5 OR (p.cost < r.cost AND p.score >= r.ewma - 5) THEN 'replace' ELSE 'keep' END AS k
+    FROM r JOIN p ON p.domain = r.domain AND p.i = r.i + 1))
+SELECT domain, engine, stealth, 0 AS wait_for, true AS only_main_content, round(ewma, 6) AS ewma_score, samples, 'ok' AS last_verdict, epoch_us(since) AS updated_at FROM r WHERE held AND i = (SELECT count(*) FROM p WHERE p.domain = r.domain)"""
+
+
+@query(_FOLD)
 def strategy_champions(spark, d):
-    return states.champions(_observations(spark, d))
+    found = states.champions(_observations(spark, d))
+    return found.withColumns({"ewma_score": F.round("ewma_score", 6), "updated_at": F.unix_micros("updated_at")})
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS domain, (epoch_us(ts) // 1000000)::DOUBLE AS t FROM events WHERE event_type = 'error'),
+a AS (SELECT domain, min(t) AS t FROM e GROUP BY domain UNION ALL SELECT a.domain, (SELECT min(e.t) FROM e WHERE e.domain = a.domain AND e.t >= a.t + 86400) AS t FROM a WHERE EXISTS (SELECT 1 FROM e WHERE e.domain = a.domain AND e.t >= a.t + 86400))
+SELECT domain, t FROM a""")
 def alerts_debounced(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'")
     return states.alerts(e.select(F.col("user_id").cast("string").alias("domain"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.col("event_id").alias("seq")), "domain", 86_400.0)
@@ -592,9 +607,12 @@ def reply_json(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", reply.alias("reply")).select("conv_id", "turn", F.trim(F.regexp_replace(found, r"^\s+|\s+$", "")).alias("found"))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ltrim(text) WHEN 1 THEN '<think>' || text ELSE text || ' </think> x' END AS answer FROM conversations")
 def reply_without_reasoning(spark, d):
-    c = table(spark, d, "conversations").withColumn("reply", F.concat(F.lit("<think>a <think>b</think> c</think> "), "text"))
+    """Replies behind nested reasoning, with reasoning that never ends, and with a tag in their prose."""
+    turn = F.col("turn") % 3
+    reply = F.when(turn == 0, F.concat(F.lit("<think>a <think>b</think> c</think> "), "text")).when(turn == 1, F.concat(F.lit("<think>"), "text")).otherwise(F.concat("text", F.lit(" </think> x")))
+    c = table(spark, d, "conversations").withColumn("reply", reply)
     return page_ops.per_row(c, ["reply"], passages.without_reasoning, "answer", "string", ["conv_id", "turn"])
 
 
