@@ -6,24 +6,31 @@ For two sets the sum of coordinate minima bounds their overlap from above, for a
 set and a tree page the minima with the page's upper corner do; what the bound
 cannot rule out is verified on the sets themselves.
 
-One tree over all documents cannot be spread over machines, so documents are
-first brought together by a key that loses no link: sets with a similarity of t
-share one of the first ``n - ceil(t n) + 1`` hashes of either in any fixed order,
-so each such hash gets its own bucket, and a tree stands over each bucket that
-needs one.  The order is that of the hashes, but those that many texts share (in a
-fixed number of slots, counted by every task over all its documents) come last, so
-that a common passage does not bring unrelated texts together.  The order bears on
-cost only, never on the result.
+One tree over all documents cannot be spread over machines, and hashed counts of sets of
+one size lie so close together that most of its pages would be visited, so sets are first
+routed by a key that loses no link: sets with a similarity of t share one of the first
+``n - ceil(t n) + 1`` hashes of either in any fixed order.  Each such hash is a bucket, a
+tree stands over each bucket (a bucket of up to ``LEAF`` sets is one page), and every
+pair that is verified comes out of a tree, by its bound.  The order is that of the
+hashes, but those that many texts share (in a fixed number of slots, counted by every
+task over all its documents) come last, so that a common passage does not bring
+unrelated texts together.  The order bears on cost only, never on the result.
 
 1. Equal sets become one set (the smallest doc_id speaks for it).
-2. Every set of a bucket is held against the bucket's first set only, in up to
-   ``STARS`` passes with other first sets; verified links give first components.
-3. Only buckets that still hold several components get a tree.  It returns pairs
-   of different components, and those not verified before are verified.  Pairs
-   inside a component are never needed, so groups of copies stay linear, while
-   no link between components is lost.
-
-Buckets beyond ``BLOCK`` sets are dealt into pairs of blocks, each one task's work.
+2. Covers: in each bucket the tree is searched for one set after another, but only for
+   such as no earlier search returned, so a group of near copies gives one pair a member
+   and not one for each two.  Verified links give first components; buckets that still
+   hold several components are covered once more in another order.
+3. Full searches: buckets that hold several components even then are searched for every
+   set.  Pairs of different components that were not verified before are verified.  Pairs
+   inside a component are never needed, so no link between components is lost.
+
+Buckets of common hashes are dealt to ``SALTS`` parts a shuffle partition for the covers,
+by set and key, so that no bucket has to fit in one task; which sets meet there bears on
+cost only, since step 3 takes up what is left.  Open buckets beyond ``BLOCK`` sets are
+dealt into pairs of blocks, each one task's work.  Sets and shingles are known by 64-bit
+hashes: that any two of a billion sets share one has a probability of 3 %, and that two
+shingles of one pair of texts of 1,000 words do, of 1e-13.
 
 Defined results: null or empty text has an empty set, links with nothing and is
 its own component; repeated rows and equal texts share a component; documents
@@ -51,12 +58,15 @@ LEAF = 32
 #: A count that may stand for more: two of them bound nothing.
 FULL = 65535
 NAMES = ["a", "b", "na", "nb"]
-POINT = ["doc_id", "n", "sid", "point", "slot", "times"]
+POINT = ["doc_id", "text_id", "n", "sid", "point", "slot", "times"]
+POINTS = "doc_id long, text_id long, n long, sid long, point binary, slot int, times int"
 #: Slots of the hash range in which a task counts sets, how many make a slot common, and sets a task remembers.
 SLOT_BITS, COMMON, REMEMBERED = 22, 12, 500_000
 SLOTS = 1 << SLOT_BITS
-#: Passes over first sets before trees are built.
-STARS = 3
+#: Rounds of covers before full searches, and parts of a common bucket for each shuffle partition.
+COVERS, SALTS = 2, 4
+#: Rows of whole buckets that are covered side by side.
+TOGETHER = 40_000
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -72,7 +82,7 @@ def _sid(u: np.ndarray) -> int:
 
 
 def _points(width: int):
-    """A row (doc_id, n, sid, point) per document and, at a task's end, a row (slot, times) per hash slot that is common in it."""
+    """A row (doc_id, text_id, n, sid, point) per document and, at a task's end, a row (slot, times) per hash slot that is common in it."""
 
     def run(batches):
         times, seen = np.zeros(SLOTS, np.uint32), set()
@@ -89,10 +99,10 @@ def _points(width: int):
                         seen.add(sid)
                     times[_slots(u)] += 1
             none = pa.nulls(len(ns), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(points, pa.binary()), none, none], names=POINT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(points, pa.binary()), none, none], names=POINT)
         slots = np.flatnonzero(times >= COMMON)
         none = pa.nulls(len(slots), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(slots), pa.binary()), pa.array(slots, pa.int32()), pa.array(times[slots].astype(np.int32))], names=POINT)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(slots), pa.binary()), pa.array(slots, pa.int32()), pa.array(times[slots].astype(np.int32))], names=POINT)
 
     return run
 
@@ -102,7 +112,7 @@ def _slots(u: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(width: int, num: int, den: int, common: np.ndarray):
-    """Rows (key, sid, n): the first hashes of each set, once per set and task; common ones come last in the order."""
+    """Rows (key, sid, n, hot): the first hashes of each set, once per set and task; common (hot) ones come last in the order."""
 
     def run(batches):
         last = np.unpackbits(common).astype(bool)
@@ -110,7 +120,7 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray):
         for batch in batches:
             column = batch.column(0)
             for i, j in textkit.slices(column):
-                keys, sids, ns = [], [], []
+                keys, sids, ns, hot = [], [], [], []
                 for u in _sets(column.slice(i, j - i), width):
                     if not len(u) or (s := _sid(u)) in seen:
                         continue
@@ -119,10 +129,11 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray):
                     keep = len(u) - (num * len(u) + den - 1) // den + 1
                     late = last[_slots(u)]
                     keys.append(np.concatenate([u[~late], u[late]])[:keep])
+                    hot.append(np.arange(keep) >= len(u) - late.sum())
                     sids.append(np.full(keep, s, np.int64))
                     ns.append(np.full(keep, len(u), np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns))], names=["key", "sid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(hot))], names=["key", "sid", "n", "hot"])
 
     return run
 
@@ -161,10 +172,12 @@ class CountTree:
 
     def search(self, size: int, point: np.ndarray, num: int, den: int) -> np.ndarray:
         """Entries whose bound allows num/den similarity with the query."""
+        self.visited = 0
         # overlap / (size + n - overlap) >= num / den for the page's smallest n
         pages = np.arange(len(self.levels[-1][0])) if self.levels else np.empty(0, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, low, high = self.levels[depth]
+            self.visited += len(pages)
             fits = (high[pages] * den >= size * num) & (low[pages] * num <= size * den)
             pages = pages[fits]
             bound = _bound(upper[pages], point)
@@ -174,56 +187,133 @@ class CountTree:
             pages = pages[pages < width]
         if not self.levels:
             pages = np.arange(len(self.sizes))
+        self.tested = len(pages)
         bound = _bound(self.points[pages], point)
         pages = pages[bound * (num + den) >= (size + self.sizes[pages]) * num]
         return self.order[pages]
 
 
 def _bucket(sids, sizes, comps, points, side, num: int, den: int):
-    """Pairs (smaller sid, larger sid) of different components that the bound allows."""
-    n = len(sids)
+    """Pairs (smaller sid, larger sid, sizes) of different components that the bound allows, pages and points looked at."""
+    n, pages, tested = len(sids), 1, len(sids) ** 2
     if n <= LEAF:
         bound = _bound(points[:, None, :], points[None, :, :])
         a, b = np.nonzero(bound * (num + den) >= (sizes[:, None] + sizes[None, :]) * num)
     else:
         tree = CountTree(sizes, points)
-        found = [tree.search(int(sizes[i]), points[i], num, den) for i in range(n)]
+        found, pages, tested = [], 0, 0
+        for i in range(n):
+            found.append(tree.search(int(sizes[i]), points[i], num, den))
+            pages, tested = pages + tree.visited, tested + tree.tested
         a = np.repeat(np.arange(n), [len(x) for x in found])
         b = np.concatenate(found)
     keep = (sids[a] < sids[b]) & (comps[a] != comps[b]) & ((side[a] != side[b]) | (side[a] < 0))
     a, b = a[keep], b[keep]
-    return sids[a], sids[b], sizes[a], sizes[b]
+    return sids[a], sids[b], sizes[a], sizes[b], pages, tested
+
+
+def _units(batches, columns: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole units (runs of equal ``columns``), at least ``least`` at a time, and where the units start."""
+    held: list[pa.Table] = []
+    rows = 0
+
+    def cut(t: pa.Table) -> np.ndarray:
+        unit = np.stack([t[c].to_numpy() for c in columns])
+        return np.concatenate([[0], np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= least:
+            t = pa.concat_tables(held).combine_chunks()
+            starts = cut(t)
+            if len(starts) > 1:  # the last unit may go on
+                yield t.slice(0, int(starts[-1])), starts[:-1]
+                t = t.slice(int(starts[-1]))
+            held, rows = [t], 0
+    if held and sum(t.num_rows for t in held):
+        t = pa.concat_tables(held).combine_chunks()
+        yield t, cut(t)
+
+
+def _found(pairs: list[tuple], pages: int, tested: int) -> pa.RecordBatch:
+    """Pairs, and a row without any that holds how many pages and points were looked at."""
+    columns = [np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int64)]) for k in range(4)]
+    none = pa.nulls(1, pa.int64())
+    first = [pa.concat_arrays([pa.array(c), none]) for c in columns[:2]]
+    rest = [pa.array(np.append(c, x)) for c, x in zip(columns[2:], (pages, tested), strict=True)]
+    return pa.RecordBatch.from_arrays([*first, *rest], names=NAMES)
+
+
+def _pairs(a, b, sids, sizes):
+    low = sids[a] < sids[b]
+    x, y = np.where(low, a, b), np.where(low, b, a)
+    return sids[x], sids[y], sizes[x], sizes[y]
+
+
+def _covers(num: int, den: int):
+    """Rows (key, salt, sid, n, comp, point) of whole buckets, likeliest first: pairs of a set and those its search returns."""
+
+    def side_by_side(unit, sids, sizes, comps, points, out):
+        """Buckets of one page: a round searches each for its first set that none has returned."""
+        left, tested = np.arange(len(sids)), 0
+        while len(left):
+            head = np.concatenate([[True], unit[left][1:] != unit[left][:-1]])
+            first = left[np.flatnonzero(head)][np.cumsum(head) - 1]
+            bound = _bound(points[left], points[first])
+            hit = (bound * (num + den) >= (sizes[left] + sizes[first]) * num) & ~head
+            tested += int((~head).sum())
+            a, b = left[hit], first[hit]
+            other = comps[a] != comps[b]
+            out.append(_pairs(a[other], b[other], sids, sizes))
+            left = left[~hit & ~head]
+        return tested
+
+    def by_tree(rows, sids, sizes, comps, points, out):
+        tree = CountTree(sizes[rows], points[rows])
+        free, pages, tested = np.ones(len(rows), bool), 0, 0
+        for i in range(len(rows)):
+            if free[i]:
+                found = tree.search(int(sizes[rows[i]]), points[rows[i]], num, den)
+                pages, tested = pages + tree.visited, tested + tree.tested
+                found = found[free[found] & (found != i)]
+                free[found] = free[i] = False
+                b = rows[found][comps[rows[found]] != comps[rows[i]]]
+                out.append(_pairs(np.full(len(b), rows[i]), b, sids, sizes))
+        return pages, tested
 
+    def run(batches):
+        for t, starts in _units(batches, ["key", "salt"], TOGETHER):
+            sids, sizes, comps = (t[c].to_numpy() for c in ("sid", "n", "comp"))
+            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+            lengths = np.diff(np.append(starts, t.num_rows))
+            unit = np.repeat(np.arange(len(starts)), lengths)
+            small = np.flatnonzero((lengths <= LEAF)[unit])
+            out: list[tuple] = []
+            tested, pages = side_by_side(unit[small], sids[small], sizes[small], comps[small], points[small], out), int((lengths <= LEAF).sum())
+            for k in np.flatnonzero(lengths > LEAF).tolist():
+                more = by_tree(np.arange(starts[k], starts[k] + lengths[k]), sids, sizes, comps, points, out)
+                pages, tested = pages + more[0], tested + more[1]
+            yield _found(out, pages, tested)
 
-def _trees(num: int, den: int):
-    """Rows sorted by (key, i, j): one tree for each run of equal units."""
+    return run
 
-    def run(batches):
-        held: list[pa.Table] = []
 
-        def flush():
-            t = pa.concat_tables(held)
-            held.clear()
-            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint16).reshape(-1, GROUPS)
-            side = t["side"].to_numpy()
-            return _bucket(t["sid"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), points, side, num, den)
+def _trees(num: int, den: int):
+    """Rows sorted by (key, i, j): one tree for each run of equal units, searched for every set."""
 
-        last = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            unit = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-            starts = np.concatenate([[0], np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1]).tolist() if t.num_rows else []
-            got = []
-            for s, e in zip(starts, [*starts[1:], t.num_rows], strict=False):
-                name = tuple(unit[:, s])
-                if held and name != last:
-                    got.append(flush())
-                last = name
-                held.append(t.slice(s, e - s))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in range(4)], names=NAMES)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flush()], names=NAMES)
+    def run(batches):
+        for t, starts in _units(batches, ["key", "i", "j"], 1):
+            out, pages, tested = [], 0, 0
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                part = t.slice(s, e - s)
+                points = np.frombuffer(b"".join(part["point"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+                *pairs, p, n = _bucket(part["sid"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy(), points, part["side"].to_numpy(), num, den)
+                out.append(tuple(pairs))
+                pages, tested = pages + p, tested + n
+            yield _found(out, pages, tested)
 
     return run
 
@@ -250,10 +340,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
 
 
 def _common(points: DataFrame) -> np.ndarray:
-    """A bit for each slot, of fixed size: whether some task found it common."""
-    bits = np.zeros(SLOTS, bool)
-    bits[[r["slot"] for r in points.where("slot is not null").select("slot").distinct().toLocalIterator()]] = True
-    return np.packbits(bits)
+    """A bit for each slot, of fixed size: whether some task found it common.  The driver gets a row for 64 slots."""
+    words = points.where("slot is not null").groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("b"))
+    mask = np.zeros(SLOTS >> 6, np.int64)
+    for r in words.collect():  # at most SLOTS / 64 rows
+        mask[r["w"]] = r["b"]
+    return np.packbits(np.unpackbits(mask.view(np.uint8), bitorder="little"))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -264,84 +356,117 @@ def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    bucket = Window.partitionBy("key")
-    return rows.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+    """Rows of buckets that hold more than one component; buckets are summed up on either side of the shuffle."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
+def _summed(found: DataFrame, figures: dict | None, name: str) -> DataFrame:
+    """Pairs (a, b, na, nb, c) with how many buckets returned each; what the search looked at goes to ``figures``."""
+    if figures is not None:
+        found = materialize(found, "found")
+        seen = found.where("a is null").agg(F.sum("na"), F.sum("nb")).first()
+        figures[name] = {"pages": seen[0] or 0, "points": seen[1] or 0, "survivors": found.where("a is not null").count()}
+    return found.where("a is not null").groupBy(*NAMES).agg(F.count("*").alias("c"))
+
+
+def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, figures: dict | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id, text_id, component): similarity num/den or more links two documents.
 
+    component is one of the component's set_ids, null without words; text_id is a hash of the text.
 
-def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id): similarity num/den or more links two documents."""
+    ``figures`` is filled with pages and points looked at, pairs that survive the bound, and those verified, by step.
+    """
     docs = documents.select("doc_id", "text")
-    points = materialize(docs.mapInArrow(_points(width), "doc_id long, n long, sid long, point binary, slot int, times int"), "points")
+    points = materialize(docs.withColumn("text_id", F.xxhash64("text")).mapInArrow(_points(width), POINTS), "points")
     some = points.where("n > 0")
     heads = some.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max(_named(F.col("doc_id"))).alias("speaker"), F.first("n").alias("n"), F.first("point").alias("point"))
 
-    rows = docs.select("text").mapInArrow(_prefixes(width, num, den, _common(points)), "key long, sid long, n long").repartition("key")
-    bucket = Window.partitionBy("key")
-    shared = rows.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)}).where("lo <> hi")
-    shared = materialize(shared.dropDuplicates(["key", "sid"]).select("key", "sid", "n"), "buckets")
-
-    # First sets: of a group of copies the one with the fewest hashes of its own, then others by a hash.
-    weight = shared.groupBy("sid").agg((F.count("*") / F.max("n")).alias("weight"))
-    rows = _labelled(shared.join(weight, "sid"), None)
-    links, roots, tried = None, None, None
-    for turn in range(STARS):
-        order = F.col("weight") if turn == 0 else F.xxhash64("sid", F.lit(turn)).cast("double")
-        first = F.max(F.struct(order.alias("o"), "sid", "n", "comp")).over(bucket)
-        pairs = rows.withColumn("p", first).where("comp <> p.comp")
-        pairs = pairs.where((F.col("n") * den >= F.col("p.n") * num) & (F.col("p.n") * den >= F.col("n") * num))
-        pairs = pairs.groupBy(F.least("p.sid", "sid").alias("a"), F.greatest("p.sid", "sid").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
-        # what these passes leave out, the trees find: here a quarter of the prefix must agree
-        pairs = pairs.where(F.col("c") * 4 * den >= F.col("n") * (den - num)).select("a", "b")
+    # a hot key's rows are dealt to several parts, and stay without a look at the others
+    salts = SALTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid", "key"), F.lit(salts))).otherwise(0).cast("int")
+    rows = docs.select("text").mapInArrow(_prefixes(width, num, den, _common(points)), "key long, sid long, n long, hot boolean")
+    rows = rows.withColumn("salt", salt).repartition("key", "salt")
+    part = Window.partitionBy("key", "salt")
+    shared = rows.withColumns({"lo": F.min("sid").over(part), "hi": F.max("sid").over(part)}).where("hot or lo <> hi")
+    shared = materialize(shared.dropDuplicates(["key", "salt", "sid"]).select("key", "salt", "sid", "n"), "buckets")
+
+    # likeliest first: of a group of copies the one with the fewest hashes of its own, then another order
+    known = heads.select("sid", "point").join(shared.groupBy("sid").agg(F.count("*").alias("times")), "sid")
+    rows = shared.join(known, "sid").select("key", "salt", "sid", "n", "point", (F.col("times") / F.col("n")).alias("weight"))
+    # the second order, the full searches and their points start from these
+    rows = materialize(rows, "units")
+    links, roots, tried, now = None, None, None, _labelled(rows, None)
+    for turn in range(COVERS):
+        order = F.col("weight").desc() if turn == 0 else F.xxhash64("sid", F.lit(turn))
+        units = now.select("key", "salt", "sid", "n", "comp", "point", "weight").repartition("key", "salt").sortWithinPartitions("key", "salt", order, "sid")
+        found = units.drop("weight").mapInArrow(_covers(num, den), "a long, b long, na long, nb long")
+        pairs = _summed(found, figures, f"cover {turn + 1}")
+        # what covers leave out, full searches find: here a quarter of the prefix must agree
+        pairs = pairs.where(F.col("c") * 4 * den >= F.least("na", "nb") * (den - num)).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = _verified(pairs, docs, heads, width, num, den)
+        held = _verified(pairs, docs, heads, width, num, den)
         tried = pairs if tried is None else tried.union(pairs)
-        if found.isEmpty():
+        if figures is not None:
+            figures[f"cover {turn + 1}"] |= {"verified": pairs.count(), "links": held.count()}
+        if held.isEmpty():
             break
-        links = found if links is None else links.union(found)
+        links = held if links is None else links.union(held)
         roots = components(links)
-        rows = materialize(_open(_labelled(shared.join(weight, "sid"), roots)), "open")
+        now = materialize(_open(_labelled(rows, roots)), "open")
 
-    bucket_rank = bucket.orderBy("n", "sid")
-    ranked = _open(rows).withColumns({"block": F.floor((F.row_number().over(bucket_rank) - 1) / BLOCK), "blocks": F.ceil(F.count("*").over(bucket) / BLOCK)})
-    whole = ranked.where("blocks = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid", "n", "comp", F.lit(-1).alias("side"))
+    sizes = now.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
+    ranked = now.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("blocks")))
+    whole = ranked.where("blocks = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid", "n", "comp", F.lit(-1).alias("side"), "point")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     parts = ranked.where("blocks > 1").withColumn("o", other)
-    parts = parts.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "sid", "n", "comp", F.when(F.col("block") == F.col("o"), -1).otherwise(F.when(F.col("block") < F.col("o"), 0).otherwise(1)).alias("side"))
-    units = whole.union(parts).join(heads.select("sid", "point"), "sid")
-    units = units.select("key", "i", "j", "sid", "n", "comp", "side", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    parts = parts.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "sid", "n", "comp", F.when(F.col("block") == F.col("o"), -1).otherwise(F.when(F.col("block") < F.col("o"), 0).otherwise(1)).alias("side"), "point")
+    units = whole.union(parts).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     # each tree that holds a pair gives it once, so c counts the hashes that both prefixes share; of one
     # of the two sets all prefix hashes are counted, and no more than the rest of it can be shared besides
-    more = units.mapInArrow(_trees(num, den), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    more = _summed(units.mapInArrow(_trees(num, den), "a long, b long, na long, nb long"), figures, "full")
     rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
     more = more.where((F.col("c") + rest) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b", "c")
-    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
     # of two components' pairs first the likeliest; the others only if that has not joined the two
     for last in (False, True):
         if more.isEmpty():
             break
-        rows = _labelled(more.withColumnRenamed("a", "sid"), roots).withColumnsRenamed({"sid": "a", "comp": "ca", "b": "sid"})
-        rows = _labelled(rows, roots).withColumnsRenamed({"sid": "b", "comp": "cb"}).where("ca <> cb")
+        left = _labelled(more.withColumnRenamed("a", "sid"), roots).withColumnsRenamed({"sid": "a", "comp": "ca", "b": "sid"})
+        left = _labelled(left, roots).withColumnsRenamed({"sid": "b", "comp": "cb"}).where("ca <> cb")
         if not last:
-            rows = rows.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
-        found = _verified(materialize(rows.select("a", "b"), "pairs"), docs, heads, width, num, den)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
+            left = left.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b")
+        left = materialize(left.select("a", "b"), "pairs")
+        held = _verified(left, docs, heads, width, num, den)
+        if figures is not None:
+            figures["full" if not last else "full, rest"] = figures.get("full", {}) | {"verified": left.count(), "links": held.count()} if not last else {"verified": left.count(), "links": held.count()}
+        discard(left)
+        if not held.isEmpty():
+            links = held if links is None else links.union(held)
             roots = components(links)
 
     named = _labelled(heads.select("sid", "doc"), roots)
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = named.select("sid", "comp").join(least, "comp").select("sid", "component_id")
-    out = points.where("slot is null").select("doc_id", "n", "sid").join(named, "sid", "left")
-    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sid").alias("set_id")), "components")
-    discard(points, shared, more)
+    named = named.select("sid", "comp").join(least, "comp").select("sid", "comp", "component_id")
+    out = points.where("slot is null").select("doc_id", "text_id", "n", "sid").join(named, "sid", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("sid").alias("set_id"), "text_id", F.col("comp").alias("component")), "components")
+    discard(points, shared, more, rows)
     return out
 
 
 def keep_one(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without all but one (smallest doc_id) of each component; columns as given."""
-    found = jaccard_components(documents, width, num, den)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """One document of each component, with its columns: the smallest doc_id, of repeated ids one text by its hash.
+
+    Documents without an id come last; of rows that agree in id and text one stays; documents without words link with
+    nothing and all stay.
+    """
+    found = jaccard_components(documents, width, num, den).where("component is not null")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("first_id"), F.col("f.text_id").alias("first_text")).distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("row")).withColumns({"id": F.col("row.doc_id"), "h": F.xxhash64("row.text")})
+    worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.where(worded).join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_text")), "left_semi").dropDuplicates(["id", "h"])
+    return kept.union(rows.where(~worded)).select("row.*")

@@ -109,6 +109,37 @@ def test_jaccard_edges(odd, nothing, docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in roots.items() if i == r}
 
 
+def test_jaccard_trees_find_every_link(spark, monkeypatch):
+    """Groups of copies beyond a page, buckets in blocks, and links that covers leave out."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(90):
+            w = list(words)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = roots_of({i: shingle_set(t) for i, t in rows})
+    figures = {}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(d, figures=figures).collect()}
+    assert got == want
+    assert figures["cover 1"]["links"] > 0 and figures["cover 1"]["points"] > figures["cover 1"]["survivors"]
+    monkeypatch.setattr(jaccard_join, "COVERS", 0)  # full searches alone
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(d).collect()}
+    assert got == want
+
+
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    words = " ".join(f"x{i}" for i in range(100))
+    rows = [(None, words), (7, words + " y"), (7, words + " y"), (7, "clean text of its own under the same id"), (None, "other text of none"), (8, words + " y z"), (None, ""), (None, None), (9, " "), (9, " ")]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(7, words + " y"), (7, "clean text of its own under the same id"), (None, "other text of none"), (None, ""), (None, None), (9, " "), (9, " ")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_jaccard_null_ids(spark):
     words = " ".join(f"x{i}" for i in range(100))
     rows = [(None, words), (7, words + " y"), (None, "other text of none"), (8, words + " y z")]
