@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.lattice import SPACE, Batch, Pieces, codepoints, default_model, load
+from quern.llm.sized import small
 from quern.llm.textkit import ALNUM, U, Words, slices, views
 from quern.scratch import discard, materialize
 
@@ -44,7 +45,7 @@ PRIOR = 2000.0
 #: Keeps products of probabilities within range; every character brings it once.
 BOOST = 12.0
 FORGET = 400_000
-SHARES = 64
+SHARE_BITS = 12
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = True
 
@@ -168,16 +169,26 @@ def _rank_law(v: Pieces) -> np.ndarray:
     return q / q.sum()
 
 
+def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang) of the first ``sample`` rows of each language by a hash.
+
+    Rows are counted by ranges of the hash, so only those of the one range that is cut are sorted.
+    """
+    h = F.xxhash64("doc_id")
+    rows = rows.withColumns({"h": h, "share": F.shiftrightunsigned(h, 64 - SHARE_BITS)})
+    counts = rows.groupBy("lang", "share").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("share")) - F.col("n")  # a row a range
+    ranges = counts.withColumn("room", sample - before).where("room > 0").select("lang", "share", "n", "room")
+    rows = rows.join(small(ranges), ["lang", "share"])
+    cut = rows.where("n > room").withColumn("k", F.row_number().over(Window.partitionBy("lang", "share").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), "doc_id"))).where("k <= room")
+    return rows.where("n <= room").select("doc_id", "lang").union(cut.select("doc_id", "lang"))
+
+
 def fit(labelled: DataFrame, path: str | None = None, sample: int = 6000) -> Model:
     """Model of the languages in (doc_id, text, lang); at most ``sample`` documents of each are used."""
     path = path or default_model()
     v = load(path)
-    chosen = labelled.where("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = chosen.withColumn("share", F.pmod("h", F.lit(SHARES)))
-    # first within shares, so that no task sorts the whole of a frequent language
-    for keys in (("lang", "share"), ("lang",)):
-        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= sample)
-    chosen = chosen.select("doc_id", "lang")
+    chosen = _sampled(labelled.where("lang is not null").select("doc_id", "lang"), sample)
     # at most `sample` rows a language
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.dropDuplicates()), ["doc_id", "lang"], "left_semi")
     rows = materialize(rows.select("lang", "text"), "sample")
