@@ -6,20 +6,26 @@ token), so an n-gram is found by a successor search among its context's entries
 alone: the entries of a context are one stretch of the level's ascending sequence
 ``rank << bits | id``, and Elias-Fano high bits lead straight to the place in it.
 Levels are cut by key ranges into files of flat arrays, which scoring tasks map
-into memory; values are quantised to bytes (a 32nd of a decimal order).
+into memory; values are quantised to bytes (a 32nd of a decimal order down to 1e-6, an
+eighth down to 1e-14).
 
-Probabilities are smoothed by interpolated absolute discounting over the entries
-that are kept (``least`` occurrences or more; the query keeps all): an n-gram's
-discounted share of its context, plus what the context leaves over times the
-probability one order lower; level 1 adds one to each count, and one for the unknown.
+Probabilities are smoothed by interpolated absolute discounting over all entries
+(``least`` occurrences or more, 1 unless told): an n-gram's discounted share of its
+context, plus what the context leaves over times the probability one order lower;
+level 1 adds one to each count, and one for the unknown.
 
 Counting: tasks reduce their own n-grams to sorted distinct keys, and only deltas of
-these, in compressed planes, are shuffled to buckets whose number follows the number
-of tokens.  Buckets are dealt by a hash of the whole n-gram, so a frequent context
-is spread over all of them.  Counts cover all training documents.
-
-A context's remainder is a byte by its rank.  Files lie in the shared folder, are written whole under a name that a repeated task
-writes again, and so survive lost executors.
+these, in compressed planes, are shuffled, each to the range of keys that becomes one
+file.  Ranges follow the counts of the level below: about ``PER_FILE`` tokens each, and
+a context with more is cut at last tokens, by the words' own counts, so a frequent
+context is spread over many files.  What is left over of a context is a byte beside the
+file's entries; of the contexts at a file's edges the driver adds up the parts (two rows
+a file).  Counts cover all training documents.
+
+A key holds a context's rank and a word's id in 64 bits; a corpus for which these do not
+suffice is refused before anything is counted.  Files lie in the shared folder, are
+written whole under a name that a repeated task writes again, and so survive lost
+executors.
 
 Defined results: null and empty texts have one token, their end; with no training
 documents every token has probability 1; equal texts have equal scores; other
@@ -32,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import eliasfano, sharedfiles
@@ -43,11 +49,13 @@ END = U(0x5EED0FE4D7EC5A11)
 SIGN = U(1 << 63)
 DISCOUNT, STEPS = 0.75, 32
 FLUSH = 2_000_000
-PER_BUCKET = 4_000_000
+PER_FILE = 2_000_000
+#: Points at which the words' counts are cut to split a frequent context.
+CUTS = 1 << 14
 #: Bytes of text taken together: equal n-grams in it are looked up once.
 WIDE = 4 << 20
-#: Contexts whose remainders stand in one file.
-REST_BITS = 22
+#: Decimal orders that a byte stands for.
+ORDERS = np.concatenate([np.arange(192) / STEPS, 6 + np.arange(64) / 8])
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,19 +119,26 @@ class Level:
 class Rests:
     """What each context leaves over, a byte each by its rank; 0, that is everything, where nothing follows it."""
 
-    def __init__(self, parts: dict[int, str]):
-        self.parts, self.files = parts, {}
+    def __init__(self, level: Level, spans: list[tuple[int, int]], edges: dict[int, int]):
+        """spans: first and last context of each of the level's files; edges: bytes of the contexts at the spans' ends."""
+        self.level = level
+        self.first, self.last = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+        self.edge = np.array(sorted(edges), np.int64)
+        self.byte = np.array([edges[k] for k in sorted(edges)], np.uint8)
 
     def values(self, ranks: np.ndarray) -> np.ndarray:
         """For each rank, in any order."""
         out = np.zeros(len(ranks), np.uint8)
-        block = ranks >> REST_BITS
-        for b in np.unique(block).tolist():
-            if b in self.parts:
-                if b not in self.files:
-                    self.files[b] = sharedfiles.load(self.parts[b])["p"]
-                here = np.flatnonzero(block == b)
-                out[here] = self.files[b][ranks[here] & ((1 << REST_BITS) - 1)]
+        if not len(self.first):
+            return out
+        part = np.searchsorted(self.first, ranks, side="right") - 1
+        inside = (part >= 0) & (ranks <= self.last[np.maximum(part, 0)])
+        for k in np.unique(part[inside]).tolist():
+            here = np.flatnonzero(inside & (part == k))
+            out[here] = self.level._file(k)[1]["rest"][ranks[here] - self.first[k]]
+        at = np.minimum(np.searchsorted(self.edge, ranks), len(self.edge) - 1)
+        met = self.edge[at] == ranks
+        out[met] = self.byte[at[met]]
         return out
 
 
@@ -195,20 +210,22 @@ def _count_words(batches):
         yield rows()
 
 
-def _count_grams(directory, bits: int, buckets: int):
+def _count_grams(directory, bits: int, bounds_of_files: np.ndarray):
+    """Rows (bucket, keys, counts): a task's n-grams by the range of keys that they fall into."""
+
     def run(batches):
         levels = _levels(directory)
         keys, counts, held = [], [], 0
 
         def rows():
             k, c = _merged(keys, counts)
-            bucket = ((mix(k) >> U(32)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            found = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1]]
-            deltas = [_planes(np.diff(k[r], prepend=U(0))) for _, r in found]
-            times = [_planes(np.minimum(c[r], 2**32 - 1).astype(np.uint32)) for _, r in found]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array(deltas, pa.binary()), pa.array(times, pa.binary())], names=["bucket", "keys", "counts"])
+            cut = np.concatenate([[0], np.searchsorted(k, bounds_of_files), [len(k)]])
+            found = [(b, int(cut[b]), int(cut[b + 1])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+            for at in range(0, len(found), 256):
+                part = found[at : at + 256]
+                deltas = [_planes(np.diff(k[i:j], prepend=U(0))) for _, i, j in part]
+                times = [_planes(np.minimum(c[i:j], 2**32 - 1).astype(np.uint32)) for _, i, j in part]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in part], pa.int64()), pa.array(deltas, pa.binary()), pa.array(times, pa.binary())], names=["bucket", "keys", "counts"])
 
         for batch in batches:
             for i, j in slices(batch.column(0), WIDE):
@@ -220,24 +237,87 @@ def _count_grams(directory, bits: int, buckets: int):
                 counts.append(c.astype(np.int64))
                 held += len(k)
                 if held > FLUSH:
-                    yield rows()
+                    yield from rows()
                     keys, counts, held = [], [], 0
         if held:
-            yield rows()
+            yield from rows()
 
     return run
 
 
-def _kept(least: int):
+FILE = "first long, n long, uri string, low long, high long, s_low double, s_high double, c_low long, c_high long"
+
+
+def _filed(below, bits: int, root: str, least: int, last: bool):
+    """A function that merges a range's counts and writes its file."""
+
     def run(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(_flat(x.as_py(), U), dtype=U) for x in table["keys"]]
         k, c = _merged(keys, [_flat(x.as_py(), np.uint32).astype(np.int64) for x in table["counts"]])
-        keep = c >= least
-        return pa.table({"k": (k[keep] ^ SIGN).view(np.int64), "c": c[keep]})
+        k, c = (k, c) if least <= 1 else (k[c >= least], c[c >= least])
+        names = [x.split()[0] for x in FILE.split(", ")]
+        if not len(k):
+            return pa.table({n: pa.array([], pa.string() if n == "uri" else pa.float64() if n[0] == "s" else pa.int64()) for n in names})
+        context = (k >> U(bits)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        own = context[start]
+        total = Level(below).values("count", own)
+        spent = np.add.reduceat(c - DISCOUNT, start)
+        rest = np.zeros(int(own[-1] - own[0]) + 1, np.uint8)
+        rest[own - own[0]] = _quantised(1 - spent / total)
+        share = _quantised((c - DISCOUNT) / np.repeat(total, np.diff(np.append(start, len(k)))))
+        uri = f"{root}/{table['bucket'][0].as_py()}.bin"
+        # the last level is nothing's context
+        sharedfiles.save(uri, eliasfano.build(k) | {"p": share, "rest": rest} | ({} if last else {"count": _counts(c)}))
+        row = [int((k[:1] ^ SIGN).view(np.int64)[0]), len(k), uri, int(own[0]), int(own[-1]), float(spent[0]), float(spent[-1]), int(total[0]), int(total[-1])]
+        return pa.table({n: pa.array([v]) for n, v in zip(names, row, strict=True)})
 
     return run
 
 
+def _files(spark: SparkSession, parts, schema: str, run) -> list:
+    """Rows that ``run`` makes of each file of a level (column uri and its first rank), a task a file or so."""
+    bases = np.concatenate([[0], np.cumsum([n for _, n, _ in parts])]).astype(np.int64).tolist()
+    rows = spark.createDataFrame([(uri, base) for (_, _, uri), base in zip(parts, bases, strict=False)], "uri string, base long")
+
+    def each(batches):
+        for batch in batches:
+            for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield run(base, sharedfiles.load(uri)["count"].astype(np.int64))
+
+    return rows.repartition(max(1, min(len(parts), 4096))).mapInArrow(each, schema).collect()
+
+
+def _word_cuts(spark: SparkSession, parts, total: int) -> np.ndarray:
+    """Ids that cut the words' counts into ``CUTS`` parts of one size; the driver gets a row a file and one a cut."""
+    sums = dict(_files(spark, parts, "base long, c long", lambda base, c: pa.RecordBatch.from_arrays([pa.array([base]), pa.array([int(c.sum())])], names=["base", "c"])))
+    before, at = {}, 0
+    for base in sorted(sums):
+        before[base], at = at, at + sums[base]
+    step = max(1, total // CUTS)
+
+    def cut(base, c):
+        ends = (before[base] + np.cumsum(c)) // step
+        return pa.RecordBatch.from_arrays([pa.array(base + np.flatnonzero(np.diff(ends, prepend=before[base] // step)))], names=["id"])
+
+    return np.array(sorted(r["id"] for r in _files(spark, parts, "id long", cut)), np.int64)
+
+
+def _ranges(spark: SparkSession, parts, cuts: np.ndarray, total: int, bits: int) -> np.ndarray:
+    """Keys at which the next level's files begin but the first; as many as its tokens need."""
+
+    def edges(base, c):
+        ends = np.cumsum(c) // PER_FILE
+        context = np.flatnonzero(np.diff(ends, prepend=0)) + 1
+        heavy = np.flatnonzero(c > 2 * PER_FILE)
+        inner = [(np.full(n - 1, base + h), cuts[np.linspace(0, len(cuts) - 1, n + 1).astype(np.int64)[1:-1]]) for h in heavy.tolist() if (n := int(min(c[h] // PER_FILE, len(cuts) - 1))) > 1]
+        first = np.concatenate([base + context, base + heavy, base + heavy + 1, *(x for x, _ in inner)])
+        second = np.concatenate([np.zeros(len(context) + 2 * len(heavy), np.int64), *(y for _, y in inner)])
+        return pa.RecordBatch.from_arrays([pa.array(((first.astype(U) << U(bits)) | second.astype(U)).view(np.int64))], names=["k"])
+
+    return np.unique(np.array([r["k"] for r in _files(spark, parts, "k long", edges)], np.int64).view(U))
+
+
 def _written(rows: DataFrame, root: str, values) -> list[tuple[int, int, str]]:
     """Files of rows (k, ...) in ranges of k; ``values`` makes a file's arrays from its columns."""
 
@@ -256,33 +336,25 @@ def _written(rows: DataFrame, root: str, values) -> list[tuple[int, int, str]]:
     return [(int(np.array([r["first"]], np.int64).view(U)[0] ^ SIGN), r["n"], r["uri"]) for r in made.orderBy("first").collect()]  # one row a file
 
 
-def _rest(below, root: str):
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["context"].to_numpy(), kind="stable")
-        context, s = table["context"].to_numpy()[order], table["s"].to_numpy()[order]
-        block = int(context[0]) >> REST_BITS
-        held = np.zeros(1 << REST_BITS, np.uint8)
-        held[context & ((1 << REST_BITS) - 1)] = _quantised(1 - s / Level(below).values("count", context))
-        sharedfiles.save(f"{root}/{block}.bin", {"p": held})
-        return pa.table({"block": pa.array([block], pa.int64()), "uri": [f"{root}/{block}.bin"]})
-
-    return run
-
-
 def _quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.log10(np.maximum(p, 1e-30)) * STEPS), 0, 255).astype(np.uint8)
+    orders = -np.log10(np.maximum(p, 1e-30))
+    return np.where(orders < 5.98, np.clip(np.round(orders * STEPS), 0, 191), np.clip(np.round((orders - 6) * 8), 0, 63) + 192).astype(np.uint8)
 
 
 class Trie:
-    """Where the levels and the contexts' remainders lie, and the totals."""
+    """Where the levels lie and what their files' edges leave over, and the totals."""
 
-    def __init__(self, levels, rests, total: int, distinct: int):
-        self.levels, self.rests, self.total, self.distinct = levels, rests, total, distinct
+    def __init__(self, levels, spans, edges, total: int, distinct: int):
+        self.levels, self.spans, self.edges, self.total, self.distinct = levels, spans, edges, total, distinct
 
     @property
     def bits(self) -> int:
         return max(1, int(self.distinct).bit_length())
 
+    def opened(self) -> tuple[list[Level], list[Rests]]:
+        levels = _levels(self.levels)
+        return levels, [Rests(x, s, e) for x, s, e in zip(levels[1:], self.spans, self.edges, strict=True)]
+
 
 def train(texts: DataFrame, order: int = 3, least: int = 1) -> Trie:
     """The trie of all texts (column text)."""
@@ -292,32 +364,28 @@ def train(texts: DataFrame, order: int = 3, least: int = 1) -> Trie:
     words = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     words = materialize(words.select(F.col("h").alias("k"), "c"), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    trie = Trie([_written(words, f"{root}/1", lambda k, t: {"count": _counts(t)})], [], total, distinct)
+    trie = Trie([_written(words, f"{root}/1", lambda k, t: {"count": _counts(t["c"].to_numpy())})], [], [], total, distinct)
     discard(words)
-    bits, buckets = trie.bits, max(8, total // PER_BUCKET)
+    bits = trie.bits
+    cuts = _word_cuts(spark, trie.levels[0], total)
     for n in range(2, order + 1):
-        below = list(trie.levels)
-        grams = texts.mapInArrow(_count_grams(below, bits, buckets), "bucket long, keys binary, counts binary")
-        kept = materialize(grams.groupBy("bucket").applyInArrow(_kept(least), "k long, c long"), "grams")
-
-        def share(keys, t, below=below, last=n == order):
-            context = (keys >> U(bits)).astype(np.int64)
-            p = {"p": _quantised((t["c"].to_numpy() - DISCOUNT) / Level(below[-1]).values("count", context))}
-            # the last level is nothing's context
-            return p if last else p | {"count": _counts(t)}
-
-        flip = F.lit(-(1 << 63))
-        context = F.shiftrightunsigned(F.col("k").bitwiseXOR(flip), bits)
-        sums = kept.groupBy(context.alias("context")).agg((F.sum("c") - F.count("*") * DISCOUNT).alias("s"))
-        files = sums.groupBy(F.shiftright("context", REST_BITS).alias("block")).applyInArrow(_rest(below[-1], f"{root}/rest{n}"), "block long, uri string")
-        trie.rests.append({r["block"]: r["uri"] for r in files.collect()})  # one row a file
-        trie.levels.append(_written(kept, f"{root}/{n}", share))
-        discard(kept)
+        below = trie.levels[-1]
+        if sum(p[1] for p in below).bit_length() + bits > 64:
+            raise ValueError(f"{sum(p[1] for p in below)} contexts and {distinct} words do not fit into keys of 64 bits: train with a lower order")
+        grams = texts.mapInArrow(_count_grams(list(trie.levels), bits, _ranges(spark, below, cuts, total, bits)), "bucket long, keys binary, counts binary")
+        files = grams.groupBy("bucket").applyInArrow(_filed(below, bits, f"{root}/{n}", least, n == order), FILE).collect()  # one row a file
+        files.sort(key=lambda r: int(np.int64(r["first"]).view(U) ^ SIGN))
+        spent: dict[int, list] = {}
+        for r in files:
+            for context, s, c in {(r["low"], r["s_low"], r["c_low"]), (r["high"], r["s_high"], r["c_high"])}:
+                spent.setdefault(context, [0.0, c])[0] += s
+        trie.levels.append([(int(np.int64(r["first"]).view(U) ^ SIGN), r["n"], r["uri"]) for r in files])
+        trie.spans.append([(r["low"], r["high"]) for r in files])
+        trie.edges.append({k: int(_quantised(np.array([1 - s / c]))[0]) for k, (s, c) in spent.items()})
     return trie
 
 
-def _counts(t: pa.Table) -> np.ndarray:
-    c = t["c"].to_numpy()
+def _counts(c: np.ndarray) -> np.ndarray:
     return c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c.astype(np.uint64)
 
 
@@ -325,7 +393,7 @@ def _values(level: Level, found: np.ndarray, back: np.ndarray, ok: np.ndarray) -
     """Probabilities by row from quantised values of distinct keys; 0 without an entry."""
     hit = found >= 0
     p = np.zeros(len(found))
-    p[hit] = 10.0 ** (-level.values("p", found[hit]) / STEPS)
+    p[hit] = 10.0 ** -ORDERS[level.values("p", found[hit])]
     out = np.zeros(len(ok))
     out[ok] = p[back]
     return out
@@ -346,7 +414,7 @@ def score(texts: pa.Array, levels: list[Level], rests: list[Rests], total: int,
     for n, (level, left) in enumerate(zip(levels[1:], rests, strict=True), 2):
         context = _context(ranks, bounds, ids, n)
         ok = context >= 0
-        p[ok] *= 10.0 ** (-left.values(context[ok]).astype(float) / STEPS)
+        p[ok] *= 10.0 ** -ORDERS[left.values(context[ok])]
         ok &= ids >= 0
         got, where, ranks = level.looked_up(_key(context, ids, bits), ok)
         p = p + _values(level, got, where, ok)
@@ -358,10 +426,10 @@ def scored(documents: DataFrame, order: int = 3, least: int = 1) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = documents.select("doc_id", held.alias("held_out"), "text")
     trie = train(rows.where(~F.col("held_out")), order, least)
-    levels, rests, total, distinct, bits = trie.levels, trie.rests, trie.total, trie.distinct, trie.bits
+    total, distinct, bits = trie.total, trie.distinct, trie.bits
 
     def run(batches):
-        opened, left = _levels(levels), [Rests(x) for x in rests]
+        opened, left = trie.opened()
         for batch in batches:
             for i, j in slices(batch.column(2), WIDE):
                 part = batch.slice(i, j - i)

@@ -3,12 +3,17 @@ import math
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from quern.llm import ngram_trie
 from quern.llm.queries import op9_ngram_trie
 
 
-def test_query_scores_with_all_counts(spark, tmp_path):
-    """N-grams that occur once in the training texts take part."""
+@pytest.mark.parametrize("per_file", [2_000_000, 30])
+def test_query_scores_with_all_counts(spark, tmp_path, monkeypatch, per_file):
+    """N-grams that occur once in the training texts take part, also where files cut through a context."""
+    monkeypatch.setattr(ngram_trie, "PER_FILE", per_file)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25)))) for i in range(60)]
@@ -43,3 +48,16 @@ def test_query_scores_with_all_counts(spark, tmp_path):
                     q = (1 - used[gram[:-1]] / below) * q + max(0, counted - ngram_trie.DISCOUNT) / below
             model += math.log10(q)
         assert got[i]["held_out"] == held(i) and abs(got[i]["score"] - model) / len(w) < 0.03, i
+
+
+def test_keys_that_do_not_fit_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(ngram_trie.Trie, "bits", property(lambda self: 62))
+    rows = spark.createDataFrame([(i, f"a{i} b c") for i in range(20)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="64 bits"):
+        ngram_trie.scored(rows)
+
+
+def test_quantised_values_keep_small_probabilities():
+    p = 10.0 ** -np.linspace(0, 13.8, 2000)
+    back = 10.0 ** -ngram_trie.ORDERS[ngram_trie._quantised(p)]
+    assert (np.abs(np.log10(back / p)) <= np.where(p > 1.1e-6, 0.5 / 32, 0.5 / 8) + 1e-9).all()
