@@ -92,7 +92,8 @@ def sources(asked: Column) -> Column:
 
 def buckets(results: Column) -> Column:
     """Results (with source_type) by source."""
-    return F.struct(*(F.filter(results, lambda r, s=s: r["source_type"] == s).alias(s) for s in ("web", "images", "news")))
+    of = lambda source: F.filter(results, lambda r: r["source_type"] == source).alias(source)
+    return F.struct(*map(of, ("web", "images", "news")))
 
 
 def capped(column: Column, most: int) -> Column:
