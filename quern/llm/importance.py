@@ -168,7 +168,7 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.where(part == BINS, -1, part).astype(np.int32)), pa.array(raw[part]), pa.array(target[part])], names=["bin", "raw", "target"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 24_000, form_gate: float = 3.0, content_gate: float = 5.0) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 24_000, form_gate: float = 3.0, content_gate: float = 4.0) -> Model:
     """Both models from all documents, target and thresholds from at most ``sample`` labelled ones (see the module)."""
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
     chosen = labels.select("doc_id", kind.alias("kind")).where("doc_id is not null and kind is not null").dropDuplicates(["doc_id"])

@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, eliasfano, fingerprint, importance, jaccard_join, language_id, lattice, license_scan, ngram_trie, personal_data, sentencepiece_scan, token_planes
 from quern.llm.components import components
+from tests_support import ALNUM_WORD, LOW, SPACE_WORD, contamination_brute, roots_of, shingle_set
 
-LOW = {c: c + 32 for c in range(65, 91)}
-SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Clashing names, null ids and texts, empty and long texts, repeated rows.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, row string, word string, sid long, hits int"
 
@@ -57,29 +55,6 @@ def texts_of(rows):
     return {r[0]: r[1] for r in rows}
 
 
-def shingle_set(t):
-    w = SPACE_WORD.findall((t or "").translate(LOW))
-    return frozenset([tuple(w)]) if 0 < len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-
-
-def roots_of(sets):
-    parent = {i: i for i in sets}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(sets)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                p, q = sorted((find(a), find(b)))
-                parent[q] = p
-    return {i: find(i) for i in ids}
-
-
 def test_jaccard_components(docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
     sets = {i: shingle_set(t) for i, t in texts_of(edge_rows()).items()}
@@ -164,27 +139,6 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 6}
 
 
-def contamination_brute(rows, items):
-    windows = collections.defaultdict(set)
-    for item, t in items:
-        w = ALNUM_WORD.findall((t or "").translate(LOW))
-        for i in range(max(1, len(w) - 12) if w else 0):
-            windows[tuple(w[i : i + 13])].add(str(item))
-    out = {}
-    for i, t in rows:
-        w = ALNUM_WORD.findall((t or "").translate(LOW))
-        hit, found = set(), set()
-        for n in {len(k) for k in windows}:
-            for s in range(len(w) - n + 1):
-                if tuple(w[s : s + n]) in windows:
-                    hit |= set(range(s, s + n))
-                    found |= windows[tuple(w[s : s + n])]
-        near = {x for k, names in windows.items() for s in range(len(w)) if set(k) <= set(w[s : s + len(k) + 5]) for x in names}
-        digest = lambda x: hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()
-        out[i] = (len(w), len(hit), len(found), digest(found), bool(hit) and 20 * len(hit) >= len(w), len(near), digest(near))
-    return out
-
-
 def test_decontamination(spark, docs, odd, nothing, monkeypatch):
     rows = [(r[0], r[1]) for r in edge_rows()]
     w = rows[0][1].split()
@@ -379,7 +333,20 @@ def test_license_scan(spark, docs, odd, nothing):
     assert got[2]["labels"] == "lgpl-2.1"  # the contained shorter names are suppressed
     assert got[5]["labels"] == "cc-by,cc-by-nc-4.0"
     assert got[6]["labels"] == "gpl,gpl-3.0,proprietary"
-    assert len(license_scan.rules()) > 200
+    assert len(license_scan.rules()) > 400 and len(license_scan.SENTENCES) > 100
+    texts = [
+        (1, 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "apache,apache-2.0"),
+        (2, "This program is free software; redistribute it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.", "gpl,gpl-2.0-or-later"),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0.", "mpl-2.0"),
+        (4, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted. Redistributions in binary form must reproduce the above copyright\nnotice. All advertising materials mentioning features or use of this software must display", "bsd-2-clause,bsd-3-clause,bsd-4-clause"),
+        (5, "The origin of this software must not be misrepresented; you must not\nclaim that you wrote it", "zlib"),
+        (6, "The Software shall be used for Good, not Evil.", "json"),
+        (7, "all plain words here, redistribution of wealth and permission slips", ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).collect()}
+    assert got == {i: x for i, _, x in texts}
+    for _, keyword, pattern in license_scan.SENTENCES:  # a rule whose keyword its own text lacks could never fire
+        re.compile(pattern)
     assert license_scan.license_scan(nothing).count() == 0 and license_scan.license_scan(odd).count() == 5
 
 
@@ -438,7 +405,7 @@ def test_importance_resampling_against_brute_force(spark):
         wanted.update(b if t else ())
     share, ratio = sum(target) / len(rows), {}
     for b, n in raw.items():
-        if abs(wanted[b] - n * share) >= (3.0 if b >= importance.FORMS else 5.0) * math.sqrt(n * share):
+        if abs(wanted[b] - n * share) >= (3.0 if b >= importance.FORMS else 4.0) * math.sqrt(n * share):
             ratio[b] = math.log((wanted[b] + 0.5) / (n * share + 0.5))
     two = [[math.fsum(ratio.get(b, 0) for b in x if (b >= importance.FORMS) == f) for f in (True, False)] for x in bins]
 
