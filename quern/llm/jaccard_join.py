@@ -25,9 +25,10 @@ unrelated texts together.  The order bears on cost only, never on the result.
    set.  Pairs of different components that were not verified before are verified.  Pairs
    inside a component are never needed, so no link between components is lost.
 
-Buckets of common hashes are dealt to ``SALTS`` parts a shuffle partition for the covers,
-by set and key, so that no bucket has to fit in one task; which sets meet there bears on
-cost only, since step 3 takes up what is left.  Open buckets beyond ``BLOCK`` sets are
+Buckets of common hashes are dealt to a third as many parts as there are shuffle
+partitions for the covers, by set (so that a group of copies falls into the same parts in
+all its buckets), in each round another way; so no bucket has to fit in one task.  Which
+sets meet there bears on cost only, since step 3 takes up what is left.  Open buckets beyond ``BLOCK`` sets are
 dealt into pairs of blocks, each one task's work.  Sets and shingles are known by 64-bit
 hashes: that any two of a billion sets share one has a probability of 3 %, and that two
 shingles of one pair of texts of 1,000 words do, of 1e-13.
@@ -56,15 +57,15 @@ GROUPS = 64
 BLOCK = 4096
 LEAF = 32
 #: A count that may stand for more: two of them bound nothing.
-FULL = 65535
+FULL = 255
 NAMES = ["a", "b", "na", "nb"]
 POINT = ["doc_id", "text_id", "n", "sid", "point", "slot", "times"]
 POINTS = "doc_id long, text_id long, n long, sid long, point binary, slot int, times int"
 #: Slots of the hash range in which a task counts sets, how many make a slot common, and sets a task remembers.
 SLOT_BITS, COMMON, REMEMBERED = 22, 12, 500_000
 SLOTS = 1 << SLOT_BITS
-#: Rounds of covers before full searches, and parts of a common bucket for each shuffle partition.
-COVERS, SALTS = 2, 4
+#: Rounds of covers before full searches.
+COVERS = 2
 #: Rows of whole buckets that are covered side by side.
 TOGETHER = 40_000
 
@@ -93,7 +94,7 @@ def _points(width: int):
                 sid = _sid(u) if len(u) else None
                 sids.append(sid)
                 counts = np.bincount((u & textkit.U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                points.append(np.minimum(counts, FULL).astype(np.uint16).tobytes())
+                points.append(np.minimum(counts, FULL).astype(np.uint8).tobytes())
                 if sid not in seen:
                     if len(seen) < REMEMBERED:
                         seen.add(sid)
@@ -287,7 +288,7 @@ def _covers(num: int, den: int):
     def run(batches):
         for t, starts in _units(batches, ["key", "salt"], TOGETHER):
             sids, sizes, comps = (t[c].to_numpy() for c in ("sid", "n", "comp"))
-            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
             lengths = np.diff(np.append(starts, t.num_rows))
             unit = np.repeat(np.arange(len(starts)), lengths)
             small = np.flatnonzero((lengths <= LEAF)[unit])
@@ -309,7 +310,7 @@ def _trees(num: int, den: int):
             out, pages, tested = [], 0, 0
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
                 part = t.slice(s, e - s)
-                points = np.frombuffer(b"".join(part["point"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+                points = np.frombuffer(b"".join(part["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
                 *pairs, p, n = _bucket(part["sid"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy(), points, part["side"].to_numpy(), num, den)
                 out.append(tuple(pairs))
                 pages, tested = pages + p, tested + n
@@ -383,24 +384,22 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     heads = some.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.max(_named(F.col("doc_id"))).alias("speaker"), F.first("n").alias("n"), F.first("point").alias("point"))
 
     # a hot key's rows are dealt to several parts, and stay without a look at the others
-    salts = SALTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid", "key"), F.lit(salts))).otherwise(0).cast("int")
+    salts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+    salt = lambda turn: F.when(F.col("hot"), F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(salts))).otherwise(0).cast("int")
     rows = docs.select("text").mapInArrow(_prefixes(width, num, den, _common(points)), "key long, sid long, n long, hot boolean")
-    rows = rows.withColumn("salt", salt).repartition("key", "salt")
+    rows = rows.withColumn("salt", salt(0)).repartition("key", "salt")
     part = Window.partitionBy("key", "salt")
     shared = rows.withColumns({"lo": F.min("sid").over(part), "hi": F.max("sid").over(part)}).where("hot or lo <> hi")
-    shared = materialize(shared.dropDuplicates(["key", "salt", "sid"]).select("key", "salt", "sid", "n"), "buckets")
+    shared = materialize(shared.dropDuplicates(["key", "salt", "sid"]).select("key", "hot", "sid", "n"), "buckets", "zstd")
 
     # likeliest first: of a group of copies the one with the fewest hashes of its own, then another order
     known = heads.select("sid", "point").join(shared.groupBy("sid").agg(F.count("*").alias("times")), "sid")
-    rows = shared.join(known, "sid").select("key", "salt", "sid", "n", "point", (F.col("times") / F.col("n")).alias("weight"))
-    # the second order, the full searches and their points start from these
-    rows = materialize(rows, "units")
-    links, roots, tried, now = None, None, None, _labelled(rows, None)
+    links, roots, tried, now = None, None, None, _labelled(shared, None)
     for turn in range(COVERS):
-        order = F.col("weight").desc() if turn == 0 else F.xxhash64("sid", F.lit(turn))
-        units = now.select("key", "salt", "sid", "n", "comp", "point", "weight").repartition("key", "salt").sortWithinPartitions("key", "salt", order, "sid")
-        found = units.drop("weight").mapInArrow(_covers(num, den), "a long, b long, na long, nb long")
+        order = -F.col("times") / F.col("n") if turn == 0 else F.xxhash64("sid", F.lit(turn))
+        units = now.join(known, "sid").select("key", salt(turn).alias("salt"), "sid", "n", "comp", "point", order.alias("o"))
+        units = units.repartition("key", "salt").sortWithinPartitions("key", "salt", "o", "sid")
+        found = units.drop("o").mapInArrow(_covers(num, den), "a long, b long, na long, nb long")
         pairs = _summed(found, figures, f"cover {turn + 1}")
         # what covers leave out, full searches find: here a quarter of the prefix must agree
         pairs = pairs.where(F.col("c") * 4 * den >= F.least("na", "nb") * (den - num)).select("a", "b")
@@ -415,10 +414,11 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
             break
         links = held if links is None else links.union(held)
         roots = components(links)
-        now = materialize(_open(_labelled(rows, roots)), "open")
+        before, now = now, materialize(_open(_labelled(shared, roots)), "open")
+        discard(before)
 
     sizes = now.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
-    ranked = now.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("blocks")))
+    ranked = now.join(sizes, "key").join(known.drop("times"), "sid").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("blocks")))
     whole = ranked.where("blocks = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid", "n", "comp", F.lit(-1).alias("side"), "point")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     parts = ranked.where("blocks > 1").withColumn("o", other)
@@ -453,7 +453,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     out = points.where("slot is null").select("doc_id", "text_id", "n", "sid").join(named, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("sid").alias("set_id"), "text_id", F.col("comp").alias("component")), "components")
-    discard(points, shared, more, rows)
+    discard(points, shared, more, now)
     return out
 
 
