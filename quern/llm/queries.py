@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.decontaminate import contamination
 from quern.llm.fingerprint import neighbours
@@ -65,10 +66,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of other operators' results
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the license scan; -1 where there is no place."""
+    found = op6_license_scan(spark, sf_dir)
+    return found.select("doc_id", "n_words", "n_base", F.coalesce("first_word", F.lit(-1)).alias("first_word"), F.coalesce("last_word", F.lit(-1)).alias("last_word"), "base_labels")
+
+
+def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of each base kind the personal data operator finds."""
+    return op8_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the fingerprinted texts, and digests of the edited ones."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_planes, op5_sentencepiece_scan,
         op6_license_scan, op7_importance_resampling, op8_personal_data, op9_ngram_trie, op10_fingerprints,
+        license_places, personal_counts, edited_texts,
     )
     return {f.__name__: f for f in found}
 
@@ -122,5 +143,30 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEF
 """
 
 
+LICENSE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce({_LOWER_WORDS}, []) AS w FROM documents
+), p AS (SELECT unnest([['gnu', 'general', 'public', 'license'], ['apache', 'license'], ['cc', 'by'], ['mit', 'license']]) AS p, unnest(['gpl', 'apache', 'cc-by', 'mit']) AS label
+), m AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS k FROM d, p
+), g AS (SELECT doc_id, count(*) AS n, min(k) AS a, max(k) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, coalesce(a, -1)::BIGINT AS first_word, coalesce(b, -1)::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+_LUHN = "list_sum(list_transform(range(1, len(x) + 1), lambda k: CASE WHEN k % 2 = 1 THEN x[len(x) - k + 1]::INT WHEN x[len(x) - k + 1]::INT > 4 THEN x[len(x) - k + 1]::INT * 2 - 9 ELSE x[len(x) - k + 1]::INT * 2 END)) % 10 = 0"
+
+PERSONAL_SQL = rf"""
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda y: len(ltrim(y, '0')) > 3 OR ('0' || ltrim(y, '0')[1:3])::INT > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda y: regexp_replace(y, '[^0-9]', '', 'g')), lambda x: len(x) BETWEEN 16 AND 19 AND {_LUHN}))::BIGINT AS n_card,
+  len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15))::BIGINT AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS n FROM documents)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, (length(t) - length(t) // 3)::INT) || left(n, (length(t) // 3)::INT)) AS edited_sha256 FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL, "license_places": LICENSE_SQL, "personal_counts": PERSONAL_SQL, "edited_texts": EDITED_SQL}

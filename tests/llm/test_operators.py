@@ -206,6 +206,45 @@ def test_language_id(spark, odd, nothing):
     assert {r["lang_pred"] for r in language_id.identified(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_predictions_against_brute_force(spark):
+    """Whole texts, words of any length, ties and clashing columns: plain sums over all segmentations of every word."""
+    v = lattice.load(lattice.default_model())
+    rng = np.random.default_rng(5)
+    p = np.zeros((v.size, 3))
+    p[v.ids, 0] = rng.random(len(v.ids))
+    p[:, 1] = p[:, 0]  # ties with the first
+    p[v.ids, 2] = rng.random(len(v.ids))
+    p /= p.sum(axis=0)
+    known = {v.pieces[i]: i for i in v.ids.tolist()}
+
+    def said(word):
+        a, logs = [np.ones(3)], np.zeros(3)
+        for j in range(1, len(word) + 1):
+            x = np.zeros(3)
+            for n in range(1, min(v.longest, j) + 1):
+                i = known.get(word[j - n : j])
+                if i is not None or n == 1:
+                    x += a[j - n] * (p[i] if i is not None else 1e-9)
+            a.append(x)
+            if j % 8 == 0:
+                a = [y / x for y in a]
+                logs = logs + np.log(x)
+        return np.log(a[-1]) + logs
+
+    texts = ["the house is on the hill", "x" * 200 + " ab", "日本語のテキスト " * 20, "été 12 it's", "123 !!", None, "", "ABC abc"]
+    rows = [(i, t, "l", 1.0, "u") for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double, held_out string")
+    got = {r["doc_id"]: r for r in language_id.predict(d, language_id.Model(["a", "b", "c"], p, lattice.default_model())).collect()}
+    for i, t in enumerate(texts):
+        if not any(map(str.isalpha, t or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = sum(said("▁" + w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.translate(LOW)))
+        share = np.exp(total - total.max())
+        share /= share.sum()
+        assert got[i]["lang_pred"] == ("a" if share[0] >= share[2] else "c") and abs(got[i]["score"] - share.max()) < 1e-6
+
+
 def test_token_planes(spark, docs, odd, nothing):
     from tokenizers import Tokenizer
 
