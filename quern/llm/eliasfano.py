@@ -6,7 +6,7 @@ import numpy as np
 
 U = np.uint64
 _ONE, _ALL = U(1), U(0xFFFFFFFFFFFFFFFF)
-WORDS = 8  # words of a directory block
+WORDS = 4  # words of a directory block
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 #: Place of the r-th set bit of a byte.
 _SELECT = np.zeros((256, 8), np.uint8)

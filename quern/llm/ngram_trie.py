@@ -56,6 +56,7 @@ CUTS = 1 << 14
 WIDE = 4 << 20
 #: Decimal orders that a byte stands for.
 ORDERS = np.concatenate([np.arange(192) / STEPS, 6 + np.arange(64) / 8])
+POWERS = 10.0**-ORDERS
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +128,18 @@ class Rests:
         self.byte = np.array([edges[k] for k in sorted(edges)], np.uint8)
 
     def values(self, ranks: np.ndarray) -> np.ndarray:
-        """For each rank, in any order."""
+        """For each rank, which ascend; 0 for rank -1, wherever it stands."""
         out = np.zeros(len(ranks), np.uint8)
-        if not len(self.first):
-            return out
-        part = np.searchsorted(self.first, ranks, side="right") - 1
-        inside = (part >= 0) & (ranks <= self.last[np.maximum(part, 0)])
-        for k in np.unique(part[inside]).tolist():
-            here = np.flatnonzero(inside & (part == k))
-            out[here] = self.level._file(k)[1]["rest"][ranks[here] - self.first[k]]
-        at = np.minimum(np.searchsorted(self.edge, ranks), len(self.edge) - 1)
-        met = self.edge[at] == ranks
-        out[met] = self.byte[at[met]]
+        some = np.flatnonzero(ranks >= 0)
+        asked = ranks[some]
+        # a context at two files' edges is in both and among the edges
+        low, high = np.searchsorted(asked, self.first), np.searchsorted(asked, self.last, side="right")
+        for k in np.flatnonzero(low < high).tolist():
+            out[some[low[k] : high[k]]] = self.level._file(k)[1]["rest"][asked[low[k] : high[k]] - self.first[k]]
+        if len(self.edge) and len(asked):
+            at = np.minimum(np.searchsorted(asked, self.edge), len(asked) - 1)
+            met = np.flatnonzero(asked[at] == self.edge)
+            out[some[at[met]]] = self.byte[met]
         return out
 
 
@@ -393,7 +394,7 @@ def _values(level: Level, found: np.ndarray, back: np.ndarray, ok: np.ndarray) -
     """Probabilities by row from quantised values of distinct keys; 0 without an entry."""
     hit = found >= 0
     p = np.zeros(len(found))
-    p[hit] = 10.0 ** -ORDERS[level.values("p", found[hit])]
+    p[hit] = POWERS[level.values("p", found[hit])]
     out = np.zeros(len(ok))
     out[ok] = p[back]
     return out
@@ -410,14 +411,21 @@ def score(texts: pa.Array, levels: list[Level], rests: list[Rests], total: int,
     p = (c + 1) / (total + distinct + 1)
     at = bounds[:-1]
     base = np.add.reduceat(np.log10(p), at)
-    ranks = ids
+    ranks, left_over = ids, found
     for n, (level, left) in enumerate(zip(levels[1:], rests, strict=True), 2):
+        rest = left.values(left_over)[back]
+        if n > 2:  # by row: tokens that were not looked up have no rank
+            rest, some = np.zeros(len(ids), np.uint8), rest
+            rest[ok] = some
         context = _context(ranks, bounds, ids, n)
+        before = np.empty_like(rest)
+        before[1:] = rest[:-1]
+        before[bounds[:-1]] = rest[bounds[1:] - 1]
         ok = context >= 0
-        p[ok] *= 10.0 ** -ORDERS[left.values(context[ok])]
+        p[ok] *= POWERS[before[ok]]
         ok &= ids >= 0
-        got, where, ranks = level.looked_up(_key(context, ids, bits), ok)
-        p = p + _values(level, got, where, ok)
+        left_over, back, ranks = level.looked_up(_key(context, ids, bits), ok)
+        p = p + _values(level, left_over, back, ok)
     return np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), at), base, np.add.reduceat(np.log10(p), at)
 
 
