@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.plans.running import medians
@@ -115,3 +115,16 @@ def register_reader(name: str, reader: Callable[[DataFrame], DataFrame]) -> None
 
 def read_cases(name: str, cases: DataFrame) -> DataFrame:
     return READERS[name](cases)
+
+
+def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Case rows of a written run, of the newest one by default."""
+    cases = spark.read.parquet(f"{path}/cases")
+    if run_id is None:
+        run_id = cases.agg(F.max(F.col("run_id").cast("string"))).first()[0]
+    return cases.where(F.col("run_id") == run_id)
+
+
+def list_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Totals of all written runs, newest first."""
+    return spark.read.json(f"{path}/runs").orderBy(F.desc("run_id"))

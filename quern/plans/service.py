@@ -222,3 +222,42 @@ def wire(provider: Column, model: Column, prompt: Column) -> Column:
 def correlated(error: Column, seed: Column) -> Column:
     """An error's text with an id to find it by: eight digits of a hash of what was asked."""
     return F.concat(error, F.lit(" [correlation_id="), F.substring(F.sha2(seed, 256), 1, 8), F.lit("]"))
+
+
+def strategy_label(engine: Column, stealth: Column, http1: Column) -> Column:
+    """How an attempt was made, in words."""
+    name = F.when((F.coalesce(engine, F.lit("playwright")) == "playwright") & stealth, "patchright (stealth)").otherwise(F.coalesce(engine, F.lit("playwright")))
+    return F.concat(name, F.when(http1, " + HTTP/1.1").otherwise(""))
+
+
+def attempt_trail(attempts: DataFrame, key: str) -> DataFrame:
+    """Each request's attempts in order (label: verdict), the best one, and whether it was escalated."""
+    label = F.concat(strategy_label(F.col("engine"), F.col("stealth"), F.col("http1")), F.lit(": "), "verdict")
+    told = F.array_sort(F.collect_list(F.struct("attempt", label.alias("said"))))
+    best = F.max_by("attempt", F.struct((F.col("verdict") == "ok").alias("ok"), "score", "attempt"))
+    return attempts.groupBy(key).agg(F.array_join(F.transform(told, lambda t: t["said"]), "; ").alias("trail"), best.alias("best"), (F.count("*") > 1).alias("escalated"))
+
+
+def summary_words(asked: Column, default: int = 120, most: int = 1000) -> Column:
+    """How many words a summary may have."""
+    return F.least(F.greatest(F.coalesce(asked, F.lit(default)), F.lit(1)), F.lit(most))
+
+
+def visited(queries: DataFrame, results: DataFrame, pages: DataFrame, steps: int = 10, most: int = 30_000) -> DataFrame:
+    """What an agent reads for each query (search): the first ``steps`` distinct addresses that were read, their text cut to ``most``."""
+    order = Window.partitionBy("search").orderBy("i")
+    first = results.groupBy("search", "url").agg(F.min("i").alias("i")).join(queries, "search", "left_semi")
+    first = first.withColumn("step", F.row_number().over(order)).where(F.col("step") <= steps)
+    return first.join(pages.select("url", F.substring("markdown", 1, most).alias("excerpt")), "url").select("search", "step", "url", "excerpt")
+
+
+def engine_names(dead: Column) -> Column:
+    """Names of engines that did not answer, from names or (name, reason) pairs as text."""
+    return F.array_distinct(F.filter(F.transform(dead, lambda d: F.trim(F.regexp_extract(d, r"^\s*\[?\s*[\"']?([^,\"'\]]*)", 1))), lambda d: d != ""))
+
+
+def without_credentials(url: Column) -> Column:
+    """(url without user and password, user, password)."""
+    p = r"^([a-zA-Z][a-zA-Z0-9+.-]*://)(?:([^/?#@:]*)(?::([^/?#@]*))?@)?(.*)$"
+    part = lambda k: F.regexp_extract(url, p, k)
+    return F.struct(F.concat(part(1), part(4)).alias("url"), F.nullif(part(2), F.lit("")).alias("user"), F.nullif(part(3), F.lit("")).alias("password"))

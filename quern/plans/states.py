@@ -262,3 +262,16 @@ def token_slots(requests: DataFrame, by: str, at: str, gap: float, burst: int =
 
     rows = requests.select(by, at, "seq").repartition(by).sortWithinPartitions(by, at, "seq")
     return rows.mapInArrow(run, f"`{by}` {kinds[by]}, `{at}` {kinds[at]}, seq {kinds['seq']}, sent_at double")
+
+
+def previous_versions(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Entries (with content_hash) with the hash of the version before, null for the first; equal versions in a row are one."""
+    before = Window.partitionBy(key).orderBy(*order)
+    lagged = entries.withColumn("_last", F.lag("content_hash").over(before)).where(~F.col("_last").eqNullSafe(F.col("content_hash")))
+    return lagged.withColumn("previous_hash", F.col("_last")).drop("_last")
+
+
+def pruned_cache(entries: DataFrame, now: Column, most: int | None = None) -> DataFrame:
+    """Entries that have not expired, of these the newest ``most``."""
+    left = fresh(entries, now)
+    return left if most is None else left.orderBy(F.desc("ts"), F.desc("seq")).limit(most)

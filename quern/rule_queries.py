@@ -9,12 +9,13 @@ import json
 
 from pyspark.sql import functions as F
 
-from quern.functions import detect, quality, text, urls, validators
+from quern.functions import detect, images, quality, text, urls, validators
 from quern.operators import pages as page_ops
 from quern.plans import benchmark, crawl, service, states, telemetry
 from quern.registry import longs, query, table
 from quern.scratch import new_path
 from quern.sources import readers, search, writers
+from quern.streaming import policies
 
 
 def _events(spark, d):
@@ -591,3 +592,121 @@ def suite_cases(spark, d):
     """Cases of a suite, with defaults for what it leaves out."""
     rows = [{"id": str(r["doc_id"]), "category": r["lang"]} | ({} if r["doc_id"] % 2 == 0 else {"scored": False}) for r in table(spark, d, "documents").where("doc_id < 50").collect()]  # fifty cases
     return readers.suite(spark, rows).select(F.col("id").cast("long").alias("id"), "category", "scored")
+
+
+# Replies, images, attempts
+
+
+_REPLY = {
+    "brave": '{"web": {"results": [{"url": "https://a.org/N", "title": "T", "description": "D"}, {"title": "no address"}]}}', "tavily": '{"results": [{"url": "https://a.org/N", "title": "T", "content": "D"}]}',
+    "serper": '{"organic": [{"link": "https://a.org/N", "title": "T", "snippet": "D"}]}', "serpapi": '{"organic_results": [{"link": "https://a.org/N", "title": "T", "snippet": "D"}]}',
+    "exa": '{"results": [{"url": "https://a.org/N", "title": "T", "text": "D"}]}', "searxng": '{"results": [{"url": "https://a.org/N", "title": "T", "content": "D"}, {"url": "https://b.org", "title": "U"}]}',
+}
+
+
+@query("SELECT event_id, p AS provider, 'https://a.org/' || event_id AS url, 'T' AS title, 'D' AS description FROM (SELECT event_id, unnest(['brave', 'tavily', 'serper', 'serpapi', 'exa', 'searxng']) AS p FROM events)")
+def provider_replies(spark, d):
+    """Replies of six providers, at most one result each; one result has no address."""
+    e = _events(spark, d)
+    out = None
+    for name, reply in _REPLY.items():
+        found = search.parsed(F.replace(F.lit(reply), F.lit("N"), F.col("event_id").cast("string")), name, F.lit(1))
+        part = e.select("event_id", F.lit(name).alias("provider"), F.explode(found).alias("r")).select("event_id", "provider", "r.*")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT 'web' AS source_type, event_id AS i FROM events WHERE event_type = 'view' UNION ALL SELECT 'images', event_id FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT 'news', event_id FROM events WHERE event_type = 'error'")
+def search_sources(spark, d):
+    """Results of three sources one after another; repeats stay."""
+    e = _events(spark, d)
+    of = lambda *kinds: e.where(F.col("event_type").isin(*kinds)).select(F.col("event_id").alias("i"))
+    return search.appended({"web": of("view"), "images": of("view", "click"), "news": of("error")}).select("source_type", "i")
+
+
+@query("SELECT event_id, (user_id + 1)::BIGINT AS width, (event_id % 500 + 1)::BIGINT AS height, user_id + 1 <= 64 AND event_id % 500 + 1 <= 64 AS icon FROM events WHERE event_id % 3 < 2")
+def image_headers(spark, d):
+    """PNG and GIF headers made of user and event numbers; every third body is no image."""
+    w, h, n = F.col("user_id") + 1, F.col("event_id") % 500 + 1, F.col("event_id") % 3
+    wide = lambda c, k: F.lpad(F.hex(c), k, "0")
+    little = lambda c: F.concat(F.substring(wide(c, 4), 3, 2), F.substring(wide(c, 4), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(w, 8), wide(h, 8))
+    gif = F.concat(F.hex(F.encode(F.lit("GIF89a"), "UTF-8")), little(w), little(h))
+    body = F.unhex(F.when(n == 0, png).when(n == 1, gif).otherwise("FF"))
+    e = _events(spark, d).select("event_id", images.size(body).alias("s"))
+    found = e.select("event_id", "s.*").where("width is not null")
+    return found.select("event_id", *longs("width", "height"), images.is_icon(F.lit("/a.png"), F.col("width"), F.col("height")).alias("icon"))
+
+
+@query("""SELECT user_id, string_agg(CASE WHEN event_id % 3 = 0 THEN 'camoufox' WHEN event_id % 2 = 0 THEN 'patchright (stealth)' ELSE 'playwright' END || CASE WHEN event_id % 5 = 0 THEN ' + HTTP/1.1' ELSE '' END || ': ' || CASE WHEN event_type = 'view' THEN 'ok' ELSE 'thin' END, '; ' ORDER BY event_id) AS trail,
+ arg_max(event_id, ((event_type = 'view')::INT, trunc(value)::INT, event_id)) AS best, count(*) > 1 AS escalated FROM events GROUP BY user_id""")
+def attempt_trails(spark, d):
+    """Users are requests, their events attempts."""
+    n = F.col("event_id")
+    a = _events(spark, d).select("user_id", n.alias("attempt"), F.when(n % 3 == 0, "camoufox").alias("engine"), ((n % 2 == 0) & (n % 3 != 0)).alias("stealth"), (n % 5 == 0).alias("http1"), F.when(F.col("event_type") == "view", "ok").otherwise("thin").alias("verdict"), F.col("value").cast("int").alias("score"))
+    return service.attempt_trail(a, "user_id")
+
+
+@query("SELECT search, step, 'u' || (step - 1) AS url, repeat('x', 5) AS excerpt FROM (SELECT DISTINCT user_id AS search FROM events), (SELECT unnest([1, 2])::BIGINT AS step)")
+def agent_visits(spark, d):
+    """Of three repeated results the first two are read, their text cut."""
+    e = _events(spark, d)
+    q = e.select(F.col("user_id").alias("search")).distinct()
+    results = q.select("search", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).withColumn("url", F.concat(F.lit("u"), (F.col("i") % 3).cast("string")))
+    pages = spark.createDataFrame([(f"u{k}", "x" * 9) for k in range(3)], "url string, markdown string")
+    return service.visited(q, results, pages, 2, 5).select("search", F.col("step").cast("long").alias("step"), "url", "excerpt")
+
+
+@query("""SELECT key, min(ts) AS settled_at FROM (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS ts, count(*) OVER w AS n, min(event_type) OVER w = max(event_type) OVER w AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) WHERE n = 2 AND same GROUP BY key""")
+def page_settled(spark, d):
+    """Users are pages, event types hashes: the first time that two snapshots in a row agree."""
+    s = _events(spark, d).select(F.col("user_id").cast("string").alias("url"), F.struct("ts", "event_id").alias("ts"), F.col("event_type").alias("hash"))
+    return policies.settled(s, 2).select(F.col("url").alias("key"), F.unix_micros(F.col("settled_at.ts").cast("timestamp")).alias("settled_at"))
+
+
+@query("SELECT user_id AS key, event_id AS seq, coalesce(last, '') AS previous FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) WHERE last IS DISTINCT FROM event_type")
+def cache_versions(spark, d):
+    """Users are addresses, event types bodies: versions and the one before each."""
+    e = _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("content_hash"))
+    return states.previous_versions(e, "key", ["ts", "seq"]).select("key", "seq", F.coalesce("previous_hash", F.lit("")).alias("previous"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'whole' WHEN 'click' THEN 'longer' WHEN 'error' THEN 'login' ELSE '' END AS thin, least(greatest(coalesce(nullif(event_id % 1200, 0), 120), 1), 1000)::BIGINT AS words, CASE event_type WHEN 'view' THEN 'de-DE' ELSE 'en-US' END AS language FROM events")
+def fetch_advice(spark, d):
+    """Advice about few words, a summary's length, and a country's language."""
+    kind, n = F.col("event_type"), F.col("event_id") % 1200
+    words = F.when(kind.isin("view", "click", "error"), 10).otherwise(80)
+    got = detect.thin_remedy(words, kind == "view", F.when(kind == "error", 5000))
+    return _events(spark, d).select(
+        "event_id", F.when(got.contains("whole page"), "whole").when(got.contains("longer"), "longer").when(got.contains("login"), "login").otherwise("").alias("thin"),
+        service.summary_words(F.nullif(n, F.lit(0))).cast("long").alias("words"), detect.locale(F.when(kind == "view", "DE").otherwise("xx"))["language"].alias("language"),
+    )
+
+
+@query("SELECT event_id, 'bing,google' AS engines, 'http://h.org:8080/' || event_id AS url, 'u' || event_id AS user, CASE WHEN event_id % 2 = 0 THEN 'p' ELSE '' END AS password FROM events")
+def instance_texts(spark, d):
+    """Engines that did not answer as names and as pairs, and an instance's address with a user."""
+    n = F.col("event_id").cast("string")
+    dead = _strings("bing", '["google", "timeout"]', " bing ", "")
+    url = F.concat(F.lit("http://u"), n, F.when(F.col("event_id") % 2 == 0, ":p").otherwise(""), F.lit("@h.org:8080/"), n)
+    parts = service.without_credentials(url)
+    return _events(spark, d).select("event_id", F.array_join(F.array_sort(service.engine_names(dead)), ",").alias("engines"), parts["url"].alias("url"), parts["user"].alias("user"), F.coalesce(parts["password"], F.lit("")).alias("password"))
+
+
+@query("SELECT category, count(*)::BIGINT AS n FROM (SELECT lang AS category FROM documents) GROUP BY category")
+def run_store(spark, d):
+    """Two runs of the documents as cases are written; the newest one is read."""
+    path = new_path(spark, "runs")
+    cases = table(spark, d, "documents").select(
+        F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), F.lit(True).alias("scored"), F.lit(True).alias("success"), F.lit(50.0).alias("quality"), F.col("n_chars").cast("double").alias("latency_ms"),
+        F.lit(None).cast("double").alias("expect_hit"), F.lit(None).cast("double").alias("expect_absent_ok"),
+    )
+    benchmark.write_run(cases.where("doc_id < 0"), path, "20240101")
+    benchmark.write_run(cases, path, "20240202")
+    return benchmark.read_run(spark, path).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def telemetry_tail(spark, d):
+    e = _events(spark, d).select(F.col("event_id"), F.col("event_id").alias("seq"), "ts")
+    return telemetry.prune(e, None, 20).select("event_id")

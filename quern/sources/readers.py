@@ -92,6 +92,19 @@ def config(stored: dict, env: dict[str, str], prefix: str = "QUERN_") -> dict:
     return stored | {k[len(prefix) :].lower(): v for k, v in env.items() if k.startswith(prefix)}
 
 
+def with_setting(stored: dict, name: str, value=None, known: Iterable[str] = ()) -> dict:
+    """Settings with one set, or unset without a value; a name that is not known is refused."""
+    names = list(known)
+    if names and name not in names:
+        raise KeyError(f"{name} is none of {', '.join(names)}")
+    return {k: v for k, v in stored.items() if k != name} | ({} if value is None else {name: value})
+
+
+def shown(stored: dict, secrets: Iterable[str] = ("key", "token", "password", "secret")) -> dict:
+    """Settings to show: values of secret names as stars."""
+    return {k: "***" if v and any(s in k.lower() for s in secrets) else v for k, v in stored.items()}
+
+
 def resolution(text: str | None) -> tuple[int, int] | None:
     """``WxH`` as numbers."""
     import re

@@ -83,6 +83,46 @@ def requests(searches: DataFrame, provider: str) -> DataFrame:
     return searches.select("search", F.to_json(PROVIDERS[provider]()).alias("request"))
 
 
+# Where a provider's reply holds its results, and the fields of address, title and description.
+REPLIES = {
+    "brave": ("$.web.results", "url", "title", "description"), "tavily": ("$.results", "url", "title", "content"), "serper": ("$.organic", "link", "title", "snippet"),
+    "serpapi": ("$.organic_results", "link", "title", "snippet"), "exa": ("$.results", "url", "title", "text"), "searxng": ("$.results", "url", "title", "content"),
+}
+
+
+def parsed(reply: Column, provider: str, n: Column | None = None) -> Column:
+    """Results (url, title, description) of a provider's JSON reply, at most ``n``; an empty array where it has none."""
+    place, *fields = REPLIES[provider]
+    rows = F.from_json(F.get_json_object(reply, place), "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>")
+    rows = F.coalesce(rows, F.array().cast("array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"))
+    out = F.transform(rows, lambda r: F.struct(*(r[f].alias(k) for f, k in zip(fields, ("url", "title", "description"), strict=True))))
+    out = F.filter(out, lambda r: r["url"].isNotNull())
+    return out if n is None else F.slice(out, F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def appended(by_source: dict[str, DataFrame]) -> DataFrame:
+    """Results of several sources one after another, each with its source; repeats stay."""
+    out = None
+    for source, found in by_source.items():
+        part = found.withColumn("source_type", F.lit(source))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def chain_names(asked: str | None, keys: dict[str, str], strict: bool = False) -> list[str]:
+    """Providers to ask in order: those named (comma-separated), else those with a key; the keyless one ends a chain that is not strict.
+
+    A named provider that is unknown, or that has no key where it needs one, is left out; a strict chain refuses it.
+    """
+    keyless = ("duckduckgo", "searxng")
+    named = list(dict.fromkeys(x.strip().lower() for x in (asked or "").split(",") if x.strip()))
+    able = lambda name: name in PROVIDERS and (name == "duckduckgo" or bool(keys.get(name)))
+    if strict and (bad := [x for x in named if not able(x)]):
+        raise ValueError(f"cannot use {', '.join(bad)}")
+    chain = [x for x in (named or [p for p in PROVIDERS if p not in keyless]) if able(x)]
+    return chain if strict or "duckduckgo" in chain else [*chain, "duckduckgo"]
+
+
 def answered(asked: DataFrame, send: Callable[[dict], list[dict]], source_type: str = "web") -> DataFrame:
     """Results of requests by the caller's ``send``; an exception becomes a row with its text."""
 
