@@ -587,6 +587,20 @@ def response_gate(spark, d):
     return readers.static_gate(r).select("event_id")
 
 
+@query("SELECT 'c' || doc_id AS id, lang AS category, 'https://a.org/' || doc_id AS url, doc_id % 2 = 0 AS scored, 'one: two,three' AS expect FROM documents WHERE doc_id < 50")
+def suite_files(spark, d):
+    """A suite written as YAML and read again."""
+    head = "name: demo  # a suite\nqueries:\n  - id: q\n    expect_domains: [a.org, 'b.org']\ncases:\n"
+    case = F.concat(
+        F.lit("  - id: c"), F.col("doc_id").cast("string"), F.lit("\n    url: https://a.org/"), F.col("doc_id").cast("string"), F.lit("\n    category: "), "lang",
+        F.when(F.col("doc_id") % 2 == 0, "").otherwise("\n    scored: false"), F.lit('\n    expect:\n      - "one: two"\n      - three\n'),
+    )
+    path = new_path(spark, "suite")
+    text_ = table(spark, d, "documents").where("doc_id < 50").agg(F.concat(F.lit(head), F.array_join(F.collect_list(case), "")).alias("value"))  # fifty cases
+    text_.coalesce(1).write.text(path)
+    return readers.suite_file(spark, path).select("id", "category", "url", "scored", F.array_join("expect", ",").alias("expect"))
+
+
 @query("SELECT d.doc_id AS id, d.lang AS category, d.doc_id % 2 = 0 AS scored FROM documents d WHERE d.doc_id < 50")
 def suite_cases(spark, d):
     """Cases of a suite, with defaults for what it leaves out."""

@@ -7,6 +7,7 @@ a callable that the caller brings, and ``replay`` answers from a stored page tab
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +88,87 @@ def suite(spark: SparkSession, cases: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def yaml(text: str):
+    """Block YAML as suites are written in: mappings, lists, quoted and plain scalars, flow lists, folded and literal texts."""
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.splitlines()]
+    at = 0
+
+    def scalar(said: str):
+        quoted = re.fullmatch(r"""(["'])(.*)\1""", said)
+        if quoted:
+            return json.loads(said) if said[0] == '"' else quoted[2].replace("''", "'")
+        if said[:1] == "[" and said[-1:] == "]":
+            inner = said[1:-1].strip()
+            return [scalar(x.strip()) for x in re.findall(r"""(?:"(?:[^"\\]|\\.)*"|'[^']*'|[^,"'])+""", inner)] if inner else []
+        said = re.sub(r"(?:^|\s)#.*$", "", said).strip()
+        plain = {"": None, "null": None, "~": None, "true": True, "false": False}
+        if said.lower() in plain:
+            return plain[said.lower()]
+        for kind in (int, float):
+            try:
+                return kind(said)
+            except ValueError:
+                continue
+        return said
+
+    def skip() -> None:
+        nonlocal at
+        while at < len(lines) and (not lines[at][1] or lines[at][1][0] == "#" or lines[at][1] == "---"):
+            at += 1
+
+    def value(said: str, depth: int):
+        nonlocal at
+        if said in (">", "|", ">-", "|-"):
+            held = []
+            while at < len(lines) and (lines[at][0] > depth or not lines[at][1]):
+                held.append(lines[at][1])
+                at += 1
+            return (" " if said[0] == ">" else "\n").join(held).strip()
+        if said and said[0] != "#":
+            return scalar(said)
+        skip()
+        deeper = at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("- ")))
+        return block(lines[at][0]) if deeper else None
+
+    def block(depth: int):
+        nonlocal at
+        out: list | dict | None = None
+        while True:
+            skip()
+            if at >= len(lines) or lines[at][0] != depth:
+                return out
+            said = lines[at][1]
+            if said == "-" or said.startswith("- "):
+                out = [] if out is None else out
+                if not isinstance(out, list):
+                    return out
+                rest = said[1:].strip()
+                if re.match(r"""(?:"[^"]*"|[\w.-]+):(?:\s|$)""", rest):  # a mapping begins on the dash's line
+                    lines[at] = (depth + 2, rest)
+                    out.append(block(depth + 2))
+                else:
+                    at += 1
+                    out.append(value(rest, depth))
+                continue
+            m = re.match(r"""("[^"]*"|'[^']*'|[^:#]+?):(?:\s+(.*))?$""", said)
+            if m is None or isinstance(out, list):
+                if isinstance(out, list):
+                    return out
+                raise ValueError(f"no YAML that is read here: {said!r}")
+            out = {} if out is None else out
+            at += 1
+            out[str(scalar(m[1]))] = value((m[2] or "").strip(), depth)
+
+    skip()
+    return block(lines[at][0]) if at < len(lines) else None
+
+
+def suite_file(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a suite's YAML file as a table."""
+    text = spark.read.text(path, wholetext=True).first()[0]  # one small file
+    return suite(spark, (yaml(text) or {}).get("cases") or [])
+
+
 def config(stored: dict, env: dict[str, str], prefix: str = "QUERN_") -> dict:
     """Settings: what the environment says, else what is stored."""
     return stored | {k[len(prefix) :].lower(): v for k, v in env.items() if k.startswith(prefix)}
@@ -107,8 +189,6 @@ def shown(stored: dict, secrets: Iterable[str] = ("key", "token", "password", "s
 
 def resolution(text: str | None) -> tuple[int, int] | None:
     """``WxH`` as numbers."""
-    import re
-
     m = re.fullmatch(r"\s*(\d+)\s*[x×]\s*(\d+)\s*", text or "")
     return (int(m[1]), int(m[2])) if m else None
 

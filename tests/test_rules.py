@@ -5,13 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import urls, validators
+from quern.functions import images, urls, validators
 from quern.operators import passages
 from quern.operators.dom import parse
 from quern.operators.markdown import convert
 from quern.operators.readability import pick
 from quern.plans import states
 from quern.plans.running import medians, running
+from quern.sources import readers, search
 from quern.streaming import policies
 
 
@@ -93,3 +94,55 @@ def test_streamed_cache_keeps_the_last_entry(spark, tmp_path):
         held = {r["key"]: r["body"] for r in policies.cache_version(spark, cache).collect()}
         assert held == [{"a": "x", "b": "y"}, {"a": "z", "b": "y"}, {"a": "z", "b": "y", "c": "w"}][n]
     assert len(list((tmp_path / "cache").glob("v=*"))) <= 2
+
+
+def test_yaml_of_suites():
+    text = """---
+name: demo   # a comment
+description: >
+  folded
+  text
+empty:
+flow: [1, 'two', "a, b", true]
+queries:
+- id: q1
+  query: "what: is"
+  expect_domains:
+    - a.org
+    - 'it''s'
+cases:
+  - id: c1
+    url: https://a.org/#x
+    scored: false
+    nested:
+      deep: 1.5
+  - plain
+lit: |
+  one
+  two
+"""
+    assert readers.yaml(text) == {
+        "name": "demo", "description": "folded text", "empty": None, "flow": [1, "two", "a, b", True],
+        "queries": [{"id": "q1", "query": "what: is", "expect_domains": ["a.org", "it's"]}],
+        "cases": [{"id": "c1", "url": "https://a.org/#x", "scored": False, "nested": {"deep": 1.5}}, "plain"], "lit": "one\ntwo",
+    }
+    assert readers.yaml("") is None and readers.yaml("- 1\n- a: 2\n  b: 3\n") == [1, {"a": 2, "b": 3}]
+
+
+def test_settings_and_chains():
+    assert readers.with_setting({"a": 1}, "b", 2) == {"a": 1, "b": 2} and readers.with_setting({"a": 1}, "a") == {}
+    assert readers.shown({"api_key": "x", "mode": "y", "token": ""}) == {"api_key": "***", "mode": "y", "token": ""}
+    with pytest.raises(KeyError):
+        readers.with_setting({}, "z", 1, ["a"])
+    assert search.chain_names("Brave, serper,brave", {"brave": "k"}) == ["brave", "duckduckgo"]
+    assert search.chain_names(None, {"exa": "k", "tavily": "k"}) == ["tavily", "exa", "duckduckgo"]
+    assert search.chain_names("duckduckgo", {}, strict=True) == ["duckduckgo"]
+    with pytest.raises(ValueError):
+        search.chain_names("brave", {}, strict=True)
+
+
+def test_jpeg_and_webp_headers():
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"J" * 14 + b"\xff\xc2\x00\x11\x08\x00\x20\x01\x00"
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    assert images.header_size(jpeg) == (256, 32) and images.header_size(webp) == (100, 50)
+    assert images.header_size(b"\xff\xd8\xff") is None and images.header_size(None) is None and images.header_size(b"BM") is None
