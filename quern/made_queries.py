@@ -41,7 +41,7 @@ RICH = (
     '<meta name="theme-color" content="#112233"><link rel="canonical" href="/c{n}"><link rel="icon" href="/i{n}.ico"><meta name="keywords" content="a, b">'
     '<script type="application/ld+json">{"@graph": [{"@type": "A", "n": {n}, "timezone": "Europe/Paris"}, {"b": [1]}]}</script><script type="application/ld+json">{bad</script>'
     '<script id="__NEXT_DATA__" type="application/json">{"p": {n}}</script>'
-    "<style>:root{--primary: #abcdef; --font-body: Inter} .x{background:url('/bg{n}.png')} h1{font-family: 'Lora', serif}</style></head>"
+    "<style>:root{--primary: #abcdef; --gap: 2px} .x{background:url('/bg{n}.png')} h1{font-family: 'Lora', serif}</style></head>"
     '<body><header><a href="/home">Home</a><img class="logo" src="/logo{n}.svg"></header><main><h1>Title {n}</h1><h2>Part <i>one</i></h2><p>alpha beta gamma delta <b>bold {n}</b> <a href="/a{n}" title="t">A {n}</a></p>'
     '<div><a href="/home">Again</a></div><table><tr><th>h</th><th>k</th></tr><tr><td>{n}</td><td>x|y</td></tr></table><ul><li>one</li><li>two<ol><li>deep</li></ol></li></ul><pre><code class="language-py">x = {n}</code></pre>'
     '<blockquote><p>said</p></blockquote><img src="/i{n}.png" alt="I" width="300" srcset="/w{n}.png 600w, /v{n}.png 2x"><img src="/pixel.gif"><a href="javascript:go(\'/js{n}\')">J</a><a href="mailto:a@b">m</a><a href="#x">f</a></main>'
@@ -96,11 +96,15 @@ def made_link_details(spark, d):
     return found
 
 
-@query("""SELECT page_id, 'light' AS color_scheme, 'https://made.example/logo' || page_id || '.svg' AS logo, 'Lora' AS fonts, '#abcdef' AS primary_color, 'Inter' AS body_font, 'https://made.example/i' || page_id || '.ico' AS favicon, 'https://made.example/o' || page_id || '.png' AS og_image FROM pages""")
+@query("""SELECT page_id, 'light' AS color_scheme, 'https://made.example/logo' || page_id || '.svg' AS logo, 'Lora' AS font, '#112233' AS primary_color, '2px' AS gap, 'https://made.example/i' || page_id || '.ico' AS favicon, 'https://made.example/o' || page_id || '.png' AS og_image FROM pages""")
 def made_branding(spark, d):
+    """The theme's colour stands in for a variable; the logo is an image of that class."""
     b = _rich(spark, d, "branding").select("page_id", "branding")
     get = lambda path: F.get_json_object("branding", path)
-    return b.select("page_id", get("$.color_scheme").alias("color_scheme"), get("$.logo").alias("logo"), get("$.fonts[0]").alias("fonts"), get("$.colors.primary").alias("primary_color"), get("$.typography.body").alias("body_font"), get("$.images.favicon").alias("favicon"), get("$.images.og_image").alias("og_image"))
+    return b.select(
+        "page_id", get("$.color_scheme").alias("color_scheme"), get("$.logo").alias("logo"), get("$.fonts[0]").alias("font"), get("$.colors.primary").alias("primary_color"),
+        get("$.spacing['--gap']").alias("gap"), get("$.images.favicon").alias("favicon"), get("$.images.ogImage").alias("og_image"),
+    )
 
 
 CLEAN = "<html><head><script>x</script></head><body><nav>n</nav><main><h1>T {n}</h1><style>y</style><p>a &amp; b</p></main><footer>f</footer></body></html>"

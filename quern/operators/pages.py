@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.operators import extract, passages
+from quern.operators.branding import branding
 from quern.operators.dom import parse
 from quern.operators.markdown import convert
 
@@ -27,7 +28,7 @@ FORMATS: dict[str, tuple[str, Callable]] = {
     "next_data": ("string", lambda h, d, u: json.dumps(x, sort_keys=True) if (x := extract.next_data(d)) is not None else None),
     "opengraph": ("map<string,string>", lambda h, d, u: list(extract.opengraph(d).items())),
     "microdata": ("array<string>", lambda h, d, u: [json.dumps(x, sort_keys=True) for x in extract.microdata(d, u)]),
-    "branding": ("string", lambda h, d, u: json.dumps(extract.branding(d, u), sort_keys=True)),
+    "branding": ("string", lambda h, d, u: json.dumps(branding(d, u), sort_keys=True)),
     "clean_html": ("string", lambda h, d, u: extract.clean_html(h)),
     "visible_text": ("string", lambda h, d, u: " ".join((d.find("body") or d).text(" ").split())),
     "hidden_disclosure": ("boolean", lambda h, d, u: extract.hidden_disclosure(h)),
