@@ -190,7 +190,10 @@ def page_word_count(spark, d):
 
 
 # an element that is never closed marks what follows it only if no block does
-@query(r"""SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<b>([^<]*[^<\s])\s*(<br>)?(</p>)?$', '**\1**'), '<h1>', '# '), '<br>', chr(10)), '<b>', ''), '</?(h1|p)>', chr(10) || chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '[ ]*\n[ ]*', chr(10), 'g'), '\n{2,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS markdown FROM pages""")
+@query(
+    "SELECT page_id, url, CASE WHEN " + _FEW + r""" THEN trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)) || chr(10) || chr(10) ELSE '' END || """
+    r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<b>([^<]*[^<\s])\s*(<br>)?(</p>)?$', '**\1**'), '<h1>', '# '), '<br>', chr(10)), '<b>', ''), '</?(h1|p)>', chr(10) || chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '[ ]*\n[ ]*', chr(10), 'g'), '\n{2,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS markdown FROM pages"""
+)
 def page_markdown(spark, d):
     return page_ops.features(table(spark, d, "pages"), "markdown")
 
