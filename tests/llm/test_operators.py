@@ -227,7 +227,7 @@ def test_language_predictions_against_brute_force(spark):
                     x += a[j - n] * (p[i] if i is not None else 1e-9)
             a.append(x)
             if j % 8 == 0:
-                a = [y / x for y in a]
+                a[-v.longest - 1 :] = [y / x for y in a[-v.longest - 1 :]]
                 logs = logs + np.log(x)
         return np.log(a[-1]) + logs
 
