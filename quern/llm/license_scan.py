@@ -101,26 +101,26 @@ SENTENCES = [
     ("bsd-source-code", "redistributions", r"redistributions of source code must retain the above copyright\s+notice"),
     ("0bsd", "permission to use, copy", r"permission to use, copy, modify,? and/or distribute this software for any\s+purpose with or without fee is hereby granted\.\s+the software is provided \"as is\""),
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
-    ("unlicense", "jurisdictions", r"in jurisdictions that recognize copyright laws, the author or authors\s+of this software dedicate"),
+    ("unlicense", "recognize copyright laws", r"in jurisdictions that recognize copyright laws, the author or authors\s+of this software dedicate"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
     ("public-domain", "public domain", r"this (?:file|work|code|software|document) is (?:hereby )?in the public domain"),
-    ("cc0", "public domain", r"to the extent possible under law, .{1,120}? waived all copyright and related"),
+    ("cc0", "copyright", r"to the extent possible under law, .{1,120}? waived all copyright and related"),
     ("cc0", "affirmer", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives"),
     ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented; you must not\s+claim"),
+    ("zlib", "of this software must not", r"the origin of this software must not be misrepresented; you must not\s+claim"),
     ("libpng", "contributing authors", r"the contributing authors and group 42, inc\. disclaim all warranties"),
     ("apache-2.0", "licensed under the apache", r"licensed under the apache license, version 2\.0 \(the \"license\"\)"),
-    ("apache-2.0", "except in compliance", r"you may not use this file except in compliance with the license"),
-    ("apache-2.0", "as is\" basis", r"distributed on an \"as is\" basis,\s+without warranties or conditions of any kind"),
+    ("apache-2.0", "compliance with the license", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "without warranties", r"distributed on an \"as is\" basis,\s+without warranties or conditions of any kind"),
     ("apache-2.0", "perpetual, worldwide", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge"),
-    ("apache-1.1", "apache software foundation", r"this product includes software developed by the\s+apache software foundation"),
-    ("apache-1.0", "apache group", r"this product includes software developed by the\s+apache group for use in the apache http server project"),
+    ("apache-1.1", "software developed by", r"this product includes software developed by the\s+apache software foundation"),
+    ("apache-1.0", "software developed by", r"this product includes software developed by the\s+apache group for use in the apache http server project"),
     ("gpl", "free software foundation", r"gnu general public license as published by\s+the free software foundation"),
     ("gpl-2.0-or-later", "free software foundation", r"free software foundation; either version 2 of the license, or\s+\(at your option\) any later version"),
     ("gpl-3.0-or-later", "free software foundation", r"free software foundation,? either version 3 of the license, or\s+\(at your option\) any later version"),
     ("gpl-2.0-only", "free software foundation", r"under the terms of (?:version 2 of the gnu general public license|the gnu general public license version 2)(?: only)?,? as published by\s+the free software foundation"),
     ("gpl", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies\s+of this license document, but changing it is not allowed"),
-    ("gpl", "freedom to share", r"the licenses for most software(?: and other practical works)? are designed to take away your\s+freedom"),
+    ("gpl", "licenses for most software", r"the licenses for most software(?: and other practical works)? are designed to take away your\s+freedom"),
     ("gpl-3.0", "copyleft license for", r"the gnu general public license is a free, copyleft license for\s+software and other kinds of works"),
     ("gpl", "without even the implied", r"without even the implied warranty of\s+merchantability or fitness for a particular purpose\.\s+see the\s+gnu general public license"),
     ("gpl-classpath", "special exception", r"as a special exception, the copyright holders of this library give you\s+permission to link this library"),
@@ -129,18 +129,18 @@ SENTENCES = [
     ("lgpl-2.1-or-later", "free software foundation", r"gnu lesser general public license as published by\s+the free software foundation; either\s+version 2\.1 of the license, or"),
     ("lgpl-2.0-or-later", "free software foundation", r"gnu library general public license as published by\s+the free software foundation; either\s+version 2 of the license, or"),
     ("lgpl", "without even the implied", r"without even the implied warranty of\s+merchantability or fitness for a particular purpose\.\s+see the\s+gnu (?:lesser|library) general public license"),
-    ("lgpl-3.0", "supplemented by", r"this version of the gnu lesser general public license incorporates\s+the terms and conditions of version 3"),
+    ("lgpl-3.0", "general public license", r"this version of the gnu lesser general public license incorporates\s+the terms and conditions of version 3"),
     ("agpl-3.0-or-later", "free software foundation", r"gnu affero general public license as\s+published by the free software foundation,? either version 3"),
     ("agpl-3.0", "interacting with it remotely", r"all users\s+interacting with it remotely through a computer network"),
     ("gfdl", "permission is granted to copy", r"permission is granted to copy, distribute and/or modify this document\s+under the terms of the gnu free documentation license"),
     ("gfdl", "invariant sections", r"with no invariant sections, no front-cover texts,? and no back-cover\s+texts"),
     ("fsf-all-permissive", "copying and distribution", r"copying and distribution of this file, with or without modification,\s+are permitted in any medium"),
     ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public\s+license, v\. ?2\.0"),
-    ("mpl-2.0", "incompatible with secondary", r"this source code form is \"incompatible with secondary licenses\""),
-    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public license\s+version 1\.1"),
-    ("mpl-1.0", "contents of this file", r"the contents of this file are subject to the mozilla public license\s+version 1\.0"),
-    ("npl", "contents of this file", r"the contents of this file are subject to the netscape public license"),
-    ("cddl-1.0", "contents of this file", r"the contents of this file are subject to the terms of the\s+common development and distribution license"),
+    ("mpl-2.0", "secondary licenses", r"this source code form is \"incompatible with secondary licenses\""),
+    ("mpl-1.1", "public license", r"the contents of this file are subject to the mozilla public license\s+version 1\.1"),
+    ("mpl-1.0", "public license", r"the contents of this file are subject to the mozilla public license\s+version 1\.0"),
+    ("npl", "public license", r"the contents of this file are subject to the netscape public license"),
+    ("cddl-1.0", "distribution license", r"the contents of this file are subject to the terms of the\s+common development and distribution license"),
     ("epl-1.0", "accompanying materials", r"accompanying materials\s+are made available under the terms of the eclipse public license v1\.0"),
     ("epl-2.0", "accompanying materials", r"accompanying materials\s+are made available under the\s+terms of the eclipse public license (?:v\. ?)?2\.0"),
     ("cpl-1.0", "common public license", r"the accompanying program is provided under the terms of this common public\s+license"),
@@ -148,27 +148,27 @@ SENTENCES = [
     ("osl-3.0", "open software license", r"licensed under the open software license version 3\.0"),
     ("afl-3.0", "academic free license", r"licensed under the academic free license version 3\.0"),
     ("eupl-1.2", "eupl", r"licensed under the eupl(?:,? version 1\.2)? (?:only |or - as soon )"),
-    ("artistic-1.0", "copyright holder", r"the intent of this document is to state the conditions under which a\s+package may be copied"),
-    ("artistic-2.0", "artistic license", r"this license establishes the terms under which a given free software\s+package may be copied"),
+    ("artistic-1.0", "copied", r"the intent of this document is to state the conditions under which a\s+package may be copied"),
+    ("artistic-2.0", "free software", r"this license establishes the terms under which a given free software\s+package may be copied"),
     ("perl", "same terms as perl", r"(?:redistribute it and/or\s+modify it )?under the same terms as perl itself"),
-    ("bsl-1.0", "boost", r"distributed under the boost software license, version 1\.0"),
+    ("bsl-1.0", "boost software license", r"distributed under the boost software license, version 1\.0"),
     ("bsl-1.0", "machine-executable", r"machine-executable object code generated by\s+a source language processor"),
     ("ofl-1.1", "font software", r"this font software is licensed under the sil open font license, version 1\.1"),
     ("ofl", "font software", r"the font software,? (?:may be )?(?:used, studied, modified|including any derivative works)"),
-    ("python-2.0", "python software foundation", r"the psf is making python available to licensee on an \"as is\"\s+basis"),
-    ("php-3.01", "php", r"this source file is subject to version 3\.01 of the php license"),
-    ("php-3.0", "php", r"this source file is subject to version 3\.0 of the php license"),
-    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
-    ("ssleay", "eric young", r"this product includes cryptographic software written by\s+eric young"),
-    ("postgresql", "postgres", r"permission to use, copy, modify,? and distribute this software and its\s+documentation for any purpose, without fee, and without a written agreement"),
-    ("curl", "daniel stenberg", r"copyright (?:\(c\) )?(?:[0-9]{4} ?- ?[0-9]{4}, )?daniel stenberg"),
-    ("tcl", "regents of the university", r"copyrighted by the regents of the university of california, sun\s+microsystems"),
-    ("icu", "unicode", r"permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files"),
-    ("w3c", "world wide web consortium", r"distribute this software and its documentation, with or without\s+modification, for any purpose and without fee"),
-    ("ms-pl", "microsoft public license", r"this license governs use of the accompanying software\. if you use the software, you\s+accept this license"),
+    ("python-2.0", "licensee", r"the psf is making python available to licensee on an \"as is\"\s+basis"),
+    ("php-3.01", "php license", r"this source file is subject to version 3\.01 of the php license"),
+    ("php-3.0", "php license", r"this source file is subject to version 3\.0 of the php license"),
+    ("software developed by", "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", "software written by", r"this product includes cryptographic software written by\s+eric young"),
+    ("postgresql", "permission to use, copy", r"permission to use, copy, modify,? and distribute this software and its\s+documentation for any purpose, without fee, and without a written agreement"),
+    ("curl", "copyright", r"copyright (?:\(c\) )?(?:[0-9]{4} ?- ?[0-9]{4}, )?daniel stenberg"),
+    ("tcl", "copyrighted by the regents", r"copyrighted by the regents of the university of california, sun\s+microsystems"),
+    ("icu", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files"),
+    ("w3c", "this software and its", r"distribute this software and its documentation, with or without\s+modification, for any purpose and without fee"),
+    ("ms-pl", "accompanying software", r"this license governs use of the accompanying software\. if you use the software, you\s+accept this license"),
     ("wtfpl", "what the", r"you just do what the f[u*]ck you want to"),
     ("beerware", "beer", r"you can buy me a beer in return"),
-    ("json", "shall be used for good", r"the software shall be used for good, not evil"),
+    ("json", "the software shall be used", r"the software shall be used for good, not evil"),
     ("vim", "uganda", r"vim is charityware|help poor children in uganda"),
     ("cc-by", "creative commons", r"this work is licensed under a creative commons attribution [0-9.]+ (?:international|unported|generic)"),
     ("cc-by-sa", "creative commons", r"this work is licensed under a creative commons attribution-sharealike [0-9.]+ (?:international|unported|generic)"),
@@ -176,23 +176,25 @@ SENTENCES = [
     ("cc-by-nc-sa", "creative commons", r"this work is licensed under a creative commons attribution-noncommercial-sharealike [0-9.]+"),
     ("cc-by-nc-nd", "creative commons", r"this work is licensed under a creative commons attribution-noncommercial-noderiv(?:ative)?s [0-9.]+"),
     ("cc-by-nd", "creative commons", r"this work is licensed under a creative commons attribution-noderiv(?:ative)?s [0-9.]+"),
-    ("odbl-1.0", "open data commons", r"made available under the open database license"),
+    ("odbl-1.0", "open database license", r"made available under the open database license"),
     ("odc-by-1.0", "open data commons", r"made available under the open data commons attribution license"),
-    ("pddl-1.0", "open data commons", r"made available under the public domain dedication and license"),
-    ("busl-1.1", "business source license", r"change date:.{0,40}?\s+change license:"),
-    ("sspl-1.0", "server side public license", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("pddl-1.0", "public domain", r"made available under the public domain dedication and license"),
+    ("busl-1.1", "change license", r"change date:.{0,40}?\s+change license:"),
+    ("sspl-1.0", "third parties as a service", r"if you make the functionality of the program or a modified version available to third parties as a service"),
     ("elastic-2.0", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed\s+service"),
-    ("commons-clause", "commons clause", r"the license does not grant to you, the right to sell the software"),
+    ("commons-clause", "sell the software", r"the license does not grant to you, the right to sell the software"),
     ("polyform-noncommercial", "noncommercial", r"any noncommercial purpose is a permitted purpose"),
-    ("llama", "llama", r"llama [0-9.]+ is licensed under the llama [0-9.]+ community license"),
+    ("community license", "llama", r"llama [0-9.]+ is licensed under the llama [0-9.]+ community license"),
     ("openrail", "use-based restrictions", r"use-based restrictions (?:as )?referenced in paragraph 5"),
     ("proprietary", "proprietary", r"this software is (?:the )?(?:confidential and )?proprietary (?:information|property) of"),
-    ("proprietary", "all rights reserved", r"no part of this (?:publication|document|work|book) may be reproduced"),
+    ("proprietary", "may be reproduced", r"no part of this (?:publication|document|work|book) may be reproduced"),
     ("proprietary", "without the express", r"may not be (?:copied|reproduced|distributed)[^.]{0,60} without the express(?:ed)? (?:prior )?written"),
     ("shareware", "shareware", r"this (?:program|software) is shareware|if you continue to use it (?:after|beyond) [0-9]+ days"),
     ("freeware", "freeware", r"this (?:program|software) is freeware"),
     ("evaluation", "evaluation", r"for (?:evaluation|trial) purposes only"),
 ]
+#: Parts that several keywords share.
+STEMS = ["software", "commons", "public", "permi", "copy", "without", "free", "serv", "material", "cc"]
 #: Priorities of the five forms, and their weights.
 TAG, SENTENCE, ADDRESS, VERSIONED, NAMED = 5, 4, 3, 2, 1
 WEIGHTS = {TAG: 1.0, SENTENCE: 0.95, ADDRESS: 0.9, VERSIONED: 0.85, NAMED: 0.7}
@@ -235,8 +237,20 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
 
 
 def keywords(text: Column) -> Column:
-    """The rules' keywords that a lower-cased text contains."""
-    return F.array_compact(F.array(*(F.when(text.contains(w), F.lit(w)) for w in sorted({r[2] for r in rules()}))))
+    """The rules' keywords that a lower-cased text contains.
+
+    A keyword that holds another one, or a stem of ``STEMS``, is looked for only where that has been found.
+    """
+    wanted = sorted({r[2] for r in rules()})
+    every = sorted({*wanted, *STEMS})
+    above = {w: max((x for x in every if x != w and x in w), key=lambda x: (len(x), x), default=None) for w in every}
+
+    def found(w: str) -> Column:
+        below = [found(x) for x in every if above[x] == w]
+        own = [F.array(F.lit(w))] if w in wanted else []
+        return F.when(text.contains(w), F.concat(*own, *below) if own or below else F.array().cast("array<string>")).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*(found(w) for w in every if above[w] is None))
 
 
 def _phrase(phrase: str) -> str:
