@@ -191,7 +191,9 @@ def fit(labelled: DataFrame, path: str | None = None, sample: int = 6000) -> Mod
     chosen = _sampled(labelled.where("lang is not null").select("doc_id", "lang"), sample)
     # at most `sample` rows a language
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.dropDuplicates()), ["doc_id", "lang"], "left_semi")
-    rows = materialize(rows.select("lang", "text"), "sample")
+    # dealt evenly, since a small table may be one file
+    dealt = min(16, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = materialize(rows.select("lang", "text").repartition(dealt), "sample")
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     prior = _rank_law(v)
     p = np.repeat(prior[:, None], len(languages), axis=1)
