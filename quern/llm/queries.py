@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.decontaminate import contamination
+from quern.llm.dominance import sales_above
 from quern.llm.fingerprint import neighbours
 from quern.llm.importance import resample
 from quern.llm.jaccard_join import jaccard_components
@@ -66,6 +67,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_dominance_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_above(table(spark, sf_dir, "sales"))
+
+
 # What SQL can say of other operators' results
 
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_planes, op5_sentencepiece_scan,
         op6_license_scan, op7_importance_resampling, op8_personal_data, op9_ngram_trie, op10_fingerprints,
+        op11_dominance_count,
         license_places, personal_counts, edited_texts,
     )
     return {f.__name__: f for f in found}
@@ -168,5 +174,21 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, (length(t) - length(
 """
 
 
+#: Slots and levels by arithmetic; crc32 by a table of its 256 steps; pairs by comparison.
+OP11_SQL = """
+WITH RECURSIVE t AS (SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8
+), steps AS (SELECT list(c ORDER BY byte) AS tab FROM t WHERE k = 8
+), s AS (
+  SELECT sale_id, epoch_us(date_trunc('minute', sold_at)) // 60000000 AS slot, floor(floor(100 * total + 0.5) / 1)::BIGINT AS level,
+    1 + xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(coalesce(sale_id::VARCHAR, '')) + 1), lambda i: ascii((sale_id::VARCHAR)[i])::BIGINT)),
+      lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1]))) % 5 AS copies
+  FROM sales, steps
+), n AS (SELECT a.sale_id, count(*) AS n_sales, sum(b.copies) AS n_rows FROM s a JOIN s b ON b.slot < a.slot AND b.level > a.level GROUP BY a.sale_id)
+SELECT s.sale_id, slot, level, CASE WHEN slot IS NOT NULL AND level IS NOT NULL THEN coalesce(n_sales, 0) END::BIGINT AS n_sales,
+  CASE WHEN slot IS NOT NULL AND level IS NOT NULL THEN coalesce(n_rows, 0) END::BIGINT AS n_rows FROM s LEFT JOIN n ON n.sale_id = s.sale_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL, "license_places": LICENSE_SQL, "personal_counts": PERSONAL_SQL, "edited_texts": EDITED_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL, "license_places": LICENSE_SQL, "personal_counts": PERSONAL_SQL, "edited_texts": EDITED_SQL, "op11_dominance_count": OP11_SQL}
