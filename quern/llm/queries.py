@@ -13,10 +13,12 @@ from quern.llm.fingerprint import neighbours
 from quern.llm.importance import resample
 from quern.llm.jaccard_join import jaccard_components
 from quern.llm.language_id import identified
+from quern.llm.lexical_search import search
 from quern.llm.license_scan import license_scan
 from quern.llm.ngram_trie import scored
 from quern.llm.personal_data import personal_data
 from quern.llm.sentencepiece_scan import encoded
+from quern.llm.substring_dedup import substring_dedup
 from quern.llm.token_planes import round_trip
 
 
@@ -71,6 +73,14 @@ def op11_dominance_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_above(table(spark, sf_dir, "sales"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # What SQL can say of other operators' results
 
 
@@ -94,7 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_planes, op5_sentencepiece_scan,
         op6_license_scan, op7_importance_resampling, op8_personal_data, op9_ngram_trie, op10_fingerprints,
-        op11_dominance_count,
+        op11_dominance_count, op12_substring_dedup, op13_lexical_search,
         license_places, personal_counts, edited_texts,
     )
     return {f.__name__: f for f in found}
@@ -190,5 +200,34 @@ SELECT s.sale_id, slot, level, CASE WHEN slot IS NOT NULL AND level IS NOT NULL
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), f AS (SELECT s, min({'doc_id': doc_id, 'i': i}) AS least FROM p GROUP BY s
+), r AS (SELECT doc_id, i FROM p JOIN f ON f.s = p.s WHERE {'doc_id': doc_id, 'i': i} > least
+), g AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS k FROM r) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(gone, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents
+), p AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t
+), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id
+), z AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n
+), w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, z GROUP BY t
+), q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t
+), s AS (
+  SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN p ON p.t = q.t JOIN w ON w.t = q.t JOIN n USING (doc_id), z GROUP BY item_id, doc_id
+), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL, "license_places": LICENSE_SQL, "personal_counts": PERSONAL_SQL, "edited_texts": EDITED_SQL, "op11_dominance_count": OP11_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_decontamination": OP2_SQL, "license_places": LICENSE_SQL, "personal_counts": PERSONAL_SQL, "edited_texts": EDITED_SQL, "op11_dominance_count": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL}
