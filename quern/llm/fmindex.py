@@ -97,7 +97,7 @@ class FMIndex:
 def _paired(ranks: np.ndarray, others: np.ndarray, shift: int) -> np.ndarray:
     """Ranks of (rank of a place, other rank ``shift`` places on)."""
     moved = np.zeros_like(others)
-    moved[: len(others) - shift] = others[shift:]
+    moved[: max(0, len(others) - shift)] = others[shift:]
     return np.unique(ranks.astype(np.int64) * (int(others.max(initial=0)) + 1) + moved, return_inverse=True)[1]
 
 

@@ -5,8 +5,8 @@ at a smaller (doc_id, start).
 
 1. Documents are cut into segments: runs of windows whose smallest hash of ``RUN``
    consecutive words, the anchor, is the same (at most ``MOST`` windows a segment).  Equal
-   windows have equal anchors.  Segments whose anchor occurs once in the corpus repeat
-   nothing and go no further; of each other segment the first occurrence stands for all.
+   windows have equal anchors.  Segments whose anchor stands at one place in the corpus
+   repeat nothing and go no further; of each other segment the first occurrence stands for all.
 2. Segments are dealt to shards by their anchor, so all that may agree meets in one;
    shards hold about ``SHARD`` words, so their number grows with the corpus.
 3. A shard's segments become a compressed FM-index (``quern.llm.fmindex``).  Its segments
@@ -48,7 +48,7 @@ SHARD = 1 << 19
 HOT = 1 << 13
 LAST = (1 << 63) - 1
 
-CUT = "k long, doc long, anchor long, key long, start int, n int, sha binary"
+CUT = "k long, doc long, anchor long, key long, start int, n int, times int, sha binary"
 
 
 def _sums(hashes: np.ndarray) -> np.ndarray:
@@ -63,14 +63,15 @@ def _run(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def segments(words: Words, width: int) -> tuple[np.ndarray, ...]:
-    """(row, place of the first word, windows, anchor, key) of each segment."""
+    """(row, place of the first word, windows, anchor, key, times) of each segment; times: 2 if the anchor stands in it more than once."""
     h, row = words.hash, words.row
     windows = len(h) - width + 1
     if windows <= 0:
-        return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, U) for _ in range(2))
+        return (*(np.empty(0, np.int64) for _ in range(3)), *(np.empty(0, U) for _ in range(2)), np.empty(0, np.int64))
     sums, run = _sums(h), min(RUN, width)
     at = np.arange(len(h) - run + 1)
-    least, have, want = _run(sums, at, at + run), 1, width - run + 1
+    runs = least = _run(sums, at, at + run)
+    have, want = 1, width - run + 1
     while have < want:  # smallest of twice as many hashes, or of as many as are wanted
         step = min(have, want - have)
         least, have = np.minimum(least[: len(least) - step], least[step:]), have + step
@@ -81,7 +82,13 @@ def segments(words: Words, width: int) -> tuple[np.ndarray, ...]:
     ends = np.minimum(np.append(starts[1:], windows), starts + MOST)
     gone = np.concatenate([[0], np.cumsum(~inside)])  # windows over the end of a text, which end a segment
     n = ends - starts - (gone[ends] - gone[starts])
-    return row[starts], starts, n, least[starts], _run(sums, starts, starts + n + width - 1)
+    anchor, last = least[starts], starts + n - 1
+    left, right = np.zeros_like(starts), np.zeros_like(starts)
+    for k in range(want):
+        left = np.where(runs[starts + want - 1 - k] == anchor, want - 1 - k, left)
+        right = np.where(runs[last + k] == anchor, k, right)
+    times = 1 + (starts + left != last + right)
+    return row[starts], starts, n, anchor, _run(sums, starts, starts + n + width - 1), times
 
 
 def _cut(width: int):
@@ -93,23 +100,24 @@ def _cut(width: int):
                 texts = batch.column("text").slice(i, j - i)
                 words = Words(texts, lower=False)
                 counts = words.counts()
-                row, starts, n, anchor, key = segments(words, width)
+                row, starts, n, anchor, key, times = segments(words, width)
                 begin = np.concatenate([[0], np.cumsum(counts)])
                 docs = batch.slice(i, j - i)
                 digests = [hashlib.sha256(b" ".join(t.encode().split())).digest() if t else hashlib.sha256().digest() for t in texts.to_pylist()]
-                yield _batch(docs, np.arange(j - i), None, None, None, counts, digests)
-                yield _batch(docs, row, anchor, key, starts - begin[row], n, None)
+                yield _batch(docs, np.arange(j - i), None, None, None, counts, None, digests)
+                yield _batch(docs, row, anchor, key, starts - begin[row], n, times, None)
 
     return cut
 
 
-def _batch(docs: pa.RecordBatch, row: np.ndarray, anchor, key, start, n: np.ndarray, sha) -> pa.RecordBatch:
+def _batch(docs: pa.RecordBatch, row: np.ndarray, anchor, key, start, n: np.ndarray, times, sha) -> pa.RecordBatch:
     at, size = pa.array(row), len(row)
     return pa.RecordBatch.from_arrays(
         [
             docs.column("k").take(at), docs.column("doc").take(at),
             pa.nulls(size, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)), pa.nulls(size, pa.int64()) if key is None else pa.array(key.view(np.int64)),
-            pa.nulls(size, pa.int32()) if start is None else pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(size, pa.binary()) if sha is None else pa.array(sha, pa.binary()),
+            pa.nulls(size, pa.int32()) if start is None else pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+            pa.nulls(size, pa.int32()) if times is None else pa.array(times.astype(np.int32)), pa.nulls(size, pa.binary()) if sha is None else pa.array(sha, pa.binary()),
         ],
         names=[c.split()[0] for c in CUT.split(", ")],
     )
@@ -238,7 +246,7 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH, hot: int = HOT, sh
     docs = documents.select(F.xxhash64("doc_id", "text").alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
     cut = materialize(docs.mapInArrow(_cut(width), CUT), "segments", "zstd")
     found = cut.where("anchor is not null").select("k", "doc", "anchor", "key", "start", "n")
-    again = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    again = cut.where("anchor is not null").groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select("anchor")
     live = materialize(found.join(again, "anchor", "left_semi"), "live", "zstd")
     heads = live.groupBy("anchor", "key").agg(F.min(F.struct("doc", "start", "k", "n")).alias("f"), F.count("*").alias("c"))
     heads = materialize(heads.select("anchor", "key", "f.*", "c"), "heads", "zstd")
