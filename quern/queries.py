@@ -23,7 +23,7 @@ _long = longs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quern import made_queries, rule_queries  # noqa: F401  they register theirs
+    from quern import made_queries, replay_queries, rule_queries  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 
