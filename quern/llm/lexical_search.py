@@ -106,7 +106,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         starts = np.flatnonzero(np.concatenate([[t[0] != term], t[1:] != t[:-1]]))
         at = np.arange(len(t)) + seen
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=False):
             at[a:b] = np.arange(b - a)
         term, seen = t[-1], int(at[-1]) + 1
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "at"])

@@ -5,9 +5,10 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quern.llm.lexical_search import search
+from quern.llm.lexical_search import _numbered, search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -45,7 +46,7 @@ def made():
     return docs, items
 
 
-@pytest.mark.parametrize("k, size", [(20, 1 << 19), (1, 50), (3, 40), (1000, 1 << 19)])
+@pytest.mark.parametrize("k, size", [(20, 1 << 19), (3, 150)])
 def test_against_loops(spark, k, size):
     docs, items = made()
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, row int, t string").repartition(4)
@@ -56,7 +57,12 @@ def test_against_loops(spark, k, size):
         assert figures["fetched"] < figures["entries"] * 40
 
 
-@pytest.mark.parametrize("docs, items", [([], [(1, "a")]), ([(1, "a")], []), ([(1, None)], [(1, None)]), ([(1, "a"), (2, "a b")], [(1, "b b a")])])
+@pytest.mark.parametrize("docs, items", [([], [(1, "a")]), ([(1, "a")], []), ([(1, "a"), (2, "a b"), (3, None)], [(1, "b b a"), (2, None)])])
 def test_few_rows(spark, docs, items):
     found = search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, found.collect()), key=repr) == brute(docs, items, 20)
+
+
+def test_lists_are_numbered_across_batches():
+    made = [pa.RecordBatch.from_pydict({"t": pa.array(t, pa.int64())}) for t in ([1, 1, 2], [2, 2], [2, 3, 3], [], [4])]
+    assert [b.column("at").to_pylist() for b in _numbered(iter(made))] == [[0, 1, 0], [1, 2], [3, 0, 1], [0]]
