@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import urls
+from quern.operators import pages as page_ops
+from quern.queries import _EDGES
 from quern.registry import query, table
-from quern.scratch import materialize
+from quern.scratch import materialize, new_path
 from quern.sources import search_source
+from quern.streaming import crawler
 
 _HOST = r"lower(split_part(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ':', 1))"
 
@@ -103,3 +106,17 @@ def search_source_pushed(spark, d):
     other = F.when(F.col("query").startswith("m."), F.lit('{"results": []}'))
     found = _loaded(spark, hosts, _stored(hosts, {"exa": (F.lit(200), other)}), "exa")
     return found.where("kind = 'news' AND published >= DATE'2024-01-15' AND published <= DATE'2024-03-15' AND i < 3").select("search", "i", "url")
+
+
+@query(rf"""WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), s AS (SELECT min(src) AS url FROM {_EDGES}),
+r AS (SELECT url, 0 AS depth FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 3)
+SELECT url, min(depth)::BIGINT AS depth FROM r GROUP BY url""")
+def crawl_stream(spark, d):
+    """The graph of link_graph_bfs, crawled by the stream that feeds itself."""
+    found = page_ops.features(table(spark, d, "pages"), "links")
+    edges = found.select(urls.registrable_domain(F.col("url")).alias("src"), F.explode("links").alias("l")).select("src", F.regexp_extract("l", r"^[a-zA-Z]+://[^/]*(.*)$", 1).alias("dst")).distinct()
+    links = materialize(edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
+    folder = new_path(spark, "crawl")
+    crawler.begin(links.where("src not like '/%'").agg(F.min("src").alias("url")), folder)
+    query_ = crawler.started(spark, links, folder, 3, lanes=16)
+    return crawler.finished(spark, query_, folder).select("url", F.col("depth").cast("long").alias("depth"))
