@@ -8,7 +8,8 @@ priority, is suppressed, and of equal intervals the first rule's stays.
 
 Rules are of five forms, from the identifier tag (most specific) down to the bare name.
 Sentences of license texts, notices and exhibits are written by hand one by one
-(``SENTENCES``); the other four forms follow from license families (``FAMILIES``: label,
+(``SENTENCES``); where licenses share their sentences, a rule requires several, and the
+longer text hides the shorter ones within it; the other four forms follow from license families (``FAMILIES``: label,
 name, versions, address, also written by hand).  The four base phrases are found apart from the rules, as consecutive
 words, and always stay.
 
@@ -85,20 +86,24 @@ FAMILIES = [
     ("elastic", r"elastic license", "2.0", r"elastic\.co/licensing/elastic-license"),
     ("proprietary", r"all rights reserved|proprietary and confidential", "", ""),
 ]
+#: How a text of the BSD family begins; which of them it is, its later clauses say.
+_BSD = r"redistribution and use in source and binary forms, with or without\s+modification"
 # Sentences of license texts, notices and exhibits that identify a license by themselves (label, keyword, pattern).
 SENTENCES = [
     ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("mit", "copyright notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all\s+copies"),
     ("mit-modern", "permission is hereby granted", r"permission is hereby granted, without written agreement and without\s+license or royalty fees"),
-    ("x11", "copyright holder", r"except as contained in this notice, the names? of (?:the )?(?:above )?(?:copyright holders?|x consortium) shall not be used"),
-    ("isc", "permission to use, copy", r"permission to use, copy, modify,? and/or distribute this software for any purpose"),
+    ("x11", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person(?s:.{1,1600}?)except as contained in this notice, the names? of (?:the )?(?:above )?(?:copyright holders?|x consortium) shall not be used"),
+    ("ncsa", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person(?s:.{1,900}?)redistributions of source code must retain(?s:.{1,900}?)endorse or promote"),
+    ("isc", "permission to use, copy", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any\s+purpose with or without\s+fee"),
     ("hpnd", "permission to use, copy", r"permission to use, copy, modify,? and distribute this software and its\s+documentation for any purpose"),
-    ("ntp", "permission to use, copy", r"permission to use, copy, modify,? and distribute this software (?:and its\s+documentation )?for any purpose with or without fee"),
-    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms, with or without\s+modification"),
-    ("bsd-2-clause", "redistributions", r"redistributions in binary form must reproduce the above copyright\s+notice"),
+    ("ntp", "permission to use, copy", r"permission to use, copy, modify,? and distribute this software and its\s+documentation for any purpose with or without\s+fee"),
+    ("bsd-4-clause", "advertising materials", rf"{_BSD}(?s:.{{1,1200}}?)all advertising materials mentioning features or use(?s:.{{1,700}}?)endorse or promote"),
+    ("bsd-3-clause", "endorse or promote", rf"{_BSD}(?s:.{{1,1600}}?)names?(?s:.{{1,200}}?)endorse or promote"),
+    ("bsd-2-clause", "redistributions", rf"{_BSD}(?s:.{{1,700}}?)redistributions in binary form must reproduce the above copyright\s+notice"),
+    ("bsd-source-code", "redistributions", rf"{_BSD}(?s:.{{1,400}}?)redistributions of source code must retain the above copyright\s+notice"),
     ("bsd-3-clause", "endorse or promote", r"neither the names? of .{1,80}? nor the names of (?:its|their)\s+contributors may be used to endorse or promote"),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software\s+must display"),
-    ("bsd-source-code", "redistributions", r"redistributions of source code must retain the above copyright\s+notice"),
     ("0bsd", "permission to use, copy", r"permission to use, copy, modify,? and/or distribute this software for any\s+purpose with or without fee is hereby granted\.\s+the software is provided \"as is\""),
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
     ("unlicense", "recognize copyright laws", r"in jurisdictions that recognize copyright laws, the author or authors\s+of this software dedicate"),
@@ -158,7 +163,7 @@ SENTENCES = [
     ("python-2.0", "licensee", r"the psf is making python available to licensee on an \"as is\"\s+basis"),
     ("php-3.01", "php license", r"this source file is subject to version 3\.01 of the php license"),
     ("php-3.0", "php license", r"this source file is subject to version 3\.0 of the php license"),
-    ("software developed by", "openssl", r"this product includes software developed by the openssl project"),
+    ("openssl", "software developed by", r"this product includes software developed by the openssl project"),
     ("ssleay", "software written by", r"this product includes cryptographic software written by\s+eric young"),
     ("postgresql", "permission to use, copy", r"permission to use, copy, modify,? and distribute this software and its\s+documentation for any purpose, without fee, and without a written agreement"),
     ("curl", "copyright", r"copyright (?:\(c\) )?(?:[0-9]{4} ?- ?[0-9]{4}, )?daniel stenberg"),
@@ -184,7 +189,7 @@ SENTENCES = [
     ("elastic-2.0", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed\s+service"),
     ("commons-clause", "sell the software", r"the license does not grant to you, the right to sell the software"),
     ("polyform-noncommercial", "noncommercial", r"any noncommercial purpose is a permitted purpose"),
-    ("community license", "llama", r"llama [0-9.]+ is licensed under the llama [0-9.]+ community license"),
+    ("llama", "community license", r"llama [0-9.]+ is licensed under the llama [0-9.]+ community license"),
     ("openrail", "use-based restrictions", r"use-based restrictions (?:as )?referenced in paragraph 5"),
     ("proprietary", "proprietary", r"this software is (?:the )?(?:confidential and )?proprietary (?:information|property) of"),
     ("proprietary", "may be reproduced", r"no part of this (?:publication|document|work|book) may be reproduced"),

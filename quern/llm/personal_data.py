@@ -16,7 +16,8 @@ speak against them, and, for ``NEUTRAL`` of either class, in leads that say noth
 that neither format nor lead alone decides.  A model does not depend on the corpus or its
 size.
 
-Every generator is linear in the text.  Defined results: null text has no spans
+Every generator is linear in the text, and a secret is taken to its end, however long; behind
+a word like password at least six characters are one.  Defined results: null text has no spans
 and stays null when redacted; other columns pass through.
 """
 
@@ -64,8 +65,9 @@ _BROAD = {
 #: Beginnings of well-known tokens, and words that a secret is given after.
 _PREFIX = ("AKIA", "ASIA", "sk-", "sk_", "pk_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xox", "eyJ", "AIza", "npm_")
 _GIVEN = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
-_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credentials?)[\"']?\s{0,2}(?::|=>?|is|ist|est|es)\s{0,2}[\"']?([^\s\"',;<>]{6,128})", re.I)
-_KEYBLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----")
+_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credentials?)[\"']?\s{0,2}(?::|=>?|is|ist|est|es)\s{0,2}[\"']?([^\s\"',;<>]{6,}+)", re.I)
+_KEYLINE = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
+_KEYBODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*+")
 _NEAR = (
     re.compile(r"pass(?!port)|pwd|secret|token|key|auth|credential|bearer", re.I),
     re.compile(r"tel|phone|call|mobile|fax|cell|anruf|ruf|appel|llam|móvil|whatsapp|reach", re.I),
@@ -141,7 +143,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 def key_blocks(text: str) -> list[tuple[str, int, int]]:
-    return [("keyblock", *m.span()) for m in _KEYBLOCK.finditer(text)] if "PRIVATE KEY-----" in text else []
+    """From each line that begins a key to the next such line's end, if that ends a key and only a key's characters stand between."""
+    found, begun = [], None
+    for m in _KEYLINE.finditer(text) if "PRIVATE KEY-----" in text else ():
+        if m[1] == "END" and begun and _KEYBODY.match(text, begun.end(), m.start()).end() == m.start():
+            found.append(("keyblock", begun.start(), m.end()))
+        begun = m if m[1] == "BEGIN" else None
+    return found
 
 
 def _is_ipv6(span: str) -> bool:

@@ -1,5 +1,6 @@
 """Learned kinds on sentences that the training templates did not make."""
 
+import time
 from collections import Counter
 
 from quern.llm import personal_data
@@ -37,3 +38,20 @@ def test_words_in_capitals_after_an_account():
 
 def test_generators_need_no_digit():
     assert ("mac", 0, 17) in personal_data.candidates("aa:bb:cc:dd:ee:ff") and ("secret", 9, 15) in personal_data.candidates("password=abcdef")
+
+
+def test_long_secrets_go_whole():
+    models = personal_data.fitted()
+    for size in (130, 180, 10_000):
+        value = ("aB!7" * size)[:size]
+        assert personal_data.redacted(f"x password={value} y", models) == "x password=[SECRET] y"
+
+
+def test_key_blocks_are_found_in_one_pass():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n"
+    began = time.process_time()
+    assert personal_data.key_blocks(begin * 160_000) == []
+    assert personal_data.key_blocks((begin + "MII" * 40) * 40_000 + end) != []
+    assert time.process_time() - began < 2
+    text = begin + begin + "MIIE\n" + end + end + begin + "no key here!\n" + end
+    assert [text[a:b] for _, a, b in personal_data.key_blocks(text)] == [begin + "MIIE\n" + end.rstrip()]
