@@ -5,17 +5,17 @@
    become impacts, which are range-partitioned by term and falling impact; a frequent
    term's list runs over many partitions, and each entry knows its place in its part.
 2. Heads: the first ``k`` entries of every list give lower bounds of the documents they
-   name; a query's ``k``-th highest bound is t1 (0 if fewer documents are named).
+   name; a query's ``k``-th highest bound is t1 (0 if fewer documents are named).  These
+   documents' whole scores are looked up; the ``k``-th highest of them is t2.
 3. Threshold: of each of a query's m lists all entries of t1 / m or more are fetched.  A
-   document that none of them names stays below t1.  Sums of what was fetched give better
-   lower bounds, of which the ``k``-th highest is t2; what a document may gain in its
-   other lists is below t1 / m each, and who cannot reach t2 is dropped.
+   document that none of them names stays below t1.  Fetched entries are shuffled once,
+   by document and whatever the number of queries, and summed there; what a document may
+   gain in its other lists is below t1 / m each, and who cannot reach t2 is dropped.
 4. Look-up: of the documents left the entries below the threshold are added; the exact
    scores are ranked.
 
-Entries reach queries by a join with the queries' terms, never query by query.  Terms
-are known by 64-bit hashes: that a foreign word has the hash of one of V query terms has
-a probability of V * 2**-64 a distinct word.  Queries are dealt to blocks of about
+Terms are known by 64-bit hashes: that a foreign word has the hash of one of V query terms
+has a probability of V * 2**-64 a distinct word.  Queries are dealt to blocks of about
 ``TERMS`` terms, each with its own postings, so what tasks get of the queries is bounded.
 
 Defined results: null and empty texts, of documents and of queries, have no terms; a query
@@ -39,6 +39,8 @@ from quern.llm.textkit import ALNUM, U, Words, slices
 from quern.scratch import discard, materialize
 
 TERMS = 1 << 19
+#: Sums of documents and queries that a task holds at once.
+CELLS = 1 << 21
 POSTINGS = "t long, row long, doc_id long, tf long, n long"
 
 
@@ -131,41 +133,104 @@ def _highest(rows: DataFrame, score: str, k: int) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col(score).desc()))).where(F.col("r") == k).select("q", F.col(score).alias("least"))
 
 
+class Asked:
+    """The queries' lists by term, with what each query has to reach."""
+
+    def __init__(self, bounds: pa.Table):
+        """bounds: q, t, c, m, t1, t2."""
+        held = {c: bounds.column(c).to_numpy() for c in ("q", "t", "c", "m", "t1", "t2")}
+        order = np.argsort(held["t"], kind="stable")
+        self.terms, first = np.unique(held["t"][order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.queries, at, back = np.unique(held["q"], return_index=True, return_inverse=True)
+        self.query, self.count = back[order], held["c"][order]
+        self.m, self.t1, self.t2 = (held[c][at] for c in ("m", "t1", "t2"))
+        self.gain = np.maximum(self.t1 - 1, 0) // np.maximum(self.m, 1)
+
+    def summed(self, t: np.ndarray, row: np.ndarray, s: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of a document's first entry, query, lower bound) of who may still reach t2; a document's entries stand together."""
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        doc = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]).astype(np.int64)]))
+        place = np.searchsorted(self.terms, t)
+        times = self.first[place + 1] - self.first[place]
+        entry = np.repeat(np.arange(len(t)), times)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[place], times)
+        query, value = self.query[at], self.count[at] * s[entry]
+        some = np.flatnonzero((value * self.m[query] >= self.t1[query]) | head[entry])
+        size = len(self.queries)
+        cell = doc[entry[some]] * size + query[some]
+        low, seen = np.zeros(len(starts) * size, np.int64), np.zeros(len(starts) * size, np.int64)
+        np.add.at(low, cell, value[some])
+        np.add.at(seen, cell, 1)
+        held = np.flatnonzero(seen)
+        q = held % size
+        held = held[low[held] + (self.m[q] - seen[held]) * self.gain[q] >= self.t2[q]]
+        return starts[held // size], held % size, low[held]
+
+
+def _gathered(asked: Asked):
+    """Candidates out of fetched entries, which come by document; as many documents at once as ``CELLS`` allow."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            row = held.column("row").to_numpy()
+            whole = int(np.searchsorted(row, row[-1]))  # the last document may go on
+            if whole:
+                yield held.slice(0, whole)
+                held = held.slice(whole)
+        if held is not None:
+            yield held
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(asked.queries)))
+        for block in blocks(batches):
+            t, row, s, at, doc_id = (block.column(c) for c in ("t", "row", "s", "head", "doc_id"))
+            t, row, s, head = (c.to_numpy() for c in (t, row, s, at))
+            cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))[::step]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=True):
+                first, query, low = asked.summed(t[a:b], row[a:b], s[a:b], head[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(asked.queries[query]), pa.array(row[a + first]), doc_id.take(pa.array(a + first)).combine_chunks(), pa.array(low)], names=["q", "row", "doc_id", "low"])
+
+    return gather
+
+
 def tput(lists: DataFrame, asked: DataFrame, k: int, figures: dict | None = None) -> DataFrame:
     """(q, rank, doc_id, score) of the ``k`` highest sums of c * s over each query's terms; asked: (q, t, c)."""
     first = Window.partitionBy("t").orderBy(F.col("s").desc(), F.col("doc_id").asc_nulls_last(), "row")
     heads = lists.where(F.col("at") < k).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    present = asked.join(small(lists.select("t").where(F.col("at") == 0).distinct()), "t", "left_semi")
+    present = asked.join(small(lists.where(F.col("at") == 0).select("t").distinct()), "t", "left_semi")
     sizes = present.groupBy("q").agg(F.count("*").alias("m"))
     present = materialize(present.join(sizes, "q"), "lists")
-    low = heads.join(small(present), "t").groupBy("q", "row").agg(F.sum(F.col("c") * F.col("s")).alias("low"))
-    bounds = present.join(_highest(low, "low", k).withColumnRenamed("least", "t1"), "q", "left").fillna(0, ["t1"])
-    bounds = materialize(bounds, "bounds")
+    worth = F.col("c") * F.col("s")
+    low = materialize(heads.join(small(present), "t").groupBy("q", "row").agg(F.sum(worth).alias("low")), "heads")
+    # the documents in the heads are looked up wholly: their scores are bounds too, and better ones
+    known = lists.join(small(low.select("row").distinct()), "row", "left_semi").join(small(present), "t").join(small(low.select("q", "row")), ["q", "row"])
+    known = known.groupBy("q", "row").agg(F.sum(worth).alias("low"))
+    bounds = present.join(_highest(low, "low", k).withColumnRenamed("least", "t1"), "q", "left").join(_highest(known, "low", k).withColumnRenamed("least", "t2"), "q", "left")
+    bounds = materialize(bounds.fillna(0, ["t1", "t2"]), "bounds")
     discard(present)
 
-    # an entry is fetched if it reaches the threshold, or if a head may hold it
-    reaches = (F.col("c") * F.col("s") * F.col("m") >= F.col("t1")) | (F.col("at") < k)
+    # an entry is fetched if it reaches some query's threshold, or if a head may hold it
     needed = bounds.groupBy("t").agg(F.min(F.ceil(F.col("t1") / (F.col("c") * F.col("m")))).alias("need"))
-    some = lists.join(small(needed), "t").where((F.col("s") + 1 >= F.col("need")) | (F.col("at") < k)).drop("need")
-    met = some.join(small(bounds), "t").where(reaches).groupBy("q", "row").agg(F.min("doc_id").alias("doc_id"), F.sum(F.col("c") * F.col("s")).alias("low"), F.count("*").alias("seen"))
-    met = materialize(met, "met", "zstd")
-    limits = bounds.select("q", "m", "t1").distinct()
-    second = _highest(met.join(small(limits), "q").where(F.col("low") >= F.col("t1")), "low", k).withColumnRenamed("least", "t2")
-    limits = limits.join(second, "q", "left").fillna(0, ["t2"])
-    gain = F.expr("(m - seen) * greatest(0, (t1 - 1) div m)")
-    left = met.join(small(limits), "q").where(F.col("low") + gain >= F.col("t2")).select("q", "row", "doc_id", "low")
-    left = materialize(left, "candidates")
-
-    wanted = small(left.select("row").distinct())
-    rest = lists.join(wanted, "row", "left_semi").join(small(bounds), "t").where(~reaches)
-    rest = rest.join(left.select("q", "row"), ["q", "row"], "left_semi").select("q", "row", (F.col("c") * F.col("s")).alias("low"), F.lit(None).cast("long").alias("doc_id"))
+    some = lists.join(small(needed), "t").where((F.col("s") + 1 >= F.col("need")) | (F.col("at") < k)).select("t", "row", "s", "doc_id", (F.col("at") < k).alias("head"))
+    table = bounds.select("q", "t", "c", "m", "t1", "t2").toArrow()  # of one block of queries, about TERMS rows
+    left = some.repartition("row").sortWithinPartitions("row").mapInArrow(_gathered(Asked(table)), "q long, row long, doc_id long, low long")
+    left = materialize(left, "candidates", "zstd")
+
+    reaches = (worth * F.col("m") >= F.col("t1")) | (F.col("at") < k)
+    rest = lists.join(small(left.select("row").distinct()), "row", "left_semi").join(small(bounds), "t").where(~reaches)
+    rest = rest.join(small(left.select("q", "row")), ["q", "row"], "left_semi").select("q", "row", worth.alias("low"), F.lit(None).cast("long").alias("doc_id"))
     exact = left.unionByName(rest).groupBy("q", "row").agg(F.sum("low").alias("score"), F.min("doc_id").alias("doc_id"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row")
     ranked = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "rank", "doc_id", "score")
     if figures is not None:
-        figures |= {"entries": lists.count(), "heads": heads.count(), "fetched": met.agg(F.sum("seen")).first()[0], "named": met.count(), "candidates": left.count(), "looked up": rest.count()}
+        figures |= {"entries": lists.count(), "heads": low.count(), "fetched": some.count(), "candidates": left.count(), "looked up": rest.count()}
     ranked = materialize(ranked, "ranked")
-    discard(bounds, met, left)
+    discard(bounds, low, left)
     return ranked
 
 

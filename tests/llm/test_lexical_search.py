@@ -53,8 +53,7 @@ def test_against_loops(spark, k, size):
     figures = {}
     found = search(frame, spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, q int"), k, size, figures)
     assert sorted(map(tuple, found.collect()), key=repr) == brute(docs, items, k)
-    if k == 3:
-        assert figures["fetched"] < figures["entries"] * 40
+    assert figures["candidates"] <= len(docs) * len(items) and figures["fetched"] <= figures["entries"]
 
 
 @pytest.mark.parametrize("docs, items", [([], [(1, "a")]), ([(1, "a")], []), ([(1, "a"), (2, "a b"), (3, None)], [(1, "b b a"), (2, None)])])
