@@ -346,31 +346,54 @@ def second_interface(spark, d):
     return service.translated(r).fillna("", ["proxy", "device"]).select("event_id", "max_age", "proxy", "device")
 
 
-def _valid(value, kind: str) -> str:
+def _valid(said: str, kind: str, **more) -> str:
+    """What becomes of a JSON value, or of the ``text`` of an object; of long texts the length."""
+    value = json.loads(said)
     try:
-        return json.dumps(getattr(validators, kind)(json.loads(value)))
+        found = getattr(validators, kind)(value.get("text") if isinstance(value, dict) else value, **more)
     except validators.Invalid as e:
         return f"! {e.field}"
+    if kind in ("query", "prompt"):
+        return f"ok {len(found)}"
+    return found if kind == "url" else found[0] if kind == "urls" else json.dumps(found)
 
 
-_ASKED = {
-    "limit": (["5", "0", "true", '" 7 "', "10001", "null"], ["5", "! limit", "! limit", "7", "! limit", "null"]),
-    "timeout": (["1000", "999", "300000", "1.5", '"x"', "null"], ["1000", "! timeout", "300000", "! timeout", "! timeout", "null"]),
-    "url": (['"http://a.org/x"', '"a.org"', '"http://a.org\\\\b"', '"ftp://a.org"', '"http://ä.org"', "5"], ['"http://a.org/x"', "! url", "! url", "! url", "! url", "! url"]),
-    "sources": (['["web", "web"]', '["maps"]', "null", "[]", '"news"', "3"], ['["web"]', "! sources", '["web"]', "! sources", '["news"]', "! sources"]),
-    "query": (['" ab "', '""', '"..."', "null", '"é"', "1"], ['"ab"', "! query", "! query", "! query", '"\\u00e9"', "! query"]),
-    "steps": (["null", "1", "50", "51", "0", "2"], ["10", "1", "50", "! max_steps", "! max_steps", "2"]),
-}
+_TRIMMED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+_LENGTH = f"length({_TRIMMED})"
 
 
-@query("SELECT event_id, " + ", ".join(f"({_sql_list(want)})[event_id % 6 + 1] AS {kind}" for kind, (_, want) in _ASKED.items()) + " FROM events")
+@query(rf"""WITH d AS (SELECT doc_id, n_chars AS n, {_LENGTH} AS held, n_chars % 10 AS turn FROM documents)
+SELECT doc_id, CASE WHEN held BETWEEN 1 AND 1000 THEN 'ok ' || held ELSE '! query' END AS query, CASE WHEN held BETWEEN 10 AND 10000 THEN 'ok ' || held ELSE '! prompt' END AS prompt,
+  CASE WHEN n BETWEEN 1000 AND 300000 THEN n::VARCHAR ELSE '! timeout' END AS timeout, CASE WHEN turn = 3 THEN '! timeout' WHEN n * 2 BETWEEN 1000 AND 300000 THEN (n * 2)::VARCHAR ELSE '! timeout' END AS timeout_text,
+  CASE WHEN turn = 0 THEN 'null' WHEN n <= 100 AND n >= 1 THEN n::VARCHAR ELSE '! limit' END AS few, CASE WHEN n <= 1000 AND n >= 1 THEN n::VARCHAR ELSE '! limit' END AS many,
+  CASE WHEN turn = 3 THEN 10 ELSE greatest(1, least(20, n // 100)) END::VARCHAR AS steps FROM d""")
 def validated_values(spark, d):
-    """Six values in turn for each kind of argument, and what becomes of them."""
-    k = (F.col("event_id") % 6).cast("int")
-    e = _events(spark, d).select("event_id", *(F.get(_strings(*asked), k).alias(kind) for kind, (asked, _) in _ASKED.items()))
-    kinds = list(_ASKED)
-    done = page_ops.per_row(e, kinds, lambda *v: [_valid(x, kind) for x, kind in zip(v, kinds, strict=True)], "r", "array<string>", ["event_id"])
-    return done.select("event_id", *(F.col("r")[i].alias(kind) for i, kind in enumerate(kinds)))
+    """Texts as searches and prompts, their lengths as milliseconds, counts and steps; some are no numbers, some absent."""
+    n, turn = F.col("n_chars"), F.col("n_chars") % 10
+    number = F.when(turn == 3, F.concat(F.lit('"x'), n, F.lit('"'))).otherwise(F.concat(F.lit('" '), n * 2, F.lit(' "')))
+    asked = {
+        "query": ("query", {}, F.to_json(F.struct("text"))), "prompt": ("prompt", {}, F.to_json(F.struct("text"))),
+        "timeout": ("timeout", {}, F.concat(n, F.lit(".75"))), "timeout_text": ("timeout", {}, number),
+        "few": ("limit", {}, F.when(turn == 0, "null").otherwise(F.concat(F.lit('"'), n, F.lit('"')))), "many": ("limit", {"most": 1000}, F.concat(n, F.lit(".0"))),
+        "steps": ("steps", {}, F.when(turn == 3, F.lit('"many"')).otherwise(F.floor(n / 100).cast("string"))),
+    }
+    names, kinds = list(asked), [(f, more) for f, more, _ in asked.values()]
+    rows = table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, (_, _, c) in asked.items()))
+    done = page_ops.per_row(rows, names, lambda *v: [_valid(x, f, **more) for (f, more), x in zip(kinds, v, strict=True)], "r", "array<string>", ["doc_id"])
+    return done.select("doc_id", *(F.col("r")[i].alias(k) for i, k in enumerate(names)))
+
+
+@query(rf"""SELECT page_id, url AS plain, CASE WHEN page_id % 2 = 0 THEN '! urls[1]' ELSE url END AS listed,
+  CASE WHEN page_id % 256 = 254 THEN '! url' ELSE 'http://169.' || page_id % 256 || '.1.2/x' END AS literal, '! url' AS slashed FROM pages""")
+def validated_addresses(spark, d):
+    """Addresses alone, listed in JSON (in even rows beside one without a scheme), as numbers of networks, and with a backslash."""
+    n, url = F.col("page_id"), F.col("url")
+    listed = F.to_json(F.when(n % 2 == 0, F.array(url, F.replace(url, F.lit("://"), F.lit(":")))).otherwise(F.array(url)))
+    asked = {"plain": ("url", F.concat(F.lit("  "), url)), "listed": ("urls", listed), "literal": ("url", F.concat(F.lit("http://169."), n % 256, F.lit(".1.2/x"))), "slashed": ("url", F.concat(F.lit("http:"), F.lit("//a.org\\@"), F.regexp_extract(url, "://(.*)$", 1)))}
+    names, kinds = list(asked), [f for f, _ in asked.values()]
+    rows = table(spark, d, "pages").select("page_id", *(F.to_json(F.struct(c.alias("text"))).alias(k) for k, (_, c) in asked.items()))
+    done = page_ops.per_row(rows, names, lambda *v: [_valid(x, f) for f, x in zip(kinds, v, strict=True)], "r", "array<string>", ["page_id"])
+    return done.select("page_id", *(F.col("r")[i].alias(k) for i, k in enumerate(names)))
 
 
 # Jobs, batches, limits

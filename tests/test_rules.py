@@ -49,12 +49,30 @@ def test_blocked_addresses(host, always, strict):
     assert (urls.blocked(host), urls.blocked(host, True)) == (always, strict)
 
 
-def test_validators():
-    assert validators.urls('["http://a.org", "http://a.org", "https://b.org/x"]') == ["http://a.org", "https://b.org/x"]
-    assert validators.formats(None) == ["markdown"] and validators.json_object('{"a": 1}', "schema") == {"a": 1} and validators.json_object(None, "schema") is None
-    for call in (lambda: validators.urls([]), lambda: validators.urls(["x"]), lambda: validators.formats(["gif"]), lambda: validators.json_object("[1]", "schema"), lambda: validators.prompt("ab"), lambda: validators.limit(1.5), lambda: validators.text("x" * 20_000, "t")):
-        with pytest.raises(validators.Invalid):
-            call()
+@pytest.mark.parametrize(
+    "call, want",
+    [
+        (lambda v: v.urls('["http://a.org", "http://a.org", "https://b.org/x"]'), ["http://a.org", "http://a.org", "https://b.org/x"]), (lambda v: v.urls(" http://a.org "), ["http://a.org"]), (lambda v: v.urls([]), None), (lambda v: v.urls(["x"]), None),
+        (lambda v: v.urls(["http://a.org"] * 101), None), (lambda v: v.urls('["http://a.org"'), None), (lambda v: v.urls(None), None), (lambda v: v.url("HTTP://a.org"), None), (lambda v: v.url("http://"), None), (lambda v: v.url("http://[::1"), None),
+        (lambda v: v.url("http://169.254.169.254/x"), None), (lambda v: v.url("http://10.0.0.1"), "http://10.0.0.1"), (lambda v: v.url("http://10.0.0.1", strict=True), None), (lambda v: v.url("http://a.org\\@b.org"), None), (lambda v: v.url("http://ä.org"), None),
+        (lambda v: v.query("..."), "..."), (lambda v: v.query("x" * 1000), "x" * 1000), (lambda v: v.query("x" * 1001), None), (lambda v: v.query("  "), None), (lambda v: v.query(5), None),
+        (lambda v: v.prompt("x" * 9), None), (lambda v: v.prompt(" " + "x" * 10), "x" * 10), (lambda v: v.prompt("x" * 10_001), None), (lambda v: v.timeout("1500"), 1500), (lambda v: v.timeout(1500.9), 1500), (lambda v: v.timeout(999), None), (lambda v: v.timeout(300_001), None), (lambda v: v.timeout("x"), None), (lambda v: v.timeout([1]), None),
+        (lambda v: v.limit(100), 100), (lambda v: v.limit(101), None), (lambda v: v.limit(0), None), (lambda v: v.limit("5"), 5), (lambda v: v.limit(True), None), (lambda v: v.limit(1.5), None), (lambda v: v.limit(None, default=7), 7), (lambda v: v.limit(5_000, most=10_000), 5_000),
+        (lambda v: v.steps(0), 1), (lambda v: v.steps(50), 20), (lambda v: v.steps(None), 10), (lambda v: v.steps("many"), 10), (lambda v: v.steps("7"), 7), (lambda v: v.steps(-3), 1), (lambda v: v.steps(3.9), 3), (lambda v: v.steps(float("inf")), 10),
+        (lambda v: v.formats(["gif"]), None), (lambda v: v.formats("html"), None), (lambda v: v.formats([]), []), (lambda v: v.formats(["html", "html"]), ["html", "html"]), (lambda v: v.formats(["pdf"], known=("pdf",)), ["pdf"]), (lambda v: v.sources(["web", "news"]), ["web", "news"]), (lambda v: v.sources(["maps"]), None),
+        (lambda v: v.json_object('{"a": 1}', "schema"), {"a": 1}), (lambda v: v.json_object("[1]", "schema"), None), (lambda v: v.json_object("{", "schema"), None), (lambda v: v.text("x" * 20_000, "t"), None),
+    ],
+)
+def test_validators(call, want):
+    if want is not None:
+        assert call(validators) == want
+        return
+    with pytest.raises(validators.Invalid):
+        call(validators)
+
+
+def test_absent_values():
+    assert [validators.formats(None), validators.sources(None), validators.timeout(None), validators.limit(None), validators.json_object(None, "s"), validators.url(" ", optional=True), validators.prompt(None, optional=True)] == [None] * 7
 
 
 def test_medians(spark):
