@@ -12,7 +12,7 @@ from quern.operators import pages as page_ops
 from quern.queries import _EDGES
 from quern.registry import query, table
 from quern.scratch import materialize, new_path
-from quern.sources import search_source
+from quern.sources import committed, search_source
 from quern.streaming import crawler
 
 _HOST = r"lower(split_part(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ':', 1))"
@@ -120,3 +120,14 @@ def crawl_stream(spark, d):
     crawler.begin(links.where("src not like '/%'").agg(F.min("src").alias("url")), folder)
     query_ = crawler.started(spark, links, folder, 3, lanes=16)
     return crawler.finished(spark, query_, folder).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+@query("SELECT page_id || '.md' AS name, url, sha256(coalesce(html, '')) AS content FROM pages")
+def pages_committed(spark, d):
+    """Pages written by the committing sink, twice under one job, and read back."""
+    committed.register(spark)
+    path = new_path(spark, "pages")
+    rows = table(spark, d, "pages").select(F.concat("page_id", F.lit(".md")).alias("name"), "url", F.col("html").alias("content"))
+    for _ in range(2):
+        rows.write.format("quern_pages").mode("append").option("job", "nightly").save(path)
+    return spark.read.format("quern_pages").load(path).select("name", "url", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content"))
