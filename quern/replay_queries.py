@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import urls
 from quern.operators import pages as page_ops
+from quern.operators.extract import robots_rules
+from quern.plans import crawl, fetching
 from quern.queries import _EDGES
 from quern.registry import query, table
 from quern.scratch import materialize, new_path
@@ -131,3 +133,60 @@ def pages_committed(spark, d):
     for _ in range(2):
         rows.write.format("quern_pages").mode("append").option("job", "nightly").save(path)
     return spark.read.format("quern_pages").load(path).select("name", "url", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content"))
+
+
+# Fetching with candidates: what servers answer is made from the pages of each host
+
+
+def _replay(replies: DataFrame):
+    """Stored replies as something that can be asked."""
+    held = materialize(replies.select("method", "url", "status", "kind", "body"), "stored")
+    return lambda wanted: held.join(wanted, ["method", "url"], "left_semi")
+
+
+_SITE = r"lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1))"
+
+
+def _sites(spark, d) -> DataFrame:
+    p = table(spark, d, "pages")
+    return p.withColumn("origin", F.lower(F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)))
+
+
+@query(f"SELECT DISTINCT {_SITE} AS origin, url FROM pages WHERE {_SITE} NOT LIKE '%://m.%'")
+def sitemap_fetch(spark, d):
+    """An index in one of two places (hosts of m. have none) names a sitemap for every thousand page numbers, one that is missing, and itself."""
+    p = _sites(spark, d).withColumn("part", F.floor(F.col("page_id") / 1000))
+    tag = lambda name, at: F.concat(F.lit(f"<{name}><loc>"), F.replace(at, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{name}>"))
+    place = lambda part: F.concat("origin", F.lit("/s"), part, F.lit(".xml"))
+    parts = p.groupBy("origin", "part").agg(F.array_join(F.collect_list(tag("url", F.col("url"))), "\n").alias("body")).select("origin", "part", place(F.col("part")).alias("url"), "body")
+    home = F.concat("origin", F.when(F.col("origin").contains("://blog."), "/sitemap_index.xml").otherwise("/sitemap.xml"))
+    index = parts.groupBy("origin").agg(F.array_join(F.collect_list(tag("sitemap", F.col("url"))), "\n").alias("listed"))
+    index = index.where(~F.col("origin").contains("://m.")).select(home.alias("url"), F.concat("listed", tag("sitemap", home), tag("sitemap", place(F.lit("none")))).alias("body"))
+    missing = index.select(F.replace("url", F.lit("sitemap_index"), F.lit("sitemap")).alias("url")).join(index, "url", "left_anti")
+    ok = parts.select("url", "body").union(index).select(F.lit("GET").alias("method"), "url", F.lit(200).alias("status"), F.lit("text/xml").alias("kind"), "body")
+    bad = missing.select(F.lit("GET"), "url", F.lit(404), F.lit("text/xml"), F.lit("<url><loc>http://x.org</loc></url>"))
+    return fetching.site_addresses(p.select("origin").distinct(), _replay(ok.union(bad)))
+
+
+@query(f"SELECT page_id, NOT ({_SITE} LIKE '%://www.%' AND regexp_matches(url, '^[a-zA-Z]+://[^/]*/(fr|de)/')) AS allowed FROM pages")
+def robots_fetch(spark, d):
+    """Hosts of www. forbid two paths; others say the same with another status, or do not answer, and allow all."""
+    p = _sites(spark, d)
+    o = p.select("origin").distinct()
+    status = F.when(F.col("origin").contains("://www."), 200).when(F.col("origin").contains("://blog."), 500).otherwise(404)
+    replies = o.where(~F.col("origin").contains("://m.")).select(F.lit("GET").alias("method"), F.concat("origin", F.lit("/robots.txt")).alias("url"), status.alias("status"), F.lit("text/plain").alias("kind"), F.lit("User-agent: *\nDisallow: /fr/\nDisallow: /de/ # both\n").alias("body"))
+    texts = fetching.robots_texts(o, _replay(replies)).where("text is not null")
+    held = page_ops.per_row(texts, ["text"], lambda t: [f"{kind} {v}" for kind in ("allow", "disallow") for v in robots_rules(t)[kind]], "rules", "array<string>", ["origin"])
+    rules = held.select("origin", F.explode("rules").alias("r")).select("origin", F.split("r", " ")[0].alias("kind"), F.split("r", " ")[1].alias("pattern"))
+    return crawl.robots_allowed(p.select("page_id", "url", "origin"), rules).select("page_id", "allowed")
+
+
+@query("""SELECT url, kind IN (0, 2) AS pdf, CASE kind WHEN 0 THEN 'type' WHEN 1 THEN 'type' WHEN 4 THEN 'nothing' ELSE 'bytes' END AS by
+FROM (SELECT url, min(length(html)) % 5 AS kind FROM pages GROUP BY url)""")
+def pdf_probe(spark, d):
+    """A HEAD tells the type, or says nothing, or is refused, by the length of the page; then the first bytes count; some answer nothing."""
+    p = table(spark, d, "pages").groupBy("url").agg((F.min(F.char_length("html")) % 5).alias("n"))
+    n = F.col("n")
+    head = p.where("n < 4").select(F.lit("HEAD").alias("method"), "url", F.when(n == 3, 405).otherwise(200).alias("status"), F.when(n == 0, "Application/PDF; x=1").when(n == 1, "text/html").when(n == 2, "application/octet-stream").alias("kind"), F.lit(None).cast("string").alias("body"))
+    get = p.where("n < 4").select(F.lit("GET"), "url", F.lit(200), F.lit(None).cast("string"), F.when(n == 2, F.concat(F.repeat(F.lit(" "), 900), F.lit("%PDF-1.7"))).otherwise(F.concat(F.repeat(F.lit(" "), 1024), F.lit("%PDF-1.7"))))
+    return fetching.probed(p, _replay(head.union(get)))

@@ -68,11 +68,11 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' and not url like '#%'")
 
 
-def sitemap(xml: DataFrame) -> DataFrame:
-    """(loc, kind) of sitemap documents (column xml): pages, and nested sitemaps to read next."""
+def sitemap(xml: DataFrame, *keep: str) -> DataFrame:
+    """(loc, kind) of sitemap documents (column xml), behind the columns to keep: pages, and nested sitemaps to read next."""
     loc = lambda tag: F.regexp_extract_all("xml", F.lit(rf"(?s)<{tag}>.*?<loc>\s*([^<]*?)\s*</loc>.*?</{tag}>"), F.lit(1))
-    found = xml.select(F.explode(F.concat(F.transform(loc("url"), lambda x: F.struct(x.alias("loc"), F.lit("page").alias("kind"))), F.transform(loc("sitemap"), lambda x: F.struct(x.alias("loc"), F.lit("sitemap").alias("kind"))))).alias("x"))
-    return found.select(F.replace("x.loc", F.lit("&amp;"), F.lit("&")).alias("loc"), "x.kind")
+    found = xml.select(*keep, F.explode(F.concat(F.transform(loc("url"), lambda x: F.struct(x.alias("loc"), F.lit("page").alias("kind"))), F.transform(loc("sitemap"), lambda x: F.struct(x.alias("loc"), F.lit("sitemap").alias("kind"))))).alias("x"))
+    return found.select(*keep, F.replace("x.loc", F.lit("&amp;"), F.lit("&")).alias("loc"), "x.kind")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
