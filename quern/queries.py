@@ -23,7 +23,7 @@ _long = longs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quern import json_queries, made_queries, pin_queries, replay_queries, rule_queries  # noqa: F401  they register theirs
+    from quern import json_queries, made_queries, pdf_queries, pin_queries, replay_queries, rule_queries  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 

@@ -59,8 +59,11 @@ def rendered(*_args, **_kwargs):
     raise NotSupportedHere("rendering a page needs a browser; bring a fetcher instead")
 
 
-def pdf_text(*_args, **_kwargs):
-    raise NotSupportedHere("reading PDF text needs a PDF library")
+def pdf_text(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, pages, markdown, error) of the PDF files under a path."""
+    from quern.operators import pdf
+
+    return pdf.markdown(spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), "content"))
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
