@@ -7,9 +7,10 @@
 2. Heads: the first ``k`` entries of every list give lower bounds of the documents they
    name; a query's ``k``-th highest bound is t1 (0 if fewer documents are named).  These
    documents' whole scores are looked up; the ``k``-th highest of them is t2.
-3. Threshold: of each of a query's m lists all entries of t1 / m or more are fetched.  A
-   document that none of them names stays below t1.  Fetched entries are shuffled once,
-   by document and whatever the number of queries, and summed there; what a document may
+3. Threshold: of each of a query's m lists all entries of t1 / m or more are fetched (of a
+   list that several queries have, down to the lowest of their thresholds).  A document
+   that none of them names stays below t1.  Fetched entries are shuffled once, by document
+   and whatever the number of queries, and summed there for each; what a document may
    gain in its other lists is below t1 / m each, and who cannot reach t2 is dropped.
 4. Look-up: of the documents left the entries below the threshold are added; the exact
    scores are ranked.
@@ -147,7 +148,7 @@ class Asked:
         self.m, self.t1, self.t2 = (held[c][at] for c in ("m", "t1", "t2"))
         self.gain = np.maximum(self.t1 - 1, 0) // np.maximum(self.m, 1)
 
-    def summed(self, t: np.ndarray, row: np.ndarray, s: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def summed(self, t: np.ndarray, row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of a document's first entry, query, lower bound) of who may still reach t2; a document's entries stand together."""
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         doc = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]).astype(np.int64)]))
@@ -155,13 +156,10 @@ class Asked:
         times = self.first[place + 1] - self.first[place]
         entry = np.repeat(np.arange(len(t)), times)
         at = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[place], times)
-        query, value = self.query[at], self.count[at] * s[entry]
-        some = np.flatnonzero((value * self.m[query] >= self.t1[query]) | head[entry])
         size = len(self.queries)
-        cell = doc[entry[some]] * size + query[some]
-        low, seen = np.zeros(len(starts) * size, np.int64), np.zeros(len(starts) * size, np.int64)
-        np.add.at(low, cell, value[some])
-        np.add.at(seen, cell, 1)
+        cell = doc[entry] * size + self.query[at]
+        low, seen = np.zeros(len(starts) * size, np.int64), np.bincount(cell, minlength=len(starts) * size)
+        np.add.at(low, cell, self.count[at] * s[entry])
         held = np.flatnonzero(seen)
         q = held % size
         held = held[low[held] + (self.m[q] - seen[held]) * self.gain[q] >= self.t2[q]]
@@ -188,11 +186,11 @@ def _gathered(asked: Asked):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // max(1, len(asked.queries)))
         for block in blocks(batches):
-            t, row, s, at, doc_id = (block.column(c) for c in ("t", "row", "s", "head", "doc_id"))
-            t, row, s, head = (c.to_numpy() for c in (t, row, s, at))
+            t, row, s = (block.column(c).to_numpy() for c in ("t", "row", "s"))
+            doc_id = block.column("doc_id")
             cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))[::step]
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=True):
-                first, query, low = asked.summed(t[a:b], row[a:b], s[a:b], head[a:b])
+                first, query, low = asked.summed(t[a:b], row[a:b], s[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array(asked.queries[query]), pa.array(row[a + first]), doc_id.take(pa.array(a + first)).combine_chunks(), pa.array(low)], names=["q", "row", "doc_id", "low"])
 
     return gather
@@ -214,15 +212,16 @@ def tput(lists: DataFrame, asked: DataFrame, k: int, figures: dict | None = None
     bounds = materialize(bounds.fillna(0, ["t1", "t2"]), "bounds")
     discard(present)
 
-    # an entry is fetched if it reaches some query's threshold, or if a head may hold it
+    # an entry is fetched, for all who ask for its term, if it reaches some query's threshold, or if a head may hold it
     needed = bounds.groupBy("t").agg(F.min(F.ceil(F.col("t1") / (F.col("c") * F.col("m")))).alias("need"))
-    some = lists.join(small(needed), "t").where((F.col("s") + 1 >= F.col("need")) | (F.col("at") < k)).select("t", "row", "s", "doc_id", (F.col("at") < k).alias("head"))
+    listed = lists.join(small(needed), "t")
+    fetched = (F.col("s") + 1 >= F.col("need")) | (F.col("at") < k)
+    some = listed.where(fetched).select("t", "row", "s", "doc_id")
     table = bounds.select("q", "t", "c", "m", "t1", "t2").toArrow()  # of one block of queries, about TERMS rows
     left = some.repartition("row").sortWithinPartitions("row").mapInArrow(_gathered(Asked(table)), "q long, row long, doc_id long, low long")
     left = materialize(left, "candidates", "zstd")
 
-    reaches = (worth * F.col("m") >= F.col("t1")) | (F.col("at") < k)
-    rest = lists.join(small(left.select("row").distinct()), "row", "left_semi").join(small(bounds), "t").where(~reaches)
+    rest = listed.where(~fetched).join(small(left.select("row").distinct()), "row", "left_semi").join(small(bounds), "t")
     rest = rest.join(small(left.select("q", "row")), ["q", "row"], "left_semi").select("q", "row", worth.alias("low"), F.lit(None).cast("long").alias("doc_id"))
     exact = left.unionByName(rest).groupBy("q", "row").agg(F.sum("low").alias("score"), F.min("doc_id").alias("doc_id"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row")
