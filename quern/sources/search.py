@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text, urls
+from quern.scratch import materialize
 
 # How providers spell a day, a week, a month, a year.
 BRAVE = {"day": "pd", "week": "pw", "month": "pm", "year": "py"}
@@ -145,18 +146,22 @@ def answered(asked: DataFrame, send: Callable[[dict], list[dict]], source_type:
 
 
 def chained(searches: DataFrame, senders: list[tuple[str, Callable[[dict], list[dict]]]]) -> DataFrame:
-    """Results of the first provider, in order, that has any; later ones are asked only about searches still open."""
+    """Results of the first provider, in order, that has any; later ones are asked only about searches still open.
+
+    Each provider's answers are written before anything reads them, so none is asked again.
+    """
     left, out = searches, None
     for name, send in senders:
         got = answered(requests(left, name), send).withColumn("provider", F.lit(name)).where("url is not null")
+        got = materialize(got, "answers")
         out = got if out is None else out.unionByName(got)
         left = left.join(got.select("search").distinct(), "search", "left_anti")
     return out
 
 
 def with_pages(results: DataFrame, pages: DataFrame) -> DataFrame:
-    """Results beside what was read at their addresses, in the results' order."""
-    return results.join(pages.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left").drop("_url").orderBy("search", "i")
+    """Results beside what was read at their addresses; ``search`` and ``i`` say their order."""
+    return results.join(pages.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left").drop("_url")
 
 
 def distinct_results(results: DataFrame) -> DataFrame:
