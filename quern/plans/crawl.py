@@ -66,10 +66,15 @@ def chosen(found: DataFrame, done: DataFrame | None = None, include: list[str] |
 
 
 def named_files(pages: DataFrame) -> DataFrame:
-    """Pages (url, seq) with their file names; of equal slugs all but the first carry a hash of the address."""
+    """Pages (url, seq) with their file names; of equal slugs all but the first carry a hash of the address.
+
+    The first of each slug is a grouped minimum, so no slug's pages meet in one task.
+    """
     slugged = pages.withColumn("slug", urls.crawl_slug(F.col("url")))
-    order = Window.partitionBy("slug").orderBy("seq")
-    return slugged.withColumn("name", F.when(F.row_number().over(order) > 1, F.concat("slug", F.lit("-"), urls.url_hash(F.col("url")))).otherwise(F.col("slug")))
+    place = F.struct("seq", "url")
+    first = slugged.groupBy(F.col("slug").alias("_slug")).agg(F.min(place).alias("_first"))
+    named = slugged.join(first, F.col("slug").eqNullSafe(F.col("_slug")))
+    return named.withColumn("name", F.when(place > F.col("_first"), F.concat("slug", F.lit("-"), urls.url_hash(F.col("url")))).otherwise(F.col("slug"))).drop("_slug", "_first")
 
 
 def change_summary(pages: DataFrame) -> DataFrame:

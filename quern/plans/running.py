@@ -35,6 +35,20 @@ def running(rows: DataFrame, by: str, block: str, order: list[str], values: dict
     return joined.withColumns(whole).drop("_before_by", "_before_block", *(f"_before_{name}" for name in values))
 
 
+def previous(rows: DataFrame, by: str, block: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the value at the row just before each, null for the first; ``block`` must not descend along ``order``.
+
+    A block's first row gets the last value of the nearest block before it, of which a key has one row each.
+    """
+    held = rows.withColumn("_value", F.struct(value.alias("v")))
+    ends = held.groupBy(by, block).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    carried = F.lag("_end").over(Window.partitionBy(by).orderBy(block))
+    ends = ends.select(F.col(by).alias("_end_by"), F.col(block).alias("_end_block"), carried.alias("_carried"))
+    inside = held.withColumn("_lag", F.lag("_value").over(Window.partitionBy(by, block).orderBy(*order)))
+    joined = inside.join(ends, F.col(by).eqNullSafe(F.col("_end_by")) & F.col(block).eqNullSafe(F.col("_end_block")))
+    return joined.withColumn(name, F.coalesce("_lag", "_carried")["v"]).drop("_value", "_lag", "_end_by", "_end_block", "_carried")
+
+
 def medians(rows: DataFrame, by: list[str], value: str, rounds: int = 2, buckets: int = 1024) -> DataFrame:
     """(by, median): the exact median of each group's values that are not null.
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans.running import running
+from quern.plans.running import previous, running
 
 CHAMPION = "domain string, engine string, stealth boolean, wait_for int, only_main_content boolean, ewma_score double, samples int, last_verdict string, updated_at timestamp"
 ALPHA, SLACK, LEAST, TTL_DAYS = 0.5, 5.0, 40, 14
@@ -130,11 +130,11 @@ def breaker(events: DataFrame, by: str, failed: Column, empty: Column, threshold
     return marked.withColumn("status", F.coalesce("_known._st", F.lit("healthy"))).select(*events.columns, "consecutive_failures", "consecutive_empty", "status")
 
 
-def cooled(events: DataFrame, by: str, at: str = "t", cool: float = 300.0) -> DataFrame:
+def cooled(events: DataFrame, by: str, at: str = "t", cool: float = 300.0, width: float = 86_400.0) -> DataFrame:
     """Events of ``breaker`` (with ``at`` in seconds) and whether the source may be asked then: not within the cool-down after a failure that left it unavailable."""
-    before = Window.partitionBy(by).orderBy(at, "seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.struct(F.col("status").alias("s"), F.col(at).alias("t"))).over(before)
-    return events.withColumn("_last", last).withColumn("available", F.coalesce((F.col("_last.s") != "unavailable") | (F.col(at) - F.col("_last.t") >= cool), F.lit(True))).drop("_last")
+    last = F.struct(F.col("status").alias("s"), F.col(at).alias("t"))
+    held = previous(_blocked(events, at, width), by, "_block", [at, "seq"], last, "_last")
+    return held.withColumn("available", F.coalesce((F.col("_last.s") != "unavailable") | (F.col(at) - F.col("_last.t") >= cool), F.lit(True))).drop("_last", "_block")
 
 
 def send_times(requests: DataFrame, by: str, at: str, gap: float | Column, width: float = 86_400.0, burst: int = 1) -> DataFrame:
@@ -264,11 +264,13 @@ def token_slots(requests: DataFrame, by: str, at: str, gap: float, burst: int =
     return rows.mapInArrow(run, f"`{by}` {kinds[by]}, `{at}` {kinds[at]}, seq {kinds['seq']}, sent_at double")
 
 
-def previous_versions(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Entries (with content_hash) with the hash of the version before, null for the first; equal versions in a row are one."""
-    before = Window.partitionBy(key).orderBy(*order)
-    lagged = entries.withColumn("_last", F.lag("content_hash").over(before)).where(~F.col("_last").eqNullSafe(F.col("content_hash")))
-    return lagged.withColumn("previous_hash", F.col("_last")).drop("_last")
+def previous_versions(entries: DataFrame, key: str, order: list[str], width: float = 86_400.0) -> DataFrame:
+    """Entries (with content_hash) with the hash of the version before, null for the first; equal versions in a row are one.
+
+    The first of ``order`` is a time; a key's history is dealt by blocks of ``width`` seconds.
+    """
+    lagged = previous(_blocked(entries, order[0], width), key, "_block", order, F.col("content_hash"), "previous_hash")
+    return lagged.where(~F.col("previous_hash").eqNullSafe(F.col("content_hash"))).drop("_block")
 
 
 def pruned_cache(entries: DataFrame, now: Column, most: int | None = None) -> DataFrame:
