@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import urls
+from quern.operators import embedded
 from quern.operators import pages as page_ops
 from quern.operators.extract import robots_rules
 from quern.plans import crawl, fetching
@@ -190,3 +191,23 @@ def pdf_probe(spark, d):
     head = p.where("n < 4").select(F.lit("HEAD").alias("method"), "url", F.when(n == 3, 405).otherwise(200).alias("status"), F.when(n == 0, "Application/PDF; x=1").when(n == 1, "text/html").when(n == 2, "application/octet-stream").alias("kind"), F.lit(None).cast("string").alias("body"))
     get = p.where("n < 4").select(F.lit("GET"), "url", F.lit(200), F.lit(None).cast("string"), F.when(n == 2, F.concat(F.repeat(F.lit(" "), 900), F.lit("%PDF-1.7"))).otherwise(F.concat(F.repeat(F.lit(" "), 1024), F.lit("%PDF-1.7"))))
     return fetching.probed(p, _replay(head.union(get)))
+
+
+_NEXT = "(SELECT page_id, url, html, coalesce(lead(url) OVER (ORDER BY page_id), '') AS next, coalesce(lead(html) OVER (ORDER BY page_id), '') AS body FROM pages)"
+
+
+@query(f"""SELECT page_id, (next <> '')::INTEGER AS n_frames, CASE WHEN next = '' THEN '' ELSE '[Embedded content from ' || {_HOST.replace('url', 'next')} || ']' END AS note,
+  len(regexp_extract_all(html, '<h1')) + len(regexp_extract_all(body, '<h1')) AS headings, length(html) % 2 AS opened FROM {_NEXT}""")
+def frames_and_regions(spark, d):
+    """Pages hold the page after them in a frame, beside frames that are tiny, of an ad host, missing and empty; half of them a closed region."""
+    p = table(spark, d, "pages")
+    after = p.select("page_id", "url").withColumn("page_id", F.col("page_id") - 1).withColumnRenamed("url", "next")  # page numbers have no gaps
+    frame = lambda src, more="": F.concat(F.lit('<iframe src="'), F.replace(src, F.lit("&"), F.lit("&amp;")), F.lit(f'" {more}></iframe>'))
+    nothing = F.lit("http://none.example.com/x")
+    region = F.when(F.char_length("html") % 2 == 1, F.lit('<button aria-expanded="false" aria-controls="more">More</button><div id="more" hidden>said</div>')).otherwise(F.lit('<nav><button aria-expanded="false" aria-controls="more">More</button></nav>'))
+    more = F.concat(region, F.when(F.col("next").isNull(), "").otherwise(F.concat(frame(F.col("next"), 'width="1"'), frame(F.col("next")))), frame(F.lit("https://x.doubleclick.net/a")), frame(nothing), frame(F.lit("about:blank")))
+    made = p.join(after, "page_id", "left").select("page_id", "url", F.concat(more, "html").alias("html"))
+    found = embedded.with_frames(made, p.select("url", "html"), same_origin=False)
+    count = page_ops.per_row(found.withColumn("own", F.substring_index("html", "<iframe", 1)), ["own"], lambda h: embedded.opened(h)[1], "opened", "int", ["page_id", "n_frames", "html"])
+    note = F.regexp_extract("html", r"<em>(\[Embedded content from [^<]*\])</em>", 1)
+    return count.select("page_id", "n_frames", note.alias("note"), F.regexp_count("html", F.lit("<h1")).cast("long").alias("headings"), F.col("opened").cast("long").alias("opened"))
