@@ -1,10 +1,11 @@
-"""Queries over JSON held in tables: the clicks' ``props`` stand for replies of models."""
+"""Queries over JSON held in tables (the clicks' ``props`` stand for replies of models), and reports of runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quern.functions import schema
+from quern.plans import reports
 from quern.registry import query, table
 
 PROPS = {
@@ -63,3 +64,33 @@ def props_repaired(spark, d):
     done = schema.conforming(table(spark, d, "clicks").select(F.col("click_id").alias("id"), F.col("props").alias("reply")), PROPS, ask)
     held = done.withColumn("t", F.when(F.size("errors") == 0, schema.typed(F.col("value"), PROPS)))
     return held.select(F.col("id").alias("click_id"), F.array_join("errors", "; ").alias("errors"), "rounds", F.coalesce("t.k", F.lit(-1)).alias("k"), F.coalesce(F.size("t.tags"), F.lit(-1)).alias("n_tags"))
+
+
+# Reports
+
+
+_CASES = "SELECT d.source AS run_id, d.doc_id AS case_id, d.lang AS category, length(d.text) > 300 AS success, l.quality IS NOT NULL AS scored, CASE WHEN l.quality IS NOT NULL THEN (d.n_chars % 101)::DOUBLE END AS quality, d.n_chars AS ms, (d.n_chars % 2)::DOUBLE AS hit, (d.n_chars % 4 > 0)::INT::DOUBLE AS gone FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id"
+_N = lambda x, k: f"coalesce(printf('%.{k}f', round_even({x}, {k})), 'n/a')"
+_P = lambda x: f"CASE WHEN {x} IS NULL THEN 'n/a' ELSE {_N(f'{x} * 100', 0)} || '%' END"
+
+
+def _report_cases(spark, d):
+    n = F.col("n_chars")
+    held = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    docs = table(spark, d, "documents").join(held, "doc_id", "left")
+    scored = F.col("label").isNotNull()
+    return docs.select(F.col("source").alias("run_id"), F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), (F.char_length("text") > 300).alias("success"), scored.alias("scored"), F.when(scored, (n % 101).cast("double")).alias("quality"), n.cast("double").alias("latency_ms"), (n % 2).cast("double").alias("expect_hit"), (n % 4 > 0).cast("double").alias("expect_absent_ok"), n.alias("markdown_chars"))
+
+
+@query(f"""WITH c AS ({_CASES}), t AS (SELECT run_id, count(*) AS n, count(quality) AS s, avg(success::INT) AS ok, avg(quality) AS q, avg(ms) AS mean, median(ms) AS mid, avg(hit) FILTER (success) AS hit, avg(gone) FILTER (success) AS gone, avg(ms // 4) FILTER (success) AS tokens FROM c GROUP BY run_id),
+g AS (SELECT run_id, string_agg('| ' || category || ' | ' || n || ' | ' || s || ' | ' || {_N('q', 1)} || ' | ' || {_P('ok')} || ' |', chr(10) ORDER BY category) AS lines FROM (SELECT run_id, coalesce(category, '') AS category, count(*) AS n, count(quality) AS s, avg(quality) AS q, avg(success::INT) AS ok FROM c GROUP BY 1, 2) GROUP BY run_id),
+w AS (SELECT run_id, string_agg('- ' || case_id || ': ' || {_N('quality', 1)} || CASE WHEN success THEN '' ELSE ', failed' END, chr(10) ORDER BY r) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY quality, case_id) AS r FROM c WHERE scored) WHERE r <= 5 GROUP BY run_id)
+SELECT t.run_id, 'Run: ' || t.run_id || chr(10) || 'Suite: all   Reader: r ' || t.run_id || chr(10) || 'Started: 2024-01-02 03:04:05' || chr(10) || 'Overall quality: ' || {_N('q', 1)} || ' / 100' || chr(10) || 'Success rate: ' || {_N('ok * 100', 1)} || '% (' || n || ' cases, ' || s || ' scored)' || chr(10)
+ || 'Latency: median ' || {_N('mid / 1000', 1)} || ' s, mean ' || {_N('mean / 1000', 1)} || ' s' || chr(10) || 'Content kept: ' || {_P('hit')} || '   Boilerplate gone: ' || {_P('gone')} || chr(10) || 'Output: ' || {_N('tokens', 0)} || ' tokens per page' || chr(10) || 'Peak memory: n/a MB' || chr(10)
+ || chr(10) || '| Category | N | Scored | Quality | Success |' || chr(10) || '| --- | ---: | ---: | ---: | ---: |' || chr(10) || g.lines || CASE WHEN worst IS NULL THEN '' ELSE chr(10) || chr(10) || 'Worst scored cases' || chr(10) || worst END AS report
+FROM t JOIN g ON g.run_id = t.run_id LEFT JOIN w ON w.run_id = t.run_id""")
+def run_reports(spark, d):
+    """Sources are runs, languages categories, documents with a label scored cases."""
+    c = _report_cases(spark, d)
+    runs = c.select("run_id").distinct().select("run_id", F.lit("all").alias("suite"), F.concat(F.lit("r "), "run_id").alias("reader"), F.to_timestamp_ntz(F.lit("2024-01-02 03:04:05")).alias("started"), F.lit(None).cast("double").alias("peak_mb"))
+    return reports.run_reports(c, runs)
