@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.scratch import materialize
+
 RUNS = "id string, page int, seq int, x double, x_end double, y double, size double, text string, title string, pages int, error string"
 _FIELDS = [c.split()[0] for c in RUNS.split(", ")]
 #: A gap of this share of the size is a space; sizes of this ratio to a page's usual one are headings of levels 1 to 3.
@@ -104,6 +106,7 @@ class File:
     def __init__(self, data: bytes):
         self.objects: dict[int, tuple[Any, bytes | None]] = {}
         self.trailer: dict = {}
+        self.fonts: dict[int, Font] = {}
         if b"%PDF-" not in data[:1024]:
             raise ValueError("no PDF")
         at = 0
@@ -154,6 +157,13 @@ class File:
         value, raw = self.objects.get(int(ref), (None, None)) if isinstance(ref, Ref) else (None, None)
         return self.content(value, raw) if raw is not None else b""
 
+    def font(self, ref: Any) -> Font:
+        """A font, read once a file."""
+        key = int(ref) if isinstance(ref, Ref) else id(ref)
+        if key not in self.fonts:
+            self.fonts[key] = Font(self, self.get(ref) or {})
+        return self.fonts[key]
+
     def pages(self) -> list[tuple[dict, dict]]:
         """(page, its resources), in order; a tree that runs in a circle is walked once."""
         root = self.get(self.trailer.get("Root")) or next((v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
@@ -240,7 +250,6 @@ def _times(a: list[float], b: list[float]) -> list[float]:
 
 def runs(file: File, code: bytes, resources: dict, matrix: list[float], depth: int = 0) -> Iterator[tuple[float, float, float, float, str]]:
     """(x, x at the end, y, size, text) of what a content stream shows."""
-    fonts: dict[str, Font] = {}
     held, saved = [], []
     state = {"m": matrix, "font": None, "size": 1.0, "lead": 0.0, "char": 0.0, "word": 0.0, "wide": 1.0, "rise": 0.0}
     text, line = [1.0, 0, 0, 1.0, 0, 0], [1.0, 0, 0, 1.0, 0, 0]
@@ -280,9 +289,7 @@ def runs(file: File, code: bytes, resources: dict, matrix: list[float], depth: i
             elif value == b"BT":
                 text, line = [1.0, 0, 0, 1.0, 0, 0], [1.0, 0, 0, 1.0, 0, 0]
             elif value == b"Tf":
-                if a[-2] not in fonts:
-                    fonts[a[-2]] = Font(file, file.get((file.get(resources.get("Font")) or {}).get(a[-2])) or {})
-                state["font"], state["size"] = fonts[a[-2]], float(a[-1])
+                state["font"], state["size"] = file.font((file.get(resources.get("Font")) or {}).get(a[-2])), float(a[-1])
             elif value in simple:
                 state[simple[value]] = float(a[-1])
             elif value == b"Tz":
@@ -338,9 +345,9 @@ def markdown(files: DataFrame) -> DataFrame:
     """(id, title, pages, markdown, error) of PDF files (id, content).
 
     A line is what stands at one height, from left to right; pages are divided by rules, and the title goes in front
-    unless the text begins with it.
+    unless the text begins with it.  Runs are written, so each file is read once.
     """
-    shown = files.select(F.col("id").cast("string"), "content").mapInArrow(_read, RUNS)
+    shown = materialize(files.select(F.col("id").cast("string"), "content").mapInArrow(_read, RUNS), "runs", "zstd")
     worded = shown.where("text <> ''")
     line = F.round("y").alias("line")
     part = F.struct("x", "seq", "x_end", "size", "text")
