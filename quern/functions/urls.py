@@ -189,10 +189,11 @@ def ipv4_number(address: Column) -> Column:
 BLOCKED_NETS = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
 
 
-def is_blocked_ipv4(address: Column) -> Column:
+def is_blocked_ipv4(address: Column, networks: list[tuple[str, int]] = BLOCKED_NETS) -> Column:
+    """Whether an address lies in one of the networks (first address, bits)."""
     number = ipv4_number(address)
     out = F.lit(False)
-    for net, bits in BLOCKED_NETS:
+    for net, bits in networks:
         low = sum(int(p) << (24 - 8 * k) for k, p in enumerate(net.split(".")))
         out = out | number.between(low, low + (1 << (32 - bits)) - 1)
     return F.coalesce(out, F.lit(False))
