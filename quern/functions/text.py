@@ -102,6 +102,11 @@ def bound_words(text: Column, most: int) -> Column:
     return F.when(F.size(words) <= most, F.trim(text)).otherwise(cut)
 
 
+def closed_references(html: Column) -> Column:
+    """HTML in which references that lack their semicolon are text, as in XML; HTML's own rules take ``&amp`` for ``&amp;``."""
+    return F.regexp_replace(html, "&(?=[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;]))", "&amp;")
+
+
 def summary_cut(text: Column, most: int = 500) -> Column:
     """At most ``most`` characters, up to the last full stop if there is one."""
     cut = F.substring(text, 1, most)
