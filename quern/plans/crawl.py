@@ -108,9 +108,12 @@ def sitemap_pages(start: DataFrame, stored: DataFrame, rounds: int = 16) -> Data
 
 
 def map_events(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """What a map reports, in order: sitemap, discovery, a row of metadata an address, complete (step, url, title, n)."""
+    """What a map reports, in order: sitemap, discovery, a row of metadata a page of an address, complete (step, url, title, n).
+
+    Addresses found again do not multiply the pages that have them.
+    """
     total = found.agg(F.count("*").alias("n"))
-    titled = found.join(pages.select("url", "title"), "url", "left")
+    titled = found.select("url").distinct().join(pages.select("url", "title"), "url", "left")
     return (
         total.select(F.lit(0).alias("step"), F.lit("sitemap").alias("event"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), "n")
         .union(total.select(F.lit(1), F.lit("discovery"), F.lit(None), F.lit(None), "n"))
