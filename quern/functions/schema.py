@@ -67,12 +67,16 @@ def _said(value: Any) -> str:
 
 
 def errors(value: Column, schema: dict, path: Column | None = None) -> Column:
-    """Array of ``path: what is wrong`` of a variant; a SQL null, which is no JSON, is told at the root."""
+    """Array of ``path: what is wrong`` of a variant; a SQL null, which is no JSON, is told at the root.
+
+    A value that is missing breaks nothing, so no part stands behind a condition, and none below a function that Spark
+    interprets but the members of arrays: equal paths and types are then taken once.
+    """
     if path is None:
-        every = F.when(value.isNull(), F.array(F.lit("$: is no JSON"))).otherwise(errors(value, check(schema), F.lit("$")))
+        every = F.concat(F.when(value.isNull(), F.array(F.lit("$: is no JSON"))).otherwise(F.array().cast(_NONE)), errors(value, check(schema), F.lit("$")))
         if schema.get("type") is None:
             every = F.when(value.isNotNull() & ~_is(F.schema_of_variant(value), value, "object"), F.array(F.lit("$: is not object"))).otherwise(every)
-        return F.slice(F.array_sort(every), 1, TOLD)
+        return F.slice(F.sort_array(every), 1, TOLD)
     kind = F.schema_of_variant(value)
     kinds = schema.get("type")
     parts: list[Column] = []
@@ -118,7 +122,7 @@ def errors(value: Column, schema: dict, path: Column | None = None) -> Column:
         if name in schema.get("required", []):
             tell(is_object & child.isNull(), f"{name} is missing")
         if name in schema.get("properties", {}):
-            parts.append(F.when(is_object & child.isNotNull(), errors(child, schema["properties"][name], F.concat(path, F.lit(f".{name}")))).otherwise(F.array().cast(_NONE)))
+            parts.append(errors(child, schema["properties"][name], F.concat(path, F.lit(f".{name}"))))
     if schema.get("additionalProperties") is False:
         more = F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array(*map(F.lit, names)).cast(_NONE))
         parts.append(F.coalesce(F.transform(F.when(is_object, more), lambda k: F.concat(path, F.lit(": "), k, F.lit(" is not known"))), F.array().cast(_NONE)))
@@ -158,7 +162,7 @@ def conforming(replies: DataFrame, schema: dict, ask: Callable[[DataFrame], Data
     """(id, value, errors, rounds) of replies (id, reply): those that break the schema are asked for once more.
 
     ``ask`` gets (id, reply, request) of these alone and gives (id, reply).  The first round is written, so nothing is asked twice,
-    an id that repeats neither.
+    an id that repeats neither.  Replies are dealt anew, so few large partitions do not bind few tasks.
     """
 
     def judge(rows: DataFrame) -> DataFrame:
@@ -166,7 +170,7 @@ def conforming(replies: DataFrame, schema: dict, ask: Callable[[DataFrame], Data
 
     if ask is None:
         return judge(replies).select("id", "value", "errors", F.lit(1).alias("rounds"))
-    first = materialize(judge(replies), "replies")
+    first = materialize(judge(replies.repartition("id", "reply")), "replies")
     wrong = first.where("size(errors) > 0")
     asked = wrong.dropDuplicates(["id"]).select("id", "reply", repair_request(F.col("reply"), F.col("errors")).alias("request"))
     again = materialize(ask(asked), "repairs")

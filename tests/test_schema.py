@@ -46,3 +46,19 @@ def test_values_and_repair(spark):
     got = sorted((r.id, r.rounds, r.a, r.b, list(r.errors)) for r in schema.conforming(rows, S, ask).withColumn("t", schema.typed(F.col("value"), S)).select("id", "rounds", F.col("t.a"), F.col("t.`b c`").alias("b"), "errors").collect())
     assert got == [(1, 1, 1, 2.5, []), (2, 2, 5, 6.0, []), (2, 2, 5, 6.0, []), (3, 2, None, None, ["$: is no JSON"])] and sorted(asked) == [2, 3]
     assert schema.ddl(S) == "struct<`a`: bigint, `b c`: double, `o`: struct<`x`: array<boolean>>, `s`: variant, `t`: string>"
+
+
+def test_expressions_are_compiled_and_replies_dealt_anew(spark):
+    rows = spark.createDataFrame([(k, '{"k": ' + str(k) + "}" if k % 2 else None if k % 3 else "[]") for k in range(40)], "id long, reply string").coalesce(1)
+    shape = {"type": "object", "required": ["k", "d"], "properties": {"k": {"type": "integer", "maximum": 9}, "d": {"type": "object", "required": ["x"], "properties": {"x": {"enum": ["a"]}}}}}
+    assert "array_sort(" not in rows.select(schema.errors(schema.parsed(F.col("reply")), shape).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    files = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = schema.conforming(rows, shape, lambda wrong: (files.extend(wrong.inputFiles()), wrong.select("id", "reply"))[1])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(files) > 1
+    told = {r.id: (list(r.errors), r.rounds) for r in done.collect()}
+    assert told[1] == (["$: d is missing"], 2) and told[11] == (["$.k: is above 9", "$: d is missing"], 2)
+    assert told[2] == (["$: is no JSON"], 2) and told[6][0][0] == "$: is not object" and len(told) == 40
