@@ -47,19 +47,20 @@ def pinned(requests: DataFrame, answers: DataFrame, strict: bool = False, width:
     answers: host, at, tie, until (may be null), addresses.  A host's answer is the newest at the time of the check; it is
     refused if there is none (``unresolved``) or if any of its addresses lies in a refused network (``network``); else the
     first address is pinned.  If the answer at the time of the fetch has no such address any more, the request is refused
-    (``changed``), so a name cannot be led elsewhere in between.
+    (``changed``), so a name cannot be led elsewhere in between.  A null in the place of the first address is one that no
+    answer holds (``changed``), one in another place is passed over.
     """
     # a fixed answer is judged once, however many requests read it
     judged = answers.select("host", "at", "tie", "until", F.posexplode_outer("addresses").alias("i", "a"))
     bad = judged.withColumn("bad", F.when(F.col("a").isNotNull(), _refused(F.col("a"), strict)))
     known = bad.groupBy("host", "at", "tie").agg(F.first("until").alias("until"), F.sort_array(F.collect_list(F.struct("i", "a"))).alias("p"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad"))
-    known = known.select("host", "at", "tie", "until", F.filter(F.col("p.a"), lambda a: a.isNotNull()).alias("addresses"), "bad")
+    known = known.select("host", "at", "tie", "until", F.transform(F.filter("p", lambda x: x.i.isNotNull()), lambda x: x.a).alias("addresses"), "bad")
     ask = requests.select("id", "host", "checked_at", "fetched_at", F.col("checked_at").alias("at"))
     checked = asof(ask, known, "host", "at", "tie", width, "until", "then")
     fetched = asof(checked.withColumn("at", F.col("fetched_at")), known, "host", "at", "tie", width, "until", "now")
     first = F.get("then.addresses", F.lit(0))
     why = (
-        F.when(first.isNull(), "unresolved").when(F.col("then.bad"), "network")
+        F.when(F.coalesce(F.size("then.addresses"), F.lit(0)) <= 0, "unresolved").when(F.col("then.bad"), "network")
         .when(~F.coalesce(F.array_contains("now.addresses", first), F.lit(False)) | F.coalesce(F.col("now.bad"), F.lit(False)), "changed")
     )
     return fetched.select("id", "host", "checked_at", "fetched_at", F.when(why.isNull(), first).alias("address"), why.alias("refusal"))
