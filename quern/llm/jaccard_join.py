@@ -22,8 +22,11 @@ unrelated texts together.  The order bears on cost only, never on the result.
    and not one for each two.  Verified links give first components; buckets that still
    hold several components are covered once more in another order.
 3. Full searches: buckets that hold several components even then are searched for every
-   set.  Pairs of different components that were not verified before are verified.  Pairs
-   inside a component are never needed, so no link between components is lost.
+   set.  A set brings the smallest keys of its open buckets and how many it has, so the
+   tree's task counts what two prefixes share: a pair that shares too little is ruled out
+   there, and one that does not is given by its first shared bucket alone.  Pairs of
+   different components that were not verified before are verified.  Pairs inside a
+   component are never needed, so no link between components is lost.
 
 Buckets of common hashes are dealt to a third as many parts as there are shuffle
 partitions for the covers, by set (so that a group of copies falls into the same parts in
@@ -45,6 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +72,8 @@ SLOTS = 1 << SLOT_BITS
 COVERS = 2
 #: Rows of whole buckets that are covered side by side.
 TOGETHER = 40_000
+#: Keys of open buckets that a set brings to a full search, and pairs whose keys are compared at once.
+KEYS, ABREAST = 32, 8_192
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -195,7 +201,7 @@ class CountTree:
 
 
 def _bucket(sids, sizes, comps, points, side, num: int, den: int):
-    """Pairs (smaller sid, larger sid, sizes) of different components that the bound allows, pages and points looked at."""
+    """Pairs (place of the smaller sid, of the larger) of different components that the bound allows, pages and points looked at."""
     n, pages, tested = len(sids), 1, len(sids) ** 2
     if n <= LEAF:
         bound = _bound(points[:, None, :], points[None, :, :])
@@ -209,8 +215,45 @@ def _bucket(sids, sizes, comps, points, side, num: int, den: int):
         a = np.repeat(np.arange(n), [len(x) for x in found])
         b = np.concatenate(found)
     keep = (sids[a] < sids[b]) & (comps[a] != comps[b]) & ((side[a] != side[b]) | (side[a] < 0))
-    a, b = a[keep], b[keep]
-    return sids[a], sids[b], sizes[a], sizes[b], pages, tested
+    return a[keep], b[keep], pages, tested
+
+
+def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of one length, and which places hold a value."""
+    n = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = np.arange(max(1, n.max(initial=0))) < n[:, None]
+    rows = np.zeros(held.shape, np.int64)
+    rows[held] = column.flatten().to_numpy()
+    return rows, held
+
+
+def _shared(key: int, a, b, sizes, many, rows, held, num: int, den: int):
+    """Places of the pairs that this bucket has to give, and the most keys that they share.
+
+    ``rows``: the smallest keys of each set's open buckets, ascending; ``many``: how many it has.  Up to the smaller of two
+    sets' last keys all that both hold is seen, beyond it they share at most what the one with fewer has left.  Of one of
+    the two all prefix hashes are counted, and no more than the rest of it can be shared besides.  A pair is given by the
+    first bucket that both are seen in; by each, if they are seen in none.
+    """
+    rest = np.maximum(-(-sizes[a] * num // den), -(-sizes[b] * num // den)) - 1
+    need = -(-(sizes[a] + sizes[b]) * num // (num + den)) - rest
+    at = np.flatnonzero(np.minimum(many[a], many[b]) >= need)
+    stored = held.sum(axis=1)
+    last = np.where(many > stored, rows[np.arange(len(rows)), stored - 1], np.iinfo(np.int64).max)
+    keep, shared = [], []
+    for k in range(0, len(at), ABREAST):
+        i = at[k : k + ABREAST]
+        x, y = a[i], b[i]
+        both = ((rows[x][:, :, None] == rows[y][:, None, :]) & held[x][:, :, None] & held[y][:, None, :]).any(axis=2)
+        seen = both.sum(axis=1)
+        limit = np.minimum(last[x], last[y])[:, None]
+        unseen = [many[z] - ((rows[z] <= limit) & held[z]).sum(axis=1) for z in (x, y)]
+        c = seen + np.minimum(*unseen)
+        fits = (c >= need[i]) & ((seen == 0) | (rows[x, both.argmax(axis=1)] == key))
+        keep.append(i[fits])
+        shared.append(c[fits])
+    none = np.empty(0, np.int64)
+    return np.concatenate([*keep, none]), np.concatenate([*shared, none])
 
 
 def _units(batches, columns: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -239,13 +282,13 @@ def _units(batches, columns: list[str], least: int) -> Iterator[tuple[pa.Table,
         yield t, cut(t)
 
 
-def _found(pairs: list[tuple], pages: int, tested: int) -> pa.RecordBatch:
+def _found(pairs: list[tuple], pages: int, tested: int, names: list[str] = NAMES) -> pa.RecordBatch:
     """Pairs, and a row without any that holds how many pages and points were looked at."""
-    columns = [np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int64)]) for k in range(4)]
+    columns = [np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int64)]) for k in range(len(names))]
     none = pa.nulls(1, pa.int64())
     first = [pa.concat_arrays([pa.array(c), none]) for c in columns[:2]]
-    rest = [pa.array(np.append(c, x)) for c, x in zip(columns[2:], (pages, tested), strict=True)]
-    return pa.RecordBatch.from_arrays([*first, *rest], names=NAMES)
+    rest = [pa.array(np.append(c, x)) for c, x in zip(columns[2:], (pages, tested, 0)[: len(names) - 2], strict=True)]
+    return pa.RecordBatch.from_arrays([*first, *rest], names=names)
 
 
 def _pairs(a, b, sids, sizes):
@@ -308,13 +351,18 @@ def _trees(num: int, den: int):
     def run(batches):
         for t, starts in _units(batches, ["key", "i", "j"], 1):
             out, pages, tested = [], 0, 0
+            key, many = t["key"].to_numpy(), t["many"].to_numpy()
+            rows, held = _rows_of(t["least"].combine_chunks())
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
                 part = t.slice(s, e - s)
                 points = np.frombuffer(b"".join(part["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
-                *pairs, p, n = _bucket(part["sid"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy(), points, part["side"].to_numpy(), num, den)
-                out.append(tuple(pairs))
+                sids, sizes = part["sid"].to_numpy(), part["n"].to_numpy()
+                a, b, p, n = _bucket(sids, sizes, part["comp"].to_numpy(), points, part["side"].to_numpy(), num, den)
+                at, c = _shared(key[s], a, b, sizes, many[s:e], rows[s:e], held[s:e], num, den)
+                a, b = a[at], b[at]
+                out.append((sids[a], sids[b], sizes[a], sizes[b], c))
                 pages, tested = pages + p, tested + n
-            yield _found(out, pages, tested)
+            yield _found(out, pages, tested, [*NAMES, "c"])
 
     return run
 
@@ -362,13 +410,13 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def _summed(found: DataFrame, figures: dict | None, name: str) -> DataFrame:
-    """Pairs (a, b, na, nb, c) with how many buckets returned each; what the search looked at goes to ``figures``."""
+def _summed(found: DataFrame, figures: dict | None, name: str, c: Column) -> DataFrame:
+    """Pairs (a, b, na, nb, c), each once; what the search looked at goes to ``figures``."""
     if figures is not None:
         found = materialize(found, "found")
         seen = found.where("a is null").agg(F.sum("na"), F.sum("nb")).first()
         figures[name] = {"pages": seen[0] or 0, "points": seen[1] or 0, "survivors": found.where("a is not null").count()}
-    return found.where("a is not null").groupBy(*NAMES).agg(F.count("*").alias("c"))
+    return found.where("a is not null").groupBy(*NAMES).agg(c.alias("c"))
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, figures: dict | None = None) -> DataFrame:
@@ -400,7 +448,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
         units = now.join(known, "sid").select("key", salt(turn).alias("salt"), "sid", "n", "comp", "point", order.alias("o"))
         units = units.repartition("key", "salt").sortWithinPartitions("key", "salt", "o", "sid")
         found = units.drop("o").mapInArrow(_covers(num, den), "a long, b long, na long, nb long")
-        pairs = _summed(found, figures, f"cover {turn + 1}")
+        pairs = _summed(found, figures, f"cover {turn + 1}", F.count("*"))
         # what covers leave out, full searches find: here a quarter of the prefix must agree
         pairs = pairs.where(F.col("c") * 4 * den >= F.least("na", "nb") * (den - num)).select("a", "b")
         if tried is not None:
@@ -418,17 +466,15 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
         discard(before)
 
     sizes = now.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
-    ranked = now.join(sizes, "key").join(known.drop("times"), "sid").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("blocks")))
-    whole = ranked.where("blocks = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid", "n", "comp", F.lit(-1).alias("side"), "point")
+    # a set's own keys, no more than its prefix; of long ones the smallest go along
+    own = now.groupBy("sid").agg(F.count("*").alias("many"), F.slice(F.array_sort(F.collect_list("key")), 1, KEYS).alias("least"))
+    ranked = now.join(sizes, "key").join(known.drop("times"), "sid").join(own, "sid").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("blocks")))
+    whole = ranked.where("blocks = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid", "n", "comp", F.lit(-1).alias("side"), "point", "many", "least")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     parts = ranked.where("blocks > 1").withColumn("o", other)
-    parts = parts.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "sid", "n", "comp", F.when(F.col("block") == F.col("o"), -1).otherwise(F.when(F.col("block") < F.col("o"), 0).otherwise(1)).alias("side"), "point")
+    parts = parts.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "sid", "n", "comp", F.when(F.col("block") == F.col("o"), -1).otherwise(F.when(F.col("block") < F.col("o"), 0).otherwise(1)).alias("side"), "point", "many", "least")
     units = whole.union(parts).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    # each tree that holds a pair gives it once, so c counts the hashes that both prefixes share; of one
-    # of the two sets all prefix hashes are counted, and no more than the rest of it can be shared besides
-    more = _summed(units.mapInArrow(_trees(num, den), "a long, b long, na long, nb long"), figures, "full")
-    rest = F.greatest(F.ceil(F.col("na") * num / den), F.ceil(F.col("nb") * num / den)) - 1
-    more = more.where((F.col("c") + rest) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b", "c")
+    more = _summed(units.mapInArrow(_trees(num, den), "a long, b long, na long, nb long, c long"), figures, "full", F.max("c")).select("a", "b", "c")
     more = materialize(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
     # of two components' pairs first the likeliest; the others only if that has not joined the two
     for last in (False, True):
