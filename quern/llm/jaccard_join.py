@@ -55,6 +55,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textkit
 from quern.llm.components import components
+from quern.llm.sized import small
 from quern.scratch import discard, materialize
 
 GROUPS = 64
@@ -74,6 +75,8 @@ COVERS = 2
 TOGETHER = 40_000
 #: Keys of open buckets that a set brings to a full search, and pairs whose keys are compared at once.
 KEYS, ABREAST = 32, 8_192
+#: Groups of the finer bound that a pair has to pass before its sets are compared whole.
+FINE = 4_096
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -145,15 +148,31 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray):
     return run
 
 
+def _odd(u: np.ndarray) -> np.ndarray:
+    """A bit for each of ``FINE`` groups of hashes: whether the set has an odd number of them.  In as many bits as two sets differ here, at least so many hashes are in one of the two alone."""
+    counts = np.bincount((u >> textkit.U(8) & textkit.U(FINE - 1)).astype(np.int64), minlength=FINE)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+
+
 def _full(width: int):
+    """Rows (sid, n, odd, hashes), once per set and task as long as it remembers."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             column = batch.column(0)
             for i, j in textkit.slices(column):
-                sets = list(_sets(column.slice(i, j - i), width))
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                at = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_sid(u) for u in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=["sid", "hashes"])
+                sets = {s: u for u in _sets(column.slice(i, j - i), width) if (s := _sid(u)) not in seen}
+                if len(seen) < REMEMBERED:
+                    seen.update(sets)
+                held = list(sets.values())
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(u) for u in held], pa.int64()), _lists([_odd(u) for u in held]), _lists(held)], names=["sid", "n", "odd", "hashes"])
 
     return run
 
@@ -200,22 +219,28 @@ class CountTree:
         return self.order[pages]
 
 
-def _bucket(sids, sizes, comps, points, side, num: int, den: int):
-    """Pairs (place of the smaller sid, of the larger) of different components that the bound allows, pages and points looked at."""
-    n, pages, tested = len(sids), 1, len(sids) ** 2
-    if n <= LEAF:
-        bound = _bound(points[:, None, :], points[None, :, :])
-        a, b = np.nonzero(bound * (num + den) >= (sizes[:, None] + sizes[None, :]) * num)
-    else:
-        tree = CountTree(sizes, points)
-        found, pages, tested = [], 0, 0
-        for i in range(n):
-            found.append(tree.search(int(sizes[i]), points[i], num, den))
-            pages, tested = pages + tree.visited, tested + tree.tested
-        a = np.repeat(np.arange(n), [len(x) for x in found])
-        b = np.concatenate(found)
-    keep = (sids[a] < sids[b]) & (comps[a] != comps[b]) & ((side[a] != side[b]) | (side[a] < 0))
-    return a[keep], b[keep], pages, tested
+def _page_pairs(unit, sizes, points, num: int, den: int):
+    """Places of the pairs inside runs of equal ``unit`` (each a page) that the bound allows, and points looked at: a step compares every row with the one so many places on."""
+    found, tested = [], 0
+    for step in range(1, len(unit)):
+        a = np.flatnonzero(unit[step:] == unit[:-step])
+        if not len(a):
+            break
+        tested += len(a)
+        a = a[_bound(points[a], points[a + step]) * (num + den) >= (sizes[a] + sizes[a + step]) * num]
+        found.append((a, a + step))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)]), tested
+
+
+def _tree_pairs(sizes, points, num: int, den: int):
+    """The same of one bucket by its tree (each pair once), pages and points looked at."""
+    tree, found, pages, tested = CountTree(sizes, points), [], 0, 0
+    for i in range(len(sizes)):
+        hit = tree.search(int(sizes[i]), points[i], num, den)
+        found.append(hit[hit > i])
+        pages, tested = pages + tree.visited, tested + tree.tested
+    return np.repeat(np.arange(len(sizes)), [len(x) for x in found]), np.concatenate(found), pages, tested
 
 
 def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,19 +252,17 @@ def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return rows, held
 
 
-def _shared(key: int, a, b, sizes, many, rows, held, num: int, den: int):
+def _shared(key, a, b, sizes, many, rows, held, last, num: int, den: int):
     """Places of the pairs that this bucket has to give, and the most keys that they share.
 
-    ``rows``: the smallest keys of each set's open buckets, ascending; ``many``: how many it has.  Up to the smaller of two
-    sets' last keys all that both hold is seen, beyond it they share at most what the one with fewer has left.  Of one of
+    ``rows``: the smallest keys of each set's open buckets, ascending; ``many``: how many it has; ``last``: up to which key
+    they are all there.  Up to the smaller of two sets' last keys all that both hold is seen, beyond it they share at most what the one with fewer has left.  Of one of
     the two all prefix hashes are counted, and no more than the rest of it can be shared besides.  A pair is given by the
     first bucket that both are seen in; by each, if they are seen in none.
     """
     rest = np.maximum(-(-sizes[a] * num // den), -(-sizes[b] * num // den)) - 1
     need = -(-(sizes[a] + sizes[b]) * num // (num + den)) - rest
     at = np.flatnonzero(np.minimum(many[a], many[b]) >= need)
-    stored = held.sum(axis=1)
-    last = np.where(many > stored, rows[np.arange(len(rows)), stored - 1], np.iinfo(np.int64).max)
     keep, shared = [], []
     for k in range(0, len(at), ABREAST):
         i = at[k : k + ABREAST]
@@ -249,7 +272,7 @@ def _shared(key: int, a, b, sizes, many, rows, held, num: int, den: int):
         limit = np.minimum(last[x], last[y])[:, None]
         unseen = [many[z] - ((rows[z] <= limit) & held[z]).sum(axis=1) for z in (x, y)]
         c = seen + np.minimum(*unseen)
-        fits = (c >= need[i]) & ((seen == 0) | (rows[x, both.argmax(axis=1)] == key))
+        fits = (c >= need[i]) & ((seen == 0) | (rows[x, both.argmax(axis=1)] == key[x]))
         keep.append(i[fits])
         shared.append(c[fits])
     none = np.empty(0, np.int64)
@@ -346,21 +369,36 @@ def _covers(num: int, den: int):
 
 
 def _trees(num: int, den: int):
-    """Rows sorted by (key, i, j): one tree for each run of equal units, searched for every set."""
+    """Rows sorted by (key, i, j): one tree for each run of equal units, searched for every set; those of one page side by side."""
 
     def run(batches):
         for t, starts in _units(batches, ["key", "i", "j"], 1):
-            out, pages, tested = [], 0, 0
-            key, many = t["key"].to_numpy(), t["many"].to_numpy()
+            key, sids, sizes, comps, side, many = (t[c].to_numpy() for c in ("key", "sid", "n", "comp", "side", "many"))
+            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
             rows, held = _rows_of(t["least"].combine_chunks())
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                part = t.slice(s, e - s)
-                points = np.frombuffer(b"".join(part["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
-                sids, sizes = part["sid"].to_numpy(), part["n"].to_numpy()
-                a, b, p, n = _bucket(sids, sizes, part["comp"].to_numpy(), points, part["side"].to_numpy(), num, den)
-                at, c = _shared(key[s], a, b, sizes, many[s:e], rows[s:e], held[s:e], num, den)
+            stored = held.sum(axis=1)
+            last = np.where(many > stored, rows[np.arange(len(rows)), stored - 1], np.iinfo(np.int64).max)
+            out = []
+
+            def give(a, b):
+                keep = (comps[a] != comps[b]) & ((side[a] != side[b]) | (side[a] < 0))
+                a, b = a[keep], b[keep]
+                low = sids[a] < sids[b]
+                a, b = np.where(low, a, b), np.where(low, b, a)
+                at, c = _shared(key, a, b, sizes, many, rows, held, last, num, den)
                 a, b = a[at], b[at]
                 out.append((sids[a], sids[b], sizes[a], sizes[b], c))
+
+            lengths = np.diff(np.append(starts, t.num_rows))
+            unit = np.repeat(np.arange(len(starts)), lengths)
+            small = np.flatnonzero((lengths <= LEAF)[unit])
+            a, b, tested = _page_pairs(unit[small], sizes[small], points[small], num, den)
+            give(small[a], small[b])
+            pages = int((lengths <= LEAF).sum())
+            for k in np.flatnonzero(lengths > LEAF).tolist():
+                s, e = starts[k], starts[k] + lengths[k]
+                a, b, p, n = _tree_pairs(sizes[s:e], points[s:e], num, den)
+                give(s + a, s + b)
                 pages, tested = pages + p, tested + n
             yield _found(out, pages, tested, [*NAMES, "c"])
 
@@ -373,18 +411,29 @@ def _named(doc_id: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    speakers = heads.join(wanted, "sid", "left_semi").select("speaker").distinct()
-    sets = docs.join(speakers, _named(docs["doc_id"]) == speakers["speaker"], "left_semi").select("text").mapInArrow(_full(width), "sid long, hashes array<long>")
-    sets = materialize(sets.dropDuplicates(["sid"]), "sets")
-    one = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"))
-    held = pairs.join(one, "a").join(two, "b")
+    """Pairs (a, b) whose sets reach the similarity: what a finer bound cannot rule out is compared whole.
+
+    Of the texts only the speakers' are read on, without a shuffle as long as these are few enough for a broadcast.
+    """
+    ends = lambda p: p.select(F.col("a").alias("sid")).union(p.select("b")).distinct()
+    speakers = materialize(heads.join(ends(pairs), "sid", "left_semi").select("speaker").distinct(), "speakers")
+    few = small(speakers)
+    sets = docs.join(few, _named(docs["doc_id"]) == few["speaker"], "left_semi").select("text").mapInArrow(_full(width), "sid long, n long, odd array<long>, hashes array<long>")
+    sets = materialize(sets, "sets")
+
+    def both(p: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        held = held.dropDuplicates(["sid"])
+        for side in ("a", "b"):
+            p = p.join(held.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col(column).alias(f"h{side}")), side)
+        return p
+
+    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = both(pairs, sets.select("sid", "n", "odd"), "odd").where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
+    near = materialize(near.select("a", "b"), "near")
     same = F.size(F.array_intersect("ha", "hb"))
-    held = held.where(F.lit(den) * same >= F.lit(num) * (F.size("ha") + F.size("hb") - same)).select("a", "b")
-    held = materialize(held, "links")
-    discard(sets)
+    held = both(near, sets.join(small(ends(near)), "sid", "left_semi").select("sid", "n", "hashes"), "hashes")
+    held = materialize(held.where(F.lit(den) * same >= F.lit(num) * (F.col("na") + F.col("nb") - same)).select("a", "b"), "links")
+    discard(speakers, sets, near)
     return held
 
 
@@ -436,8 +485,11 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     salt = lambda turn: F.when(F.col("hot"), F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(salts))).otherwise(0).cast("int")
     rows = docs.select("text").mapInArrow(_prefixes(width, num, den, _common(points)), "key long, sid long, n long, hot boolean")
     rows = rows.withColumn("salt", salt(0)).repartition("key", "salt")
-    part = Window.partitionBy("key", "salt")
-    shared = rows.withColumns({"lo": F.min("sid").over(part), "hi": F.max("sid").over(part)}).where("hot or lo <> hi")
+    # by size the nearest other set is next to a row (of rows that repeat a set, to the first or the last)
+    part = Window.partitionBy("key", "salt").orderBy("n", "sid")
+    fits = lambda x: F.coalesce((x["sid"] != F.col("sid")) & (F.least(x["n"], "n") * den >= F.greatest(x["n"], "n") * num), F.lit(False))
+    beside = F.struct("sid", "n")
+    shared = rows.withColumns({"lo": F.lag(beside).over(part), "hi": F.lead(beside).over(part)}).where(F.col("hot") | fits(F.col("lo")) | fits(F.col("hi")))
     shared = materialize(shared.dropDuplicates(["key", "salt", "sid"]).select("key", "hot", "sid", "n"), "buckets", "zstd")
 
     # likeliest first: of a group of copies the one with the fewest hashes of its own, then another order
