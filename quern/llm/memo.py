@@ -77,8 +77,18 @@ class Memo:
         self.pool.extend(codes)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, bounds): those of text r at bounds[r]:bounds[r + 1]; null has none."""
-        return self.encode_segments([self.cut(t) if t else [] for t in texts])
+        """(codes, bounds): those of text r at bounds[r]:bounds[r + 1]; null has none.
+
+        Only one text's segments stand as Python strings at a time.
+        """
+        try:
+            cut = [pa.array(self.cut(t) if t else [], pa.large_string()) for t in texts]
+        except UnicodeEncodeError:
+            return self.encode_segments([self.cut(t) if t else [] for t in texts])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = pa.concat_arrays(cut or [pa.array([], pa.large_string())])
+        del cut
+        return self.encode_array(flat.dictionary_encode(), n)
 
     def encode_segments(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The same of texts that are cut already."""

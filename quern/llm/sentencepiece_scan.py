@@ -51,8 +51,8 @@ from quern.llm.textkit import slices, views
 from quern.scratch import materialize
 
 GIANT, CHUNK = 32_768, 8_192
-#: Segments that a worker remembers.
-REMEMBERED = 200_000
+#: Segments that a worker remembers, and new ones that are encoded side by side.
+REMEMBERED, ABREAST = 200_000, 4_000
 #: Neighbours that are combined at once in a scan.
 FAN = 64
 #: A segment starts.
@@ -65,8 +65,8 @@ def encoder(vocabulary: Pieces) -> Memo:
     def make(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(texts)
         short = [k for k, t in enumerate(texts) if len(t) <= 64]
-        for at in range(0, len(short), 8_000):
-            part = short[at : at + 8_000]
+        for at in range(0, len(short), ABREAST):
+            part = short[at : at + ABREAST]
             for k, ids in zip(part, Batch(vocabulary, [texts[k] for k in part]).best(), strict=True):
                 out[k] = ids
         out = [x if x is not None else Batch(vocabulary, [t]).best()[0] for x, t in zip(out, texts, strict=True)]
@@ -94,13 +94,13 @@ class Decoder:
 
     def same(self, ids: np.ndarray, bounds: np.ndarray, texts: pa.Array) -> np.ndarray:
         """Whether each sequence decodes to its text (null: to nothing)."""
-        made = gathered(self.pool, self.starts, self.lengths, ids)
         ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])[bounds]
         raw, offsets = views(texts)
         n = np.diff(offsets)
         ok = np.diff(ends) == n + (n > 0)  # one space in front of a text
         for r in np.flatnonzero(ok & (n > 0)).tolist():
-            ok[r] = np.array_equal(made[ends[r] + 1 : ends[r + 1]], raw[offsets[r] : offsets[r + 1]])
+            made = gathered(self.pool, self.starts, self.lengths, ids[bounds[r] : bounds[r + 1]])
+            ok[r] = np.array_equal(made[1:], raw[offsets[r] : offsets[r + 1]])
         return ok
 
 

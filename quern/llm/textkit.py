@@ -93,6 +93,7 @@ def trim() -> None:
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give is not None:
         give(0)
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
