@@ -19,7 +19,8 @@ unrelated texts together.  The order bears on cost only, never on the result.
 1. Equal sets become one set (the smallest doc_id speaks for it).
 2. Covers: in each bucket the tree is searched for one set after another, but only for
    such as no earlier search returned, so a group of near copies gives one pair a member
-   and not one for each two.  Verified links give first components; buckets that still
+   and not one for each two.  Pairs are verified on the sets, after a bound by the parities
+   of ``FINE`` groups' counts.  Verified links give first components; buckets that still
    hold several components are covered once more in another order.
 3. Full searches: buckets that hold several components even then are searched for every
    set.  A set brings the smallest keys of its open buckets and how many it has, so the
