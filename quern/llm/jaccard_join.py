@@ -55,8 +55,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import textkit
-from quern.llm.components import components
-from quern.llm.sized import small
+from quern.llm.components import stars
+from quern.llm.sized import LIMIT, small
 from quern.scratch import discard, materialize
 
 GROUPS = 64
@@ -416,8 +416,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
 
     Of the texts only the speakers' are read on, without a shuffle as long as these are few enough for a broadcast.
     """
-    ends = lambda p: p.select(F.col("a").alias("sid")).union(p.select("b")).distinct()
-    speakers = materialize(heads.join(ends(pairs), "sid", "left_semi").select("speaker").distinct(), "speakers")
+    ends = lambda p: p.select(F.col("a").alias("sid")).union(p.select("b"))
+    speakers = materialize(heads.join(ends(pairs).distinct(), "sid", "left_semi").select("speaker"), "speakers")
     few = small(speakers)
     sets = docs.join(few, _named(docs["doc_id"]) == few["speaker"], "left_semi").select("text").mapInArrow(_full(width), "sid long, n long, odd array<long>, hashes array<long>")
     sets = materialize(sets, "sets")
@@ -432,7 +432,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, n
     near = both(pairs, sets.select("sid", "n", "odd"), "odd").where(apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
     near = materialize(near.select("a", "b"), "near")
     same = F.size(F.array_intersect("ha", "hb"))
-    held = both(near, sets.join(small(ends(near)), "sid", "left_semi").select("sid", "n", "hashes"), "hashes")
+    # so few that they may repeat, or distinct ones
+    few = F.broadcast(ends(near)) if near.count() * 32 <= LIMIT else small(ends(near).distinct())
+    held = both(near, sets.join(few, "sid", "left_semi").select("sid", "n", "hashes"), "hashes")
     held = materialize(held.where(F.lit(den) * same >= F.lit(num) * (F.col("na") + F.col("nb") - same)).select("a", "b"), "links")
     discard(speakers, sets, near)
     return held
@@ -448,10 +450,17 @@ def _common(points: DataFrame) -> np.ndarray:
 
 
 def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``rows`` (with sid) and the component of each."""
+    """``rows`` (with sid) and the component of each; ``roots`` has a row (a, b) for every set that is not its component's root."""
     if roots is None:
         return rows.withColumn("comp", F.col("sid"))
-    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    return rows.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+
+
+def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Roots after the links are added; what they replace goes."""
+    found = stars(links, roots)
+    discard(links, *([] if roots is None else [roots]))
+    return found
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -495,7 +504,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
 
     # likeliest first: of a group of copies the one with the fewest hashes of its own, then another order
     known = heads.select("sid", "point").join(shared.groupBy("sid").agg(F.count("*").alias("times")), "sid")
-    links, roots, tried, now = None, None, None, _labelled(shared, None)
+    roots, tried, now = None, None, _labelled(shared, None)
     for turn in range(COVERS):
         order = -F.col("times") / F.col("n") if turn == 0 else F.xxhash64("sid", F.lit(turn))
         units = now.join(known, "sid").select("key", salt(turn).alias("salt"), "sid", "n", "comp", "point", order.alias("o"))
@@ -513,8 +522,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
             figures[f"cover {turn + 1}"] |= {"verified": pairs.count(), "links": held.count()}
         if held.isEmpty():
             break
-        links = held if links is None else links.union(held)
-        roots = components(links)
+        roots = _joined(held, roots)
         before, now = now, materialize(_open(_labelled(shared, roots)), "open")
         discard(before)
 
@@ -543,8 +551,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
             figures["full" if not last else "full, rest"] = figures.get("full", {}) | {"verified": left.count(), "links": held.count()} if not last else {"verified": left.count(), "links": held.count()}
         discard(left)
         if not held.isEmpty():
-            links = held if links is None else links.union(held)
-            roots = components(links)
+            roots = _joined(held, roots)
 
     named = _labelled(heads.select("sid", "doc"), roots)
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -552,7 +559,7 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 80, den:
     out = points.where("slot is null").select("doc_id", "text_id", "n", "sid").join(named, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("sid").alias("set_id"), "text_id", F.col("comp").alias("component")), "components")
-    discard(points, shared, more, now)
+    discard(points, shared, more, now, *([] if roots is None else [roots]))
     return out
 
 
